@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rfsense import constants as K
 from rfsense.functions import scalar as S
-from rfsense.operators.layout import arrange
+from rfsense.operators.layout import Profile, arrange
 from rfsense.operators.scan import debounce_machine, gate_machine, idle_reset_machine, scan
 
 
@@ -45,7 +45,7 @@ def scores(feats: DataFrame, model: DataFrame | None = None) -> DataFrame:
 
 
 def detect(scored: DataFrame, threshold: Column | float, debounce: int = 10, persistence: int = 3,
-           keep: tuple[str, ...] = (), piece_rows: int | None = None) -> DataFrame:
+           keep: tuple[str, ...] = (), piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """State and confidence per row; ``persistence`` in seconds from the detection's start."""
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     df = (
@@ -53,7 +53,7 @@ def detect(scored: DataFrame, threshold: Column | float, debounce: int = 10, per
         .withColumn("above", F.col("score") > F.col("threshold"))
         .withColumn("_sec", F.unix_seconds("ts"))
     )
-    out = scan(arrange(df, piece_rows=piece_rows), debounce_machine(debounce, persistence),
+    out = scan(arrange(df, piece_rows=piece_rows, profile=profile), debounce_machine(debounce, persistence),
                ("score", "threshold", *keep))
     return out.withColumn("confidence", S.confidence(
         F.col("score"), F.col("threshold"), F.col("downgraded"))).drop("downgraded")
@@ -61,17 +61,17 @@ def detect(scored: DataFrame, threshold: Column | float, debounce: int = 10, per
 
 def gate(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS,
          enabled: bool = True, order: tuple[str, ...] = ("ts", "seq"), keep: tuple[str, ...] = (),
-         piece_rows: int | None = None) -> DataFrame:
+         piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Flag the rows to publish: first, changed state, moved score, or heartbeat."""
     if not enabled:
         return states.withColumn("published", F.lit(True))
     df = states.withColumn("_ms", F.unix_millis("ts"))
-    return scan(arrange(df, order=order, piece_rows=piece_rows), gate_machine(delta, heartbeat_ms),
+    return scan(arrange(df, order=order, piece_rows=piece_rows, profile=profile), gate_machine(delta, heartbeat_ms),
                 ("state", "score", *keep))
 
 
 def idle_resets(states: DataFrame, timeout: int, keep: tuple[str, ...] = (),
-                piece_rows: int | None = None) -> DataFrame:
+                piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Flag the rows that restart the normaliser, and number the spans between them."""
     df = states.withColumn("_sec", F.unix_seconds("ts"))
-    return scan(arrange(df, piece_rows=piece_rows), idle_reset_machine(timeout), ("state", *keep))
+    return scan(arrange(df, piece_rows=piece_rows, profile=profile), idle_reset_machine(timeout), ("state", *keep))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rfsense import constants as K
 from rfsense.functions import packet as P
-from rfsense.operators.layout import Layout, arrange
+from rfsense.operators.layout import Layout, Profile, arrange
 
 
 def skewness(amp: Column, lay: Layout, rows: int = K.MOMENT_ROWS) -> Column:
@@ -41,6 +41,7 @@ def features(
     end: int = K.SUBCARRIER_RANGE[1],
     keep: Iterable[str] = ("phase",),
     piece_rows: int | None = None,
+    profile: Profile | None = None,
 ) -> DataFrame:
     """The chosen features of every admitted packet, in one pass over the device order.
 
@@ -59,7 +60,7 @@ def features(
     base = base.select("device_id", "seq", "ts", *keep, "x", "mean_amplitude",
                        *[stateless[n].alias(n) for n in names if n in stateless])
     if ordered:
-        lay = arrange(base, before=K.MOMENT_ROWS - 1, piece_rows=piece_rows)
+        lay = arrange(base, before=K.MOMENT_ROWS - 1, piece_rows=piece_rows, profile=profile)
         base = lay.df
         amp = F.col("mean_amplitude")
         if "skewness" in ordered:

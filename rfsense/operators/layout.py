@@ -111,6 +111,27 @@ def _time_bin(df: DataFrame, col: str, width: float) -> Column:
     return F.floor(F.col(col) / F.lit(width))
 
 
+@dataclass
+class Profile:
+    """How the rows of a frame spread over keys and time; valid for every frame with the same rows."""
+
+    keys: list[str]
+    hot: bool
+    n_keys: int
+    bins: DataFrame
+    width: float
+    piece_rows: int
+
+
+def measure(df: DataFrame, keys: tuple[str, ...] = ("device_id",), order: tuple[str, ...] = ("ts", "seq"),
+            piece_rows: int | None = None, bin_width: float = BIN_SECONDS) -> Profile:
+    """Find out whether any key is hot: one aggregate job over the key column."""
+    piece_rows = max(int(piece_rows or PIECE_ROWS), 1)
+    bins = df.select(*keys, _time_bin(df, order[0], bin_width).alias("_bin"))
+    biggest, n_keys = bins.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    return Profile(list(keys), (biggest or 0) > piece_rows, n_keys, bins, bin_width, piece_rows)
+
+
 def arrange(
     df: DataFrame,
     before: int = 0,
@@ -120,21 +141,27 @@ def arrange(
     piece_rows: int | None = None,
     bin_width: float = BIN_SECONDS,
     broadcast_rows: int = BROADCAST_ROWS,
+    profile: Profile | None = None,
 ) -> Layout:
     """Lay ``df`` out for ordered operators that look ``before`` rows back and ``after`` (0, 1) ahead.
 
-    ``order[0]`` gives the time bins, ``bin_width`` wide (seconds for timestamps).
-    One small aggregate job runs here to find out whether any key is hot.
+    ``order[0]`` gives the time bins, ``bin_width`` wide (seconds for timestamps). ``profile``
+    spares the measuring job where the rows are those of a frame measured before, or split its
+    keys further.
     """
-    piece_rows = max(int(piece_rows or PIECE_ROWS), before, 1)
     if after not in (0, 1):
         raise ValueError("after must be 0 or 1")
     keys, order = list(keys), list(order)
-    bins = df.select(*keys, _time_bin(df, order[0], bin_width).alias("_bin"))
-    biggest, n_keys = bins.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
-    if (biggest or 0) <= piece_rows:
-        return Layout(df, keys, order, False, keys, n_keys)
-
+    if profile is not None and profile.keys != keys:
+        finer = not profile.hot and set(profile.keys) <= set(keys)
+        profile = replace(profile, keys=keys, n_keys=BROADCAST_ROWS + 1) if finer else None
+    if profile is None or (profile.hot and profile.piece_rows < before):
+        piece_rows = max(int(piece_rows or PIECE_ROWS), before)
+        profile = measure(df, tuple(keys), tuple(order), piece_rows, bin_width)
+    if not profile.hot:
+        return Layout(df, keys, order, False, keys, profile.n_keys)
+
+    bins, n_keys, piece_rows, bin_width = profile.bins, profile.n_keys, profile.piece_rows, profile.width
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     hist = (

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rfsense.functions import packet as P
-from rfsense.operators.layout import arrange
+from rfsense.operators.layout import Profile, arrange
 
 
 def ticks(states: DataFrame, period_seconds: int = 1, cols: tuple[str, ...] = ("state", "score", "confidence"),
-          piece_rows: int | None = None) -> DataFrame:
+          piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Latest values at every tick, carried over ticks without a packet.
 
     Each row covers the ticks from its own time to just before the next row's, so no tick
     calendar is built and nothing is joined.
     """
     us = period_seconds * 1_000_000
-    lay = arrange(states, after=1, piece_rows=piece_rows)
+    lay = arrange(states, after=1, piece_rows=piece_rows, profile=profile)
 
     def tick_of(c: Column) -> Column:
         return F.ceil(F.unix_micros(c) / F.lit(us).cast("double")).cast("long")
@@ -64,27 +64,30 @@ def occupancy(states: DataFrame, zone: Column, window: str = "1 hour") -> DataFr
 
 
 def movement_alerts(states: DataFrame, movement: float = 0.6, confidence: float = 0.7,
-                    piece_rows: int | None = None) -> DataFrame:
+                    piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Rows on which movement and confidence first both exceed their limits."""
-    lay = arrange(states, before=1, piece_rows=piece_rows)
+    lay = arrange(states, before=1, piece_rows=piece_rows, profile=profile)
     hot = (F.col("score") > movement) & (F.col("confidence") > confidence)
     df = lay.df.withColumn("_hot", hot)
     df = df.withColumn("_was", F.coalesce(F.lag("_hot").over(lay.ordered()), F.lit(False)))
     return lay.done(df).where("_hot and not _was").select("device_id", "ts", "seq", "score", "confidence")
 
 
-def state_changes(states: DataFrame, col: str = "state", piece_rows: int | None = None) -> DataFrame:
+def state_changes(states: DataFrame, col: str = "state", piece_rows: int | None = None,
+                  profile: Profile | None = None) -> DataFrame:
     """Rows on which ``col`` differs from the row before, the first row included."""
-    lay = arrange(states, before=1, piece_rows=piece_rows)
+    lay = arrange(states, before=1, piece_rows=piece_rows, profile=profile)
     df = lay.df.withColumn("_prev", F.lag(col).over(lay.ordered()))
     return lay.done(df).where(~F.col("_prev").eqNullSafe(F.col(col))).drop("_prev")
 
 
 def inactivity_alerts(states: DataFrame, hours: float = 4.0, from_hour: int = 8, to_hour: int = 22,
-                      piece_rows: int | None = None) -> DataFrame:
+                      piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Idle spells of at least ``hours``, where the moment they reach it lies in the given hours of the day."""
-    changes = state_changes(states.select("device_id", "ts", "seq", "state"), piece_rows=piece_rows)
-    lay = arrange(changes, after=1, piece_rows=piece_rows)
+    changes = state_changes(states.select("device_id", "ts", "seq", "state"), piece_rows=piece_rows, profile=profile)
+    # Changes are some of the rows, so where no device is hot none has too many changes either.
+    few = profile if profile is not None and not profile.hot else None
+    lay = arrange(changes, after=1, piece_rows=piece_rows, profile=few)
     runs = lay.done(lay.df.withColumn("_next", F.lead("ts").over(lay.ordered())))
     ends = states.groupBy("device_id").agg(F.max("ts").alias("_end"))
     us = int(hours * 3600 * 1_000_000)

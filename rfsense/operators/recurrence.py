@@ -8,14 +8,15 @@ rows early and needs nothing else from the rows before it.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rfsense import constants as K
-from rfsense.operators.layout import Layout, arrange
+from rfsense.operators.layout import PIECE_ROWS, Layout, Profile, arrange, measure
+from rfsense.operators.walk import Columns, walk
 
 LOWPASS_ROWS = 192
 
@@ -33,66 +34,78 @@ def ewma_rows(alpha: float) -> int:
     return math.ceil(60 * math.log(2) / -math.log1p(-alpha))
 
 
+BLOCK = 256
+
+
+@lru_cache(maxsize=16)
+def _smoothing_block(alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a block's own samples, and of the value before the block."""
+    decay = (1.0 - alpha) ** np.arange(BLOCK + 1)
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    return np.where(lag >= 0, alpha * decay[np.abs(lag)], 0.0), decay[1:]
+
+
+def smooth(x: np.ndarray, alpha: float, start: float) -> np.ndarray:
+    """y[t] = (1-alpha)*y[t-1] + alpha*x[t] from y[-1] = start, a block at a time."""
+    own, before = _smoothing_block(alpha)
+    out = np.empty(len(x))
+    for lo in range(0, len(x), BLOCK):
+        b = x[lo:lo + BLOCK]
+        k = len(b)
+        out[lo:lo + k] = own[:k, :k] @ b + before[:k] * start
+        start = out[lo + k - 1]
+    return out
+
+
 def ewma_mean_var(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Running mean (first sample) and variance (1.0) of the normaliser."""
-    m = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    m = smooth(x, alpha, x[0])
     # v' = (1-a)*(v + a*d^2) with d = x - previous mean: the same smoothing, fed (1-a)*d^2.
-    d = np.empty_like(m)
-    d[0] = 0.0
-    d[1:] = x[1:] - m[:-1]
-    feed = (1 - alpha) * d * d
-    if len(feed):
-        feed[0] = 1.0
-    return m, pd.Series(feed).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-
+    feed = np.ones_like(m)
+    feed[1:] = (1.0 - alpha) * (x[1:] - m[:-1]) ** 2
+    return m, smooth(feed, alpha, 1.0)
 
-def map_ordered(lay: Layout, cols: list[str], fn, schema: str) -> DataFrame:
-    """Apply ``fn(sorted frame) -> frame`` to each device (piece), one bounded group per call."""
-    order, pieces = lay.order, lay.pieces
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out = fn(pdf)
-        return out[pdf["_core"].to_numpy()] if pieces else out
-
-    need = [*lay.part, *[c for c in cols if c not in lay.part], *(["_core"] if pieces else [])]
-    return lay.df.select(*need).groupBy(*lay.part).applyInPandas(run, schema)
+def _apply(lay: Layout, x: str, fn, extra: str) -> DataFrame:
+    """Keys, order columns and ``x`` as they are, next to the columns ``fn(values)`` gives."""
+    df = lay.df
+    cols = list(dict.fromkeys([*lay.keys, *lay.order, x]))
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", " + extra
 
+    def run(c: Columns) -> Columns:
+        out = {**{k: c[k] for k in cols}, **fn(np.asarray(c[x], dtype=float))}
+        if lay_pieces:
+            core = np.asarray(c["_core"], dtype=bool)
+            out = {k: v[core] for k, v in out.items()}
+        return out
 
-def _fields(df: DataFrame, cols: list[str]) -> str:
-    t = dict(df.dtypes)
-    return ", ".join(f"`{c}` {t[c]}" for c in cols)
+    lay_pieces = lay.pieces
+    return walk(df, lay.part, lay.order, [*cols, *(["_core"] if lay_pieces else [])], run, schema)
 
 
 def lowpass(df: DataFrame, x: str, out: str = "lowpass", piece_rows: int | None = None, **layout) -> DataFrame:
     """Order-4 IIR low-pass from zero state, as its impulse response."""
     lay = arrange(df, before=LOWPASS_ROWS, piece_rows=piece_rows, **layout)
-    cols = list(dict.fromkeys([*lay.keys, *lay.order, x]))
     h = impulse_response()
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[x].to_numpy(float)
-        return pdf[cols].assign(**{out: np.convolve(v, h)[: len(v)]})
-
-    return map_ordered(lay, cols, fn, f"{_fields(df, cols)}, `{out}` double")
+    return _apply(lay, x, lambda v: {out: np.convolve(v, h)[: len(v)]}, f"`{out}` double")
 
 
 def ewma(df: DataFrame, x: str, alpha: float = 0.02, piece_rows: int | None = None, **layout) -> DataFrame:
     """EWMA mean, variance and standard deviation next to the untouched signal."""
     lay = arrange(df, before=ewma_rows(alpha), piece_rows=piece_rows, **layout)
-    cols = list(dict.fromkeys([*lay.keys, *lay.order, x]))
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, v = ewma_mean_var(pdf[x].to_numpy(float), alpha)
-        return pdf[cols].assign(ewma_mean=m, ewma_variance=v, ewma_stddev=np.sqrt(v))
+    def fn(v: np.ndarray) -> Columns:
+        m, var = ewma_mean_var(v, alpha)
+        return {"ewma_mean": m, "ewma_variance": var, "ewma_stddev": np.sqrt(var)}
 
-    return map_ordered(lay, cols, fn, f"{_fields(df, cols)}, ewma_mean double, ewma_variance double, ewma_stddev double")
+    return _apply(lay, x, fn, "ewma_mean double, ewma_variance double, ewma_stddev double")
 
 
 def ewma_with_resets(df: DataFrame, x: str, epoch: str, alpha: float = 0.02,
-                     piece_rows: int | None = None) -> DataFrame:
+                     piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """EWMA started anew in every epoch of a device."""
-    return ewma(df, x, alpha, piece_rows, keys=("device_id", epoch))
+    return ewma(df, x, alpha, piece_rows, keys=("device_id", epoch), profile=profile)
 
 
 def cascade(df: DataFrame, x: str, hampel_threshold: float = 2.0, alpha: float = 0.02,
@@ -104,10 +117,12 @@ def cascade(df: DataFrame, x: str, hampel_threshold: float = 2.0, alpha: float =
     from rfsense.operators import windows as W
 
     cur = df.select("device_id", "ts", "seq", x)
+    piece_rows = max(piece_rows or PIECE_ROWS, ewma_rows(alpha))
+    prof = measure(cur, piece_rows=piece_rows)  # every stage keeps the rows
     stage = x
     if lowpass_on:
-        cur, stage = lowpass(cur, x, "_lp", piece_rows), "_lp"
-    lay = arrange(cur, before=(K.WAVELET_ROWS if wavelet_on else 0) + 8, piece_rows=piece_rows)
+        cur, stage = lowpass(cur, x, "_lp", piece_rows, profile=prof), "_lp"
+    lay = arrange(cur, before=(K.WAVELET_ROWS if wavelet_on else 0) + 8, profile=prof)
     cur = lay.df
     if wavelet_on:
         cur = cur.withColumn("_p", lay.pos())
@@ -119,4 +134,4 @@ def cascade(df: DataFrame, x: str, hampel_threshold: float = 2.0, alpha: float =
     cur = lay.done(cur).select("device_id", "ts", "seq", x, "filtered")
     if not normalise_on:
         return cur
-    return ewma(cur, "filtered", alpha, piece_rows)
+    return ewma(cur, "filtered", alpha, piece_rows, profile=prof)

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from rfsense.operators.layout import Layout
+from rfsense.operators.walk import Columns, walk
 
 State = tuple
 
@@ -31,16 +32,16 @@ class Machine:
     """One sequential operator.
 
     cols: input columns beyond keys and order. state: state column DDL. start: initial state.
-    walk(frame, state) -> (output columns, end state). ways_in(frame) -> summary rows.
+    walk(columns, state) -> (output columns, end state). ways_in(columns) -> summary rows.
     ways_schema: their DDL. through(state, summary rows) -> end state.
     """
 
     cols: tuple[str, ...]
     state: str
     start: State
-    walk: Callable[[pd.DataFrame, State], tuple[pd.DataFrame, State]]
+    walk: Callable[[Columns, State], tuple[Columns, State]]
     out: str
-    ways_in: Callable[[pd.DataFrame], pd.DataFrame]
+    ways_in: Callable[[Columns], pd.DataFrame]
     ways_schema: str
     through: Callable[[State, pd.DataFrame], State]
 
@@ -48,35 +49,27 @@ class Machine:
 def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bool = False) -> DataFrame:
     """Walk every device. Output: keys, order, ``passthrough`` and the machine's columns per row,
     or with ``explode`` keys and the machine's own rows."""
-    order = lay.order
+    order, keys, part = lay.order, lay.keys, lay.part
     types = dict(lay.df.dtypes)
-    base = list(dict.fromkeys([*lay.keys, *([] if explode else [*order, *passthrough])]))
-    need = list(dict.fromkeys([*lay.part, *order, *passthrough, *m.cols]))
+    base = list(dict.fromkeys([*keys, *([] if explode else [*order, *passthrough])]))
+    cols = list(dict.fromkeys([*order, *base, *m.cols]))
     schema = ", ".join(f"`{c}` {types[c]}" for c in base) + ", " + m.out
-    keys, part = lay.keys, lay.part
 
-    def emit(pdf: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
-        if explode:
-            for k in keys:
-                out[k] = pdf[k].iloc[0]
-            return out
-        return pd.concat([pdf[base], out], axis=1)
+    def emit(c: Columns, out: Columns) -> Columns:
+        n = len(next(iter(out.values())))
+        same = {k: np.repeat(c[k][:1], n) for k in keys} if explode else {k: c[k] for k in base}
+        return {**same, **out}
 
     if not lay.pieces:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-            return emit(pdf, m.walk(pdf, m.start)[0])
-        return lay.df.select(*need).groupBy(*part).applyInPandas(whole, schema)
+        return walk(lay.df, part, order, cols, lambda c: emit(c, m.walk(c, m.start)[0]), schema)
 
-    rows = lay.df.where("_core").select(*need)
+    rows = lay.df.where("_core")
     part_ddl = ", ".join(f"`{c}` {types[c]}" for c in part)
+    names = [f.split()[0] for f in m.state.split(",")]
 
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        w = m.ways_in(pdf)
-        for i, c in enumerate(part):
-            w.insert(i, c, pdf[c].iloc[0])
-        return w
+    def ways(c: Columns) -> Columns:
+        w = m.ways_in(c)
+        return {**{k: np.repeat(c[k][:1], len(w)) for k in part}, **{k: w[k].to_numpy() for k in w}}
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state, found = m.start, []
@@ -85,15 +78,12 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
             state = m.through(state, w)
         return pd.DataFrame(found, columns=[*part, *names])
 
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        state = tuple(pdf[n].iloc[0] for n in names)
-        return emit(pdf, m.walk(pdf, state)[0])
+    def piece(c: Columns) -> Columns:
+        return emit(c, m.walk(c, tuple(c[n][0] for n in names))[0])
 
-    names = [f.split()[0] for f in m.state.split(",")]
-    summary = rows.groupBy(*part).applyInPandas(ways, f"{part_ddl}, {m.ways_schema}")
+    summary = walk(rows, part, order, cols, ways, f"{part_ddl}, {m.ways_schema}")
     entered = summary.groupBy(*keys).applyInPandas(fold, f"{part_ddl}, {m.state}")
-    return rows.join(entered, part).groupBy(*part).applyInPandas(piece, schema)
+    return walk(rows.join(entered, part), part, order, [*cols, *names], piece, schema)
 
 
 # --- debounce / persistence -------------------------------------------------------------
@@ -163,11 +153,11 @@ def debounce_machine(debounce: int = 10, persistence: int = 3) -> Machine:
     if debounce < 1:
         raise ValueError("debounce must be at least 1")
 
-    def piece(pdf: pd.DataFrame) -> _Debounce:
-        return _Debounce(pdf["_sec"].to_numpy(np.int64), pdf["above"].to_numpy(bool), debounce, persistence)
+    def piece(c: Columns) -> _Debounce:
+        return _Debounce(np.asarray(c["_sec"], np.int64), np.asarray(c["above"], bool), debounce, persistence)
 
-    def walk(pdf: pd.DataFrame, s: State):
-        p = piece(pdf)
+    def step(c: Columns, s: State):
+        p = piece(c)
         spans, end = p.spans(s)
         state = np.full(p.n, "IDLE", dtype=object)
         fell = np.zeros(p.n, dtype=bool)
@@ -175,10 +165,10 @@ def debounce_machine(debounce: int = 10, persistence: int = 3) -> Machine:
             state[at:j] = "DETECTED"
             if j < p.n:
                 fell[j] = True
-        return pd.DataFrame({"state": state, "downgraded": fell}), end
+        return {"state": state, "downgraded": fell}, end
 
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = piece(pdf)
+    def ways(c: Columns) -> pd.DataFrame:
+        p = piece(c)
         rows = [(0, c, *p.spans((0, c, 0))[1]) for c in range(debounce)]
         # A detection from before this piece ends on one of the first values not above.
         near = int(np.searchsorted(p.t_below, p.t[0] + persistence, side="right")) + 1
@@ -202,7 +192,7 @@ def debounce_machine(debounce: int = 10, persistence: int = 3) -> Machine:
         r = hit.iloc[0]
         return int(r["mode"]), int(r.consec), int(r.t0)
 
-    return Machine(("_sec", "above"), "_mode int, _consec int, _t0 bigint", (0, 0, 0), walk,
+    return Machine(("_sec", "above"), "_mode int, _consec int, _t0 bigint", (0, 0, 0), step,
                    "state string, downgraded boolean", ways,
                    "kind int, key bigint, mode int, consec int, t0 bigint", through)
 
@@ -210,10 +200,10 @@ def debounce_machine(debounce: int = 10, persistence: int = 3) -> Machine:
 # --- change / delta / heartbeat gate ----------------------------------------------------
 
 class _Gate:
-    def __init__(self, pdf: pd.DataFrame, delta: float, heartbeat: int):
-        self.t = pdf["_ms"].to_numpy(np.int64)
-        self.state = pdf["state"].to_numpy(object)
-        self.score = pdf["score"].to_numpy(float)
+    def __init__(self, c: Columns, delta: float, heartbeat: int):
+        self.t = np.asarray(c["_ms"], np.int64)
+        self.state = np.asarray(c["state"], object)
+        self.score = np.asarray(c["score"], float)
         self.n, self.delta, self.heartbeat = len(self.t), delta, heartbeat
 
     def next_from(self, at: int, t: int, state: str, score: float) -> int:
@@ -244,8 +234,8 @@ def gate_machine(delta: float = 0.05, heartbeat_ms: int = 5000) -> Machine:
     after ``heartbeat_ms``. Needs columns _ms, state and score."""
     never = (False, 0, "", 0.0)
 
-    def walk(pdf: pd.DataFrame, s: State):
-        g = _Gate(pdf, delta, heartbeat_ms)
+    def step(c: Columns, s: State):
+        g = _Gate(c, delta, heartbeat_ms)
         first = g.next_from(0, int(s[1]), s[2], float(s[3])) if s[0] else 0
         out = np.zeros(g.n, dtype=bool)
         end = s
@@ -253,10 +243,10 @@ def gate_machine(delta: float = 0.05, heartbeat_ms: int = 5000) -> Machine:
             rows, last = g.sent(first)
             out[rows] = True
             end = (True, int(g.t[last]), g.state[last], float(g.score[last]))
-        return pd.DataFrame({"published": out}), end
+        return {"published": out}, end
 
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _Gate(pdf, delta, heartbeat_ms)
+    def ways(c: Columns) -> pd.DataFrame:
+        g = _Gate(c, delta, heartbeat_ms)
         # The heartbeat forces a send within one interval, so only these rows can be sent first.
         near = min(int(np.searchsorted(g.t, g.t[0] + heartbeat_ms)) + 1, g.n)
         known: dict[int, int] = {}
@@ -277,7 +267,7 @@ def gate_machine(delta: float = 0.05, heartbeat_ms: int = 5000) -> Machine:
         return True, int(r.end_t), str(r.end_s), float(r.end_v)
 
     return Machine(("_ms", "state", "score"), "_sent boolean, _last_ms bigint, _last_state string, _last_score double",
-                   never, walk, "published boolean", ways,
+                   never, step, "published boolean", ways,
                    "t bigint, s string, v double, end_t bigint, end_s string, end_v double, i int", through)
 
 
@@ -307,20 +297,19 @@ def idle_reset_machine(timeout: int) -> Machine:
     """Reset after ``timeout`` seconds without a row that is not IDLE, again after each further
     ``timeout``; 0 disables. ``epoch`` counts the resets on earlier rows. Needs _sec and state."""
 
-    def cols(pdf: pd.DataFrame):
-        return pdf["_sec"].to_numpy(np.int64), (pdf["state"] != "IDLE").to_numpy()
+    def cols(c: Columns):
+        return np.asarray(c["_sec"], np.int64), np.asarray(c["state"], object) != "IDLE"
 
-    def walk(pdf: pd.DataFrame, s: State):
-        t, moving = cols(pdf)
+    def step(c: Columns, s: State):
+        t, moving = cols(c)
         rows, clock = _resets(t, moving, timeout, int(s[0])) if timeout else ([], int(s[0]))
         reset = np.zeros(len(t), dtype=bool)
         reset[rows] = True
         epoch = int(s[1]) + np.cumsum(reset) - reset
-        return (pd.DataFrame({"reset": reset, "epoch": epoch.astype(np.int64)}),
-                (clock, int(s[1]) + len(rows)))
+        return {"reset": reset, "epoch": epoch.astype(np.int64)}, (clock, int(s[1]) + len(rows))
 
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, moving = cols(pdf)
+    def ways(c: Columns) -> pd.DataFrame:
+        t, moving = cols(c)
         if not timeout:
             return pd.DataFrame([(-1, -1, 0, True)], columns=["key", "clock", "resets", "never"])
         rows, clock = _resets(t, moving, timeout, -1)
@@ -350,7 +339,7 @@ def idle_reset_machine(timeout: int) -> Machine:
         clock = int(s[0]) if r.clock < 0 and s[0] >= 0 else int(r.clock)
         return clock, int(s[1]) + int(r.resets)
 
-    return Machine(("_sec", "state"), "_clock bigint, _epoch bigint", (-1, 0), walk,
+    return Machine(("_sec", "state"), "_clock bigint, _epoch bigint", (-1, 0), step,
                    "reset boolean, epoch bigint", ways,
                    "key bigint, clock bigint, resets bigint, never boolean", through)
 
@@ -412,14 +401,14 @@ def segment_machine(configs: list[tuple[int, str, str, int]], shortest: dict[int
     """
     cols = tuple(dict.fromkeys(["_pos", *[c for _, mv, th, _ in configs for c in (mv, th)]]))
 
-    def piece(pdf: pd.DataFrame, mv: str, th: str, longest: int) -> _Segments | None:
-        thr = pdf[th].iloc[0]
-        return None if thr is None or np.isnan(thr) else _Segments(pdf[mv].to_numpy(float), float(thr), longest)
+    def piece(c: Columns, mv: str, th: str, longest: int) -> _Segments | None:
+        thr = c[th][0]
+        return None if thr is None or np.isnan(thr) else _Segments(np.asarray(c[mv], float), float(thr), longest)
 
-    def walk(pdf: pd.DataFrame, s: State):
-        p0, opens, rows = int(pdf["_pos"].iloc[0]), [], []
+    def step(c: Columns, s: State):
+        p0, opens, rows = int(c["_pos"][0]), [], []
         for (cid, mv, th, longest), o in zip(configs, list(s[0]), strict=True):
-            seg = piece(pdf, mv, th, longest)
+            seg = piece(c, mv, th, longest)
             if seg is None:
                 opens.append(NO_SEGMENT)
                 continue
@@ -431,19 +420,20 @@ def segment_machine(configs: list[tuple[int, str, str, int]], shortest: dict[int
                 lens = np.array([ln for _, ln in found])
                 rows += [(cid, mn, int((lens >= mn).sum())) for mn in shortest[cid]]
         names = ["config", "start_pos", "length"] if shortest is None else ["config", "min_length", "segments"]
-        return pd.DataFrame(rows, columns=names).astype("int64"), (opens,)
+        table = np.array(rows, dtype=np.int64).reshape(-1, 3)
+        return dict(zip(names, table.T, strict=True)), (opens,)
 
-    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
-        p0, rows = int(pdf["_pos"].iloc[0]), []
-        for c, (_, mv, th, longest) in enumerate(configs):
-            seg = piece(pdf, mv, th, longest)
+    def ways(c: Columns) -> pd.DataFrame:
+        p0, rows = int(c["_pos"][0]), []
+        for n, (_, mv, th, longest) in enumerate(configs):
+            seg = piece(c, mv, th, longest)
             if seg is None:
                 continue
             memo: dict[int, int | None] = {}
             for back in range(min(seg.longest, p0 + 1)):
                 # back 0: no open segment; otherwise one opened ``back`` rows before this piece.
                 end = seg.end_after(None if back == 0 else -back, memo)
-                rows.append((c, NO_SEGMENT if back == 0 else p0 - back,
+                rows.append((n, NO_SEGMENT if back == 0 else p0 - back,
                              NO_SEGMENT if end is None else end + p0))
         return pd.DataFrame(rows, columns=["c", "open_in", "open_out"])
 
@@ -453,5 +443,5 @@ def segment_machine(configs: list[tuple[int, str, str, int]], shortest: dict[int
 
     out = ("config bigint, start_pos bigint, length bigint" if shortest is None
            else "config bigint, min_length bigint, segments bigint")
-    return Machine(cols, "_open array<bigint>", ([NO_SEGMENT] * len(configs),), walk, out, ways,
+    return Machine(cols, "_open array<bigint>", ([NO_SEGMENT] * len(configs),), step, out, ways,
                    "c int, open_in bigint, open_out bigint", through)

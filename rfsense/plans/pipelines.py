@@ -13,6 +13,7 @@ from rfsense.operators import calibrate as C
 from rfsense.operators import detect as D
 from rfsense.operators import publish as B
 from rfsense.operators.features import features
+from rfsense.operators.layout import measure
 
 
 def motion_detections(packets: DataFrame, threshold: Column | float = 0.5, debounce: int = 10,
@@ -22,10 +23,11 @@ def motion_detections(packets: DataFrame, threshold: Column | float = 0.5, debou
 
     Without a model only the features with a default weight are computed.
     """
+    prof = measure(packets, piece_rows=piece_rows)  # admission only removes rows
     names = K.FEATURES if model is not None else [n for n, w in zip(K.FEATURES, K.DEFAULT_WEIGHTS) if w]
-    feats = features(packets, names, keep=(), piece_rows=piece_rows)
+    feats = features(packets, names, keep=(), piece_rows=piece_rows, profile=prof)
     scored = D.scores(feats, model) if model is not None else feats.withColumn("score", S.default_score())
-    return D.detect(scored, threshold, debounce, persistence, piece_rows=piece_rows)
+    return D.detect(scored, threshold, debounce, persistence, piece_rows=piece_rows, profile=prof)
 
 
 @dataclass
@@ -46,10 +48,19 @@ def calibrate(feats: DataFrame) -> Calibration:
 
 def published(states: DataFrame, period_seconds: int = 1, delta: float = K.PUBLISH_DELTA,
               heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, enabled: bool = True,
-              piece_rows: int | None = None) -> DataFrame:
-    """States -> one row per tick, flagged for publishing."""
-    t = B.ticks(states, period_seconds, piece_rows=piece_rows)
-    return D.gate(t, delta, heartbeat_ms, enabled, order=("ts",), keep=("confidence",), piece_rows=piece_rows)
+              times: DataFrame | None = None, piece_rows: int | None = None) -> DataFrame:
+    """States -> one row per tick, flagged for publishing.
+
+    ``times`` may name a cheaper frame with the same device_id, ts, seq rows, such as the one the
+    states were made from; how the ticks spread is then measured on it.
+    """
+    times = states if times is None else times
+    prof = measure(times, piece_rows=piece_rows)
+    t = B.ticks(states, period_seconds, piece_rows=piece_rows, profile=prof)
+    tick_prof = measure(B.ticks(times.select("device_id", "ts", "seq"), period_seconds, (), piece_rows, prof),
+                        order=("ts",), piece_rows=piece_rows)
+    return D.gate(t, delta, heartbeat_ms, enabled, order=("ts",), keep=("confidence",),
+                  piece_rows=piece_rows, profile=tick_prof)
 
 
 def normaliser_with_idle_reset(series: DataFrame, threshold: float, debounce: int, persistence: int,
@@ -57,9 +68,10 @@ def normaliser_with_idle_reset(series: DataFrame, threshold: float, debounce: in
     """Series with score -> states -> idle resets -> EWMA per span between resets."""
     from rfsense.operators.recurrence import ewma_with_resets
 
-    states = D.detect(series, threshold, debounce, persistence, keep=("x",), piece_rows=piece_rows)
-    marked = D.idle_resets(states, timeout, keep=("x",), piece_rows=piece_rows)
-    return ewma_with_resets(marked, "x", "epoch", alpha, piece_rows)
+    prof = measure(series, piece_rows=piece_rows)
+    states = D.detect(series, threshold, debounce, persistence, keep=("x",), piece_rows=piece_rows, profile=prof)
+    marked = D.idle_resets(states, timeout, keep=("x",), piece_rows=piece_rows, profile=prof)
+    return ewma_with_resets(marked, "x", "epoch", alpha, piece_rows, prof)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

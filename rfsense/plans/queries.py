@@ -149,7 +149,7 @@ def lowpass(spark: SparkSession, sf: str) -> DataFrame:
 def lowpass_big(spark: SparkSession, sf: str) -> DataFrame:
     big = tables.series_big(spark, sf)
     out = R.lowpass(big, "x", order=tables.SERIES_BIG_ORDER)
-    return rounded(out.select("device_id", "seq", "l_linenumber", "l_partkey", "l_quantity", "lowpass"))
+    return rounded(out.select("device_id", "seq", "l_linenumber", "l_partkey", "l_quantity", "lowpass"), 3)
 
 
 @query
@@ -211,6 +211,10 @@ def _series_states(spark: SparkSession, sf: str) -> DataFrame:
     return D.detect(tables.series(spark, sf), 0.53, 2, 6 * HOUR)
 
 
+def _published(spark: SparkSession, sf: str) -> DataFrame:
+    return L.published(_series_states(spark, sf), HOUR, heartbeat_ms=12 * HOUR * 1000, times=tables.series(spark, sf))
+
+
 @query
 def default_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.default_scores(features(tables.packets(spark, sf))).select("device_id", "seq", "score"))
@@ -257,13 +261,12 @@ def tick_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def publish_gate(spark: SparkSession, sf: str) -> DataFrame:
-    p = L.published(_series_states(spark, sf), HOUR, heartbeat_ms=12 * HOUR * 1000)
-    return rounded(p.select("device_id", us("ts"), "state", "score", "published"))
+    return rounded(_published(spark, sf).select("device_id", us("ts"), "state", "score", "published"))
 
 
 @query
 def emission_reduction(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(B.reduction(L.published(_series_states(spark, sf), HOUR, heartbeat_ms=12 * HOUR * 1000)))
+    return rounded(B.reduction(_published(spark, sf)))
 
 
 @query
@@ -306,12 +309,13 @@ def _calibration(spark: SparkSession, sf: str) -> L.Calibration:
 @query
 def phase_assignment(spark: SparkSession, sf: str) -> DataFrame:
     p = C.assign_phases(tables.packets(spark, sf).drop("phase"), 60)
-    return p.select("device_id", "seq", "phase", F.col("sample_in_phase").cast("long").alias("sample_in_phase"))
+    return p.select("device_id", "seq", F.coalesce("phase", F.lit("")).alias("phase"),
+                    F.coalesce("sample_in_phase", F.lit(0)).cast("long").alias("sample_in_phase"))
 
 
 @query
 def calibration_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(C.progress(tables.packets(spark, sf), 80))
+    return rounded(C.progress(tables.packets(spark, sf), 80).fillna(0, ["eta_seconds"]))
 
 
 @query
@@ -556,7 +560,8 @@ def capture_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def commands_validated(spark: SparkSession, sf: str) -> DataFrame:
     v = M.validate(tables.commands(spark, sf))
-    return rounded(v.select("device_id", "seq", "cmd", "kind", "accepted", "setting",
+    return rounded(v.select("device_id", "seq", F.coalesce("cmd", F.lit("")).alias("cmd"),
+                            F.coalesce("kind", F.lit("")).alias("kind"), "accepted", "setting",
                             F.coalesce("error", F.lit("")).alias("error")))
 
 
@@ -575,7 +580,7 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def config_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_history(spark, sf).select(
-        "device_id", "seq", us("valid_from"), us("valid_to"), "threshold", "debounce_count", "persistence_timeout",
+        "device_id", "seq", us("valid_from"), F.coalesce(F.unix_micros("valid_to"), F.lit(-1)).alias("valid_to"), "threshold", "debounce_count", "persistence_timeout",
         "hysteresis_ratio", "csi_logs_enabled", "threshold_low", "packet_rate"))
 
 
