@@ -73,17 +73,10 @@ def config_history(validated: DataFrame, piece_rows: int | None = None) -> DataF
     sets = validated.where(F.col("accepted") & (F.col("setting").isNotNull() | (F.col("kind") == "reset"))
                            & F.col("cmd").isin(*K.CONFIG_DEFAULTS, "factory_reset"))
     lay = arrange(sets.select("device_id", "ts", "seq", "cmd", "setting"), after=1, piece_rows=piece_rows)
-    writes = []
-    for cmd, (_, default) in K.CONFIG_DEFAULTS.items():
-        writes.append(F.when(F.col("cmd") == "factory_reset", F.lit(default)).when(F.col("cmd") == cmd, F.col("setting")))
-    df = lay.df
-    if lay.pieces:
-        for (cmd, (col, default)), w in zip(K.CONFIG_DEFAULTS.items(), writes, strict=True):
-            df = lay.carry(df, w, col)
-    else:
-        run = lay.w(None, 0)
-        df = df.select("*", *[F.last(w, ignorenulls=True).over(run).alias(col)
-                              for (col, _), w in zip(K.CONFIG_DEFAULTS.values(), writes, strict=True)])
+    reset = F.col("cmd") == "factory_reset"
+    writes = {col: F.when(reset, F.lit(default)).when(F.col("cmd") == cmd, F.col("setting"))
+              for cmd, (col, default) in K.CONFIG_DEFAULTS.items()}
+    df = lay.carry(lay.df, writes)
     df = df.withColumn("valid_to", F.lead("ts").over(lay.ordered()))
     cols = [F.coalesce(F.col(col), F.lit(default)).alias(col) for col, default in K.CONFIG_DEFAULTS.values()]
     return lay.done(df).select("device_id", "seq", F.col("ts").alias("valid_from"), "valid_to", *cols) \
@@ -102,7 +95,7 @@ def as_of(rows: DataFrame, history: DataFrame, cols: tuple[str, ...] = ("thresho
         history.select("device_id", F.col("valid_from").alias("ts"), F.lit(0).alias("_kind"), "seq",
                        *[F.lit(None).cast(types[c]).alias(c) for c in keep], cfg.alias("_cfg")))
     lay = arrange(both, order=("ts", "_kind", "seq"), piece_rows=piece_rows)
-    df = lay.done(lay.carry(lay.df, F.col("_cfg"), "_now")).where(F.col("_kind") == 1)
+    df = lay.done(lay.carry(lay.df, {"_now": F.col("_cfg")})).where(F.col("_kind") == 1)
     return df.select("device_id", "ts", "seq", *keep, *[
         F.coalesce(F.col(f"_now.{c}"), F.lit(defaults[c])).alias(c) for c in cols])
 

@@ -30,7 +30,7 @@ def with_previous(df: DataFrame, lay: Layout, x: str = "x", out: str = "prev") -
     """The last packet of the device whose length equals its first packet's; null for rows of another length."""
     df = lay.first_of(df, F.size(x), "_len")
     same = F.size(x) == F.col("_len")
-    df = lay.carry(df, F.when(same, F.col(x)), out, inclusive=False)
+    df = lay.carry(df, {out: F.when(same, F.col(x))}, inclusive=False)
     return df.withColumn(out, F.when(same, F.col(out))).drop("_len")
 
 

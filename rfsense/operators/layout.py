@@ -82,27 +82,24 @@ class Layout:
         )
         return df.join(firsts, self.keys, "left")
 
-    def carry(self, df: DataFrame, value: Column, out: str, inclusive: bool = True) -> DataFrame:
-        """Last non-null ``value`` up to (``inclusive``) or before the current row.
+    def carry(self, df: DataFrame, values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+        """Last non-null value of each column up to (``inclusive``) or before the current row.
 
-        Unbounded look-back: pieces hand their last value on through one row per piece.
+        Unbounded look-back: pieces hand their last values on through one row per piece.
         """
-        here = F.last(value, ignorenulls=True).over(self.w(None, 0 if inclusive else -1))
+        upto = self.w(None, 0 if inclusive else -1)
+        out = df.select("*", *[F.last(v, ignorenulls=True).over(upto).alias(n) for n, v in values.items()])
         if not self.pieces:
-            return df.withColumn(out, here)
-        tail = F.max(F.when(F.col("_core") & value.isNotNull(),
-                            F.struct(*self.order, value.alias("_v"))))
-        handed = (
-            df.groupBy(*self.part).agg(tail.alias("_t"))
-            .withColumn("_in", F.last(F.col("_t._v"), ignorenulls=True).over(
-                Window.partitionBy(*self.keys).orderBy("_piece")
-                .rowsBetween(Window.unboundedPreceding, -1)))
-            .select(*self.part, "_in")
-        )
-        return (
-            df.withColumn(out, here).join(handed, self.part, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.col("_in"))).drop("_in")
-        )
+            return out
+        tails = [F.max(F.when(F.col("_core") & v.isNotNull(), F.struct(*self.order, v.alias("_v")))).alias(f"_t_{n}")
+                 for n, v in values.items()]
+        earlier = (Window.partitionBy(*self.keys).orderBy("_piece")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        handed = df.groupBy(*self.part).agg(*tails).select(*self.part, *[
+            F.last(F.col(f"_t_{n}._v"), ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in values])
+        joined = out.join(handed, self.part, "left")
+        return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in values}).drop(
+            *[f"_in_{n}" for n in values])
 
 
 def _time_bin(df: DataFrame, col: str, width: float) -> Column:
@@ -124,9 +121,10 @@ class Profile:
 
 
 def measure(df: DataFrame, keys: tuple[str, ...] = ("device_id",), order: tuple[str, ...] = ("ts", "seq"),
-            piece_rows: int | None = None, bin_width: float = BIN_SECONDS) -> Profile:
+            piece_rows: int | None = None, bin_width: float | None = None) -> Profile:
     """Find out whether any key is hot: one aggregate job over the key column."""
     piece_rows = max(int(piece_rows or PIECE_ROWS), 1)
+    bin_width = bin_width or BIN_SECONDS
     bins = df.select(*keys, _time_bin(df, order[0], bin_width).alias("_bin"))
     biggest, n_keys = bins.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
     return Profile(list(keys), (biggest or 0) > piece_rows, n_keys, bins, bin_width, piece_rows)
@@ -139,7 +137,7 @@ def arrange(
     keys: tuple[str, ...] = ("device_id",),
     order: tuple[str, ...] = ("ts", "seq"),
     piece_rows: int | None = None,
-    bin_width: float = BIN_SECONDS,
+    bin_width: float | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     profile: Profile | None = None,
 ) -> Layout:
