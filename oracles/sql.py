@@ -756,3 +756,21 @@ add("info_reports", [*HIST, NOW], """
   SELECT device_id, threshold, debounce_count::INTEGER AS debounce, persistence_timeout::INTEGER AS persistence_timeout, hysteresis_ratio,
     20 AS traffic_generator_rate, false AS hampel_enabled, 3 AS wavelet_level, csi_logs_enabled > 0 AS csi_logs_enabled FROM now_""",
     "threshold hysteresis_ratio")
+
+# --- streams: the batch meaning ----------------------------------------------------------
+
+ORACLES["stream_detections"] = ORACLES["motion_detections"]
+ORACLES["stream_capture"] = ORACLES["capture_lines"]
+add("stream_series_detections", SERIES_ST, "SELECT device_id, seq, state FROM st")
+PKT_GATE = [
+    "sg_l AS (SELECT device_id, list({'seq': seq, 'ms': epoch_us(ts) // 1000, 's': state, 'v': score} ORDER BY ts, seq) AS rows FROM st GROUP BY device_id)",
+    """sg_f AS (SELECT device_id, unnest(list_reduce(rows, lambda acc, r: CASE
+          WHEN acc.t IS NULL OR r.s <> acc.s OR abs(r.v - acc.v) > 0.05 OR r.ms - acc.t >= 500
+          THEN {'t': r.ms, 's': r.s, 'v': r.v, 'o': list_append(acc.o, {'seq': r.seq, 's': r.s, 'p': true})}
+          ELSE {'t': acc.t, 's': acc.s, 'v': acc.v, 'o': list_append(acc.o, {'seq': r.seq, 's': r.s, 'p': false})} END,
+          {'t': NULL::BIGINT, 's': ''::VARCHAR, 'v': 0.0::DOUBLE, 'o': []::STRUCT(seq BIGINT, s VARCHAR, p BOOLEAN)[]}).o) AS r FROM sg_l)"""]
+add("stream_publish", [*DETECTIONS, *PKT_GATE], "SELECT device_id, r.seq AS seq, r.s AS state, r.p AS published FROM sg_f")
+# A second is final once the newest packet is ten seconds past its end.
+add("stream_packet_rate", [PACKETS], """
+  SELECT device_id, second, count(*) AS received FROM (SELECT *, floor(epoch_us(ts) / 1000000)::BIGINT AS second FROM packets)
+  WHERE (second + 1) * 1000000 <= (SELECT (max(epoch_us(ts)) // 1000) * 1000 - 10000000 FROM packets) GROUP BY ALL""")

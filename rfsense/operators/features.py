@@ -34,6 +34,21 @@ def with_previous(df: DataFrame, lay: Layout, x: str = "x", out: str = "prev") -
     return df.withColumn(out, F.when(same, F.col(out))).drop("_len")
 
 
+def stateless(packets: DataFrame, names: Iterable[str], start: int, end: int, keep: Iterable[str] = ()) -> DataFrame:
+    """Selected values ``x``, mean amplitude and the features a packet has by itself; also for streams."""
+    exprs = P.packet_columns(F.col("x"), F.col("_diff"))
+    keep = list(keep)
+    base = (
+        packets.where(P.admitted(F.col("iq")))
+        .select("device_id", "seq", "ts", *keep, P.select_subcarriers(F.col("iq"), start, end).alias("x"))
+        .withColumn("_diff", P.adjacent_diffs(F.col("x")))
+        .withColumn("mean_amplitude", P.array_mean(P.amplitudes(F.col("x"))))
+    )
+    # The differences end here, so only numbers and the values themselves are shuffled.
+    return base.select("device_id", "seq", "ts", *keep, "x", "mean_amplitude",
+                       *[exprs[n].alias(n) for n in names if n in exprs])
+
+
 def features(
     packets: DataFrame,
     names: Iterable[str] = K.FEATURES,
@@ -48,17 +63,8 @@ def features(
     Only the moments and the deltas need the order; choosing none of them needs no shuffle.
     """
     names, keep = list(names), list(keep)
-    stateless = P.packet_columns(F.col("x"), F.col("_diff"))
     ordered = {"skewness", "kurtosis", "temporal_delta_mean", "temporal_delta_variance"} & set(names)
-    base = (
-        packets.where(P.admitted(F.col("iq")))
-        .select("device_id", "seq", "ts", *keep, P.select_subcarriers(F.col("iq"), start, end).alias("x"))
-        .withColumn("_diff", P.adjacent_diffs(F.col("x")))
-        .withColumn("mean_amplitude", P.array_mean(P.amplitudes(F.col("x"))))
-    )
-    # The differences end here, so only numbers and the values themselves are shuffled.
-    base = base.select("device_id", "seq", "ts", *keep, "x", "mean_amplitude",
-                       *[stateless[n].alias(n) for n in names if n in stateless])
+    base = stateless(packets, names, start, end, keep)
     if ordered:
         lay = arrange(base, before=K.MOMENT_ROWS - 1, piece_rows=piece_rows, profile=profile)
         base = lay.df

@@ -31,6 +31,7 @@ from rfsense.plans import pipelines as L
 from rfsense.plans.pipelines import rounded
 from rfsense.session import workdir
 from rfsense.sources import capture_log, stores, tables
+from rfsense.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -641,3 +642,42 @@ def normaliser_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.latest(R.ewma(tables.series(spark, sf), "x")).select(
         "device_id", F.col("ewma_mean").alias("current_mean"), F.col("ewma_variance").alias("current_variance"),
         F.col("ewma_stddev").alias("current_stddev")))
+
+
+# --- streams ----------------------------------------------------------------------------
+
+def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.packets_from(J.stream_table(spark, sf, "embeddings"))
+
+
+def _series_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.series_from(J.stream_table(spark, sf, "events"))
+
+
+@query
+def stream_detections(spark: SparkSession, sf: str) -> DataFrame:
+    out = J.run_to_table(spark, J.detections(_packet_stream(spark, sf), 0.53, 2, 1), "stream_detections")
+    return rounded(out.select("device_id", "seq", us("ts"), "score", "state", "confidence"))
+
+
+@query
+def stream_publish(spark: SparkSession, sf: str) -> DataFrame:
+    out = J.run_to_table(spark, J.detections(_packet_stream(spark, sf), 0.53, 2, 1, heartbeat_ms=500), "stream_publish")
+    return out.select("device_id", "seq", "state", "published")
+
+
+@query
+def stream_series_detections(spark: SparkSession, sf: str) -> DataFrame:
+    out = J.run_to_table(spark, J.debounced(_series_stream(spark, sf), 0.53, 2, 6 * HOUR), "stream_series")
+    return out.select("device_id", "seq", "state")
+
+
+@query
+def stream_packet_rate(spark: SparkSession, sf: str) -> DataFrame:
+    out = J.run_to_table(spark, J.packet_rate(_packet_stream(spark, sf)), "stream_rate")
+    return out.select("device_id", F.unix_seconds("second").alias("second"), "received")
+
+
+@query
+def stream_capture(spark: SparkSession, sf: str) -> DataFrame:
+    return J.run_to_table(spark, J.capture(_packet_stream(spark, sf)), "stream_capture", "text")

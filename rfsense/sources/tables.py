@@ -27,8 +27,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series_from(table(spark, sf_dir, "events"))
+
+
+def series_from(events: DataFrame) -> DataFrame:
     """Scalar series per user."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("device_id"),
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
