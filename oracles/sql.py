@@ -106,6 +106,7 @@ LONG = "flong AS MATERIALIZED (" + " UNION ALL ".join(
 STAT = "variance entropy iqr spatial_variance spatial_correlation spatial_gradient"
 add("packet_features", [PACKETS, MIXED, selected("mixed"), STATIC],
     f"SELECT device_id, seq, {STAT.replace(' ', ', ')} FROM static", STAT)
+ORACLES["packet_expressions"] = ORACLES["packet_features"]
 add("packet_features_band", [PACKETS, selected("packets", 20, 30), STATIC],
     "SELECT device_id, seq, variance, iqr, spatial_gradient FROM static", "variance iqr spatial_gradient")
 add("packet_amplitudes", [PACKETS],

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rfsense import constants as K
 from rfsense.functions import scalar as S
 from rfsense.operators import windows as W
-from rfsense.operators.layout import arrange
+from rfsense.operators.layout import Profile, arrange
 
 MESSAGE = "cmd STRING, value DOUBLE, enabled BOOLEAN, action STRING, samples INT, verbose BOOLEAN"
 
@@ -37,17 +37,19 @@ def command_spec(spark: SparkSession) -> DataFrame:
 def validate(messages: DataFrame, message: str = "message") -> DataFrame:
     """Parsed command, accepted flag, numeric setting and error text of every message."""
     spec = F.broadcast(command_spec(messages.sparkSession))  # two dozen fixed rows
-    parsed = messages.withColumn("_json", F.try_parse_json(message)).withColumn(
-        "_m", F.from_json(message, MESSAGE)).select(
-        *messages.columns, "_json", F.col("_m.cmd").alias("cmd"), F.col("_m.value").alias("_value"),
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = messages.withColumn("_m", F.from_json(message, MESSAGE + ", _corrupt STRING", options)).select(
+        *messages.columns, "_m._corrupt", F.col("_m.cmd").alias("cmd"), F.col("_m.value").alias("_value"),
         F.col("_m.enabled").alias("_enabled"), F.col("_m.action").alias("action"))
+    # A field of the wrong type also counts as corrupt; only those rows are parsed again.
+    malformed = F.col("_corrupt").isNotNull() & F.try_parse_json(message).isNull()
     df = parsed.join(spec, "cmd", "left")
     kind, value = F.col("kind"), F.col("_value")
     # Whole-number settings drop the fraction before the range test.
     number = F.when(kind == "int", F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")).otherwise(value)
     numeric = kind.isin("int", "float")
     error = (
-        F.when(F.col("_json").isNull(), "ERROR: Invalid JSON")
+        F.when(F.col(message).isNull() | malformed, "ERROR: Invalid JSON")
         .when(F.col("cmd").isNull(), "ERROR: Missing 'cmd' field")
         .when(kind.isNull(), F.concat(F.lit("ERROR: Unknown command '"), F.col("cmd"), F.lit("'")))
         .when(numeric & value.isNull(), "ERROR: Missing or invalid 'value' field")
@@ -65,14 +67,16 @@ def validate(messages: DataFrame, message: str = "message") -> DataFrame:
         F.when(F.col("error").isNull(), setting).alias("setting"), "error")
 
 
-def config_history(validated: DataFrame, piece_rows: int | None = None) -> DataFrame:
+def config_history(validated: DataFrame, piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """One configuration per accepted setting or reset, valid until the next one of the device.
 
-    Last writer wins per column; a factory reset writes every default.
+    Last writer wins per column; a factory reset writes every default. ``profile`` may be that of
+    the message log the commands come from.
     """
     sets = validated.where(F.col("accepted") & (F.col("setting").isNotNull() | (F.col("kind") == "reset"))
                            & F.col("cmd").isin(*K.CONFIG_DEFAULTS, "factory_reset"))
-    lay = arrange(sets.select("device_id", "ts", "seq", "cmd", "setting"), after=1, piece_rows=piece_rows)
+    lay = arrange(sets.select("device_id", "ts", "seq", "cmd", "setting"), after=1, piece_rows=piece_rows,
+                  profile=profile and profile.of_subset())
     reset = F.col("cmd") == "factory_reset"
     writes = {col: F.when(reset, F.lit(default)).when(F.col("cmd") == cmd, F.col("setting"))
               for cmd, (col, default) in K.CONFIG_DEFAULTS.items()}
@@ -84,8 +88,11 @@ def config_history(validated: DataFrame, piece_rows: int | None = None) -> DataF
 
 
 def as_of(rows: DataFrame, history: DataFrame, cols: tuple[str, ...] = ("threshold", "debounce_count", "persistence_timeout"),
-          piece_rows: int | None = None) -> DataFrame:
-    """Configuration in force at the time of every row; the defaults before a device's first command."""
+          piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
+    """Configuration in force at the time of every row; the defaults before a device's first command.
+
+    ``profile`` may be that of the rows together with the whole message log.
+    """
     defaults = dict(K.CONFIG_DEFAULTS.values())
     keep = [c for c in rows.columns if c not in ("device_id", "ts", "seq")]
     cfg = F.struct(*[F.col(c) for c in cols])
@@ -94,7 +101,7 @@ def as_of(rows: DataFrame, history: DataFrame, cols: tuple[str, ...] = ("thresho
         "struct<" + ",".join(f"{c}:double" for c in cols) + ">").alias("_cfg")).unionByName(
         history.select("device_id", F.col("valid_from").alias("ts"), F.lit(0).alias("_kind"), "seq",
                        *[F.lit(None).cast(types[c]).alias(c) for c in keep], cfg.alias("_cfg")))
-    lay = arrange(both, order=("ts", "_kind", "seq"), piece_rows=piece_rows)
+    lay = arrange(both, order=("ts", "_kind", "seq"), piece_rows=piece_rows, profile=profile and profile.of_subset())
     df = lay.done(lay.carry(lay.df, {"_now": F.col("_cfg")})).where(F.col("_kind") == 1)
     return df.select("device_id", "ts", "seq", *keep, *[
         F.coalesce(F.col(f"_now.{c}"), F.lit(defaults[c])).alias(c) for c in cols])

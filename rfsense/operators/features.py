@@ -4,28 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rfsense import constants as K
+from rfsense.functions import kernels as Q
 from rfsense.functions import packet as P
 from rfsense.operators.layout import Layout, Profile, arrange
 
 
-def skewness(amp: Column, lay: Layout, rows: int = K.MOMENT_ROWS) -> Column:
-    """Third standardised moment of the last ``rows`` amplitudes; 0 below three rows or for a flat frame."""
-    w = lay.last_n(rows)
-    flat = F.stddev_pop(amp).over(w) < K.EPS
-    return F.when((F.count(amp).over(w) < 3) | flat, 0.0).otherwise(F.skewness(amp).over(w))
-
-
-def kurtosis(amp: Column, lay: Layout, rows: int = K.MOMENT_ROWS) -> Column:
-    """Excess kurtosis of the last ``rows`` amplitudes; 0 below four rows or for a flat frame."""
-    w = lay.last_n(rows)
-    flat = F.var_pop(amp).over(w) < K.EPS
-    return F.when((F.count(amp).over(w) < 4) | flat, 0.0).otherwise(F.kurtosis(amp).over(w))
-
-
 def with_previous(df: DataFrame, lay: Layout, x: str = "x", out: str = "prev") -> DataFrame:
     """The last packet of the device whose length equals its first packet's; null for rows of another length."""
     df = lay.first_of(df, F.size(x), "_len")
@@ -36,17 +23,14 @@ def with_previous(df: DataFrame, lay: Layout, x: str = "x", out: str = "prev") -
 
 def stateless(packets: DataFrame, names: Iterable[str], start: int, end: int, keep: Iterable[str] = ()) -> DataFrame:
     """Selected values ``x``, mean amplitude and the features a packet has by itself; also for streams."""
-    exprs = P.packet_columns(F.col("x"), F.col("_diff"))
+    own = ["mean_amplitude", *[n for n in names if n in Q.FEATURES]]
     keep = list(keep)
     base = (
         packets.where(P.admitted(F.col("iq")))
         .select("device_id", "seq", "ts", *keep, P.select_subcarriers(F.col("iq"), start, end).alias("x"))
-        .withColumn("_diff", P.adjacent_diffs(F.col("x")))
-        .withColumn("mean_amplitude", P.array_mean(P.amplitudes(F.col("x"))))
+        .withColumn("_f", Q.feature_struct(F.col("x"), own))
     )
-    # The differences end here, so only numbers and the values themselves are shuffled.
-    return base.select("device_id", "seq", "ts", *keep, "x", "mean_amplitude",
-                       *[exprs[n].alias(n) for n in names if n in exprs])
+    return base.select("device_id", "seq", "ts", *keep, "x", *[F.col(f"_f.{n}").alias(n) for n in own])
 
 
 def features(
@@ -68,18 +52,16 @@ def features(
     if ordered:
         lay = arrange(base, before=K.MOMENT_ROWS - 1, piece_rows=piece_rows, profile=profile)
         base = lay.df
-        amp = F.col("mean_amplitude")
-        if "skewness" in ordered:
-            base = base.withColumn("skewness", skewness(amp, lay))
-        if "kurtosis" in ordered:
-            base = base.withColumn("kurtosis", kurtosis(amp, lay))
+        derived = []
+        if ordered & {"skewness", "kurtosis"}:
+            base = base.withColumn("_w", F.collect_list("mean_amplitude").over(lay.last_n(K.MOMENT_ROWS)))
+            derived.append(Q.moment_struct(F.col("_w")).alias("_m"))
         if ordered & {"temporal_delta_mean", "temporal_delta_variance"}:
             base = with_previous(base, lay)
-            d = P.abs_delta(F.col("x"), F.col("prev"))
-            base = base.withColumn("_d", d)
-            base = base.withColumn("temporal_delta_mean", F.coalesce(P.mean(F.col("_d")), F.lit(0.0)))
-            base = base.withColumn("temporal_delta_variance",
-                                   F.coalesce(P.pop_variance(F.col("_d")), F.lit(0.0)))
+            derived.append(Q.delta_struct(F.col("x"), F.col("prev")).alias("_d"))
+        # One round trip to Python serves both.
+        base = base.select("*", *derived)
+        base = base.select("*", *[f"{c}.*" for c in ("_m", "_d") if c in base.columns])
         base = lay.done(base)
     return base.select("device_id", "seq", "ts", *keep, *names)
 

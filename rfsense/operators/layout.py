@@ -74,13 +74,19 @@ class Layout:
 
     def first_of(self, df: DataFrame, expr: Column, out: str) -> DataFrame:
         """Value of ``expr`` on the first row of the key."""
+        out_df = df.withColumn(out, F.first(expr).over(self.w(None, 0)))
         if not self.pieces:
-            return df.withColumn(out, F.first(expr).over(self.w(None, 0)))
+            return out_df
         firsts = (
-            df.where("_core").groupBy(*self.keys)
-            .agg(F.min_by(expr, F.struct(*self.order)).alias(out))
+            df.where(self.hot() & F.col("_core")).groupBy(*self.keys)
+            .agg(F.min_by(expr, F.struct(*self.order)).alias("_first"))
         )
-        return df.join(firsts, self.keys, "left")
+        return (out_df.join(firsts, self.keys, "left")
+                .withColumn(out, F.coalesce("_first", out)).drop("_first"))
+
+    def hot(self) -> Column:
+        """Rows of keys that were cut; the others are one piece and need nothing from elsewhere."""
+        return F.col("_total").isNotNull()
 
     def carry(self, df: DataFrame, values: dict[str, Column], inclusive: bool = True) -> DataFrame:
         """Last non-null value of each column up to (``inclusive``) or before the current row.
@@ -95,7 +101,7 @@ class Layout:
                  for n, v in values.items()]
         earlier = (Window.partitionBy(*self.keys).orderBy("_piece")
                    .rowsBetween(Window.unboundedPreceding, -1))
-        handed = df.groupBy(*self.part).agg(*tails).select(*self.part, *[
+        handed = df.where(self.hot()).groupBy(*self.part).agg(*tails).select(*self.part, *[
             F.last(F.col(f"_t_{n}._v"), ignorenulls=True).over(earlier).alias(f"_in_{n}") for n in values])
         joined = out.join(handed, self.part, "left")
         return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in values}).drop(
@@ -119,6 +125,10 @@ class Profile:
     width: float
     piece_rows: int
 
+    def of_subset(self) -> Profile | None:
+        """What it says about some of the rows: without a hot key there is none among fewer rows."""
+        return None if self.hot else self
+
 
 def measure(df: DataFrame, keys: tuple[str, ...] = ("device_id",), order: tuple[str, ...] = ("ts", "seq"),
             piece_rows: int | None = None, bin_width: float | None = None) -> Profile:

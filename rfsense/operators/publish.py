@@ -85,9 +85,7 @@ def inactivity_alerts(states: DataFrame, hours: float = 4.0, from_hour: int = 8,
                       piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Idle spells of at least ``hours``, where the moment they reach it lies in the given hours of the day."""
     changes = state_changes(states.select("device_id", "ts", "seq", "state"), piece_rows=piece_rows, profile=profile)
-    # Changes are some of the rows, so where no device is hot none has too many changes either.
-    few = profile if profile is not None and not profile.hot else None
-    lay = arrange(changes, after=1, piece_rows=piece_rows, profile=few)
+    lay = arrange(changes, after=1, piece_rows=piece_rows, profile=profile and profile.of_subset())
     runs = lay.done(lay.df.withColumn("_next", F.lead("ts").over(lay.ordered())))
     ends = states.groupBy("device_id").agg(F.max("ts").alias("_end"))
     us = int(hours * 3600 * 1_000_000)

@@ -79,11 +79,14 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
         return pd.DataFrame(found, columns=[*part, *names])
 
     def piece(c: Columns) -> Columns:
-        return emit(c, m.walk(c, tuple(c[n][0] for n in names))[0])
+        state = tuple(c[n][0] for n in names) if c["_hot"][0] else m.start
+        return emit(c, m.walk(c, state)[0])
 
-    summary = walk(rows, part, order, cols, ways, f"{part_ddl}, {m.ways_schema}")
+    # Devices that were not cut start in the start state and skip the first two steps.
+    rows = rows.withColumn("_hot", lay.hot())
+    summary = walk(rows.where("_hot"), part, order, cols, ways, f"{part_ddl}, {m.ways_schema}")
     entered = summary.groupBy(*keys).applyInPandas(fold, f"{part_ddl}, {m.state}")
-    return walk(rows.join(entered, part), part, order, [*cols, *names], piece, schema)
+    return walk(rows.join(entered, part, "left"), part, order, [*cols, *names, "_hot"], piece, schema)
 
 
 # --- debounce / persistence -------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rfsense import constants as K
+from rfsense.functions import kernels as Q
 from rfsense.functions import packet as P
 from rfsense.operators import windows as W
 from rfsense.operators.layout import Layout, arrange
@@ -17,8 +18,8 @@ SEGMENT_FEATURES = ("variance", "std", "mean", "max", "min", "range", "iqr", "me
 
 def turbulence(packets: DataFrame) -> DataFrame:
     """Spatial turbulence: spread of the amplitudes in the analysis band."""
-    amp = P.amplitudes(P.analysis_band(F.col("iq")))
-    return packets.select("device_id", "phase", "ts", "seq", P.array_stddev_pop(amp).alias("turbulence"))
+    f = Q.feature_struct(P.analysis_band(F.col("iq")), ["turbulence"])
+    return packets.select("device_id", "phase", "ts", "seq", f["turbulence"].alias("turbulence"))
 
 
 def _moving(signal: DataFrame, x: str, windows: tuple[int, ...], keys: tuple[str, ...],

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rfsense import constants as K
-from rfsense.functions import packet as P
+from rfsense.functions import kernels as Q
 from rfsense.operators.layout import arrange
 
 
 def subcarriers(packets: DataFrame) -> DataFrame:
     """One row per packet and subcarrier with its amplitude."""
-    return packets.select("device_id", "phase", "seq",
-                          F.posexplode(P.amplitudes(F.col("iq").cast("array<int>"))).alias("sc", "amp"))
+    amps = packets.select("device_id", "phase", "seq", Q.amplitude_array(F.col("iq").cast("array<int>")).alias("a"))
+    return amps.select("device_id", "phase", "seq", F.posexplode("a").alias("sc", "amp"))
 
 
 def subcarrier_fisher(packets: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def covariance(packets: DataFrame, phase: str = "MOVEMENT") -> DataFrame:
     matrices travel, never subcarrier pairs of single packets.
     """
     rows = packets.where(F.col("phase") == phase).select(
-        "device_id", P.amplitudes(F.col("iq").cast("array<int>")).alias("a"))
+        "device_id", Q.amplitude_array(F.col("iq").cast("array<int>")).alias("a"))
     centre = (
         rows.select("device_id", F.posexplode("a").alias("sc", "v")).groupBy("device_id", "sc")
         .agg(F.avg("v").alias("mu")).groupBy("device_id")

@@ -7,11 +7,13 @@ that results compare exactly with other engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfsense import constants as K
+from rfsense.functions import kernels as Q
 from rfsense.functions import packet as P
 from rfsense.functions import scalar as S
 from rfsense.operators import calibrate as C
@@ -26,10 +28,10 @@ from rfsense.operators import wavelet as V
 from rfsense.operators import windows as W
 from rfsense.operators.features import features, long_form, with_previous
 from rfsense.operators.forest import segment_forest
-from rfsense.operators.layout import arrange
+from rfsense.operators.layout import arrange, measure
 from rfsense.plans import pipelines as L
 from rfsense.plans.pipelines import rounded
-from rfsense.session import workdir
+from rfsense.session import ship, workdir
 from rfsense.sources import capture_log, stores, tables
 from rfsense.streaming import jobs as J
 
@@ -40,8 +42,13 @@ HOUR = 3600
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def us(c: str) -> F.Column:
@@ -69,11 +76,18 @@ def packet_features_band(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def packet_amplitudes(spark: SparkSession, sf: str) -> DataFrame:
-    amp = P.amplitudes(F.col("iq").cast("array<int>"))
+    band = P.analysis_band(F.col("iq"))
     return rounded(tables.packets(spark, sf).select(
-        "device_id", "seq", P.array_mean(amp).alias("mean_amplitude"),
-        P.array_stddev_pop(P.amplitudes(P.analysis_band(F.col("iq")))).alias("spatial_turbulence"),
-        F.size(P.analysis_band(F.col("iq"))).alias("band_values")))
+        "device_id", "seq", Q.feature_struct(F.col("iq").cast("array<int>"), ["mean_amplitude"])["mean_amplitude"].alias("mean_amplitude"),
+        Q.feature_struct(band, ["turbulence"])["turbulence"].alias("spatial_turbulence"), F.size(band).alias("band_values")))
+
+
+@query
+def packet_expressions(spark: SparkSession, sf: str) -> DataFrame:
+    """The packet features as plain column expressions, for use inside SQL."""
+    x = mixed_packets(spark, sf).where(P.admitted(F.col("iq"))).select(
+        "device_id", "seq", P.select_subcarriers(F.col("iq")).alias("x")).withColumn("_d", P.adjacent_diffs(F.col("x")))
+    return rounded(x.select("device_id", "seq", *[e.alias(n) for n, e in P.packet_columns(F.col("x"), F.col("_d")).items()]))
 
 
 @query
@@ -524,8 +538,8 @@ def pca_loadings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doppler(spark: SparkSession, sf: str) -> DataFrame:
-    amp = tables.packets(spark, sf).select("device_id", "phase", "ts", "seq", P.array_mean(
-        P.amplitudes(F.col("iq").cast("array<int>"))).alias("amp"))
+    f = Q.feature_struct(F.col("iq").cast("array<int>"), ["mean_amplitude"])
+    amp = tables.packets(spark, sf).select("device_id", "phase", "ts", "seq", f["mean_amplitude"].alias("amp"))
     return X.doppler_features(X.doppler_frames(amp, "amp"))
 
 
@@ -575,7 +589,8 @@ def command_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return M.config_history(M.validate(tables.commands(spark, sf)))
+    log = tables.commands(spark, sf)
+    return M.config_history(M.validate(log), profile=measure(log))
 
 
 @query
@@ -587,7 +602,10 @@ def config_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def config_asof(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.as_of(tables.series(spark, sf).select("device_id", "ts", "seq", "score"), _history(spark, sf))
+    rows = tables.series(spark, sf).select("device_id", "ts", "seq", "score")
+    log = tables.commands(spark, sf)
+    prof = measure(rows.select("device_id", "ts", "seq").unionByName(log.select("device_id", "ts", "seq")))
+    out = M.as_of(rows, M.config_history(M.validate(log), profile=prof), profile=prof)
     return rounded(out.drop("ts").withColumn("above", F.col("score") > F.col("threshold")))
 
 

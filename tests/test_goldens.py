@@ -174,3 +174,19 @@ def test_model_invariants(spark):
     f = features(tables.packets(spark, SF))
     m = calibrate(f).model.groupBy("device_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
     assert m and all(r.w == pytest.approx(1.0) and 4 <= r.n <= 6 for r in m)
+
+
+def test_command_errors(spark):
+    from rfsense.operators.control import validate
+
+    rows = [('{"cmd":"threshold","value":0.5}', 0.5, None), ('{"cmd":"debounce","value":3.9}', 3.0, None),
+            ('{"cmd":"debounce","value":0}', None, "ERROR: Debounce count must be between 1 and 10"),
+            ('{"cmd":"threshold","value":"x"}', None, "ERROR: Missing or invalid 'value' field"),
+            ('{"cmd":"threshold"}', None, "ERROR: Missing or invalid 'value' field"), ("{oops", None, "ERROR: Invalid JSON"),
+            ('{"value":1}', None, "ERROR: Missing 'cmd' field"), ('{"cmd":"nope"}', None, "ERROR: Unknown command 'nope'"),
+            ('{"cmd":"logs","enabled":false}', 0.0, None), ('{"cmd":"logs"}', None, "ERROR: Missing or invalid 'enabled' field"),
+            ('{"cmd":"calibrate","action":"start","samples":100}', None, None),
+            ('{"cmd":"calibrate","action":"x"}', None, "ERROR: Unknown calibration action 'x' (use: start, stop, status)")]
+    got = {r.message: (r.setting, r.error) for r in validate(spark.createDataFrame(
+        [(m,) for m, _, _ in rows], "message string")).collect()}
+    assert got == {m: (s, e) for m, s, e in rows}
