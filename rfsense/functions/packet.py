@@ -48,7 +48,7 @@ def select_subcarriers(iq: Column, start: int = K.SUBCARRIER_RANGE[0],
                        end: int = K.SUBCARRIER_RANGE[1]) -> Column:
     """Values of subcarriers [start, end) where the packet has more than ``end`` of them, else all."""
     x = iq.cast("array<int>")
-    return F.when(F.floor(F.size(x) / 2) > end,
+    return F.when(F.size(x) >= 2 * (end + 1),
                   F.slice(x, 2 * start + 1, 2 * (end - start))).otherwise(x)
 
 
@@ -98,7 +98,7 @@ def entropy(x: Column) -> Column:
             F.when(same, m["h"]).otherwise(m["h"] + clog(m["c"])).alias("h"))
 
     runs = F.aggregate(
-        F.array_sort(x),
+        F.sort_array(x),
         F.struct(F.lit(None).cast("int").alias("v"), F.lit(0.0).alias("c"), F.lit(0.0).alias("h")),
         step, lambda m: m["h"] + clog(m["c"]))
     return F.when(n == 0, 0.0).otherwise(F.log2(n) - runs / n)
@@ -107,7 +107,7 @@ def entropy(x: Column) -> Column:
 def iqr(x: Column) -> Column:
     """sorted[3n/4] - sorted[n/4] with integer positions, 0 below four values."""
     n = F.size(x)
-    s = F.array_sort(x)
+    s = F.sort_array(x)
     hi = F.get(s, F.floor(3 * n / 4).cast("int"))
     lo = F.get(s, F.floor(n / 4).cast("int"))
     return F.when(n < 4, 0.0).otherwise((hi - lo).cast("double"))

@@ -82,5 +82,5 @@ def median_sorted(s: Column) -> Column:
 
 def noise_sigma(coeffs: Column) -> Column:
     """median(|c|)/0.6745 of an array, 1.0 when empty."""
-    s = F.array_sort(F.transform(coeffs, lambda c: F.abs(c)))
+    s = F.sort_array(F.transform(coeffs, lambda c: F.abs(c)))
     return F.when(F.size(s) == 0, 1.0).otherwise(median_sorted(s) / 0.6745)

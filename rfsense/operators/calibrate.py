@@ -222,7 +222,7 @@ def filter_advice(quality: DataFrame) -> DataFrame:
 def report(mdl: DataFrame, summ: DataFrame, advice: DataFrame) -> DataFrame:
     """Calibration report as one JSON document per device; unset keys are left out."""
     top = mdl.where(F.col("rank") <= 3).groupBy("device_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("feature").alias("name"), "weight"))),
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("feature").alias("name"), "weight"))),
                     lambda s: F.struct(s["name"].alias("name"), s["weight"].alias("weight"))).alias("top_features"))
     on_w, on_h, on_n = F.col("wavelet"), F.col("hampel"), F.col("adaptive_normalizer")
     filters = F.struct(

@@ -158,7 +158,7 @@ def stats_report(rows: DataFrame, history: DataFrame, score: str = "score", n: i
     last = latest(rows, n).groupBy("device_id").agg(
         F.count(score).alias("count"), F.min(score).alias("min"), F.max(score).alias("max"),
         F.avg(score).alias("avg"), F.stddev_pop(score).alias("stddev"),
-        F.array_sort(F.collect_list(score)).alias("_s"))
+        F.sort_array(F.collect_list(score)).alias("_s"))
     s = F.col("_s")
     enough = F.col("count") >= 50
     pct = [F.when(enough, W.percentile_lower(s, p)).alias(f"p{p}") for p in (25, 50, 75, 95)]

@@ -57,47 +57,55 @@ def smooth(x: np.ndarray, alpha: float, start: float) -> np.ndarray:
     return out
 
 
-def ewma_mean_var(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Running mean (first sample) and variance (1.0) of the normaliser."""
-    m = smooth(x, alpha, x[0])
+def ewma_mean_var(x: np.ndarray, alpha: float, before: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Running mean and variance of the normaliser, going on from ``before`` or from the first sample and 1.0."""
+    m0, v0 = before or (float(x[0]), 1.0)
+    m = smooth(x, alpha, m0)
     # v' = (1-a)*(v + a*d^2) with d = x - previous mean: the same smoothing, fed (1-a)*d^2.
-    feed = np.ones_like(m)
-    feed[1:] = (1.0 - alpha) * (x[1:] - m[:-1]) ** 2
-    return m, smooth(feed, alpha, 1.0)
+    feed = (1.0 - alpha) * (x - np.concatenate([[m0], m[:-1]])) ** 2
+    if before is None:
+        feed[0] = 1.0
+    return m, smooth(feed, alpha, v0)
 
 
 def _apply(lay: Layout, x: str, fn, extra: str) -> DataFrame:
-    """Keys, order columns and ``x`` as they are, next to the columns ``fn(values)`` gives."""
-    df = lay.df
+    """Keys, order columns and ``x`` as they are, next to the columns ``fn(values, state)`` gives."""
     cols = list(dict.fromkeys([*lay.keys, *lay.order, x]))
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", " + extra
+    types = dict(lay.df.dtypes)
+    pieces = lay.pieces
 
-    def run(c: Columns) -> Columns:
-        out = {**{k: c[k] for k in cols}, **fn(np.asarray(c[x], dtype=float))}
-        if lay_pieces:
+    def step(c: Columns, state) -> tuple[Columns, object]:
+        new, state = fn(np.asarray(c[x], dtype=float), state)
+        out = {**{k: c[k] for k in cols}, **new}
+        if pieces:
             core = np.asarray(c["_core"], dtype=bool)
             out = {k: v[core] for k, v in out.items()}
-        return out
+        return out, state
 
-    lay_pieces = lay.pieces
-    return walk(df, lay.part, lay.order, [*cols, *(["_core"] if lay_pieces else [])], run, schema)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", " + extra
+    return walk(lay.df, lay.part, lay.order, [*cols, *(["_core"] if pieces else [])], step, schema)
 
 
 def lowpass(df: DataFrame, x: str, out: str = "lowpass", piece_rows: int | None = None, **layout) -> DataFrame:
     """Order-4 IIR low-pass from zero state, as its impulse response."""
     lay = arrange(df, before=LOWPASS_ROWS, piece_rows=piece_rows, **layout)
     h = impulse_response()
-    return _apply(lay, x, lambda v: {out: np.convolve(v, h)[: len(v)]}, f"`{out}` double")
+
+    def fn(v: np.ndarray, past: np.ndarray | None):
+        past = np.zeros(0) if past is None else past
+        seen = np.concatenate([past, v])
+        return {out: np.convolve(seen, h)[len(past):len(seen)]}, seen[-(LOWPASS_ROWS - 1):]
+
+    return _apply(lay, x, fn, f"`{out}` double")
 
 
 def ewma(df: DataFrame, x: str, alpha: float = 0.02, piece_rows: int | None = None, **layout) -> DataFrame:
     """EWMA mean, variance and standard deviation next to the untouched signal."""
     lay = arrange(df, before=ewma_rows(alpha), piece_rows=piece_rows, **layout)
 
-    def fn(v: np.ndarray) -> Columns:
-        m, var = ewma_mean_var(v, alpha)
-        return {"ewma_mean": m, "ewma_variance": var, "ewma_stddev": np.sqrt(var)}
+    def fn(v: np.ndarray, before: tuple[float, float] | None):
+        m, var = ewma_mean_var(v, alpha, before)
+        return {"ewma_mean": m, "ewma_variance": var, "ewma_stddev": np.sqrt(var)}, (float(m[-1]), float(var[-1]))
 
     return _apply(lay, x, fn, "ewma_mean double, ewma_variance double, ewma_stddev double")
 

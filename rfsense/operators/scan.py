@@ -60,16 +60,19 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
         same = {k: np.repeat(c[k][:1], n) for k in keys} if explode else {k: c[k] for k in base}
         return {**same, **out}
 
+    def on(c: Columns, state: State) -> tuple[Columns, State]:
+        out, end = m.walk(c, state)
+        return emit(c, out), end
+
     if not lay.pieces:
-        return walk(lay.df, part, order, cols, lambda c: emit(c, m.walk(c, m.start)[0]), schema)
+        return walk(lay.df, part, order, cols, lambda c, s: on(c, m.start if s is None else s), schema)
 
-    rows = lay.df.where("_core")
     part_ddl = ", ".join(f"`{c}` {types[c]}" for c in part)
     names = [f.split()[0] for f in m.state.split(",")]
 
-    def ways(c: Columns) -> Columns:
+    def ways(c: Columns, _) -> tuple[Columns, None]:
         w = m.ways_in(c)
-        return {**{k: np.repeat(c[k][:1], len(w)) for k in part}, **{k: w[k].to_numpy() for k in w}}
+        return {**{k: np.repeat(c[k][:1], len(w)) for k in part}, **{k: w[k].to_numpy() for k in w}}, None
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state, found = m.start, []
@@ -78,13 +81,14 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
             state = m.through(state, w)
         return pd.DataFrame(found, columns=[*part, *names])
 
-    def piece(c: Columns) -> Columns:
-        state = tuple(c[n][0] for n in names) if c["_hot"][0] else m.start
-        return emit(c, m.walk(c, state)[0])
+    def piece(c: Columns, state: State | None) -> tuple[Columns, State]:
+        if state is None:
+            state = tuple(c[n][0] for n in names) if c["_hot"][0] else m.start
+        return on(c, state)
 
     # Devices that were not cut start in the start state and skip the first two steps.
-    rows = rows.withColumn("_hot", lay.hot())
-    summary = walk(rows.where("_hot"), part, order, cols, ways, f"{part_ddl}, {m.ways_schema}")
+    rows = lay.df.where("_core").withColumn("_hot", lay.hot())
+    summary = walk(rows.where("_hot"), part, order, cols, ways, f"{part_ddl}, {m.ways_schema}", whole=True)
     entered = summary.groupBy(*keys).applyInPandas(fold, f"{part_ddl}, {m.state}")
     return walk(rows.join(entered, part, "left"), part, order, [*cols, *names, "_hot"], piece, schema)
 

@@ -85,7 +85,7 @@ def covariance(packets: DataFrame, phase: str = "MOVEMENT") -> DataFrame:
     centre = (
         rows.select("device_id", F.posexplode("a").alias("sc", "v")).groupBy("device_id", "sc")
         .agg(F.avg("v").alias("mu")).groupBy("device_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("sc", "mu"))), lambda s: s["mu"]).alias("mu"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("sc", "mu"))), lambda s: s["mu"]).alias("mu"))
     )
     joined = rows.join(centre, "device_id").where(F.size("a") == F.size("mu"))
 

@@ -3,12 +3,13 @@
 A row number over the group's order puts each group on one task, sorted, and marks where
 it begins. Where the input is already partitioned and sorted that way, no further shuffle
 or sort is added. Groups cost microseconds each, so a million small devices are as cheap as
-one large one; a group is held in memory until its last row, which layouts bound.
+one large one, and a large one is passed on batch by batch with the state carried between.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,45 +36,57 @@ def _arrow(v: np.ndarray, t: pa.DataType) -> pa.Array:
 
 
 def walk(df: DataFrame, part: list[str], order: list[str], cols: list[str],
-         fn: Callable[[Columns], Columns], schema: str) -> DataFrame:
-    """``fn`` gets the columns of one group in order and returns the output columns."""
+         step: Callable[[Columns, Any], tuple[Columns, Any]], schema: str, whole: bool = False) -> DataFrame:
+    """``step(columns, state)`` gets the next rows of a group in order and the state it returned for
+    the rows before (None at the start), and returns output columns and the new state.
+
+    With ``whole`` the rows of a group are gathered and passed at once.
+    """
     rn = F.row_number().over(Window.partitionBy(*part).orderBy(*order)).alias("_rn")
     need = list(dict.fromkeys([*part, *cols]))
-    out_schema = StructType.fromDDL(schema)
-    arrow_schema = to_arrow_schema(out_schema)
+    arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
     names = arrow_schema.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_parts: list[Columns] = []
-
-        def close() -> Columns:
-            if len(open_parts) == 1:
-                whole = open_parts[0]
-            else:
-                whole = {c: np.concatenate([p[c] for p in open_parts]) for c in need}
-            open_parts.clear()
-            return fn(whole)
-
-        def pack(done: list[Columns]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [_arrow(np.concatenate([np.asarray(d[n]) for d in done]) if len(done) > 1 else done[0][n], f.type)
-                 for n, f in zip(names, arrow_schema)], schema=arrow_schema)
+    def pack(done: list[Columns]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [_arrow(np.concatenate([np.asarray(d[n]) for d in done]) if len(done) > 1 else done[0][n], f.type)
+             for n, f in zip(names, arrow_schema)], schema=arrow_schema)
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bool, Columns]]]:
+        """Per batch its runs of one group: whether the group begins there, and the rows."""
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            data = {c: _numpy(b.column(b.schema.get_field_index(c))) for c in need}
-            first = _numpy(b.column(b.schema.get_field_index("_rn"))) == 1
-            # Cut where groups begin; the piece before the first cut continues the open group.
-            cuts = [0, *(np.flatnonzero(first[1:]) + 1).tolist(), b.num_rows]
-            done: list[Columns] = []
-            for lo, hi in zip(cuts, cuts[1:]):
-                if open_parts and first[lo]:
+            if b.num_rows:
+                data = {c: _numpy(b.column(b.schema.get_field_index(c))) for c in need}
+                first = _numpy(b.column(b.schema.get_field_index("_rn"))) == 1
+                cuts = [0, *(np.flatnonzero(first[1:]) + 1).tolist(), b.num_rows]
+                yield [(bool(first[lo]), {c: v[lo:hi] for c, v in data.items()}) for lo, hi in zip(cuts, cuts[1:])]
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for runs in slices(batches):
+            done = []
+            for begins, rows in runs:
+                out, state = step(rows, None if begins else state)
+                done.append(out)
+            yield pack(done)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[Columns] = []
+
+        def close() -> Columns:
+            group = {c: np.concatenate([p[c] for p in parts]) for c in need}
+            parts.clear()
+            return step(group, None)[0]
+
+        for runs in slices(batches):
+            done = []
+            for begins, rows in runs:
+                if begins and parts:
                     done.append(close())
-                open_parts.append({c: v[lo:hi] for c, v in data.items()})
+                parts.append(rows)
             if done:
                 yield pack(done)
-        if open_parts:
+        if parts:
             yield pack([close()])
 
-    return df.select(*need, rn).mapInArrow(run, schema)
+    return df.select(*need, rn).mapInArrow(gathered if whole else carried, schema)

@@ -99,7 +99,7 @@ def blocks(df: DataFrame, x: str, n: int = 32, level: int = 2, threshold: float
     numbered = lay.done(lay.df.withColumn("_p", lay.pos()))
     grouped = (
         numbered.groupBy(*lay.keys, F.floor(F.col("_p") / n).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("_p", x))).alias("_b"))
+        .agg(F.sort_array(F.collect_list(F.struct("_p", x))).alias("_b"))
         .where(F.size("_b") == n)
         .withColumn("samples", F.transform("_b", lambda s: s[x]))
     )

@@ -14,8 +14,8 @@ def hampel(df: DataFrame, x: str, out: str, lay: Layout, threshold: float = 2.0,
            rows: int = K.HAMPEL_ROWS) -> DataFrame:
     """Median of the last rows where the value lies further than t*1.4826*MAD from it; needs three rows."""
     df = df.withColumn("_win", F.collect_list(x).over(lay.last_n(rows)))
-    df = df.withColumn("_med", median_sorted(F.array_sort("_win")))
-    df = df.withColumn("_dev", F.array_sort(F.transform("_win", lambda v: F.abs(v - F.col("_med")))))
+    df = df.withColumn("_med", median_sorted(F.sort_array("_win")))
+    df = df.withColumn("_dev", F.sort_array(F.transform("_win", lambda v: F.abs(v - F.col("_med")))))
     far = F.abs(F.col(x) - F.col("_med")) > threshold * (K.MAD_SCALE * median_sorted(F.col("_dev")))
     value = F.when((F.size("_win") >= 3) & far, F.col("_med")).otherwise(F.col(x))
     return df.withColumn(out, value).drop("_win", "_med", "_dev")
@@ -52,7 +52,7 @@ def rolling_stats(x: Column, lay: Layout, rows: int = K.STATS_ROWS) -> dict[str,
 
 
 def sorted_frame(x: Column, lay: Layout, rows: int = K.STATS_ROWS) -> Column:
-    return F.array_sort(F.collect_list(x).over(lay.last_n(rows)))
+    return F.sort_array(F.collect_list(x).over(lay.last_n(rows)))
 
 
 def percentile_lower(frame: Column, p: float) -> Column:
