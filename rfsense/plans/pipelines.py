@@ -12,8 +12,11 @@ from rfsense.functions import scalar as S
 from rfsense.operators import calibrate as C
 from rfsense.operators import detect as D
 from rfsense.operators import publish as B
-from rfsense.operators.features import features
+from rfsense.operators.features import features, stateless
 from rfsense.operators.layout import measure
+from rfsense.operators.online import PacketDetector
+from rfsense.operators.scan import debounce_machine
+from rfsense.operators.walk import walk
 
 
 def motion_detections(packets: DataFrame, threshold: Column | float = 0.5, debounce: int = 10,
@@ -21,15 +24,36 @@ def motion_detections(packets: DataFrame, threshold: Column | float = 0.5, debou
                       piece_rows: int | None = None) -> DataFrame:
     """Packets -> features -> score -> debounced states.
 
-    Without a model only the features with a default weight are computed.
+    With the default score, a fixed threshold and no hot device the ordered part is one walk over
+    each device's packets, so the job shuffles once. Otherwise features, score and states are
+    separate steps, which hot devices can be cut for.
     """
     prof = measure(packets, piece_rows=piece_rows)  # admission only removes rows
+    if model is None and not isinstance(threshold, Column) and not prof.hot:
+        return _one_walk(packets, float(threshold), debounce, persistence)
     names = K.FEATURES if model is not None else [n for n, w in zip(K.FEATURES, K.DEFAULT_WEIGHTS) if w]
     feats = features(packets, names, keep=(), piece_rows=piece_rows, profile=prof)
     scored = D.scores(feats, model) if model is not None else feats.withColumn("score", S.default_score())
     return D.detect(scored, threshold, debounce, persistence, piece_rows=piece_rows, profile=prof)
 
 
+def _one_walk(packets: DataFrame, threshold: float, debounce: int, persistence: int) -> DataFrame:
+    detector = PacketDetector(debounce_machine(debounce, persistence), threshold)
+    rows = stateless(packets, ("variance", "iqr", "spatial_gradient"), *K.SUBCARRIER_RANGE).withColumn(
+        "_sec", F.unix_seconds("ts"))
+    kind = dict(rows.dtypes)["device_id"]
+
+    def step(c, state):
+        out, state = detector.step(c, detector.start if state is None else state)
+        return {**{k: c[k] for k in ("device_id", "ts", "seq")}, **out}, state
+
+    out = walk(rows, ["device_id"], ["ts", "seq"], ["device_id", "ts", "seq", "x", *detector.INPUTS, "_sec"], step,
+               f"device_id {kind}, ts timestamp, seq bigint, score double, state string, downgraded boolean")
+    thr = F.lit(threshold)
+    return out.select("device_id", "ts", "seq", "score", thr.alias("threshold"), "state",
+                      S.confidence(F.col("score"), thr, F.col("downgraded")).alias("confidence"))
+
+
 @dataclass
 class Calibration:
     stats: DataFrame

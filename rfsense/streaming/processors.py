@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rfsense import constants as K
+from rfsense.operators.online import PacketDetector
 from rfsense.operators.scan import Machine
 
 
@@ -49,27 +50,6 @@ class MachineProcessor(StatefulProcessor):
         pass
 
 
-def windowed_moments(history: np.ndarray, new: np.ndarray, rows: int = K.MOMENT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Skewness and excess kurtosis of the trailing frames ending at each new amplitude."""
-    x = np.concatenate([np.full(rows - 1 - len(history), np.nan), history, new])
-    w = np.lib.stride_tricks.sliding_window_view(x, rows)
-    n = (~np.isnan(w)).sum(axis=1)
-    d = w - np.nanmean(w, axis=1, keepdims=True)
-    m2, m3, m4 = (np.nanmean(d**p, axis=1) for p in (2, 3, 4))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        skew = np.where((n < 3) | (np.sqrt(m2) < K.EPS), 0.0, m3 / m2**1.5)
-        kurt = np.where((n < 4) | (m2 < K.EPS), 0.0, m4 / m2**2 - 3.0)
-    return skew, kurt
-
-
-def score_of(f: dict[str, np.ndarray]) -> np.ndarray:
-    total = 0.0
-    for name, w, (lo, hi) in zip(K.FEATURES, K.DEFAULT_WEIGHTS, K.DEFAULT_RANGES, strict=True):
-        if w:
-            total = total + w * np.clip((f[name] - lo) / (hi - lo), 0.0, 1.0)
-    return total
-
-
 class MotionDetector(StatefulProcessor):
     """Per packet: deltas to the previous packet, moving moments, score, debounced state, publish flag."""
 
@@ -77,42 +57,26 @@ class MotionDetector(StatefulProcessor):
              "sent boolean, last_ms bigint, last_state string, last_score double, last_us bigint, late bigint")
 
     def __init__(self, detect: Machine, gate: Machine, threshold: float):
-        self.detect, self.gate, self.threshold = detect, gate, threshold
+        self.detector, self.gate, self.threshold = PacketDetector(detect, threshold), gate, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("device", self.STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            amps, prev, first_len, mode, consec, t0, sent, l_ms, l_state, l_score, last_us, late = self.value.get()
-        else:
-            (mode, consec, t0), (sent, l_ms, l_state, l_score) = self.detect.start, self.gate.start
-            amps, prev, first_len, last_us, late = [], None, None, -(2**62), 0
+        known = self.value.get() if self.value.exists() else (*self.detector.start, *self.gate.start, -(2**62), 0)
+        seen, sent, (last_us, late) = tuple(known[:6]), tuple(known[6:10]), known[10:]
         pdf, now_late = in_order(rows, last_us)
         if pdf.empty:
             return
-        f = {c: pdf[c].to_numpy(float) for c in ("variance", "iqr", "spatial_gradient")}
-        new = pdf["mean_amplitude"].to_numpy(float)
-        f["skewness"], f["kurtosis"] = windowed_moments(np.asarray(amps, float), new)
-        f["temporal_delta_mean"] = np.zeros(len(pdf))
-        first_len = len(pdf["x"].iloc[0]) if first_len is None else first_len
-        same = np.flatnonzero(pdf["x"].map(len).to_numpy() == first_len)
-        if len(same):
-            xs = np.stack(pdf["x"].iloc[same].to_numpy()).astype(np.int64)
-            before = xs[:1] if prev is None else np.asarray([prev], np.int64)
-            f["temporal_delta_mean"][same] = np.abs(np.diff(np.vstack([before, xs]), axis=0)).mean(axis=1)
-            prev = [int(v) for v in xs[-1]]
-        score = score_of(f)
-        sec, ms = (pdf["_us"] // 1_000_000).to_numpy(), (pdf["_us"] // 1000).to_numpy()
-        d, d_end = self.detect.walk({"_sec": sec, "above": score > self.threshold}, (mode, consec, t0))
-        g, g_end = self.gate.walk({"_ms": ms, "state": d["state"], "score": score}, (sent, l_ms, l_state, l_score))
-        kept = np.concatenate([np.asarray(amps, float), new])[-(K.MOMENT_ROWS - 1):]
-        self.value.update(([float(v) for v in kept], prev, first_len, *d_end, *g_end,
-                           int(pdf["_us"].iloc[-1]), int(late) + now_late))
-        conf = (np.minimum(1.0, score / (self.threshold + K.EPS)) if self.threshold > K.EPS
-                else (score > 0).astype(float))
+        cols = {c: pdf[c].to_numpy() for c in ("x", *self.detector.INPUTS)}
+        cols["_sec"] = (pdf["_us"] // 1_000_000).to_numpy()
+        d, seen = self.detector.step(cols, seen)
+        g, sent = self.gate.walk({"_ms": (pdf["_us"] // 1000).to_numpy(), "state": d["state"], "score": d["score"]}, sent)
+        self.value.update((*seen, *sent, int(pdf["_us"].iloc[-1]), int(late) + now_late))
+        conf = (np.minimum(1.0, d["score"] / (self.threshold + K.EPS)) if self.threshold > K.EPS
+                else (d["score"] > 0).astype(float))
         yield pd.DataFrame({
-            "device_id": pdf["device_id"], "ts": pdf["ts"], "seq": pdf["seq"], "score": score, "state": d["state"],
+            "device_id": pdf["device_id"], "ts": pdf["ts"], "seq": pdf["seq"], "score": d["score"], "state": d["state"],
             "confidence": np.where(d["downgraded"], 0.0, conf), "published": g["published"],
             "late": int(late) + now_late})
 
