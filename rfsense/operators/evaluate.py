@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rfsense.operators.layout import arrange
+from rfsense.operators.layout import Profile, arrange
 
 STEPS = 100
 
 
 def skip_warmup(feats: DataFrame, rows: int = 10, keys: tuple[str, ...] = ("device_id", "phase"),
-                piece_rows: int | None = None) -> DataFrame:
+                piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
     """Drop the first rows of every phase."""
-    lay = arrange(feats, keys=keys, piece_rows=piece_rows)
+    lay = arrange(feats, keys=keys, piece_rows=piece_rows, profile=profile)
     return lay.done(lay.df.withColumn("_p", lay.pos())).where(F.col("_p") >= rows).drop("_p")
 
 
@@ -45,53 +45,48 @@ def histogram(values: DataFrame, group: tuple[str, ...] = ("device_id", "feature
     )
 
 
-def candidates(hist: DataFrame, group: tuple[str, ...] = ("device_id", "feature_idx", "feature")) -> DataFrame:
-    """Every distinct split of a group's values by a candidate: its counts, means and spread.
+def splits(hist: DataFrame, group: tuple[str, ...] = ("device_id", "feature_idx", "feature")) -> DataFrame:
+    """Every distinct split of a group's values by a candidate: its counts below and its spread.
 
-    Candidates between two filled buckets split alike; the first of them stands for all.
+    Candidates between two filled buckets split alike; the first of them, ``i``, stands for all.
+    The lowest bucket has no split (null ``i``).
     """
     group = list(group)
     by = Window.partitionBy(*group)
     up = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.lag("bucket").over(by.orderBy("bucket"))
     c = (
-        hist.withColumn("i", (prev + 1).cast("int"))
+        hist.withColumn("i", (F.lag("bucket").over(by.orderBy("bucket")) + 1).cast("int"))
         .withColumn("b0", F.sum("b").over(up)).withColumn("m0", F.sum("m").over(up))
         .withColumn("s0", F.sum("s").over(up))
         .withColumn("nb", F.sum("b").over(by)).withColumn("nm", F.sum("m").over(by))
         .withColumn("ns", F.sum("s").over(by))
-        .where(F.col("i").isNotNull())
     )
     n, n0 = F.col("nb") + F.col("nm"), F.col("b0") + F.col("m0")
     n1 = n - n0
     gap = F.col("s0") / n0 - (F.col("ns") - F.col("s0")) / n1
-    return c.withColumn("spread", (n0 / n) * (n1 / n) * gap * gap)
+    spread = (n0 / n) * (n1 / n) * gap * gap
+    return c.withColumn("spread", F.when(F.col("i").isNotNull(), spread))
 
 
 def otsu(hist: DataFrame, group: tuple[str, ...] = ("device_id", "feature_idx", "feature")) -> DataFrame:
     """Best threshold per group with the confusion counts at it (value >= threshold is positive).
 
-    The first candidate whose spread reaches the maximum up to rounding wins; without any
-    split the midpoint is used.
+    The first candidate whose spread reaches the maximum up to rounding wins; where all values
+    are equal the midpoint is used and everything is positive.
     """
     group = list(group)
-    c = candidates(hist, tuple(group))
-    top = F.max("spread").over(Window.partitionBy(*group))
-    best = (
-        c.withColumn("_top", top).where((F.col("spread") > 0) & (F.col("spread") >= F.col("_top") * (1 - 1e-9)))
-        .groupBy(*group).agg(F.min_by(F.struct("i", "b0", "m0"), "i").alias("w"))
-    )
-    every = hist.groupBy(*group).agg(
+    c = splits(hist, tuple(group)).withColumn("_top", F.max("spread").over(Window.partitionBy(*group)))
+    wins = (F.col("spread") > 0) & (F.col("spread") >= F.col("_top") * (1 - 1e-9))
+    best = c.groupBy(*group).agg(
         F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min("step").alias("step"),
-        F.sum("b").alias("nb"), F.sum("m").alias("nm"),
-        # Midpoint split, used only where all values are equal: everything is positive.
-    ).join(best, group, "left")
+        F.min("nb").alias("nb"), F.min("nm").alias("nm"),
+        F.min(F.when(wins, F.struct("i", "b0", "m0"))).alias("w"))
     got = F.col("w").isNotNull()
     tn = F.when(got, F.col("w.b0")).otherwise(F.lit(0))
     fn = F.when(got, F.col("w.m0")).otherwise(F.lit(0))
-    return every.select(
-        *group,
-        F.when(got, F.col("lo") + F.col("w.i") * F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("threshold"),
+    middle = (F.col("lo") + F.col("hi")) / 2
+    return best.select(
+        *group, F.when(got, F.col("lo") + F.col("w.i") * F.col("step")).otherwise(middle).alias("threshold"),
         (F.col("nm") - fn).alias("tp"), tn.alias("tn"), (F.col("nb") - tn).alias("fp"), fn.alias("fn"))
 
 

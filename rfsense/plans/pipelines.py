@@ -17,6 +17,7 @@ from rfsense.operators.layout import measure
 from rfsense.operators.online import PacketDetector
 from rfsense.operators.scan import debounce_machine
 from rfsense.operators.walk import walk
+from rfsense.session import materialise
 
 
 def motion_detections(packets: DataFrame, threshold: Column | float = 0.5, debounce: int = 10,
@@ -62,9 +63,15 @@ class Calibration:
     summary: DataFrame
 
 
-def calibrate(feats: DataFrame) -> Calibration:
-    """Labelled features -> statistics -> selected features, weights, ranges, threshold."""
+def calibrate(feats: DataFrame, store: bool = True) -> Calibration:
+    """Labelled features -> statistics -> selected features, weights, ranges, threshold.
+
+    The statistics, ten rows per device and phase, are written once, so that model, summary and
+    what is joined to them do not go back to the packets.
+    """
     stats = C.feature_stats(feats)
+    if store:
+        stats = materialise(stats, "feature-stats")
     pairs = C.paired(stats)
     model = C.model(pairs)
     return Calibration(stats, pairs, model, C.summary(model))

@@ -31,7 +31,7 @@ from rfsense.operators.forest import segment_forest
 from rfsense.operators.layout import arrange, measure
 from rfsense.plans import pipelines as L
 from rfsense.plans.pipelines import rounded
-from rfsense.session import ship, workdir
+from rfsense.session import materialise, ship, workdir
 from rfsense.sources import capture_log, stores, tables
 from rfsense.streaming import jobs as J
 
@@ -475,7 +475,9 @@ def segment_forest_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # --- evaluation -------------------------------------------------------------------------
 
 def _histogram(spark: SparkSession, sf: str) -> DataFrame:
-    f = E.skip_warmup(features(tables.packets(spark, sf)))
+    p = tables.packets(spark, sf)
+    # Used for the ranges and for the counts.
+    f = materialise(E.skip_warmup(features(p), profile=measure(p).of_subset()), "features")
     return E.histogram(long_form(f, ("device_id", "phase")))
 
 
