@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from rfsense.session import materialise
+
 PIECE_ROWS = 1_000_000
 BIN_SECONDS = 60.0
 BROADCAST_ROWS = 50_000
@@ -207,7 +209,9 @@ def arrange(
         .select(*keys, "_bin", F.col("_to").alias("_piece"),
                 (F.col("_to") == F.col("_own")).alias("_core"), "_base", "_total")
     )
-    if bin_map.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    # Written once: every use of the layout would otherwise count the rows again.
+    bin_map = materialise(bin_map, "pieces")
+    if bin_map.count() <= broadcast_rows:
         bin_map = F.broadcast(bin_map)
     cold = F.col("_piece").isNull()
     laid = (

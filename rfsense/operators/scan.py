@@ -211,12 +211,21 @@ class _Gate:
         self.t = np.asarray(c["_ms"], np.int64)
         self.state = np.asarray(c["state"], object)
         self.score = np.asarray(c["score"], float)
+        self.lists = self.t.tolist(), self.state.tolist(), self.score.tolist()
         self.n, self.delta, self.heartbeat = len(self.t), delta, heartbeat
 
     def next_from(self, at: int, t: int, state: str, score: float) -> int:
         """First row from ``at`` on that must be sent after the given last sent values; n if none."""
-        limit = int(np.searchsorted(self.t, t + self.heartbeat))
-        stop, width = min(max(limit, at), self.n), 32
+        ts, states, scores = self.lists
+        due = t + self.heartbeat
+        # Most gaps are short: look at the next rows one by one before searching in blocks.
+        near = min(at + 16, self.n)
+        while at < near:
+            if states[at] != state or abs(scores[at] - score) > self.delta or ts[at] >= due:
+                return at
+            at += 1
+        stop, width = max(int(np.searchsorted(self.t, due)), at), 64
+        stop = min(stop, self.n)
         while at < stop:
             hi = min(at + width, stop)
             hit = (self.state[at:hi] != state) | (np.abs(self.score[at:hi] - score) > self.delta)
@@ -232,7 +241,7 @@ class _Gate:
             if stop_at is not None and i in stop_at:
                 return rows, stop_at[i]
             rows.append(i)
-            i = self.next_from(i + 1, int(self.t[i]), self.state[i], self.score[i])
+            i = self.next_from(i + 1, self.lists[0][i], self.lists[1][i], self.lists[2][i])
         return rows, rows[-1]
 
 
