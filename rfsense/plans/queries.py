@@ -45,6 +45,7 @@ def query(fn: Query) -> Query:
     @wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times without a zone
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run

@@ -50,6 +50,9 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("rfsense", os.path.relpath(full, root)))
     sc.addPyFile(path)
+    # The worker that sets up stateful streams runs next to the driver and reads no shipped files.
+    paths = [sc.environment.get("PYTHONPATH"), os.path.dirname(root)]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     _shipped.add(sc.applicationId)
 
 
