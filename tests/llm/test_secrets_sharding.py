@@ -1,0 +1,122 @@
+"""Secret scans against the patterns written down once more, and sharding against a table filled by hand."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+
+from rfsense.llm import secrets, sharding
+from rfsense.llm.queries import QUERIES
+from tests.conftest import SF
+from tests.llm.conftest import ROWS, text_of
+
+
+def base(text):
+    key = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = {"assign": (rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 8),
+             "access": ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), "hex": ("[0-9a-f]+", lambda m: len(m[0]) >= 32)}
+    spans = [(*m.span(), k) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m)]
+    return [f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], list(kinds).index(s[2])))]
+
+
+def check(got, rows):
+    left = Counter((r[0], text_of(r)) for r in rows)
+    by_id = {}
+    for (doc, text), n in left.items():
+        by_id.setdefault(doc, []).append((base(text), n))
+    assert len(got) == sum(left.values())
+    for g in got:
+        want = next(b for b, _ in by_id[g.doc_id])
+        assert (g.n_assign, g.n_access, g.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in ("assign", "access", "hex"))
+        assert g.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        spans = g.spans.split(",") if g.spans else []
+        assert [s for s in spans if not s.startswith("markov")] == want
+        assert g.n_markov == len(spans) - len(want)
+        assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
+
+
+def test_spans(spark, odd, none, table):
+    check(secrets.digests(odd).collect(), ROWS)
+    assert secrets.digests(none).count() == 0
+    check(QUERIES["op5_secrets"](spark, SF).collect(), [(r.doc_id, r.text) for r in table("documents").collect()])
+
+
+def test_pair_counts(odd):
+    text = "\n".join(text_of(r) for r in ROWS)
+    pairs = Counter()
+    for run in re.findall(r"[A-Za-z0-9+/_=-]+", text):
+        at = [0, *(secrets.SYMBOLS.index(c) + 1 for c in run)]
+        pairs.update(zip(at, at[1:], strict=False))
+    got = {divmod(r.pair, secrets.N): r.random + r.ordinary for r in secrets.pair_counts(odd).collect()}
+    assert {k: v for k, v in got.items() if k[1]} == dict(pairs)
+
+
+def test_markov_finds_unseen_random_strings(spark):
+    rng = np.random.default_rng(1)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    plain = ["internationalization", "configuration_parameters", "getUserAuthenticationStatus", "the quick brown fox jumps over lazy dogs"]
+    random_strings = ["".join(rng.choice(letters, 32)) for _ in range(400)]
+    rows = [(i, f"password = {s}") for i, s in enumerate(random_strings[:300])]
+    rows += [(300 + i, " ".join(plain) + " and of the in to get user status configuration number %d" % i) for i in range(300)]
+    ratio = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    held_out = [bool(secrets.markov_spans(f"value {s} end", ratio, [])) for s in random_strings[300:]]
+    assert np.mean(held_out) > 0.97
+    assert not any(secrets.markov_spans(p, ratio, []) for p in plain)
+    assert secrets.markov_spans(f"value {random_strings[300]}", ratio, [(6, 8, "hex")]) == []
+
+
+def test_mask(odd, spark):
+    ratio = np.zeros((secrets.N, secrets.N))
+    rows = {r.doc_id: r.text for r in secrets.scan(odd, ratio, mask="[SECRET]").collect() if r.doc_id in (1, 6)}
+    assert rows[6] == "[SECRET] and [SECRET] then [SECRET] end" and rows[1] is None
+
+
+def by_hand(shards, slots):
+    order = []
+    for s in shards:
+        d = hashlib.md5(s.encode()).hexdigest()
+        offset, step = int(d[:16], 16) % slots, int(d[16:], 16) % (slots - 1) + 1
+        order.append([(offset + step * j) % slots for j in range(slots)])
+    table, turn = {}, 0
+    while len(table) < slots:
+        k = turn % len(shards)
+        table[next(s for s in order[k] if s not in table)] = k
+        turn += 1
+    return [table[i] for i in range(slots)]
+
+
+def test_table():
+    names = [f"s{i}" for i in range(7)]
+    assert sharding.fill(names, 211) == by_hand(names, 211)
+    full = sharding.fill(names, 65_537)
+    sizes = Counter(full).values()
+    assert max(sizes) - min(sizes) <= 1
+    less = sharding.fill(names[:-1], 65_537)
+    moved = np.mean([a != b for a, b in zip(full, less, strict=True) if a != 6])
+    assert moved < 0.1
+    for bad in ([], ["a", "a"]):
+        try:
+            sharding.fill(bad)
+            raise AssertionError
+        except ValueError:
+            pass
+
+
+def test_place(spark, odd, none):
+    names = ["a", "b", "c"]
+    table = sharding.fill(names, 101)
+    got = sharding.place(odd, "doc_id", names, 101).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        slot = int(hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest()[:15], 16) % 101
+        assert (r.slot, r.shard) == (slot, names[table[slot]])
+    assert sharding.place(none, "doc_id", names, 101).count() == 0
+    plan = sharding.place(odd, "doc_id", names)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sharding_query(spark):
+    got = QUERIES["op8_sharding"](spark, SF).toPandas()
+    assert (got["shard"] != got["shard_without_last"]).mean() < 0.12
+    assert not (got["shard_without_last"] == "shard-063").any()
