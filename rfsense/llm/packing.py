@@ -149,8 +149,8 @@ def pack(found: DataFrame, capacity: int) -> DataFrame:
         Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ties = ["doc_id", "piece", *(c for c in ("ids_crc32",) if c in found.columns)]
     ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*ties)) - 1)
-    # capacity x salts cells and a plan of a few rows per length: bounded by the parameters.
-    ranked = ranked.join(F.broadcast(before), ["length", "_salt"]).withColumn("_r", F.col("_r") + F.col("_before"))
+    # The cells meet rows that are dealt out by the same keys already. The plan has a few rows per length: bounded by the capacity.
+    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_r", F.col("_r") + F.col("_before"))
     at = F.col("_r") - F.col("_rank")
     return (
         ranked.join(F.broadcast(places), "length")

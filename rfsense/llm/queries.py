@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rfsense.llm import bitpack, bytebpe, packing, secrets, sharding
+from rfsense.llm import bitpack, bytebpe, jaccard, neardup_vectors, neighbours, packing, secrets, sharding
 from rfsense.llm.common import read
 from rfsense.session import workdir
 
@@ -17,6 +18,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op1_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(read(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
 
@@ -29,6 +34,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, and where it goes once the last shard is gone."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
@@ -42,8 +51,12 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, target)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_byte_bpe, op5_secrets, op8_sharding, op9_bitpack)
+    f.__name__: f for f in (op1_near_duplicate_vectors, op2_packing, op4_byte_bpe, op5_secrets, op7_jaccard, op8_sharding, op9_bitpack, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {}
