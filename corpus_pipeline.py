@@ -3,20 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rfsense.llm import jaccard, packing, quality, secrets
+from rfsense.llm.common import read
 from rfsense.llm.queries import WORD_BPE
-from rfsense.llm import packing
 from rfsense.session import ship, workdir
 
+MASK = "[SECRET]"
 
-def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    ship(spark)
+    return quality.accepted(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five words, similarity 0.8 or more) the document with the least id."""
+    ship(spark)
+    return jaccard.deduplicated(docs, 5, 80)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in their texts masked and ``n_chars`` counted again where one was."""
+    ship(spark)
+    columns = docs.columns
+    rest = tuple(c for c in columns if c not in ("doc_id", "text"))
+    clean = secrets.scan(docs, secrets.train(docs), keep=rest, mask=MASK)
+    changed = F.when(F.size("kinds") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*(f"`{c}`" for c in columns))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    ship(spark)
     return packing.packed(docs, WORD_BPE, 2048, 0)
 
 
-STAGES = [("best-fit packing", best_fit)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("n-gram Jaccard join", one_of_each),
+    ("secret scans", without_secrets),
+    ("best-fit packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again as the next one's documents."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
@@ -26,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+# Trained models and a tokenizer take part: SQL cannot express the rows. tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None

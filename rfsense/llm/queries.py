@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfsense.llm import bitpack, bytebpe, jaccard, neardup_vectors, neighbours, packing, secrets, sharding
+from rfsense.llm import bitpack, bytebpe, jaccard, neardup_vectors, neighbours, packing, quality, secrets, sharding
 from rfsense.llm.common import read
 from rfsense.session import workdir
 
@@ -26,6 +26,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), WORD_BPE, 2048, 0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(read(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
@@ -56,7 +61,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicate_vectors, op2_packing, op4_byte_bpe, op5_secrets, op7_jaccard, op8_sharding, op9_bitpack, op10_neighbours)
+    f.__name__: f for f in (op1_near_duplicate_vectors, op2_packing, op3_quality, op4_byte_bpe, op5_secrets, op7_jaccard, op8_sharding, op9_bitpack, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {}
