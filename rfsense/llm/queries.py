@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rfsense.llm import bitpack, bytebpe, jaccard, neardup_vectors, neighbours, packing, quality, secrets, sharding
+from rfsense.llm import bitpack, bytebpe, jaccard, neardup_vectors, neighbours, packing, pitman_yor, quality, secrets, sharding
 from rfsense.llm.common import read
 from rfsense.session import workdir
 
@@ -39,6 +39,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), 4, 85)
 
@@ -61,7 +65,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicate_vectors, op2_packing, op3_quality, op4_byte_bpe, op5_secrets, op7_jaccard, op8_sharding, op9_bitpack, op10_neighbours)
+    f.__name__: f for f in (op1_near_duplicate_vectors, op2_packing, op3_quality, op4_byte_bpe, op5_secrets, op6_pitman_yor, op7_jaccard, op8_sharding, op9_bitpack, op10_neighbours)
 }
 
 ORACLES: dict[str, str] = {}
