@@ -27,8 +27,8 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that no piece of several rows holds more than ``SLICE_BYTES`` of text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that no piece of several rows holds more than ``size`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < len(ends):
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
 

@@ -39,6 +39,8 @@ CELLS = 64
 HOT = 32
 """Nodes of one signature in a slice of documents from which on they are joined among themselves first."""
 BROADCAST_ROWS = 1_000_000
+SLICE = 4 << 20
+"""Bytes of text whose sets and signatures a worker holds at a time."""
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
@@ -198,7 +200,7 @@ def _sets(words: int, bands: Bands):
     """One row per document, and one per slice, domain and counter for the cost of signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut in slices(batches):
+        for cut in slices(batches, size=SLICE):
             flat, sizes = shingles(cut.column("text"), words)
             x, y = _keys(flat, sizes)
             none = np.zeros(len(sizes), bool) | (sizes == 0)
@@ -260,7 +262,7 @@ def _emit(words: int, bands: Bands, plan: dict[int, np.ndarray]):
     """(signature, node): once for each distinct set of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut in slices(batches):
+        for cut in slices(batches, size=SLICE):
             flat, sizes = shingles(cut.column("text"), words)
             x, _ = _keys(flat, sizes)
             own = bands.of(np.maximum(sizes, 1))
@@ -310,7 +312,7 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in (c2 for c1 in slices(iter([batch]), "ta") for c2 in slices(iter([c1]), "tb")):
+            for cut in (c2 for c1 in slices(iter([batch]), "ta", SLICE) for c2 in slices(iter([c1]), "tb", SLICE)):
                 n = cut.num_rows
                 flat, sizes = shingles(pa.concat_arrays([cut.column("ta"), cut.column("tb")]), words)
                 ends = np.cumsum(sizes)

@@ -37,6 +37,8 @@ DISCOUNT, STRENGTH = (0.5, 0.8), (1.0, 1.0)
 SWEEPS = 2
 """Gibbs sweeps; all are averaged, the first starts from word counts."""
 SINGLE = 64
+BLOCK_BYTES = 5 << 20
+"""Bytes of text in a block."""
 PART_TOKENS = 2_000_000
 """Tokens for each part of the model, about."""
 
@@ -260,7 +262,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, made = TaskContext.get().partitionId(), 0
-    for cut in slices(batches):
+    for cut in slices(batches, size=BLOCK_BYTES):
         ids = cut.column("doc_id").to_pylist()
         codes, distinct, counts = words_of(cut.column("text"), lower=True)
         hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
