@@ -11,7 +11,8 @@ with one number for each. The tables of a pair depend only on its count, on what
 its hash, so every block that needs them comes to the same tables, and the first block that trains on a pair reports them to the parent.
 
 Beyond ``SINGLE`` customers of one word in a context, the next ones are seated in runs that grow with the number seated, with
-the mean of a run rounded at random. Pairs are told apart by 48 bits within a part, words by 64 bits.
+the mean of a run rounded at random. Pairs are told apart by 40 bits within a part of about a million tokens (one in a million may
+fall together with another one), words by 64 bits where they are counted.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ SWEEPS = 2
 SINGLE = 64
 BLOCK_BYTES = 5 << 20
 """Bytes of text in a block."""
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_000_000
 """Tokens for each part of the model, about."""
 
 _U = np.uint64
@@ -97,13 +99,31 @@ class Block:
         self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.trained = np.repeat(self.trains, self.sizes)
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.firsts] = len(self.words) - 1
-        pairs, self.pair = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.before, self.word = np.divmod(pairs, len(self.words))
+        return np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+
+    @property
+    def pair(self) -> np.ndarray:
+        """Of each token, the number of its pair."""
+        return self._pairs[1]
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        return self._pairs[0] // len(self.words)
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        return self._pairs[0] % len(self.words)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
         with np.errstate(over="ignore"):
-            self.hash = mix(mix(self.words[self.before]) + self.words[self.word])
+            return mix(mix(self.words[self.before]) + self.words[self.word])
 
     def pair_counts(self) -> np.ndarray:
         return np.bincount(self.pair[self.trained], minlength=len(self.hash))
@@ -122,6 +142,16 @@ def _parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, part[order]
 
 
+def _numbers(values: np.ndarray) -> bytes:
+    """Whole numbers in the least of 1, 2, 4 or 8 bytes that holds them all, which the first byte tells."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _from_numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
 def _requests(block: int, hashes: np.ndarray, parts: int, width: int, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
     order, part = _parts(hashes, parts)
     starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, int)
@@ -129,7 +159,7 @@ def _requests(block: int, hashes: np.ndarray, parts: int, width: int, a: np.ndar
     rows: list[list] = [[], [], [], [], []]
     for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
         own = order[x:y]
-        for column, value in zip(rows, (int(part[x]), block, raw[x:y].tobytes(), a[own].astype("<u4").tobytes(), None if b is None else b[own].astype("<u4").tobytes()), strict=True):
+        for column, value in zip(rows, (int(part[x]), block, raw[x:y].tobytes(), _numbers(a[own]), None if b is None else _numbers(b[own])), strict=True):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ASK, strict=True)], schema=_ASK)
 
@@ -139,7 +169,7 @@ def _answered(answers: list[tuple[int, bytes]], hashes: np.ndarray, parts: int,
     order, _ = _parts(hashes, parts)
     out = np.zeros((fields, len(hashes)))
     if len(hashes):
-        out[:, order] = np.concatenate([np.frombuffer(x, "<f8").reshape(fields, -1) for _, x in sorted(answers)], axis=1)
+        out[:, order] = np.concatenate([_from_numbers(x).reshape(fields, -1) for _, x in sorted(answers)], axis=1)
     return out
 
 
@@ -153,13 +183,13 @@ def _reduce(width: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray, np
         wide = np.zeros((sum(sizes), 8), np.uint8)
         wide[:, :width] = np.concatenate(raw)
         keys, which = np.unique(wide.view("<u8").reshape(-1), return_inverse=True)
-        a = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("a").to_pylist()]).astype(np.int64)
-        b = np.concatenate([np.frombuffer(x or b"", "<u4") for x in table.column("b").to_pylist()]).astype(np.int64)
-        total = np.bincount(which, a, len(keys))
-        other = np.bincount(which, b, len(keys)) if len(b) else total
+        a = np.concatenate([_from_numbers(x) for x in table.column("a").to_pylist()]).astype(np.int64)
+        total = other = np.bincount(which, a, len(keys))
+        if table.column("b").null_count == 0:
+            other = np.bincount(which, np.concatenate([_from_numbers(x) for x in table.column("b").to_pylist()]), len(keys))
         values, sums = answer(keys, total, other, which, a)
         ends = np.cumsum(sizes)
-        x = [np.concatenate([v[e - n:e] for v in values]).astype("<f8").tobytes() for e, n in zip(ends, sizes, strict=True)]
+        x = [_numbers(np.concatenate([v[e - n:e] for v in values])) for e, n in zip(ends, sizes, strict=True)]
         return pa.RecordBatch.from_arrays([
             pa.array([*table.column("block").to_pylist(), None], pa.int64()), pa.array([part] * (len(x) + 1), pa.int32()),
             pa.array([*x, None], pa.binary()), pa.array([None] * len(x) + [sums], pa.list_(pa.float64()))], schema=_ANSWER)
@@ -329,9 +359,9 @@ def _scores(blocks: DataFrame, sweeps: int, part_tokens: int) -> DataFrame:
         rows = got.where("sums is not null").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
         return got.where("block is not null").select(F.lit(kind).alias("kind"), "block", "part", "x"), [r["v"] for r in rows]
 
-    pairs = blocks.mapInArrow(_each_block(lambda b, _: iter([_requests(b.id, b.hash, parts, 6, b.pair_counts())]), _ASK), _ASK_DDL)
+    pairs = blocks.mapInArrow(_each_block(lambda b, _: iter([_requests(b.id, b.hash, parts, 5, b.pair_counts())]), _ASK), _ASK_DDL)
     words = blocks.mapInArrow(_each_block(lambda b, _: iter([_requests(b.id, b.words, parts, 8, b.word_counts())]), _ASK), _ASK_DDL)
-    pair_answers, _ = exchange(pairs, 6, _pair_answer, 0)
+    pair_answers, _ = exchange(pairs, 5, _pair_answer, 0)
     word_answers, total = exchange(words, 8, _word_answer, 1)
     # The start of a text is counted as a context, but is no word.
     known = total[1] - (trained > 0)
@@ -349,10 +379,10 @@ def _scores(blocks: DataFrame, sweeps: int, part_tokens: int) -> DataFrame:
 
         def report(block: Block, got: dict, sweep: int = sweep, so_far: list = so_far) -> Iterator[pa.RecordBatch]:
             up, own = Model(block, got, parts, so_far).reported(sweep)
-            yield _requests(block.id, block.words, parts, 6, up, own)
+            yield _requests(block.id, block.words, parts, 5, up, own)
 
         asked = with_answers().mapInArrow(_each_block(report, _ASK), _ASK_DDL)
-        got, sums = exchange(asked, 6, _state_answer(1 / (known + 1), tables_above, sweep), 2 + sweep)
+        got, sums = exchange(asked, 5, _state_answer(1 / (known + 1), tables_above, sweep), 2 + sweep)
         answers.append(got)
         totals.append(sums)
         tables_above = sums[1]
