@@ -30,8 +30,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     columns = docs.columns
     rest = tuple(c for c in columns if c not in ("doc_id", "text"))
-    clean = secrets.scan(docs, secrets.train(docs), keep=rest, mask=MASK)
-    changed = F.when(F.size("kinds") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    prefix = "_" * (1 + max(len(c) for c in columns))  # longer than any name there is
+    clean = secrets.scan(docs, secrets.train(docs), keep=rest, mask=MASK, out=tuple(prefix + c for c in ("starts", "ends", "kinds")))
+    changed = F.when(F.size(prefix + "kinds") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*(f"`{c}`" for c in columns))
 
 

@@ -60,7 +60,7 @@ def unpack_bits(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, target: str, block_ids: int = BLOCK_IDS) -> None:
     """Encode all whole texts, append ``end_id`` to each and write blocks in ascending ``doc_id`` (null first) order.
 
-    Documents with one ``doc_id`` go by text, so repeated rows have a defined order. A null text is empty: its document holds
+    Documents with one ``doc_id`` go by a hash of their text, then by text, so repeated rows have a defined order. A null text is empty: its document holds
     the end id alone.
     """
     from pyspark import TaskContext
@@ -98,8 +98,10 @@ def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, target: str,
             if sizes:
                 yield close()
 
-    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    blocks = ordered.mapInArrow(arrow_map(run, BLOCKS), "part int, block int, inside long, n_ids long, bits int, "
+    # What the ranges are sampled from goes to the driver: a number, not the text.
+    hashed = texts_of(docs, F.xxhash64("text").alias("_hash"))
+    ordered = hashed.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    blocks = ordered.select("doc_id", "text").mapInArrow(arrow_map(run, BLOCKS), "part int, block int, inside long, n_ids long, bits int, "
                                 "doc_ids array<long>, ends array<long>, payload binary")
     blocks.write.mode("error").option("compression", "none").parquet(target)
 

@@ -24,8 +24,10 @@ from rfsense.session import materialise, ship
 CURVES, DIMS, BITS = 8, 8, 7
 CHUNK = 2048
 """Places of a curve that are read together; windows are widened to whole chunks."""
+FITTED = 2048
+"""Vectors, about, whose mean and spread scale the curves."""
 SAMPLE = 128
-"""Queries whose true neighbours set the window."""
+"""Queries, about, whose true neighbours set the window."""
 TARGET = 0.96
 """Share of the sample's neighbours that the windows hold."""
 
@@ -144,15 +146,20 @@ def search(vectors: DataFrame, asked: Column, k: int = 10, id: str = "vec_id", v
         return empty
     good = good.where(F.size("v") == usual["d"]).withColumn("key", wide_hash("v"))
     # The k + 1 smallest ids of equal vectors; Spark limits them before the shuffle.
-    few = good.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    few = good.withColumn("_r", F.dense_rank().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     classes = few.groupBy("key").agg(F.min("vec_id").alias("rep"), F.any_value("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     classes = materialise(classes, "classes")
     queries = materialise(good.where("asks").select("vec_id", "key").distinct().join(classes.select("key", "rep"), "key"), "queries")
     asking = queries.select("rep").distinct().join(classes, "rep").select("rep", "v")
 
-    sample = classes.select("v").orderBy(F.xxhash64("rep")).limit(4096).toPandas()["v"]
-    fitted = np.stack(sample.to_list()).astype(float)
-    centre, n = fitted.mean(axis=0), classes.count()
+    def sampled(rows: DataFrame, size: int, most: int) -> DataFrame:
+        """About ``size`` rows by a hash of the id, in any case no more than ``most``."""
+        every = max(1, rows.count() // size)
+        return rows.where(F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(every)) == 0).limit(most)
+
+    n = classes.count()
+    fitted = np.stack(sampled(classes.select("rep", "v"), FITTED, 4 * FITTED).toPandas()["v"].to_list()).astype(float)
+    centre = fitted.mean(axis=0)
     spread = float(np.sqrt(((fitted - centre) ** 2).sum(axis=1).mean() / fitted.shape[1]))
 
     schema = pa.schema([("curve", pa.int32()), ("place", pa.int64()), ("rep", pa.int64()), ("v", pa.list_(pa.float64()))])
@@ -167,7 +174,7 @@ def search(vectors: DataFrame, asked: Column, k: int = 10, id: str = "vec_id", v
     along = classes.select("rep", "v").mapInArrow(arrow_map(order, schema), "curve int, place long, rep long, v array<double>")
     along = materialise(positions(along, ["curve", "place", "rep"]).withColumn("pos", F.col("pos") - F.col("curve") * F.lit(n)).drop("place"), "along")
 
-    trial = asking.orderBy(F.xxhash64("rep")).limit(SAMPLE).toPandas()
+    trial = sampled(asking, SAMPLE, 4 * SAMPLE).toPandas()
     if not len(trial):
         return empty
     ids, tried = trial["rep"].to_numpy(), np.stack(trial["v"].to_list())

@@ -181,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     made = materialise(features(docs), "features")
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         (F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    known = materialise(known, "labels")
+    every = -(-max(1, known.count()) // labelled)
+    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(labelled)
     # At most ``labelled`` rows; of documents that share an id one is taken.
     rows = made.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "page", "y")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     x = {v: _unpacked(rows[v].tolist(), v) for v in _VIEWS}
@@ -211,20 +213,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
 
 def _sure(pool: DataFrame, view: str, model: Calibrated, sure: float, handed: int, turn: int):
     """Documents on whose class the view is sure: at most ``handed`` of each class, by a hash of their id."""
-    schema = pa.schema([*_FEATURES, ("answer", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("answer", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p = 1 / (1 + np.exp(-model.logit(_unpacked(batch.column(view).to_pylist(), view))))
                 keep = np.maximum(p, 1 - p) >= sure
-                out = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array((p[keep] > 0.5).astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(keep)), pa.array((p[keep] > 0.5).astype(np.int32))], schema=schema)
 
-    found = pool.mapInArrow(arrow_map(run, schema), "doc_id long, text binary, page binary, answer int")
+    found = materialise(pool.select("doc_id", view).mapInArrow(arrow_map(run, schema), "doc_id long, answer int"), "sure")
     order = F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")
     best = [found.where(F.col("answer") == k).orderBy(*order).limit(handed) for k in (0, 1)]
-    return best[0].unionByName(best[1]).toPandas()
+    # At most 2 x ``handed`` ids; of documents that share an id one is taken.
+    rows = pool.join(F.broadcast(best[0].unionByName(best[1]).groupBy("doc_id").agg(F.min("answer").alias("answer"))), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "page", "answer")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
 
 
 def score_column(classifier: Classifier) -> Column:

@@ -125,16 +125,19 @@ def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, str]]
 _SPANS = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string()))])
 
 
-def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float = ODDS, keep: tuple[str, ...] = (), mask: str | None = None) -> DataFrame:
-    """All spans of every whole text as ``starts, ends, kinds``, by start and kind, next to ``doc_id`` and the columns ``keep``.
+def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float = ODDS, keep: tuple[str, ...] = (), mask: str | None = None,
+         out: tuple[str, str, str] = ("starts", "ends", "kinds")) -> DataFrame:
+    """All spans of every whole text as ``starts, ends, kinds`` (or as ``out`` names them), by start and kind, next to ``doc_id`` and the columns ``keep``.
 
     With ``mask`` the column ``text`` comes too, every span (spans that touch taken as one) replaced by it; a null text
     stays null and has no spans.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if set(out) & {"doc_id", "text", *keep}:
+        raise ValueError(f"the input has a column of {out} already")
     names = ["doc_id", "text", *keep]
     fields = [docs.schema[c] for c in ("doc_id", *(("text",) if mask is not None else ()), *keep)]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", starts array<int>, ends array<int>, kinds array<string>"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `%s` array<int>, `%s` array<int>, `%s` array<string>" % out
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # N x N numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +160,11 @@ def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float
                 for i in hits:
                     new[i] = masked(new[i], spans[i], mask) if spans[i] else new[i]
                 columns["text"] = pa.array(new, cut.column("text").type)
-            columns |= {"starts": pa.array([[s[0] for s in x] for x in spans], pa.list_(pa.int32())),
-                        "ends": pa.array([[s[1] for s in x] for x in spans], pa.list_(pa.int32())),
-                        "kinds": pa.array([[s[2] for s in x] for x in spans], pa.list_(pa.string()))}
+            kinds = pa.int32(), pa.int32(), pa.string()
+            columns |= {name: pa.array([[s[k] for s in x] for x in spans], pa.list_(kinds[k])) for k, name in enumerate(out)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(*names).mapInArrow(run, ddl)
+    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, ddl)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
