@@ -135,15 +135,17 @@ def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     if set(out) & {"doc_id", "text", *keep}:
         raise ValueError(f"the input has a column of {out} already")
+    # Numbered names inside: mapInArrow does not take names with dots.
     names = ["doc_id", "text", *keep]
+    sent = {c: f"c{i}" for i, c in enumerate(names)}
     fields = [docs.schema[c] for c in ("doc_id", *(("text",) if mask is not None else ()), *keep)]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `%s` array<int>, `%s` array<int>, `%s` array<string>" % out
+    ddl = ", ".join(f"{sent[f.name]} {f.dataType.simpleString()}" for f in fields) + ", s0 array<int>, s1 array<int>, s2 array<string>"
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # N x N numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = r"[A-Za-z0-9+/_=-]{%d}" % min_run
-        for cut in slices(batches):
-            texts = pc.fill_null(cut.column("text"), "")
+        for cut in slices(batches, "c1"):
+            texts = pc.fill_null(cut.column("c1"), "")
             may = _flags(texts)
             long_run = pc.match_substring_regex(texts, wide).to_pylist()
             spans: list[list[tuple[int, int, str]]] = [[] for _ in may]
@@ -154,17 +156,17 @@ def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float
                 if long_run[i]:
                     own += markov_spans(text, shared.value, own, min_run, odds)
                 spans[i] = sorted(own, key=lambda s: (s[0], KINDS.index(s[2])))
-            columns = {c: cut.column(c) for c in names if c != "text" or mask is not None}
+            columns = {c: cut.column(c) for c in sent.values() if c != "c1" or mask is not None}
             if mask is not None and any(spans):
-                new = cut.column("text").to_pylist()
+                new = cut.column("c1").to_pylist()
                 for i in hits:
                     new[i] = masked(new[i], spans[i], mask) if spans[i] else new[i]
-                columns["text"] = pa.array(new, cut.column("text").type)
+                columns["c1"] = pa.array(new, cut.column("c1").type)
             kinds = pa.int32(), pa.int32(), pa.string()
-            columns |= {name: pa.array([[s[k] for s in x] for x in spans], pa.list_(kinds[k])) for k, name in enumerate(out)}
+            columns |= {f"s{k}": pa.array([[s[k] for s in x] for x in spans], pa.list_(kinds[k])) for k in range(3)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(run, ddl)
+    return docs.select(*(F.col(f"`{c}`").alias(sent[c]) for c in names)).mapInArrow(run, ddl).toDF(*(f.name for f in fields), *out)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
