@@ -170,11 +170,11 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, domains: np.ndarray, bands:
 
 
 def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Parity sketches: 64-bit words, at least 4 and about half as many bits as elements."""
+    """Parity sketches: 64-bit words, at least 4, with two to four bits for each element."""
     out, at = [], 0
     for n in sizes.tolist():
         bits = 256
-        while bits * 2 <= n:
+        while bits < 2 * n:
             bits *= 2
         odd = np.bincount((flat[at:at + n] >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
@@ -182,8 +182,8 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("sketch", pa.list_(pa.int64())),
-                   ("domain", pa.int32()), ("cell", pa.int32()), ("sum", pa.int64()), ("number", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("small", pa.list_(pa.int64())),
+                   ("sketch", pa.list_(pa.int64())), ("domain", pa.int32()), ("cell", pa.int32()), ("sum", pa.int64()), ("number", pa.int64())])
 _SIGNED = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
 _MET = pa.schema([("sig", pa.int64()), ("first", pa.int64()), ("node", pa.int64())])
 
@@ -204,9 +204,10 @@ def _sets(words: int, bands: Bands):
             flat, sizes = shingles(cut.column("text"), words)
             x, y = _keys(flat, sizes)
             none = np.zeros(len(sizes), bool) | (sizes == 0)
-            n, nulls = len(sizes), pa.nulls
+            n, nulls, full = len(sizes), pa.nulls, sketches(flat, sizes)
+            small = [np.bitwise_xor.reduce(s.reshape(-1, 4), axis=0) for s in full]
             yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(sizes), pa.array(x, mask=none), pa.array(y, mask=none), pa.array(
-                sketches(flat, sizes), pa.list_(pa.int64())), nulls(n, pa.int32()), nulls(n, pa.int32()), nulls(n, pa.int64()), nulls(n, pa.int64())], schema=_SETS)
+                small, pa.list_(pa.int64())), pa.array(full, pa.list_(pa.int64())), nulls(n, pa.int32()), nulls(n, pa.int32()), nulls(n, pa.int64()), nulls(n, pa.int64())], schema=_SETS)
             own = bands.of(np.maximum(sizes, 1))
             for step in (0, 1):
                 sig, _, kind, domain = signatures(flat, sizes, own - step, bands, {})
@@ -217,7 +218,7 @@ def _sets(words: int, bands: Bands):
                 keys, where = np.unique(at, return_inverse=True)
                 sums, number = np.bincount(where, sign, len(keys)).astype(np.int64), np.bincount(where, minlength=len(keys))
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([nulls(n, f.type) for f in list(_SETS)[:5]] + [
+                yield pa.RecordBatch.from_arrays([nulls(n, f.type) for f in list(_SETS)[:6]] + [
                     pa.array(keys // (GROUPS * CELLS), pa.int32()), pa.array(keys % (GROUPS * CELLS), pa.int32()), pa.array(sums), pa.array(number)], schema=_SETS)
 
     return arrow_map(run, _SETS)
@@ -328,11 +329,21 @@ def _verify(words: int, percent: int):
 
 
 def may_link(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Column:
-    """Sizes and sketches allow a link; sketches of other lengths are not compared."""
+    """Sizes and sketches allow a link. The longer of two sketches is folded to the length of the other: sizes allow a link only if it
+    is at most twice as long."""
+
+    def xor(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def halved(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return xor(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half))
+
     small, large = F.least(na, nb), F.greatest(na, nb)
-    differ = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = differ <= na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent))
-    return (percent * large <= 100 * small) & ((F.size(sa) != F.size(sb)) | near)
+    a, b = F.when(F.size(sa) > F.size(sb), halved(sa)).otherwise(sa), F.when(F.size(sb) > F.size(sa), halved(sb)).otherwise(sb)
+    differ = F.aggregate(xor(a, b), F.lit(0), lambda t, x: t + F.bit_count(x))
+    sized = percent * large <= 100 * small
+    return F.when(sized, (F.size(a) != F.size(b)) | (differ <= na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent)))).otherwise(False)
 
 
 def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -358,22 +369,23 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     bands = Bands(percent)
     docs = texts_of(docs)
-    counted = materialise(docs.mapInArrow(_sets(words, bands), "doc_id long, n long, x long, y long, sketch array<long>, domain int, cell int, sum long, number long"), "sets")
+    counted = materialise(docs.mapInArrow(_sets(words, bands), "doc_id long, n long, x long, y long, small array<long>, sketch array<long>, domain int, cell int, sum long, number long"), "sets")
     sets = counted.where("domain is null")
     # x alone is the node: a node is led by the set with the least document.
-    classes = sets.where("x is not null and doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = sets.where("x is not null and doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("sketch").alias("sketch"))
     nodes = materialise(classes.withColumnRenamed("x", "node"), "nodes")
     plan = plan_of(counted, bands)
     named = docs.where("doc_id is not null")
     met = materialise(dealt(named.select("text").mapInArrow(_emit(words, bands, plan), "sig long, node long"), ["sig"], "node")
                       .mapInArrow(arrow_map(_meet, _MET), "sig long, first long, node long"), "met")
 
-    def informed(pairs: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    def informed(pairs: DataFrame, sketch: str) -> DataFrame:
+        a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col(sketch).alias("s" + s)) for s in "ab")
         return pairs.join(a, "a").join(b, "b").where(may_link(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), percent)).select("a", "b")
 
-    stars = materialise(informed(met.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "stars")
+    # The short sketches drop most pairs, the long ones nearly all others that do not link.
+    stars = materialise(informed(met.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "small"), "stars")
+    stars = materialise(informed(stars, "sketch"), "stars")
     links = materialise(links_of(stars, nodes, named, words, percent), "links")
     roots = components(links)
 
@@ -383,13 +395,14 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     open_ = met_in.groupBy("sig").agg(F.min(F.least("rf", "rn")).alias("lo"), F.max(F.greatest("rf", "rn")).alias("hi")).where("lo <> hi").select("sig")
     inside = met_in.join(open_, "sig")
     members = inside.select("sig", F.col("first").alias("node"), F.col("rf").alias("root")).unionByName(inside.select("sig", "node", F.col("rn").alias("root"))).distinct()
-    members = materialise(members.join(nodes.select("node", "n", "sketch"), "node"), "members")
-    a, b = (members.select("sig", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "sketch"))) for s in "ab")
+    members = materialise(members.join(nodes.select("node", "n", "small"), "node"), "members")
+    a, b = (members.select("sig", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "small"))) for s in "ab")
     rest = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & may_link(
-        F.col("na"), F.col("sketcha"), F.col("nb"), F.col("sketchb"), percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+        F.col("na"), F.col("smalla"), F.col("nb"), F.col("smallb"), percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
+        rest = materialise(informed(rest, "sketch"), "rest")
         links = links.unionByName(links_of(rest, nodes, named, words, percent))
     # Components over documents: a node is all sets of its hash, led by the least document each.
     ends = links.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")

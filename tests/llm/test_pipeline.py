@@ -67,7 +67,7 @@ def test_odd_documents(spark, odd, none):
         assert apply(spark, docs, SF).columns == docs.columns
         assert apply(spark, none, SF).count() == 0
     masked = {r.doc_id: r for r in corpus_pipeline.without_secrets(spark, odd.selectExpr("*", "'k' as kinds"), SF).collect()}
-    assert masked[1].text is None and masked[6].ids == ROWS[6][1]
+    assert masked[1].text is None and masked[6].ids == ROWS[7][1]
     assert corpus_pipeline.sequences(spark, none, SF).count() == 0
 
 
