@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from rfsense.llm.common import arrow_map, gather, slices, texts_of
 from rfsense.llm.wordbpe import byte_characters
 
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 300_000
 
 # A space after other white space: the pattern may then join white space over a cut before a space.
 _JOINED = r"[\s\p{Z}\x{85}\x0b\x1c-\x1f] |\x00"

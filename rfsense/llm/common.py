@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rfsense.session import materialise, ship
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 """Text that a Python worker works on at a time; one longer document makes a slice of its own."""
 
 

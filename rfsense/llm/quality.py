@@ -43,6 +43,8 @@ for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRST
 _CLASS[[b for b in range(33, 127) if _CLASS[b] == 8]] = 6
 _CLASS[128:] = 7
 STATS = 9 + 6
+SLICE = 2 << 20
+"""Bytes of text whose features are counted at a time; a byte takes some dozen on the way."""
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
@@ -164,7 +166,7 @@ def features(docs: DataFrame) -> DataFrame:
     """``doc_id, text, page``: the features of both views as half-precision numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut in slices(batches):
+        for cut in slices(batches, size=SLICE):
             made = text_features(cut.column("text")), page_features(*(cut.column(c) for c in ("lang", "source", "n_chars")))
             yield pa.RecordBatch.from_arrays([cut.column("doc_id"), *(pa.array([r.tobytes() for r in m.astype("<f2")], pa.binary()) for m in made)], schema=_FEATURES)
 
@@ -238,7 +240,7 @@ def score_column(classifier: Classifier) -> Column:
     def scored(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         out: list[list[np.ndarray]] = [[], [], []]
         batch = pa.RecordBatch.from_arrays([text, lang, source, n_chars], names=["text", "lang", "source", "n_chars"])
-        for cut in slices(iter([batch])):
+        for cut in slices(iter([batch]), size=SLICE):
             got = classifier.scores(text_features(cut.column(0)), page_features(*cut.columns[1:]))
             for column, value in zip(out, got, strict=True):
                 column.append(value)

@@ -39,6 +39,8 @@ N = len(SYMBOLS) + 1  # 0: start of a run
 _CLASS = np.zeros(256, np.int64)
 _CLASS[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(1, N)
 
+SLICE = 2 << 20
+"""Bytes of text whose pairs are counted at a time."""
 MIN_RUN = 20
 """Least characters of a ``markov`` span."""
 ODDS = 1e6
@@ -75,7 +77,7 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, random = np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)
-        for cut in slices(batches):
+        for cut in slices(batches, size=SLICE):
             texts = pc.fill_null(cut.column("text"), "")
             total += _pairs("\n".join(texts.to_pylist()).encode())
             values = []

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from rfsense.llm.common import gather, words_of
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 """Words kept by a Python worker. A full cache starts anew; results do not depend on it."""
 
 _PLAIN = re.compile("[!-~À-ÿ]+")
