@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rfsense.session import materialise, ship
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 """Text that a Python worker works on at a time; one longer document makes a slice of its own."""
 
 
@@ -39,6 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -39,7 +39,7 @@ CELLS = 64
 HOT = 32
 """Nodes of one signature in a slice of documents from which on they are joined among themselves first."""
 BROADCAST_ROWS = 1_000_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 """Bytes of text whose sets and signatures a worker holds at a time."""
 
 _U = np.uint64

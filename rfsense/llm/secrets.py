@@ -39,7 +39,7 @@ N = len(SYMBOLS) + 1  # 0: start of a run
 _CLASS = np.zeros(256, np.int64)
 _CLASS[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(1, N)
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 """Bytes of text whose pairs are counted at a time."""
 MIN_RUN = 20
 """Least characters of a ``markov`` span."""
