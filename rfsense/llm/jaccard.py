@@ -7,7 +7,8 @@ meet (one signature) and 2 if they may differ by one element (a signature for th
 element left out); with a total weight of H + t, sets that link meet in segments of weight t at least. Weights are
 dealt out by cost: segments whose signatures collide most over all documents are skipped, and paid for by those where
 one-deletion signatures cost least. A set leaves out its signatures of empty subsets unless they weigh t or more: then a pair that
-meets only in empty subsets still meets, and no other pair meets because of them.
+meets only in empty subsets still meets, and no other pair meets because of them. The same holds, with a weight of its own, for buckets that turn out
+crowded, such as those of a passage that many documents share.
 
 Candidates are filtered by size and by a parity sketch (the bits in which two sketches differ never exceed the elements in which
 the sets differ), and verified on the whole texts. Equal sets are one node. In each bucket the nodes are first
@@ -38,12 +39,15 @@ CELLS = 64
 """Signed counters that estimate how often the signatures of a kind collide."""
 HOT = 32
 """Nodes of one signature in a slice of documents from which on they are joined among themselves first."""
+CROWDED = 16
+"""Nodes of a bucket from which on it is crowded."""
 BROADCAST_ROWS = 1_000_000
 SLICE = 2 << 20
 """Bytes of text whose sets and signatures a worker holds at a time."""
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
+_TAG = _U(511)  # the low bits of a signature: its domain, and whether its segment weighs 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,11 +104,15 @@ class Bands:
         p, most = self.percent, int(self.starts()[domain + 1]) - 1
         return (100 - p) * (most + most * 100 // p) // (100 + p)
 
-    def weight(self, domain: int) -> tuple[int, int]:
-        """Total weight of the segments, and the weight in which sets that link agree at least."""
+    def weight(self, domain: int) -> tuple[int, int, int]:
+        """Total weight of the segments, and the weights of empty subsets and of crowded buckets from which on a set takes part in them.
+
+        Sets that link agree in all that goes beyond the elements in which they differ: at least one segment more than both
+        may leave out.
+        """
         h = self.differ(domain)
-        agree = 1 if h == 0 else 2 + h // 64
-        return h + agree, agree
+        empty, crowded = (1, 1) if h == 0 else (2 + h // 64, 1 + h // 16)
+        return h + empty + crowded - 1, empty, crowded
 
 
 @cache
@@ -138,7 +146,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, domains: np.ndarray, bands:
     flat = flat[np.repeat(all_starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     each = {int(d): (plan.get(int(d), np.ones(GROUPS, np.int64)), *bands.weight(int(d))) for d in np.unique(own_domain)}
     m = np.array([segments_of(each[int(d)][1], each[int(d)][0]) for d in own_domain], np.int64)
-    agree = np.array([each[int(d)][2] for d in own_domain], np.int64)
+    least = np.array([each[int(d)][2] for d in own_domain], np.int64)
     base = np.cumsum(m) - m
     row = np.repeat(np.arange(len(some)), n)
     with np.errstate(over="ignore"):
@@ -163,10 +171,12 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, domains: np.ndarray, bands:
         # A set's empty signatures count only where it might meet others in nothing else.
         reached = np.zeros(total, bool)
         reached[segment[empty]] = True
-        may = np.bincount(owner, np.where(reached, weight, 0), len(some)) >= agree
+        may = np.bincount(owner, np.where(reached, weight, 0), len(some)) >= least
         keep = ~empty | may[owner[segment]]
         segment, subset = segment[keep], subset[keep]
-        return mix(mix(salt[segment]) + subset), some[owner[segment]], kind[segment], own_domain[owner[segment]]
+        of = own_domain[owner[segment]]
+        tag = of.astype(np.uint64) << _U(1) | (weight[segment] == 2).astype(np.uint64)
+        return mix(mix(salt[segment]) + subset) & ~_TAG | tag, some[owner[segment]], kind[segment], of
 
 
 def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -184,7 +194,7 @@ def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("small", pa.list_(pa.int64())),
                    ("sketch", pa.list_(pa.int64())), ("domain", pa.int32()), ("cell", pa.int32()), ("sum", pa.int64()), ("number", pa.int64())])
-_SIGNED = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+_SIGNED = pa.schema([("sig", pa.int64()), ("salt", pa.int64()), ("node", pa.int64())])
 _MET = pa.schema([("sig", pa.int64()), ("first", pa.int64()), ("node", pa.int64())])
 
 
@@ -260,7 +270,7 @@ def plan_of(costs: DataFrame, bands: Bands) -> dict[int, np.ndarray]:
 
 
 def _emit(words: int, bands: Bands, plan: dict[int, np.ndarray]):
-    """(signature, node): once for each distinct set of a slice."""
+    """(signature, salt, node): once for each distinct set of a slice; a salt where a slice has very many nodes of a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, size=SLICE):
@@ -277,32 +287,30 @@ def _emit(words: int, bands: Bands, plan: dict[int, np.ndarray]):
             begins = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, int)
             counts = np.diff(np.append(begins, len(sig)))
             many = counts > HOT
-            if many.any():  # a signature of their own for this slice; their first node goes on under the common one
+            salt = np.zeros(len(sig), np.int64)
+            if many.any():  # these meet by themselves; their first node goes on to meet all others
                 lead = begins[many]
-                extra_sig, extra_node = sig[lead], node[lead]
-                with np.errstate(over="ignore"):
-                    local = mix(sig ^ mix(np.full(len(sig), x[0], np.int64).view(np.uint64)))
-                sig = np.where(np.repeat(many, counts), local, sig)
-                sig, node = np.concatenate([sig, extra_sig]), np.concatenate([node, extra_node])
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], schema=_SIGNED)
+                salt[np.repeat(many, counts)] = x[0] | 1
+                sig, salt, node = np.concatenate([sig, sig[lead]]), np.append(salt, np.zeros(len(lead), np.int64)), np.concatenate([node, node[lead]])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(salt), pa.array(node)], schema=_SIGNED)
 
     return arrow_map(run, _SIGNED)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature and node: each node but the first of a signature, with the first."""
-    last_sig = last_first = None
+    """Rows sorted by signature, salt and node: each node but the first of a signature and salt, with the first."""
+    last = last_first = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
-        begins = np.concatenate(([True], sig[1:] != sig[:-1]))
+        sig, salt, node = (batch.column(c).to_numpy() for c in ("sig", "salt", "node"))
+        begins = np.concatenate(([True], (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])))
         at = np.flatnonzero(begins)
         firsts = node[at].copy()
-        if last_sig is not None and sig[0] == last_sig:
+        if last == (sig[0], salt[0]):
             firsts[0] = last_first
         first = firsts[np.cumsum(begins) - 1]
-        last_sig, last_first = sig[-1], first[-1]
+        last, last_first = (sig[-1], salt[-1]), first[-1]
         keep = node != first
         yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(first[keep]), pa.array(node[keep])], schema=_MET)
 
@@ -376,7 +384,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     nodes = materialise(classes.withColumnRenamed("x", "node"), "nodes")
     plan = plan_of(counted, bands)
     named = docs.where("doc_id is not null")
-    met = materialise(dealt(named.select("text").mapInArrow(_emit(words, bands, plan), "sig long, node long"), ["sig"], "node")
+    met = materialise(dealt(named.select("text").mapInArrow(_emit(words, bands, plan), "sig long, salt long, node long"), ["sig", "salt"], "node")
                       .mapInArrow(arrow_map(_meet, _MET), "sig long, first long, node long"), "met")
 
     def informed(pairs: DataFrame, sketch: str) -> DataFrame:
@@ -395,7 +403,15 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     open_ = met_in.groupBy("sig").agg(F.min(F.least("rf", "rn")).alias("lo"), F.max(F.greatest("rf", "rn")).alias("hi")).where("lo <> hi").select("sig")
     inside = met_in.join(open_, "sig")
     members = inside.select("sig", F.col("first").alias("node"), F.col("rf").alias("root")).unionByName(inside.select("sig", "node", F.col("rn").alias("root"))).distinct()
-    members = materialise(members.join(nodes.select("node", "n", "small"), "node"), "members")
+    # A crowded bucket is a property of its signature: sets that link and meet in crowded buckets only have enough of them to take part.
+    members = materialise(members, "members")
+    domain = F.shiftrightunsigned(F.col("sig").bitwiseAND(511), 1).cast("int")
+    crowd = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWDED).select("sig", F.lit(True).alias("crowd"))
+    members = members.join(crowd, "sig", "left").withColumns({"crowd": F.coalesce("crowd", F.lit(False)), "domain": domain})
+    least = F.element_at(F.array(*(F.lit(bands.weight(d)[2]) for d in range(len(bands.starts()) - 1))), F.col("domain") + 1)
+    part = members.where("crowd").groupBy("node", "domain").agg(F.sum(1 + F.col("sig").bitwiseAND(1)).alias("weight")).where(F.col("weight") >= least).select("node", "domain", F.lit(True).alias("part"))
+    members = members.join(part, ["node", "domain"], "left").where(~F.col("crowd") | F.col("part"))
+    members = materialise(members.select("sig", "node", "root").join(nodes.select("node", "n", "small"), "node"), "members")
     a, b = (members.select("sig", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "small"))) for s in "ab")
     rest = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & may_link(
         F.col("na"), F.col("smalla"), F.col("nb"), F.col("smallb"), percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()

@@ -60,6 +60,7 @@ def corpus(seed):
 @pytest.mark.parametrize("words, percent, hot, weights", [(4, 85, 32, None), (5, 80, 2, None), (4, 85, 32, "mixed"), (2, 60, 3, "mixed"), (3, 95, 32, None)])
 def test_components(spark, monkeypatch, words, percent, hot, weights):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "CROWDED", hot // 2)
     if weights:  # skip some kinds of segments and use one-deletion neighbourhoods for others
         mixed = np.array([0, 2, 1, 2, 0, 1, 1, 1] * 2)
         monkeypatch.setattr(jaccard, "plan_of", lambda costs, bands: dict.fromkeys(range(60), mixed))
