@@ -84,3 +84,8 @@ def noise_sigma(coeffs: Column) -> Column:
     """median(|c|)/0.6745 of an array, 1.0 when empty."""
     s = F.sort_array(F.transform(coeffs, lambda c: F.abs(c)))
     return F.when(F.size(s) == 0, 1.0).otherwise(median_sorted(s) / 0.6745)
+
+
+def noise_sigma_of(value: Column) -> Column:
+    """The same as an aggregate over rows: it holds counts of distinct values, never an array of all rows."""
+    return F.coalesce(F.percentile(F.abs(value), 0.5) / 0.6745, F.lit(1.0))

@@ -215,10 +215,9 @@ def shrinkage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def noise_sigma(spark: SparkSession, sf: str) -> DataFrame:
-    """Sigma per day and device: the array form; its groups are one device's day."""
+    """Sigma per day and device: the aggregate form, which holds counts of distinct values and no arrays of rows."""
     s = tables.series(spark, sf).withColumn("day", F.unix_date(F.to_date("ts")))
-    return rounded(s.groupBy("device_id", "day").agg(
-        S.noise_sigma(F.collect_list(F.col("x") - 50.0)).alias("sigma")))
+    return rounded(s.groupBy("device_id", "day").agg(S.noise_sigma_of(F.col("x") - 50.0).alias("sigma")))
 
 
 # --- detection and publishing -----------------------------------------------------------

@@ -85,35 +85,42 @@ class MotionDetector(StatefulProcessor):
 
 
 class IdleTimer(StatefulProcessor):
-    """Reset events of devices that stay idle, fired by event time even when no packet comes."""
+    """Reset events of devices that stay idle, fired by event time even when no packet comes.
+
+    A device that moves keeps its clock going: its timer renews the clock, and gives an event only once the newest state is IDLE.
+    """
 
     def __init__(self, timeout: int):
         self.timeout_ms = timeout * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", "ms bigint")
+        self.clock = handle.getValueState("clock", "ms bigint, newest bigint, moving boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        moving = pdf[pdf["state"] != "IDLE"]
-        if len(moving):
-            newest = int(moving["ts"].astype("datetime64[ms]").astype("int64").max())
-            if not self.clock.exists() or newest > self.clock.get()[0]:
-                self._restart(newest)
+        pdf["_ms"] = pdf["ts"].astype("datetime64[ms]").astype("int64")
+        clock, newest, moving = self.clock.get() if self.clock.exists() else (None, -(2**62), False)
+        last = pdf.sort_values("_ms", kind="stable").iloc[-1]
+        if last["_ms"] >= newest:
+            newest, moving = int(last["_ms"]), bool(last["state"] != "IDLE")
+        seen = pdf.loc[pdf["state"] != "IDLE", "_ms"]
+        if len(seen) and (clock is None or int(seen.max()) > clock):
+            clock = int(seen.max())
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(clock + self.timeout_ms)
+        if clock is not None:
+            self.clock.update((clock, newest, moving))
         return iter(())
 
-    def _restart(self, ms: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.clock.update((ms,))
-        self.handle.registerTimer(ms + self.timeout_ms)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        self.clock.update((at,))
+        _, newest, moving = self.clock.get()
+        self.clock.update((at, newest, moving))
         self.handle.registerTimer(at + self.timeout_ms)
-        yield pd.DataFrame({"device_id": [key[0]], "reset_ts": pd.to_datetime([at], unit="ms", utc=True)})
+        if not moving:
+            yield pd.DataFrame({"device_id": [key[0]], "reset_ts": pd.to_datetime([at], unit="ms", utc=True)})
 
     def close(self) -> None:
         pass

@@ -67,13 +67,18 @@ def test_late_rows_are_left_out(spark):
 
 
 def test_idle_timer_fires_without_packets_of_the_device(spark):
-    s = _states(spark, [(1, 10, 1, "DETECTED", 0.9), (2, 10, 2, "DETECTED", 0.9)], [(2, 100, 3, "DETECTED", 0.9)],
+    s = _states(spark, [(1, 10, 1, "DETECTED", 0.9), (1, 11, 2, "IDLE", 0.1), (2, 10, 2, "DETECTED", 0.9)], [(2, 100, 3, "DETECTED", 0.9)],
                 [(2, 101, 4, "IDLE", 0.1)])
     out = J.run_to_table(spark, J.idle_timer(s, 30), "t6")
     got = rows(out.withColumn("at", F.unix_seconds("reset_ts")), "device_id", "at")
     assert got[:2] == [(1, 40), (1, 70)] and all(d == 1 for d, _ in got)
 
 
+def test_idle_timer_waits_while_a_device_moves(spark):
+    s = _states(spark, [(1, 10, 1, "DETECTED", 0.9)], [(2, 100, 1, "IDLE", 0.1)], [(2, 200, 2, "IDLE", 0.1)])
+    assert J.run_to_table(spark, J.idle_timer(s, 30), "t9").count() == 0
+
+
 def test_active_ticks(spark):
     s = _states(spark, [(1, 0, 1, "IDLE", 0.1), (1, 0, 2, "DETECTED", 0.8)], [(1, 60, 3, "IDLE", 0.2)], [(1, 90, 4, "IDLE", 0.2)])
     out = J.run_to_table(spark, J.active_ticks(s), "t7")
