@@ -97,6 +97,7 @@ def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, target: str,
                     waiting = 0
             if sizes:
                 yield close()
+        enc.clear()
 
     # What the ranges are sampled from goes to the driver: a number, not the text.
     hashed = texts_of(docs, F.xxhash64("text").alias("_hash"))

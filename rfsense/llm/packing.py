@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int | None = 0, wi
                     for column, value in zip(out, (doc, k, start, len(cut), zlib.crc32(cut.tobytes()), cut), strict=False):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        enc.clear()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return texts_of(docs).mapInArrow(arrow_map(run, schema), ddl)

@@ -38,9 +38,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.mapped = dict(enumerate(byte_characters()))
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Empty the cache: at the end of a task, since the worker lives on for other work."""
         self.parts: dict[str, list[int]] = {}
         self.known = pa.array([], pa.string())
         self.starts = self.lengths = np.zeros(0, np.int64)
@@ -66,7 +67,7 @@ class WordEncoder:
         codes, distinct, counts = words_of(pc.fill_null(texts, ""))
         at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(self.known) + int((at < 0).sum()) > CACHE_WORDS and len(self.known):
-            self._clear()
+            self.clear()
             at = np.full(len(distinct), -1)
         if len(new := distinct.filter(pa.array(at < 0))):
             at[at < 0] = len(self.known) + np.arange(len(new))
@@ -86,7 +87,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker, so that tasks after the first find the cache filled."""
+    """One per Python worker: the file is read once."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
