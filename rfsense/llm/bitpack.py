@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rfsense.llm.common import arrow_map, slices, texts_of
+from rfsense.llm.common import arrow_map, give_back, slices, texts_of
 from rfsense.llm.wordbpe import encoder
 
 BLOCK_IDS = 1 << 18
@@ -98,6 +98,7 @@ def write(docs: DataFrame, path: str, vocabulary: int, end_id: int, target: str,
             if sizes:
                 yield close()
         enc.clear()
+        give_back()
 
     # What the ranges are sampled from goes to the driver: a number, not the text.
     hashed = texts_of(docs, F.xxhash64("text").alias("_hash"))

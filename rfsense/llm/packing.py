@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rfsense.llm.common import arrow_map, slices, texts_of
+from rfsense.llm.common import arrow_map, give_back, slices, texts_of
 from rfsense.llm.wordbpe import encoder
 from rfsense.session import materialise
 
@@ -52,6 +52,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int | None = 0, wi
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
         enc.clear()
+        give_back()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return texts_of(docs).mapInArrow(arrow_map(run, schema), ddl)
