@@ -178,9 +178,13 @@ def summary(mdl: DataFrame, normalised: bool = False) -> DataFrame:
         (m < b).alias("inverted"), S.separation_warnings(ratio).alias("warnings"))
 
 
-def status(pairs: DataFrame, mdl: DataFrame) -> DataFrame:
-    """DONE for devices with a model; FAILED with the reason for the others."""
-    counts = pairs.groupBy("device_id").agg(F.min("b_n").alias("baseline_samples"), F.min("m_n").alias("movement_samples"))
+def status(stats: DataFrame, mdl: DataFrame) -> DataFrame:
+    """DONE for devices with a model; FAILED with the reason for all others that have rows of either phase."""
+    def samples(phase: str) -> Column:
+        return F.coalesce(F.min(F.when(F.col("phase") == phase, F.col("n"))), F.lit(0))
+
+    counts = stats.groupBy("device_id").agg(
+        samples("BASELINE").alias("baseline_samples"), samples("MOVEMENT").alias("movement_samples"))
     done = mdl.select("device_id").distinct().withColumn("_ok", F.lit(True))
     few = ((F.col("baseline_samples") < K.MIN_CALIBRATION_ROWS)
            | (F.col("movement_samples") < K.MIN_CALIBRATION_ROWS))

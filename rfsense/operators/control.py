@@ -48,6 +48,7 @@ def validate(messages: DataFrame, message: str = "message") -> DataFrame:
     # Whole-number settings drop the fraction before the range test.
     number = F.when(kind == "int", F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")).otherwise(value)
     numeric = kind.isin("int", "float")
+    # The other error texts.
     error = (
         F.when(F.col(message).isNull() | malformed, "ERROR: Invalid JSON")
         .when(F.col("cmd").isNull(), "ERROR: Missing 'cmd' field")
@@ -174,10 +175,15 @@ def stats_report(rows: DataFrame, history: DataFrame, score: str = "score", n: i
         F.when(~enough, F.format_string("ERROR: Need at least 50 samples (have %d)", F.col("count"))).alias("error"))
 
 
-def info_report(history: DataFrame) -> DataFrame:
-    """Current settings of a device as one JSON document."""
+def info_report(history: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+    """Current settings of a device as one JSON document.
+
+    Of ``devices`` (any rows with a ``device_id``) those without an accepted setting report the defaults.
+    """
     on = lambda c: (F.col(c) > 0).alias(c)
     cur = history.where(F.col("valid_to").isNull())
+    if devices is not None:
+        cur = devices.select("device_id").distinct().join(cur, "device_id", "left").fillna(dict(K.CONFIG_DEFAULTS.values()))
     return cur.select("device_id", F.to_json(F.struct(
         F.struct("threshold", F.col("debounce_count").cast("int").alias("debounce"),
                  F.col("persistence_timeout").cast("int").alias("persistence_timeout"),

@@ -74,45 +74,74 @@ def best_range(scored: DataFrame, widths: tuple[int, ...] = (30, 35, 40, 45, 50)
 MAX_OPEN = 256
 
 
-def covariance(packets: DataFrame, phase: str = "MOVEMENT") -> DataFrame:
-    """Sample covariance of subcarrier amplitudes, entries i <= j, per device.
+Moments = tuple[int, np.ndarray, np.ndarray]  # count, means, centred products
+
+
+def _moments(x: np.ndarray) -> Moments:
+    mean = x.mean(axis=0)
+    return len(x), mean, (x - mean).T @ (x - mean)
+
+
+def _merged(p: Moments, q: Moments) -> Moments:
+    n, d = p[0] + q[0], q[1] - p[1]
+    return n, p[1] + d * (q[0] / n), p[2] + q[2] + np.outer(d, d) * (p[0] * q[0] / n)
+
+
+def pair_covariance(packets: DataFrame, phase: str = "MOVEMENT") -> DataFrame:
+    """Sample covariance of subcarrier amplitudes, entries i <= j, per device, and the number of packets behind each.
 
-    Every task adds its packets' centred outer products into one matrix per device, so only
-    matrices travel, never subcarrier pairs of single packets.
+    A packet counts for every pair of subcarriers it has, whatever its length; empty packets have none. Every task
+    keeps count, means and centred products per device and packet length in one pass, and only these travel. What the
+    means of different tasks differ by is added as plain sums, which is exact enough for amplitudes of a fixed range.
     """
     rows = packets.where(F.col("phase") == phase).select(
-        "device_id", Q.amplitude_array(F.col("iq").cast("array<int>")).alias("a"))
-    centre = (
-        rows.select("device_id", F.posexplode("a").alias("sc", "v")).groupBy("device_id", "sc")
-        .agg(F.avg("v").alias("mu")).groupBy("device_id")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("sc", "mu"))), lambda s: s["mu"]).alias("mu"))
-    )
-    joined = rows.join(centre, "device_id").where(F.size("a") == F.size("mu"))
+        F.col("device_id").alias("d"), Q.amplitude_array(F.col("iq").cast("array<int>")).alias("a")).where(F.size("a") > 0)
 
-    def flush(acc: dict) -> pd.DataFrame:
-        out = [(d, i, float(n), m[i].tolist()) for d, (n, m) in acc.items() for i in range(len(m))]
-        return pd.DataFrame(out, columns=["device_id", "i", "n", "sums"])
+    def flush(acc: dict, key: pa.DataType) -> pa.RecordBatch:
+        out = [(d, i, float(n), mean[i], mean[i:], m[i, i:]) for (d, _), (n, mean, m) in acc.items() for i in range(len(mean))]
+        doubles = pa.list_(pa.float64())
+        types = (key, pa.int32(), pa.float64(), pa.float64(), doubles, doubles)
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["d", "i", "n", "mi", "means", "sums"])
 
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict = {}
-        for pdf in batches:
-            for d, g in pdf.groupby("device_id"):
-                x = np.stack(g["a"].to_numpy()) - np.asarray(g["mu"].iloc[0])
-                n, m = acc.get(d, (0, 0.0))
-                acc[d] = (n + len(x), m + x.T @ x)
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.schema.field("d").type
+            ids, a = batch.column("d").dictionary_encode(null_encoding="encode"), batch.column("a")
+            codes, devices = ids.indices.to_numpy(zero_copy_only=False), ids.dictionary.to_pylist()
+            offsets, flat = a.offsets.to_numpy(), a.values.to_numpy(zero_copy_only=False)
+            lengths = np.diff(offsets)
+            order = np.lexsort((lengths, codes))
+            new = (np.diff(codes[order]) != 0) | (np.diff(lengths[order]) != 0)
+            for same in np.split(order, np.flatnonzero(new) + 1):
+                group, n = (devices[codes[same[0]]], int(lengths[same[0]])), int(lengths[same[0]])
+                now = _moments(flat[offsets[same][:, None] + np.arange(n)])
+                acc[group] = _merged(acc[group], now) if group in acc else now
             if len(acc) > MAX_OPEN:
-                yield flush(acc)
+                yield flush(acc, key)
                 acc = {}
         if acc:
-            yield flush(acc)
+            yield flush(acc, key)
 
-    parts = joined.mapInPandas(gram, "device_id bigint, i int, n double, sums array<double>")
-    return (
-        parts.select("device_id", "i", "n", F.posexplode("sums").alias("j", "s")).where("i <= j")
-        .groupBy("device_id", "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-        .where(F.col("n") > 1)
-        .select("device_id", "i", "j", (F.col("s") / (F.col("n") - 1)).alias("cov"))
-    )
+    kind = rows.schema["d"].dataType.simpleString()
+    parts = rows.mapInArrow(gram, f"d {kind}, i int, n double, mi double, means array<double>, sums array<double>")
+    each = parts.select("d", "i", "n", "mi", F.posexplode(F.arrays_zip("means", "sums")).alias("k", "p"))
+    n, x, y = F.col("n"), F.col("mi"), F.col("p.means")
+    total = each.groupBy(F.col("d").alias("device_id"), "i", (F.col("i") + F.col("k")).alias("j")).agg(
+        F.sum(n).alias("n"), F.sum("p.sums").alias("_in"), F.sum(n * x).alias("_x"), F.sum(n * y).alias("_y"),
+        F.sum(n * x * y).alias("_xy"))
+    between = F.col("_xy") - F.col("_x") * F.col("_y") / n
+    return total.where(n > 1).select("device_id", "i", "j", ((F.col("_in") + between) / (n - 1)).alias("cov"),
+                                     n.cast("long").alias("packets"))
+
+
+def covariance(packets: DataFrame, phase: str = "MOVEMENT") -> DataFrame:
+    """Sample covariance of subcarrier amplitudes, entries i <= j, per device."""
+    return pair_covariance(packets, phase).drop("packets")
 
 
 def power_iteration(m: np.ndarray, iterations: int = 50) -> tuple[float, np.ndarray]:
@@ -145,12 +174,13 @@ def pca(cov: DataFrame, components: int = 6) -> DataFrame:
             pct = value / trace * 100.0 if trace else 0.0
             cum += pct
             below = c + 1 if cum < 95.0 else below
-            out.append((int(pdf["device_id"].iloc[0]), c + 1, value, pct, cum, v.tolist()))
+            out.append((pdf["device_id"].iloc[0], c + 1, value, pct, cum, v.tolist()))
         res = pd.DataFrame(out, columns=["device_id", "pc", "eigenvalue", "explained_pct", "cumulative_pct", "loadings"])
         return res.assign(components_for_95=below)
 
+    key = cov.schema["device_id"].dataType.simpleString()
     return cov.groupBy("device_id").applyInPandas(
-        solve, "device_id bigint, pc int, eigenvalue double, explained_pct double, cumulative_pct double, "
+        solve, f"device_id {key}, pc int, eigenvalue double, explained_pct double, cumulative_pct double, "
                "loadings array<double>, components_for_95 int")
 
 

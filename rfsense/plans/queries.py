@@ -371,7 +371,14 @@ def calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def calibration_status(spark: SparkSession, sf: str) -> DataFrame:
     c = _calibration(spark, sf)
-    return C.status(c.pairs, c.model)
+    return C.status(c.stats, c.model)
+
+
+@query
+def calibration_status_partial(spark: SparkSession, sf: str) -> DataFrame:
+    """With one device that never moved."""
+    c = L.calibrate(features(tables.packets(spark, sf).where("not (device_id = 2 and phase = 'MOVEMENT')")))
+    return C.status(c.stats, c.model)
 
 
 @query
@@ -529,6 +536,12 @@ def covariance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.covariance(tables.packets(spark, sf)))
 
 
+@query
+def covariance_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Over packets of three lengths."""
+    return rounded(X.pair_covariance(mixed_packets(spark, sf)))
+
+
 @query
 def pca(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.pca(X.covariance(tables.packets(spark, sf))).drop("loadings"))
@@ -649,7 +662,7 @@ def status_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def info_reports(spark: SparkSession, sf: str) -> DataFrame:
-    j = M.info_report(_history(spark, sf))
+    j = M.info_report(_history(spark, sf), tables.commands(spark, sf))
     schema = ("detection STRUCT<threshold DOUBLE, debounce INT, persistence_timeout INT, hysteresis_ratio DOUBLE>, "
               "traffic_generator_rate INT, filters STRUCT<hampel_enabled BOOLEAN, wavelet_level INT>, "
               "features STRUCT<csi_logs_enabled BOOLEAN>")
@@ -694,7 +707,7 @@ def stream_series_detections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_packet_rate(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_table(spark, J.packet_rate(_packet_stream(spark, sf)), "stream_rate")
+    out = J.run_to_latest(spark, J.packet_rate(_packet_stream(spark, sf)), ("device_id", "second"), "stream_rate")
     return out.select("device_id", F.unix_seconds("second").alias("second"), "received")
 
 

@@ -20,6 +20,11 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
             .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
 
 
+def _key(df: DataFrame) -> str:
+    """The device column with the type it has in the input."""
+    return f"device_id {df.schema['device_id'].dataType.simpleString()}"
+
+
 def detections(packets: DataFrame, threshold: float = 0.5, debounce: int = 10, persistence: int = 3,
                delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS) -> DataFrame:
     """State, confidence and publish flag of every packet; the only shuffle is by device.
@@ -29,7 +34,7 @@ def detections(packets: DataFrame, threshold: float = 0.5, debounce: int = 10, p
     feats = stateless(packets, ("variance", "iqr", "spatial_gradient"), *K.SUBCARRIER_RANGE)
     return feats.groupBy("device_id").transformWithStateInPandas(
         MotionDetector(debounce_machine(debounce, persistence), gate_machine(delta, heartbeat_ms), threshold),
-        outputStructType="device_id bigint, ts timestamp, seq bigint, score double, state string, "
+        outputStructType=f"{_key(packets)}, ts timestamp, seq bigint, score double, state string, "
                          "confidence double, published boolean, late bigint",
         outputMode="append", timeMode="none")
 
@@ -39,7 +44,7 @@ def debounced(scored: DataFrame, threshold: float, debounce: int = 10, persisten
     rows = scored.select("device_id", "ts", "seq", "score", (F.col("score") > threshold).alias("above"))
     return rows.groupBy("device_id").transformWithStateInPandas(
         MachineProcessor(debounce_machine(debounce, persistence), ("score",)),
-        outputStructType="device_id bigint, ts timestamp, seq bigint, score double, state string, downgraded boolean",
+        outputStructType=f"{_key(scored)}, ts timestamp, seq bigint, score double, state string, downgraded boolean",
         outputMode="append", timeMode="none")
 
 
@@ -47,7 +52,7 @@ def gated(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int =
     """Publish flags of a state stream."""
     return states.select("device_id", "ts", "seq", "state", "score").groupBy("device_id").transformWithStateInPandas(
         MachineProcessor(gate_machine(delta, heartbeat_ms), ("state", "score")),
-        outputStructType="device_id bigint, ts timestamp, seq bigint, state string, score double, published boolean",
+        outputStructType=f"{_key(states)}, ts timestamp, seq bigint, state string, score double, published boolean",
         outputMode="append", timeMode="none")
 
 
@@ -55,7 +60,7 @@ def idle_resets(states: DataFrame, timeout: int) -> DataFrame:
     """Reset flags per row of a state stream."""
     return states.select("device_id", "ts", "seq", "state").groupBy("device_id").transformWithStateInPandas(
         MachineProcessor(idle_reset_machine(timeout), ("state",)),
-        outputStructType="device_id bigint, ts timestamp, seq bigint, state string, reset boolean, epoch bigint",
+        outputStructType=f"{_key(states)}, ts timestamp, seq bigint, state string, reset boolean, epoch bigint",
         outputMode="append", timeMode="none")
 
 
@@ -63,19 +68,22 @@ def idle_timer(states: DataFrame, timeout: int, lateness: str = "10 seconds") ->
     """Reset events by event-time timer, also for silent devices."""
     return states.withWatermark("ts", lateness).select("device_id", "ts", "state").groupBy(
         "device_id").transformWithStateInPandas(
-        IdleTimer(timeout), outputStructType="device_id bigint, reset_ts timestamp",
+        IdleTimer(timeout), outputStructType=f"{_key(states)}, reset_ts timestamp",
         outputMode="append", timeMode="eventTime")
 
 
 def packet_rate(packets: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """Packets per device and second, given once a second can get no more rows."""
+    """Packets per device and second.
+
+    In append mode a second is given once it can get no more rows; in update mode at once, and again as it grows.
+    """
     return (packets.withWatermark("ts", lateness).groupBy("device_id", F.window("ts", "1 second").alias("w"))
             .agg(F.count(F.lit(1)).alias("received"))
             .select("device_id", F.col("w.start").alias("second"), "received"))
 
 
 def active_ticks(states: DataFrame, period: str = "1 second", lateness: str = "10 seconds") -> DataFrame:
-    """Latest values of every tick that had a packet."""
+    """Latest values of every tick that had a packet; modes as in ``packet_rate``."""
     newest = F.struct("ts", "seq")
     return (states.withWatermark("ts", lateness).groupBy("device_id", F.window("ts", period).alias("w"))
             .agg(F.max_by("state", newest).alias("state"), F.max_by("score", newest).alias("score"))
@@ -95,3 +103,23 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, fmt: str = "
          .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
     return spark.read.schema(stream.schema).format(fmt).load(f"{base}/out")
+
+
+def run_to_latest(spark: SparkSession, stream: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """Process what is there now in update mode; the newest row of every key, also of windows that are still open.
+
+    Each micro-batch writes a folder of its own, which a repeated one replaces.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    base = workdir(spark, name)
+    spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(-1).cast("long")).write.parquet(f"{base}/out/none")
+
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{base}/out/{batch}")
+
+    q = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).foreachBatch(save).start())
+    q.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    newest = spark.read.parquet(f"{base}/out/*").groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
+    return newest.select(*keys, "_r.*").select(*stream.columns)

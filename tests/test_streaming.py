@@ -38,6 +38,19 @@ def test_detections_over_many_batches(spark, packet_files):
     assert rows(out, "device_id", "seq", "published") == rows(gate, "device_id", "seq", "published")
 
 
+def test_rate_gives_every_second(spark, packet_files):
+    out = J.run_to_latest(spark, J.packet_rate(read(spark, packet_files)), ("device_id", "second"), "t10")
+    batch = tables.packets(spark, SF).groupBy("device_id", F.date_trunc("second", "ts").alias("second")).count()
+    assert rows(out, "device_id", "second", "received") == rows(batch, "device_id", "second", "count")
+
+
+def test_detections_of_text_ids(spark, packet_files):
+    named = read(spark, packet_files).withColumn("device_id", F.concat(F.lit("d"), "device_id"))
+    out = J.run_to_table(spark, J.detections(named, 0.53, 2, 1), "t11")
+    batch = L.motion_detections(tables.packets(spark, SF), 0.53, 2, 1).withColumn("device_id", F.concat(F.lit("d"), "device_id"))
+    assert rows(out, "device_id", "seq", "state") == rows(batch, "device_id", "seq", "state")
+
+
 def test_machines_over_many_batches(spark, packet_files):
     batch = L.motion_detections(tables.packets(spark, SF), 0.53, 2, 1).select("device_id", "ts", "seq", "score", "state")
     path = workdir(spark, "scored")
