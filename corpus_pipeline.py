@@ -12,22 +12,31 @@ from rfsense.session import ship, workdir
 
 MASK = "[SECRET]"
 
+BATCH_BYTES = 4 << 20
+"""Bytes of an Arrow batch between executor and Python worker; 10,000 rows of whole texts would be many times that."""
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Called by every stage: what it returns is run later, under the session's settings."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    ship(spark)
+    _prepare(spark)
     return quality.accepted(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five words, similarity 0.8 or more) the document with the least id."""
-    ship(spark)
+    _prepare(spark)
     return jaccard.deduplicated(docs, 5, 80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts masked and ``n_chars`` counted again where one was."""
-    ship(spark)
+    _prepare(spark)
     columns = docs.columns
     rest = tuple(c for c in columns if c not in ("doc_id", "text"))
     prefix = "_" * (1 + max(len(c) for c in columns))  # longer than any name there is
@@ -38,7 +47,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 2048 tokens."""
-    ship(spark)
+    _prepare(spark)
     return packing.packed(docs, WORD_BPE, 2048, 0)
 
 
@@ -52,7 +61,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again as the next one's documents."""
-    ship(spark)
+    _prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = workdir(spark, name.replace(" ", "-"))
