@@ -689,19 +689,19 @@ def _series_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_detections(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_table(spark, J.detections(_packet_stream(spark, sf), 0.53, 2, 1), "stream_detections")
+    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, end=end), "stream_detections")
     return rounded(out.select("device_id", "seq", us("ts"), "score", "state", "confidence"))
 
 
 @query
 def stream_publish(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_table(spark, J.detections(_packet_stream(spark, sf), 0.53, 2, 1, heartbeat_ms=500), "stream_publish")
+    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, heartbeat_ms=500, end=end), "stream_publish")
     return out.select("device_id", "seq", "state", "published")
 
 
 @query
 def stream_series_detections(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_table(spark, J.debounced(_series_stream(spark, sf), 0.53, 2, 6 * HOUR), "stream_series")
+    out = J.run_to_end(spark, lambda end: J.debounced(_series_stream(spark, sf), 0.53, 2, 6 * HOUR, end=end), "stream_series")
     return out.select("device_id", "seq", "state")
 
 

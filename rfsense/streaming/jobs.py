@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from rfsense.session import ROCKSDB, workdir
 from rfsense.sources import capture_log
 from rfsense.streaming.processors import IdleTimer, MachineProcessor, MotionDetector
 
+END = "9999-01-01 00:00:00"
+"""Time of the row that ends an input."""
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 100) -> DataFrame:
     """A table folder read as a stream."""
@@ -25,43 +30,55 @@ def _key(df: DataFrame) -> str:
     return f"device_id {df.schema['device_id'].dataType.simpleString()}"
 
 
+def _within(rows: DataFrame, lateness: str, end: DataFrame | None) -> DataFrame:
+    """Rows under a watermark, with a ``ts`` that Spark does not drop late rows by: the processors count them.
+
+    The row of ``end`` (see ``run_to_end``) moves the watermark and goes no further. Rows without ``ts`` have no place in the order.
+    """
+    if end is not None:
+        rows = rows.unionByName(end, allowMissingColumns=True)
+    return rows.withWatermark("ts", lateness).where(F.col("ts") < F.lit(END).cast("timestamp")).withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
+
+
 def detections(packets: DataFrame, threshold: float = 0.5, debounce: int = 10, persistence: int = 3,
-               delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS) -> DataFrame:
+               delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, lateness: str = "10 seconds",
+               end: DataFrame | None = None) -> DataFrame:
     """State, confidence and publish flag of every packet; the only shuffle is by device.
 
-    Rows older than the newest processed row of their device are left out and counted in ``late``.
+    A packet is given once the watermark has passed it, whatever the order of files within ``lateness``. Packets older than
+    the newest one given of their device are left out and counted in ``late``.
     """
     feats = stateless(packets, ("variance", "iqr", "spatial_gradient"), *K.SUBCARRIER_RANGE)
-    return feats.groupBy("device_id").transformWithStateInPandas(
+    return _within(feats, lateness, end).groupBy("device_id").transformWithStateInPandas(
         MotionDetector(debounce_machine(debounce, persistence), gate_machine(delta, heartbeat_ms), threshold),
         outputStructType=f"{_key(packets)}, ts timestamp, seq bigint, score double, state string, "
                          "confidence double, published boolean, late bigint",
-        outputMode="append", timeMode="none")
+        outputMode="append", timeMode="eventTime")
 
 
-def debounced(scored: DataFrame, threshold: float, debounce: int = 10, persistence: int = 3) -> DataFrame:
-    """States of a scored stream."""
+def debounced(scored: DataFrame, threshold: float, debounce: int = 10, persistence: int = 3, lateness: str = "10 seconds", end: DataFrame | None = None) -> DataFrame:
+    """States of a scored stream; order and late rows as in ``detections``."""
     rows = scored.select("device_id", "ts", "seq", "score", (F.col("score") > threshold).alias("above"))
-    return rows.groupBy("device_id").transformWithStateInPandas(
-        MachineProcessor(debounce_machine(debounce, persistence), ("score",)),
+    return _within(rows, lateness, end).groupBy("device_id").transformWithStateInPandas(
+        MachineProcessor(debounce_machine(debounce, persistence), "score double, above boolean", ("score",)),
         outputStructType=f"{_key(scored)}, ts timestamp, seq bigint, score double, state string, downgraded boolean",
-        outputMode="append", timeMode="none")
+        outputMode="append", timeMode="eventTime")
 
 
-def gated(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS) -> DataFrame:
-    """Publish flags of a state stream."""
-    return states.select("device_id", "ts", "seq", "state", "score").groupBy("device_id").transformWithStateInPandas(
-        MachineProcessor(gate_machine(delta, heartbeat_ms), ("state", "score")),
+def gated(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, lateness: str = "10 seconds", end: DataFrame | None = None) -> DataFrame:
+    """Publish flags of a state stream; order and late rows as in ``detections``."""
+    return _within(states.select("device_id", "ts", "seq", "state", "score"), lateness, end).groupBy("device_id").transformWithStateInPandas(
+        MachineProcessor(gate_machine(delta, heartbeat_ms), "state string, score double", ("state", "score")),
         outputStructType=f"{_key(states)}, ts timestamp, seq bigint, state string, score double, published boolean",
-        outputMode="append", timeMode="none")
+        outputMode="append", timeMode="eventTime")
 
 
-def idle_resets(states: DataFrame, timeout: int) -> DataFrame:
-    """Reset flags per row of a state stream."""
-    return states.select("device_id", "ts", "seq", "state").groupBy("device_id").transformWithStateInPandas(
-        MachineProcessor(idle_reset_machine(timeout), ("state",)),
+def idle_resets(states: DataFrame, timeout: int, lateness: str = "10 seconds", end: DataFrame | None = None) -> DataFrame:
+    """Reset flags per row of a state stream; order and late rows as in ``detections``."""
+    return _within(states.select("device_id", "ts", "seq", "state"), lateness, end).groupBy("device_id").transformWithStateInPandas(
+        MachineProcessor(idle_reset_machine(timeout), "state string", ("state",)),
         outputStructType=f"{_key(states)}, ts timestamp, seq bigint, state string, reset boolean, epoch bigint",
-        outputMode="append", timeMode="none")
+        outputMode="append", timeMode="eventTime")
 
 
 def idle_timer(states: DataFrame, timeout: int, lateness: str = "10 seconds") -> DataFrame:
@@ -95,16 +112,30 @@ def capture(packets: DataFrame, enabled: bool = True) -> DataFrame:
     return capture_log.render(packets, enabled)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """Process what is there now into a table in the shared folder and read it back."""
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, fmt: str = "parquet", base: str | None = None) -> DataFrame:
+    """Process what is there now into a table in the shared folder and read it back; a run with the ``base`` of another goes on from it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    base = workdir(spark, name)
+    base = base or workdir(spark, name)
     q = (stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
     return spark.read.schema(stream.schema).format(fmt).load(f"{base}/out")
 
 
+def run_to_end(spark: SparkSession, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """A job over an input that ends: all there is now, then one row of time ``END``, which lets go what waits for the watermark.
+
+    ``job`` gets the stream of that row, to pass on as ``end``. A live stream has none; its last rows wait until later ones
+    move the watermark on.
+    """
+    ends, base = workdir(spark, f"{name}-end"), workdir(spark, name)
+    spark.createDataFrame([], "ts timestamp").write.parquet(ends)
+    stream = job(spark.readStream.schema("ts timestamp").parquet(ends))
+    run_to_table(spark, stream, name, base=base)
+    spark.range(1).select(F.lit(END).cast("timestamp").alias("ts")).write.mode("append").parquet(ends)
+    return run_to_table(spark, stream, name, base=base)
+
+
 def run_to_latest(spark: SparkSession, stream: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
     """Process what is there now in update mode; the newest row of every key, also of windows that are still open.
 

@@ -1,7 +1,8 @@
 """Stateful processors, one state row per device.
 
 The sequential machines of the batch side take a state and give one back, so the same code
-runs here with the state kept between micro-batches.
+runs here with the state kept between micro-batches. Rows wait in the state until the watermark has passed them, so
+the order in which files and micro-batches bring them does not matter within the tolerance of the watermark.
 """
 
 from __future__ import annotations
@@ -16,72 +17,112 @@ from rfsense import constants as K
 from rfsense.operators.online import PacketDetector
 from rfsense.operators.scan import Machine
 
+NEVER = -(2**62)
 
-def in_order(rows: Iterator[pd.DataFrame], last_us: int) -> tuple[pd.DataFrame, int]:
-    """The device's rows of this batch in order, and how many came too late to be used."""
-    pdf = pd.concat(list(rows), ignore_index=True)
-    pdf["_us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
-    late = int((pdf["_us"] < last_us).sum())
-    if late:
-        pdf = pdf[pdf["_us"] >= last_us]
-    return pdf.sort_values(["_us", "seq"], kind="stable", ignore_index=True), late
+PUT_ROWS = 1000
+"""Rows handed to the state store in one message."""
 
 
-class MachineProcessor(StatefulProcessor):
-    """Runs a batch machine over the stream; ``prepare`` adds the columns the machine reads."""
+def plain(values: pd.Series) -> list:
+    """Python values for the state store; what is missing is None."""
+    return [list(map(int, v)) if isinstance(v, np.ndarray) else None if v is None or v is pd.NA or v != v else v for v in values.tolist()]
 
-    def __init__(self, machine: Machine, passthrough: tuple[str, ...]):
-        self.machine, self.passthrough = machine, passthrough
+
+class OrderedProcessor(StatefulProcessor):
+    """Holds a device's rows until the watermark has passed them, then works on them by (ts, seq).
+
+    A row older than the newest one worked on comes too late: it is left out and counted. The state holds the rows of the
+    tolerance and of one micro-batch, which the source's rows per trigger bound.
+    """
+
+    def __init__(self, fields: str, state: str, start: tuple):
+        self.fields, self.state, self.start = fields, state, start
+        self.names = ["_us", "seq", *(f.split()[0] for f in fields.split(", "))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("machine", f"{self.machine.state}, last_us bigint, late bigint")
+        self.handle = handle
+        self.held = handle.getListState("held", f"_us bigint, seq bigint, {self.fields}")
+        self.value = handle.getValueState("machine", f"{self.state}, last_us bigint, late bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.value.get() if self.value.exists() else (*self.machine.start, -(2**62), 0)
-        pdf, late = in_order(rows, known[-2])
-        if len(pdf):
-            pdf["_ms"], pdf["_sec"] = pdf["_us"] // 1000, pdf["_us"] // 1_000_000
-            out, end = self.machine.walk({c: pdf[c].to_numpy() for c in pdf}, tuple(known[:-2]))
-            self.value.update((*end, int(pdf["_us"].iloc[-1]), int(known[-1]) + late))
-            keep = pdf[["device_id", "ts", "seq", *self.passthrough]]
-            yield pd.concat([keep, pd.DataFrame(out)], axis=1)
+        newest = None
+        for pdf in rows:
+            pdf["_us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+            seq = [None if v is None else int(v) for v in plain(pdf["seq"])]
+            found = list(zip(plain(pdf["_us"]), seq, *(plain(pdf[c]) for c in self.names[2:]), strict=True))
+            for at in range(0, len(found), PUT_ROWS):
+                self.held.appendList(found[at:at + PUT_ROWS])
+            if len(pdf):
+                newest = max(int(pdf["_us"].max()), newest if newest is not None else NEVER)
+        if newest is not None:
+            self.handle.registerTimer(newest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.held.get()) if self.held.exists() else []
+        ready = [r for r in held if r[0] < passed]
+        if not ready:
+            return
+        if len(ready) < len(held):
+            rest = [r for r in held if r[0] >= passed]
+            self.held.put(rest[:PUT_ROWS])
+            for at in range(PUT_ROWS, len(rest), PUT_ROWS):
+                self.held.appendList(rest[at:at + PUT_ROWS])
+        else:
+            self.held.clear()
+        *state, last_us, late = self.value.get() if self.value.exists() else (*self.start, NEVER, 0)
+        late = int(late) + sum(r[0] < last_us for r in ready)
+        ready = sorted((r for r in ready if r[0] >= last_us), key=lambda r: (r[0], r[1] is None, r[1] or 0))
+        if not ready:
+            self.value.update((*state, last_us, late))
+            return
+        cols = {c: pd.Series(v, dtype=object).infer_objects() for c, v in zip(self.names, zip(*ready, strict=True), strict=True)}
+        rows = {c: v.to_numpy() for c, v in cols.items()}
+        rows["_ms"], rows["_sec"] = rows["_us"] // 1000, rows["_us"] // 1_000_000
+        out, end = self.work(rows, tuple(state), late)
+        self.value.update((*end, int(rows["_us"][-1]), late))
+        yield pd.DataFrame({"device_id": [key[0]] * len(ready), "ts": pd.to_datetime(rows["_us"], unit="us", utc=True), "seq": cols["seq"], **out})
+
+    def work(self, rows: dict[str, np.ndarray], state: tuple, late: int) -> tuple[dict, tuple]:
+        """Output columns of ordered rows, and the state after them."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class MotionDetector(StatefulProcessor):
+class MachineProcessor(OrderedProcessor):
+    """Runs a batch machine over the stream; the columns ``passthrough`` come along."""
+
+    def __init__(self, machine: Machine, fields: str, passthrough: tuple[str, ...]):
+        super().__init__(fields, machine.state, machine.start)
+        self.machine, self.passthrough = machine, passthrough
+
+    def work(self, rows: dict[str, np.ndarray], state: tuple, late: int) -> tuple[dict, tuple]:
+        out, end = self.machine.walk(rows, state)
+        return {c: rows[c] for c in self.passthrough} | dict(out), end
+
+
+class MotionDetector(OrderedProcessor):
     """Per packet: deltas to the previous packet, moving moments, score, debounced state, publish flag."""
 
     STATE = ("amps array<double>, prev array<int>, first_len int, mode int, consec int, t0 bigint, "
-             "sent boolean, last_ms bigint, last_state string, last_score double, last_us bigint, late bigint")
+             "sent boolean, last_ms bigint, last_state string, last_score double")
 
     def __init__(self, detect: Machine, gate: Machine, threshold: float):
         self.detector, self.gate, self.threshold = PacketDetector(detect, threshold), gate, threshold
+        super().__init__("x array<int>, " + ", ".join(f"{c} double" for c in self.detector.INPUTS), self.STATE,
+                         (*self.detector.start, *gate.start))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("device", self.STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.value.get() if self.value.exists() else (*self.detector.start, *self.gate.start, -(2**62), 0)
-        seen, sent, (last_us, late) = tuple(known[:6]), tuple(known[6:10]), known[10:]
-        pdf, now_late = in_order(rows, last_us)
-        if pdf.empty:
-            return
-        cols = {c: pdf[c].to_numpy() for c in ("x", *self.detector.INPUTS)}
-        cols["_sec"] = (pdf["_us"] // 1_000_000).to_numpy()
-        d, seen = self.detector.step(cols, seen)
-        g, sent = self.gate.walk({"_ms": (pdf["_us"] // 1000).to_numpy(), "state": d["state"], "score": d["score"]}, sent)
-        self.value.update((*seen, *sent, int(pdf["_us"].iloc[-1]), int(late) + now_late))
+    def work(self, rows: dict[str, np.ndarray], state: tuple, late: int) -> tuple[dict, tuple]:
+        seen, sent = state[:6], state[6:]
+        d, seen = self.detector.step(rows, seen)
+        g, sent = self.gate.walk({"_ms": rows["_ms"], "state": d["state"], "score": d["score"]}, sent)
         conf = (np.minimum(1.0, d["score"] / (self.threshold + K.EPS)) if self.threshold > K.EPS
                 else (d["score"] > 0).astype(float))
-        yield pd.DataFrame({
-            "device_id": pdf["device_id"], "ts": pdf["ts"], "seq": pdf["seq"], "score": d["score"], "state": d["state"],
-            "confidence": np.where(d["downgraded"], 0.0, conf), "published": g["published"],
-            "late": int(late) + now_late})
-
-    def close(self) -> None:
-        pass
+        return {"score": d["score"], "state": d["state"], "confidence": np.where(d["downgraded"], 0.0, conf),
+                "published": g["published"], "late": late}, (*seen, *sent)
 
 
 class IdleTimer(StatefulProcessor):

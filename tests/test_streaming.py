@@ -30,7 +30,7 @@ def rows(df, *cols):
 
 
 def test_detections_over_many_batches(spark, packet_files):
-    out = J.run_to_table(spark, J.detections(read(spark, packet_files), 0.53, 2, 1, heartbeat_ms=500), "t1")
+    out = J.run_to_end(spark, lambda end: J.detections(read(spark, packet_files), 0.53, 2, 1, heartbeat_ms=500, end=end), "t1")
     batch = L.motion_detections(tables.packets(spark, SF), 0.53, 2, 1)
     assert rows(out, "device_id", "seq", "score", "state", "confidence") == rows(
         batch, "device_id", "seq", "score", "state", "confidence")
@@ -46,7 +46,7 @@ def test_rate_gives_every_second(spark, packet_files):
 
 def test_detections_of_text_ids(spark, packet_files):
     named = read(spark, packet_files).withColumn("device_id", F.concat(F.lit("d"), "device_id"))
-    out = J.run_to_table(spark, J.detections(named, 0.53, 2, 1), "t11")
+    out = J.run_to_end(spark, lambda end: J.detections(named, 0.53, 2, 1, end=end), "t11")
     batch = L.motion_detections(tables.packets(spark, SF), 0.53, 2, 1).withColumn("device_id", F.concat(F.lit("d"), "device_id"))
     assert rows(out, "device_id", "seq", "state") == rows(batch, "device_id", "seq", "state")
 
@@ -56,11 +56,11 @@ def test_machines_over_many_batches(spark, packet_files):
     path = workdir(spark, "scored")
     for i in range(5):
         batch.where(F.col("seq").between(i * 100, i * 100 + 99)).coalesce(1).write.mode("append").parquet(path)
-    s = J.run_to_table(spark, J.debounced(read(spark, path), 0.53, 2, 1), "t2")
+    s = J.run_to_end(spark, lambda end: J.debounced(read(spark, path), 0.53, 2, 1, end=end), "t2")
     assert rows(s, "device_id", "seq", "state") == rows(batch, "device_id", "seq", "state")
-    g = J.run_to_table(spark, J.gated(read(spark, path)), "t3")
+    g = J.run_to_end(spark, lambda end: J.gated(read(spark, path), end=end), "t3")
     assert rows(g, "device_id", "seq", "published") == rows(D.gate(batch), "device_id", "seq", "published")
-    r = J.run_to_table(spark, J.idle_resets(read(spark, path), 2), "t4")
+    r = J.run_to_end(spark, lambda end: J.idle_resets(read(spark, path), 2, end=end), "t4")
     assert rows(r, "device_id", "seq", "reset", "epoch") == rows(D.idle_resets(batch, 2), "device_id", "seq", "reset", "epoch")
 
 
@@ -74,11 +74,44 @@ def _states(spark, *batches):
 
 
 def test_late_rows_are_left_out(spark):
-    s = _states(spark, [(1, 10, 1, "IDLE", 0.1), (1, 11, 2, "IDLE", 0.5)], [(1, 9, 3, "IDLE", 0.9), (1, 12, 4, "IDLE", 0.5)])
-    out = J.run_to_table(spark, J.gated(s), "t5")
+    # Another device moves the watermark on, which lets the first rows go; the late one comes after that.
+    s = _states(spark, [(1, 10, 1, "IDLE", 0.1), (1, 11, 2, "IDLE", 0.5)], [(2, 20, 5, "IDLE", 0.1)], [(2, 21, 6, "IDLE", 0.1)],
+                [(1, 9, 3, "IDLE", 0.9), (1, 12, 4, "IDLE", 0.5)])
+    out = J.run_to_end(spark, lambda end: J.gated(s, lateness="0 seconds", end=end), "t5").where("device_id = 1")
     assert rows(out, "seq", "published") == [(1, True), (2, True), (4, False)]
 
 
+def test_rows_within_the_tolerance_are_not_late(spark):
+    s = _states(spark, [(1, 10, 1, "IDLE", 0.1), (1, 11, 2, "IDLE", 0.5)], [(1, 9, 3, "IDLE", 0.9), (1, 12, 4, "IDLE", 0.5)])
+    out = J.run_to_end(spark, lambda end: J.gated(s, end=end), "t12")
+    assert rows(out, "seq", "published") == [(1, True), (2, True), (3, True), (4, False)]
+
+
+@pytest.mark.parametrize("order", [reversed, list])
+def test_many_files_in_any_order(spark, order):
+    """125 files over 25 seconds; the tolerance holds them all."""
+    path = workdir(spark, "many")
+    p = tables.packets(spark, SF)
+    for i in order(range(125)):
+        p.where(F.col("seq").between(i * 4, i * 4 + 3)).coalesce(1).write.mode("append").parquet(path)
+    files = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 40).parquet(path)
+    out = J.run_to_end(spark, lambda end: J.detections(files, 0.53, 2, 1, heartbeat_ms=500, lateness="30 seconds", end=end), "t13")
+    batch = D.gate(L.motion_detections(p, 0.53, 2, 1), heartbeat_ms=500)
+    assert rows(out, "device_id", "seq", "state", "published", "late") == rows(batch.withColumn("late", F.lit(0)), "device_id", "seq", "state", "published", "late")
+
+
+def test_late_packets_are_counted(spark):
+    """A file older than the tolerance, after rows that came later were given: its rows are counted in the rows that follow."""
+    path = workdir(spark, "late")
+    p = tables.packets(spark, SF).where("device_id = 0")
+    for low, high in ((200, 299), (300, 399), (400, 449), (0, 19), (450, 499)):
+        p.where(F.col("seq").between(low, high)).coalesce(1).write.mode("append").parquet(path)
+    files = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = J.run_to_end(spark, lambda end: J.detections(files, 0.53, 2, 1, lateness="0 seconds", end=end), "t14")
+    assert out.count() == p.where("seq >= 200").count()
+    assert out.agg(F.max("late")).first()[0] == p.where("seq < 20").count()
+
+
 def test_idle_timer_fires_without_packets_of_the_device(spark):
     s = _states(spark, [(1, 10, 1, "DETECTED", 0.9), (1, 11, 2, "IDLE", 0.1), (2, 10, 2, "DETECTED", 0.9)], [(2, 100, 3, "DETECTED", 0.9)],
                 [(2, 101, 4, "IDLE", 0.1)])
