@@ -53,6 +53,7 @@ def separation_quality(ratio: Column) -> Column:
 
 
 def separation_warnings(ratio: Column) -> Column:
+    # Fixed value: the warning text.
     text = F.format_string(
         "Low separation ratio (%.2f < 2.0) - consider more intense movement", ratio)
     return F.when(ratio < 2.0, F.array(text)).otherwise(F.array().cast("array<string>"))
