@@ -19,10 +19,19 @@ END = "9999-01-01 00:00:00"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """A table folder read as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """A table read as a stream, be it one file or a folder of part files."""
+    path = f"{sf_dir}/{name}.parquet"
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if _is_folder(spark, path):
+        return files.parquet(path)
+    # A stream's path is a folder; the filter holds for names of files only.
+    return files.option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asks the store that Spark reads ``path`` from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
 
 
 def _key(df: DataFrame) -> str:

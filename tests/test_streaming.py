@@ -112,6 +112,21 @@ def test_late_packets_are_counted(spark):
     assert out.agg(F.max("late")).first()[0] == p.where("seq < 20").count()
 
 
+@pytest.fixture(scope="module")
+def folder_tables(spark):
+    """The tables as folders of part files, rows dealt by a hash over more files than two triggers take."""
+    path = workdir(spark, "folders")
+    for name, key in (("embeddings", "vec_id"), ("events", "event_id")):
+        tables.table(spark, SF, name).repartition(400, F.xxhash64(key)).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_folder_tables_give_all_rows(spark, folder_tables):
+    for name in ("embeddings", "events"):
+        out = J.run_to_table(spark, J.stream_table(spark, folder_tables, name), f"folder-{name}")
+        assert out.count() == tables.table(spark, SF, name).count()
+
+
 def test_idle_timer_fires_without_packets_of_the_device(spark):
     s = _states(spark, [(1, 10, 1, "DETECTED", 0.9), (1, 11, 2, "IDLE", 0.1), (2, 10, 2, "DETECTED", 0.9)], [(2, 100, 3, "DETECTED", 0.9)],
                 [(2, 101, 4, "IDLE", 0.1)])
