@@ -687,30 +687,55 @@ def _series_stream(spark: SparkSession, sf: str) -> DataFrame:
     return tables.series_from(J.stream_table(spark, sf, "events"))
 
 
+def _packet_span(spark: SparkSession, sf: str) -> str:
+    return J.span(tables.packets(spark, sf))
+
+
 @query
 def stream_detections(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, end=end), "stream_detections")
+    lateness = _packet_span(spark, sf)
+    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, lateness=lateness, end=end), "stream_detections")
     return rounded(out.select("device_id", "seq", us("ts"), "score", "state", "confidence"))
 
 
 @query
 def stream_publish(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, heartbeat_ms=500, end=end), "stream_publish")
+    lateness = _packet_span(spark, sf)
+    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, heartbeat_ms=500, lateness=lateness, end=end),
+                       "stream_publish")
     return out.select("device_id", "seq", "state", "published")
 
 
 @query
 def stream_series_detections(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_end(spark, lambda end: J.debounced(_series_stream(spark, sf), 0.53, 2, 6 * HOUR, end=end), "stream_series")
+    lateness = J.span(tables.series(spark, sf))
+    out = J.run_to_end(spark, lambda end: J.debounced(_series_stream(spark, sf), 0.53, 2, 6 * HOUR, lateness=lateness, end=end), "stream_series")
     return out.select("device_id", "seq", "state")
 
 
 @query
 def stream_packet_rate(spark: SparkSession, sf: str) -> DataFrame:
-    out = J.run_to_latest(spark, J.packet_rate(_packet_stream(spark, sf)), ("device_id", "second"), "stream_rate")
+    rate = J.packet_rate(_packet_stream(spark, sf), _packet_span(spark, sf))
+    out = J.run_to_latest(spark, rate, ("device_id", "second"), "stream_rate")
     return out.select("device_id", F.unix_seconds("second").alias("second"), "received")
 
 
 @query
 def stream_capture(spark: SparkSession, sf: str) -> DataFrame:
     return J.run_to_table(spark, J.capture(_packet_stream(spark, sf)), "stream_capture", "text")
+
+
+@query
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every device that a stream left out as late, counted against the table."""
+
+    def late(stream: str, table: DataFrame, given: DataFrame, n: F.Column) -> DataFrame:
+        both = table.select("device_id", F.lit(1).alias("received"), F.lit(0).alias("given")).unionByName(
+            given.select("device_id", F.lit(0).alias("received"), n.alias("given")))
+        return both.groupBy("device_id").agg(F.sum("received").alias("received"), (F.sum("received") - F.sum("given")).alias("late")).select(
+            F.lit(stream).alias("stream"), "device_id", "received", "late")
+
+    packets = tables.packets(spark, sf)
+    return (late("detections", packets, stream_detections(spark, sf), F.lit(1))
+            .unionByName(late("packet_rate", packets, stream_packet_rate(spark, sf), F.col("received")))
+            .unionByName(late("series_detections", tables.series(spark, sf), stream_series_detections(spark, sf), F.lit(1))))

@@ -14,8 +14,8 @@ from rfsense.session import ROCKSDB, workdir
 from rfsense.sources import capture_log
 from rfsense.streaming.processors import IdleTimer, MachineProcessor, MotionDetector
 
-END = "9999-01-01 00:00:00"
-"""Time of the row that ends an input."""
+END = "+200000-01-01 00:00:00"
+"""Time of the row that ends an input, far enough for a tolerance of thousands of years."""
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 100) -> DataFrame:
@@ -34,6 +34,13 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
 
 
+def span(table: DataFrame) -> str:
+    """The time from the first to the last row of a table that ends: under this tolerance no row is late, whatever the order of its files."""
+    us = F.unix_micros("ts")
+    first, last = table.where(F.col("ts") < F.lit(END).cast("timestamp")).agg(F.min(us), F.max(us)).first()
+    return f"{0 if first is None else (last - first) // 1_000_000 + 1} seconds"
+
+
 def _key(df: DataFrame) -> str:
     """The device column with the type it has in the input."""
     return f"device_id {df.schema['device_id'].dataType.simpleString()}"

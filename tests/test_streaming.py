@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rfsense.operators import detect as D
 from rfsense.plans import pipelines as L
+from rfsense.plans.queries import QUERIES
 from rfsense.session import workdir
 from rfsense.sources import capture_log, tables
 from rfsense.streaming import jobs as J
@@ -127,6 +128,21 @@ def test_folder_tables_give_all_rows(spark, folder_tables):
         assert out.count() == tables.table(spark, SF, name).count()
 
 
+@pytest.mark.parametrize("stream, batch", [("stream_detections", "motion_detections"), ("stream_publish", None), ("stream_series_detections", None),
+                                           ("stream_packet_rate", None)])
+def test_queries_over_many_files_in_any_order(spark, folder_tables, stream, batch):
+    """With the settings of the queries themselves: four triggers of 100 files give what one trigger gives, or the batch."""
+    got, want = QUERIES[stream](spark, folder_tables), QUERIES[batch or stream](spark, SF)
+    assert rows(got, *got.columns) == rows(want, *got.columns)
+
+
+def test_late_rows_are_given(spark, folder_tables):
+    out = QUERIES["stream_late"](spark, folder_tables)
+    sums = {r["stream"]: (r["n"], r["late"]) for r in out.groupBy("stream").agg(F.sum("received").alias("n"), F.sum("late").alias("late")).collect()}
+    packets, events = tables.packets(spark, SF).count(), tables.series(spark, SF).count()
+    assert sums == {"detections": (packets, 0), "packet_rate": (packets, 0), "series_detections": (events, 0)}
+
+
 def test_idle_timer_fires_without_packets_of_the_device(spark):
     s = _states(spark, [(1, 10, 1, "DETECTED", 0.9), (1, 11, 2, "IDLE", 0.1), (2, 10, 2, "DETECTED", 0.9)], [(2, 100, 3, "DETECTED", 0.9)],
                 [(2, 101, 4, "IDLE", 0.1)])
