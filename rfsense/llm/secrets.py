@@ -2,8 +2,8 @@
 
 Two first-order Markov models over characters are compared by log-likelihood ratio: one of random strings, one of ordinary
 identifiers. Both are trained here, by counting character pairs over all texts: what the fixed patterns find is labelled random,
-every other run of identifier characters is labelled ordinary. A long run whose ratio passes the threshold is a span of kind
-``markov``, unless a fixed pattern has a span there already.
+every other run of identifier characters is labelled ordinary. A long run with a stretch whose ratio passes the threshold is a span
+of kind ``markov``; spans of the fixed patterns are cut out of the runs before, and what remains of a run is a run of its own.
 """
 
 from __future__ import annotations
@@ -113,17 +113,28 @@ def train(docs: DataFrame) -> np.ndarray:
 
 
 def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, str]], min_run: int = MIN_RUN, odds: float = ODDS) -> list[tuple[int, int, str]]:
-    """Runs of at least ``min_run`` characters whose log-likelihood ratio is above ``log(odds)``, clear of ``taken``."""
+    """Runs of at least ``min_run`` characters, clear of ``taken``, in which a stretch as long has a log-likelihood ratio above ``log(odds)``."""
     found = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % min_run, text):
         a, b = m.span()
         at = _CLASS[np.frombuffer(m[0].encode(), np.uint8)]
-        score = ratio[np.concatenate(([0], at[:-1])), at].sum()
-        if score > log(odds) and not any(x < b and a < y for x, y, _ in taken):
+        upto = np.concatenate(([0.0], ratio[np.concatenate(([0], at[:-1])), at].cumsum()))
+        best = (upto[min_run:] - np.minimum.accumulate(upto[:-min_run])).max()
+        if best > log(odds) and not any(x < b and a < y for x, y, _ in taken):
             found.append((a, b, "markov"))
     return found
 
 
+def rest_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int, str]], min_run: int = MIN_RUN, odds: float = ODDS) -> list[tuple[int, int, str]]:
+    """``markov_spans`` of what lies between the spans ``taken``, which come by start."""
+    found, at = [], 0
+    for x, y, _ in [*taken, (len(text), len(text), "")]:
+        if x - at >= min_run:
+            found += [(at + a, at + b, kind) for a, b, kind in markov_spans(text[at:x], ratio, [], min_run, odds)]
+        at = max(at, y)
+    return found
+
+
 _SPANS = pa.schema([("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string()))])
 
 
@@ -156,7 +167,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float
                 text = texts[i].as_py()
                 own = base_spans(text, may[i])
                 if long_run[i]:
-                    own += markov_spans(text, shared.value, own, min_run, odds)
+                    own += rest_spans(text, shared.value, own, min_run, odds)
                 spans[i] = sorted(own, key=lambda s: (s[0], KINDS.index(s[2])))
             columns = {c: cut.column(c) for c in sent.values() if c != "c1" or mask is not None}
             if mask is not None and any(spans):
@@ -174,7 +185,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, min_run: int = MIN_RUN, odds: float
 def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
     out, at = [], 0
     for a, b, _ in spans:
-        if a >= at:
+        if a > at or not out:
             out += [text[at:a], mask]
         at = max(at, b)
     return "".join([*out, text[at:]])
