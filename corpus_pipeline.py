@@ -29,7 +29,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five words, similarity 0.8 or more) the document with the least id."""
+    """Of near duplicates (five words, similarity 0.8 or more) the document with the least id; texts that differ under one id are documents of their own."""
     _prepare(spark)
     return jaccard.deduplicated(docs, 5, 80)
 

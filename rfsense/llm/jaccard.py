@@ -432,7 +432,24 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the least id, once; rows without an id stay."""
+    """The rows of ``docs`` without near duplicates: of each component the document with the least id, once; rows without an id stay.
+
+    Rows that share an id are one document only if they share the text: each text of an id is compared, and stays or goes, by itself.
+    """
+    ident, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    named = docs.where(ident.isNotNull()).select(ident.alias("_id"), text.alias("_text"))
+    if not named.groupBy("_id").agg((F.min("_text") < F.max("_text")).alias("several")).where("several").take(1):
+        return _least_ids(docs, words, percent)
+    # Numbers in the order of the ids, one for each text of an id.
+    numbers = materialise(named.distinct().orderBy("_id", "_text").withColumn("_number", F.monotonically_increasing_id()), "numbers")
+    numbered = docs.withColumns({"_id": ident, "_text": text}).join(numbers, ["_id", "_text"], "left")
+    numbered = numbered.withColumnsRenamed({"doc_id": "_own"}).withColumnsRenamed({"_number": "doc_id"}).drop("_id", "_text")
+    kept = _least_ids(materialise(numbered, "numbered"), words, percent)
+    return kept.drop("doc_id").withColumnsRenamed({"_own": "doc_id"}).select(*(f"`{c}`" for c in docs.columns))
+
+
+def _least_ids(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``deduplicated`` for rows that share their text wherever they share an id."""
     from pyspark.sql import Window
 
     joined = join(docs, words, percent)

@@ -33,6 +33,16 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in by_hand(rows, 5, 80)})
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (1, "", "x"), (2, b + " more", "x"), (3, a, "x"), (None, a, "x"), (0, "c " + b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    kept = stage("n-gram Jaccard join")(spark, docs, SF)
+    assert kept.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, ""), (None, a), (0, "c " + b)], key=str)
+
+
 def test_secrets_are_masked(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     clean = stage("secret scans")(spark, docs, SF01)
