@@ -7,8 +7,9 @@ meet (one signature) and 2 if they may differ by one element (a signature for th
 element left out); with a total weight of H + t, sets that link meet in segments of weight t at least. Weights are
 dealt out by cost: segments whose signatures collide most over all documents are skipped, and paid for by those where
 one-deletion signatures cost least. A set leaves out its signatures of empty subsets unless they weigh t or more: then a pair that
-meets only in empty subsets still meets, and no other pair meets because of them. The same holds, with a weight of its own, for buckets that turn out
-crowded, such as those of a passage that many documents share.
+meets only in empty subsets still meets, and no other pair meets because of them. What remains of t after that, c, is spent on the largest buckets: two
+sets that link meet in buckets that weigh c together, so each leaves its largest ones out, as far as these weigh less than c. Of the buckets they share, the last in
+the common order of sizes stays in both. So long sets that meet others by chance in a few buckets, or share a passage with very many, meet nobody there.
 
 Candidates are filtered by size and by a parity sketch (the bits in which two sketches differ never exceed the elements in which
 the sets differ), and verified on the whole texts. Equal sets are one node. In each bucket the nodes are first
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rfsense.llm.common import arrow_map, components, slices, texts_of, words_of
@@ -39,8 +40,6 @@ CELLS = 64
 """Signed counters that estimate how often the signatures of a kind collide."""
 HOT = 32
 """Nodes of one signature in a slice of documents from which on they are joined among themselves first."""
-CROWDED = 16
-"""Nodes of a bucket from which on it is crowded."""
 BROADCAST_ROWS = 1_000_000
 SLICE = 2 << 20
 """Bytes of text whose sets and signatures a worker holds at a time."""
@@ -105,14 +104,15 @@ class Bands:
         return (100 - p) * (most + most * 100 // p) // (100 + p)
 
     def weight(self, domain: int) -> tuple[int, int, int]:
-        """Total weight of the segments, and the weights of empty subsets and of crowded buckets from which on a set takes part in them.
+        """Total weight of the segments; the weight of empty subsets from which on a set takes part in them; and the weight of the buckets in
+        which two sets that link meet beyond those.
 
-        Sets that link agree in all that goes beyond the elements in which they differ: at least one segment more than both
-        may leave out.
+        Sets that link agree in all that goes beyond the elements in which they differ.
         """
         h = self.differ(domain)
-        empty, crowded = (1, 1) if h == 0 else (2 + h // 64, 1 + h // 16)
-        return h + empty + crowded - 1, empty, crowded
+        empty = 1 if h == 0 else 2 + h // 64
+        shared = max(1 if h < 2 else 2 if h < 8 else 3, 1 + h // 16)
+        return h + empty + shared - 1, empty, shared
 
 
 @cache
@@ -403,18 +403,19 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     open_ = met_in.groupBy("sig").agg(F.min(F.least("rf", "rn")).alias("lo"), F.max(F.greatest("rf", "rn")).alias("hi")).where("lo <> hi").select("sig")
     inside = met_in.join(open_, "sig")
     members = inside.select("sig", F.col("first").alias("node"), F.col("rf").alias("root")).unionByName(inside.select("sig", "node", F.col("rn").alias("root"))).distinct()
-    # A crowded bucket is a property of its signature: sets that link and meet in crowded buckets only have enough of them to take part.
     members = materialise(members, "members")
+    # Every set leaves its largest buckets out, as far as they weigh less than what two sets that link share.
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     domain = F.shiftrightunsigned(F.col("sig").bitwiseAND(511), 1).cast("int")
-    crowd = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWDED).select("sig", F.lit(True).alias("crowd"))
-    members = members.join(crowd, "sig", "left").withColumns({"crowd": F.coalesce("crowd", F.lit(False)), "domain": domain})
-    least = F.element_at(F.array(*(F.lit(bands.weight(d)[2]) for d in range(len(bands.starts()) - 1))), F.col("domain") + 1)
-    part = members.where("crowd").groupBy("node", "domain").agg(F.sum(1 + F.col("sig").bitwiseAND(1)).alias("weight")).where(F.col("weight") >= least).select("node", "domain", F.lit(True).alias("part"))
-    members = members.join(part, ["node", "domain"], "left").where(~F.col("crowd") | F.col("part"))
+    largest = Window.partitionBy("node", "domain").orderBy(F.desc("size"), "sig").rowsBetween(Window.unboundedPreceding, 0)
+    shared = F.element_at(F.array(*(F.lit(bands.weight(d)[2]) for d in range(len(bands.starts()) - 1))), F.col("domain") + 1)
+    members = members.join(sizes, "sig").withColumn("domain", domain)
+    members = members.withColumn("upto", F.sum(1 + F.col("sig").bitwiseAND(1)).over(largest)).where(F.col("upto") >= shared)
     members = materialise(members.select("sig", "node", "root").join(nodes.select("node", "n", "small"), "node"), "members")
     a, b = (members.select("sig", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "small"))) for s in "ab")
     rest = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & may_link(
         F.col("na"), F.col("smalla"), F.col("nb"), F.col("smallb"), percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    rest = materialise(rest, "pairs")  # else each bucket that two sets share would be compared with the stars
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
@@ -434,30 +435,33 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the document with the least id, once; rows without an id stay.
 
-    Rows that share an id are one document only if they share the text: each text of an id is compared, and stays or goes, by itself.
+    Rows that share an id are one document only if they share the text: each text of an id is compared, and stays or goes, by itself. Null and empty texts, and
+    texts without words, are nobody's duplicates, but of such rows with one id and text one stays. All columns come back, whatever their
+    names; an empty table stays empty.
     """
-    ident, text = F.col("doc_id").cast("long"), F.xxhash64("text")
-    named = docs.where(ident.isNotNull()).select(ident.alias("_id"), text.alias("_text"))
-    if not named.groupBy("_id").agg((F.min("_text") < F.max("_text")).alias("several")).where("several").take(1):
-        return _least_ids(docs, words, percent)
+    new = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any name there is
+    ident, text, number, own = (new + c for c in ("id", "text", "number", "own"))
+    keyed = docs.withColumns({ident: F.col("doc_id").cast("long"), text: F.xxhash64("text")})
+    named = keyed.where(F.col(ident).isNotNull()).select(ident, text)
+    if not named.groupBy(ident).agg((F.min(text) < F.max(text)).alias("several")).where("several").take(1):
+        return _least_ids(docs, words, percent, new)
     # Numbers in the order of the ids, one for each text of an id.
-    numbers = materialise(named.distinct().orderBy("_id", "_text").withColumn("_number", F.monotonically_increasing_id()), "numbers")
-    numbered = docs.withColumns({"_id": ident, "_text": text}).join(numbers, ["_id", "_text"], "left")
-    numbered = numbered.withColumnsRenamed({"doc_id": "_own"}).withColumnsRenamed({"_number": "doc_id"}).drop("_id", "_text")
-    kept = _least_ids(materialise(numbered, "numbered"), words, percent)
-    return kept.drop("doc_id").withColumnsRenamed({"_own": "doc_id"}).select(*(f"`{c}`" for c in docs.columns))
+    numbers = materialise(named.distinct().orderBy(ident, text).withColumn(number, F.monotonically_increasing_id()), "numbers")
+    numbered = keyed.join(numbers, [ident, text], "left").withColumnsRenamed({"doc_id": own}).withColumnsRenamed({number: "doc_id"}).drop(ident, text)
+    kept = _least_ids(materialise(numbered, "numbered"), words, percent, new)
+    return kept.drop("doc_id").withColumnsRenamed({own: "doc_id"}).select(*(f"`{c}`" for c in docs.columns))
 
 
-def _least_ids(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``deduplicated`` for rows that share their text wherever they share an id."""
-    from pyspark.sql import Window
-
+def _least_ids(docs: DataFrame, words: int, percent: int, new: str) -> DataFrame:
+    """``deduplicated`` for rows that share their text wherever they share an id. Names that begin with ``new`` are free."""
     joined = join(docs, words, percent)
-    gone = materialise(joined.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    repeated = joined.where("doc_id is not null").groupBy(F.col("doc_id").alias("_many")).count().where("count > 1").select("_many")
+    gone, many, row = (new + c for c in ("gone", "many", "row"))
+    going = materialise(joined.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    left = docs.join(going, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    repeated = joined.where("doc_id is not null").groupBy(F.col("doc_id").alias(many)).count().where("count > 1").select(many)
     if not repeated.take(1):
         return left
-    many = left.join(repeated, F.col("doc_id").cast("long") == F.col("_many"), "left_semi")
-    once = many.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*(f"`{c}`" for c in docs.columns))))).where("_row = 1").drop("_row")
-    return left.join(repeated, F.col("doc_id").cast("long") == F.col("_many"), "left_anti").unionByName(once)
+    again = left.join(repeated, F.col("doc_id").cast("long") == F.col(many), "left_semi")
+    by = Window.partitionBy("doc_id").orderBy(F.xxhash64(*(f"`{c}`" for c in docs.columns)))
+    once = again.withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).drop(row)
+    return left.join(repeated, F.col("doc_id").cast("long") == F.col(many), "left_anti").unionByName(once)

@@ -60,7 +60,6 @@ def corpus(seed):
 @pytest.mark.parametrize("words, percent, hot, weights", [(4, 85, 32, None), (5, 80, 2, None), (4, 85, 32, "mixed"), (2, 60, 3, "mixed"), (3, 95, 32, None)])
 def test_components(spark, monkeypatch, words, percent, hot, weights):
     monkeypatch.setattr(jaccard, "HOT", hot)
-    monkeypatch.setattr(jaccard, "CROWDED", hot // 2)
     if weights:  # skip some kinds of segments and use one-deletion neighbourhoods for others
         mixed = np.array([0, 2, 1, 2, 0, 1, 1, 1] * 2)
         monkeypatch.setattr(jaccard, "plan_of", lambda costs, bands: dict.fromkeys(range(60), mixed))
@@ -115,3 +114,40 @@ def test_deduplicated(spark, odd):
     kept = jaccard.deduplicated(odd, 5, 80)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None], key=str)
+
+
+def test_long_texts_around_one_passage(spark):
+    """Long texts that share a passage meet by chance and link with nothing but their edits; no pairs of the others are compared in full."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(80)]
+    rows = []
+    for i in range(0, 240, 2):
+        own = [f"w{rng.randrange(400)}" for _ in range(rng.choice([700, 1500]))]
+        at = rng.randrange(len(own))
+        text = own[:at] + passage + own[at:]
+        rows += [(i, " ".join(text)), (i + 1, " ".join(edited(rng, text, 4)))]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5, 80).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows, 5, 80)
+
+
+@pytest.mark.parametrize("extra", [0, 12, 40])
+def test_short_texts_around_one_passage(spark, extra):
+    """A third of all short texts holds one passage; some differ from others by a word."""
+    rng = random.Random(extra)
+    passage = [f"p{i}" for i in range(25)]
+    rows = [(i, " ".join([*passage, *(f"w{rng.randrange(60)}" for _ in range(extra))] if i % 3 == 0 else [f"w{rng.randrange(3000)}" for _ in range(30)])) for i in range(450)]
+    rows += [(1000 + i, " ".join(edited(rng, t.split(), 1))) for i, t in rows[:60]]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85).collect()
+    assert sorted(map(tuple, got), key=str) == by_hand(rows, 4, 85)
+
+
+def test_deduplicated_with_names_of_its_own(spark):
+    """Columns of any name come back, also with several texts under one id."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words), (1, words), (2, words + " x"), (2, "another text of its own kind"), (3, None), (3, None), (4, "")]
+    for names in (["_gone", "_many", "_row"], ["_id", "_text", "_number", "_own"], ["__id", "___gone"]):
+        docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+        for some in (docs, docs.where("doc_id <> 2")):
+            kept = jaccard.deduplicated(some, 5, 80)
+            assert kept.columns == some.columns and kept.select(names[0]).distinct().count() == 1
+        assert sorted((r.doc_id, r.text or "") for r in jaccard.deduplicated(docs, 5, 80).collect()) == [(1, words), (2, "another text of its own kind"), (3, ""), (4, "")]
