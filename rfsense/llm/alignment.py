@@ -20,24 +20,28 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rfsense.llm import perfect
-from rfsense.llm.chunks import ChunkTable, Ragged, cut, pack, ragged, unpack
-from rfsense.llm.common import arrow_map, give_back, slices, texts_of
+from rfsense.llm.chunks import LATIN, ChunkTable, Ragged, cut, pack, ragged, runs, sums, unpack
+from rfsense.llm.common import arrow_map, gather, give_back, slices, texts_of
 from rfsense.llm.vectors import dealt, groups
 from rfsense.llm.wordbpe import byte_characters
 from rfsense.session import materialise
 
 MARK = "▁"
-SLICE = 8 << 20
+SLICE = 4 << 20
 """Bytes of text that are aligned together."""
+TOGETHER = 4096
+"""Chunks that go to the first tokenizer in one call."""
 SHARD = 256
 """Distinct pairs of a shard, about."""
 
@@ -58,9 +62,11 @@ class Aligner:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
-        own = {ord(c): b for b, c in enumerate(byte_characters())}
+        self.bare, self.mapped = Tokenizer(self.a.model), dict(enumerate(byte_characters()))
+        own = {ord(c): b for b, c in self.mapped.items()}
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
             self.bytes_a[i] = bytes(own[ord(c)] for c in token)
@@ -71,35 +77,73 @@ class Aligner:
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.lone = self.b.piece_to_id(MARK)
-        self.table = ChunkTable(self._align)
+        self.table, self.strings = ChunkTable(self._align), True
+        # What an id adds to a group's string: another id of its side follows it, or none.
+        self.pieces_a = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"]
+        pieces = [*self.pieces_a, *(f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;")]
+        self.pieces, self.piece_lengths = np.array(pieces, object), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
     def _align(self, chunks: list[str]) -> tuple[list[Ragged], list[str]]:
         """For each chunk its linked pairs in order, how many tokens and groups it has, whether both give its bytes, and its groups as a string."""
-        ids_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        flat_a, n_a = self._first(pa.array(chunks, pa.large_string()))
         ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
         for i in (i for i, c in enumerate(chunks) if c == " "):
             ids_b[i] = [self.lone]
-        (flat_a, n_a), (flat_b, n_b) = ragged(ids_a), ragged(ids_b)
-        name_a, name_b = self.bytes_a, self.bytes_b
-        same = np.fromiter((b"".join([name_a[i] for i in x]) == (raw := c.encode()) == b"".join([name_b[i] for i in y])
-                            and len(raw) > 0 for c, x, y in zip(chunks, ids_a, ids_b, strict=True)), bool, len(chunks))
-        # Chunks whose bytes differ have no tokens here; the documents that hold them have none.
-        n_a, n_b, flat_a, flat_b = n_a * same, n_b * same, flat_a[np.repeat(same, n_a)], flat_b[np.repeat(same, n_b)]
+        flat_b, n_b = ragged(ids_b)
+        raw = "".join(chunks).encode()
+        same = np.ones(len(chunks), bool)
+        if not raw == b"".join([self.bytes_a[i] for i in flat_a.tolist()]) == b"".join([self.bytes_b[i] for i in flat_b.tolist()]):
+            same = np.fromiter((b"".join([self.bytes_a[i] for i in x]) == c.encode() == b"".join([self.bytes_b[i] for i in y])
+                                for c, x, y in zip(chunks, np.split(flat_a, np.cumsum(n_a)[:-1]), ids_b, strict=True)), bool, len(chunks))
+            # Chunks whose bytes differ have no tokens here; the documents that hold them have none.
+            flat_a, flat_b, n_a, n_b = flat_a[np.repeat(same, n_a)], flat_b[np.repeat(same, n_b)], n_a * same, n_b * same
         ends_a, ends_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
+        total = int(ends_a[-1]) if len(ends_a) else 0
+        at_a, at_b = np.zeros(total + 1, np.int64), np.zeros(total + 1, np.int64)
+        at_a[ends_a] = at_b[ends_b] = 1
         # Between two ends that follow each other lies one token of each: a link.
-        ends = np.union1d(ends_a, ends_b)
-        pairs = flat_a[np.searchsorted(ends_a, ends)] << 32 | flat_b[np.searchsorted(ends_b, ends)]
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        is_link, is_group = at_a | at_b, at_a & at_b
+        ends = np.flatnonzero(is_link)
+        upto_a, upto_b = np.cumsum(at_a), np.cumsum(at_b)
+        pairs = flat_a[upto_a[ends] - at_a[ends]] << 32 | flat_b[upto_b[ends] - at_b[ends]]
         chunk_ends = np.concatenate(([0], ends_a))[np.cumsum(n_a)]
-        n_links, n_groups = (np.diff(np.searchsorted(x, chunk_ends, side="right"), prepend=0) for x in (ends, both))
-        last_a, last_b = np.isin(ends_a, both, assume_unique=True).tolist(), np.isin(ends_b, both, assume_unique=True).tolist()
-        text_a, text_b = _joined(flat_a.tolist(), last_a), _joined(flat_b.tolist(), last_b)
-        of = [f"{x}|{y}" for x, y in zip(text_a, text_b, strict=True)]
-        to = np.cumsum(n_groups).tolist()
-        strings = [";".join(of[t - k:t]) for t, k in zip(to, n_groups.tolist(), strict=True)]
+        n_links, n_groups = (np.diff(np.cumsum(x)[chunk_ends], prepend=0) for x in (is_link, is_group))
+        strings = self._strings(flat_a, flat_b, is_group[ends_a] == 1, is_group[ends_b] == 1, n_a, n_b) if self.strings else [""] * len(chunks)
         one = np.ones(len(chunks), np.int64)
         return [(pairs, n_links), (n_a, one), (n_b, one), (n_groups, one), (same.astype(np.int64), one)], strings
 
+    def _first(self, chunks: pa.Array) -> Ragged:
+        """Ids of the first tokenizer. Its pattern cuts Latin chunks where letters, digits and signs meet: their distinct runs go to the model in one call.
+        All others go through the whole pipeline."""
+        plain = pc.match_substring_regex(chunks, f"^ {LATIN}$")
+        codes, parts, counts = runs(chunks.filter(plain), False)
+        names = parts.to_pylist()
+        mapped = [p.encode().decode("latin-1").translate(self.mapped) for p in names]
+        ids = np.array(self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids if mapped else [], np.int64)
+        n = np.diff(np.searchsorted(np.cumsum(self.length_a[ids]), np.cumsum([len(p.encode()) for p in names], dtype=np.int64)) + 1, prepend=0)
+        flat, each = gather(codes, np.cumsum(n) - n, n, ids)
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        rest: list[list[int]] = []
+        for at in range(0, len(others), TOGETHER):
+            rest += [e.ids for e in self.a.encode_batch_fast(others[at:at + TOGETHER], add_special_tokens=False)]
+        flat_rest, n_rest = ragged(rest)
+        own = plain.to_numpy(zero_copy_only=False)
+        size, start = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        size[own], size[~own] = sums(each, counts), n_rest
+        start[own], start[~own] = np.cumsum(size[own]) - size[own], len(flat) + np.cumsum(n_rest) - n_rest
+        return gather(np.arange(len(chunks)), start, size, np.concatenate([flat, flat_rest]))
+
+    def _strings(self, flat_a: np.ndarray, flat_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """The groups of each chunk: ids of the first side joined by commas, a bar, ids of the second, a semicolon between groups."""
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        before_b, before_a = np.searchsorted(group_b, group_a), np.searchsorted(group_a, group_b, side="right")
+        which = np.empty(len(flat_a) + len(flat_b), np.int64)
+        which[np.arange(len(flat_a)) + before_b] = flat_a * 2 + last_a
+        which[np.arange(len(flat_b)) + before_a] = len(self.pieces_a) + flat_b * 2 + last_b
+        whole = "".join(self.pieces[which].tolist())
+        ends = np.concatenate(([0], np.cumsum(self.piece_lengths[which])))[np.cumsum(n_a + n_b)].tolist()
+        return [whole[a:b - 1] if b > a else "" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the table for the chunks of all texts one after another; how many each text has; which texts have tokens. Those without
         have no chunks."""
@@ -115,19 +159,17 @@ class Aligner:
         return self.table.columns[column][0][rows] if len(rows) else np.zeros(0, np.int64)
 
 
-def _joined(ids: list[int], last: list[bool]) -> list[str]:
-    """The ids of each group, joined by commas."""
-    return "".join([f"{i};" if end else f"{i}," for i, end in zip(ids, last, strict=True)]).split(";")[:-1]
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
-def aligner(byte_path: str, piece_path: str) -> Aligner:
-    """One per Python worker."""
+def aligner(byte_path: str, piece_path: str, strings: bool) -> Aligner:
+    """One per Python worker; ``strings``: whether groups are wanted as strings, too."""
     if (byte_path, piece_path) not in _aligners:
         _aligners[byte_path, piece_path] = Aligner(byte_path, piece_path)
-    return _aligners[byte_path, piece_path]
+    own = _aligners[byte_path, piece_path]
+    own.table.clear()  # a task before may have ended early
+    own.strings = strings
+    return own
 
 
 _COUNTED = pa.schema([("task", pa.int32()), ("pair", pa.int64()), ("n", pa.int64())])
@@ -137,7 +179,7 @@ def _counted(byte_path: str, piece_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, both = TaskContext.get().partitionId(), aligner(byte_path, piece_path)
+        task, both = TaskContext.get().partitionId(), aligner(byte_path, piece_path, False)
         for part in slices(batches, size=SLICE):
             rows, _, _ = both.documents(part.column("text"))
             if len(rows):
@@ -237,19 +279,13 @@ _SLICED_DDL = ("slice long, code long, pair long, doc_ids array<long>, n_chunks
                "n_links array<long>, sha array<string>, chunks binary, links binary, links_of binary, sizes array<long>")
 
 
-def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums over runs of so many values each."""
-    upto = np.concatenate(([0], np.cumsum(values)))
-    return np.diff(upto[np.concatenate(([0], np.cumsum(counts)))])
-
-
 def _aligned(byte_path: str, piece_path: str):
     """For each slice of documents one row with all but the counts (``code`` -1), and a row for each distinct pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        both, number = aligner(byte_path, piece_path), TaskContext.get().partitionId() << 32
+        both, number = aligner(byte_path, piece_path, True), TaskContext.get().partitionId() << 32
         for part in slices(batches, size=SLICE):
             rows, counts, fine = both.documents(part.column("text"))
             strings = both.table.strings
@@ -257,10 +293,10 @@ def _aligned(byte_path: str, piece_path: str):
             for n, some in zip(counts.tolist(), fine.tolist(), strict=True):
                 sha.append(hashlib.sha256(";".join([strings[r] for r in rows[at:at + n].tolist()]).encode()).hexdigest() if some else "")
                 at += n
-            n_a, n_b, n_groups = (_sums(both.values(rows, c), counts) for c in (both.TOKENS_A, both.TOKENS_B, both.GROUPS))
+            n_a, n_b, n_groups = (sums(both.values(rows, c), counts) for c in (both.TOKENS_A, both.TOKENS_B, both.GROUPS))
             distinct, codes = np.unique(rows, return_inverse=True)
             links, links_of = both.table.values(distinct, both.LINKS) if len(distinct) else (np.zeros(0, np.int64),) * 2
-            n_links = _sums(links_of[codes] if len(codes) else links_of, counts)
+            n_links = sums(links_of[codes] if len(codes) else links_of, counts)
             pairs, link = np.unique(links, return_inverse=True)
             row = [[part.column("doc_id").to_pylist()], [counts], [n_a], [n_b], [n_groups], [n_links], [sha], [pack(codes)], [pack(link)], [pack(links_of)],
                    [[len(codes), len(link), len(links_of)]]]
@@ -307,7 +343,7 @@ def _together(highest: np.ndarray):
         codes, link, links_of = unpack(docs["chunks"], n_codes), unpack(docs["links"], n_link), unpack(docs["links_of"], n_distinct)
         best = (count == highest[second]).astype(np.int64)
         n_chunks = np.array(docs["n_chunks"], np.int64)
-        n_best, total = (_sums(_sums(x[link], links_of)[codes] if n_codes else codes, n_chunks) for x in (best, count))
+        n_best, total = (sums(sums(x[link], links_of)[codes] if n_codes else codes, n_chunks) for x in (best, count))
         columns = [docs["doc_ids"], docs["n_a"], docs["n_b"], docs["n_groups"], docs["n_links"], n_best, total, docs["sha"]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], schema=RESULT)
 

@@ -7,6 +7,7 @@ Where a tokenizer can tell nothing apart across such a border, the tokens of a t
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,43 @@ def cut(texts: pa.Array, after_white: bool = True) -> tuple[np.ndarray, pa.Array
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.diff(np.searchsorted(starts, ends))
 
 
+LATIN = r"[!-&(-~À-ÿ]+"
+"""Latin letters, digits and signs, without the apostrophe: patterns may join it with letters."""
+_KIND = np.full(256, 2, np.uint8)  # signs
+_KIND[ord("a"):ord("z") + 1] = _KIND[ord("A"):ord("Z") + 1] = 0
+_KIND[ord("0"):ord("9") + 1] = 1
+
+
+def runs(strings: pa.Array, digits_apart: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Strings of ``LATIN``, perhaps after one space, cut into runs of letters, digits and signs; a space goes with the run after it.
+
+    The code of every run, the distinct runs by code, and how many runs each string has. ``digits_apart``: a digit is a run by itself.
+    """
+    strings = strings.cast(pa.large_string())
+    ends = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, strings.offset * 8)
+    raw = np.frombuffer(strings.buffers()[2], np.uint8)[:ends[-1]]
+    kind = _KIND[raw]
+    wide = np.flatnonzero(raw == 0xC3)  # the first byte of the letters beyond ASCII, and of two signs
+    kind[wide] = kind[wide + 1] = np.where((raw[wide + 1] == 0x97) | (raw[wide + 1] == 0xB7), 2, 0)
+    begins = np.ones(len(raw), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    if digits_apart:
+        begins[1:] |= kind[1:] == 1
+    begins[1:] &= raw[:-1] != 32
+    begins[ends[:-1]] = True
+    begins[:ends[0]] = False
+    starts = np.flatnonzero(begins)
+    bounds = np.append(starts, ends[-1]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds.tobytes()), strings.buffers()[2]]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.diff(np.searchsorted(starts, ends))
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over runs of so many values each."""
+    upto = np.concatenate(([0], np.cumsum(values)))
+    return np.diff(upto[np.concatenate(([0], np.cumsum(counts)))])
+
+
 class ChunkTable:
     """What ``make`` gives for each distinct chunk: ragged columns, and one string."""
 
@@ -86,7 +124,7 @@ class ChunkTable:
 
 def ragged(lists: list[list[int]], kind: type = np.int64) -> Ragged:
     n = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), kind, int(n.sum())), n
+    return np.fromiter(chain.from_iterable(lists), kind, int(n.sum())), n
 
 
 def pack(values: np.ndarray) -> bytes:

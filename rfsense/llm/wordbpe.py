@@ -1,9 +1,10 @@
-"""Token ids of whole texts by a word BPE file of the tokenizers library, one library call per distinct word.
+"""Token ids of whole texts by a word BPE file of the tokenizers library, one library call per distinct part of a word.
 
 The file's pattern never joins characters over white space, and its normaliser works within words, so the ids of a
-text are the ids of its words one after another. Words are found by Arrow, distinct words are looked up in a cache,
-and only new ones go to the library. Plain Latin words go straight to the library's BPE model, all others (other
-alphabets, combining marks, special tokens) through its whole pipeline.
+text are the ids of its words one after another. Words are found by Arrow, and distinct words are looked up in a cache. New ones of
+Latin letters, digits and signs are cut into parts (letters, single digits, signs) all at once, and their distinct parts go to the library's BPE model
+in one call. Words with an apostrophe are cut one by one; all others (other alphabets, combining marks, special
+tokens) go through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rfsense.llm.chunks import LATIN, runs, sums
 from rfsense.llm.common import gather, words_of
 
 CACHE_WORDS = 300_000
@@ -38,6 +40,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.mapped = dict(enumerate(byte_characters()))
+        self.bare = Tokenizer(self.model)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -62,6 +68,37 @@ class WordEncoder:
             return [i for part in _PARTS.findall(low) for i in self._part(part)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _latin(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain Latin words one after another, and how many each has."""
+        codes, parts, counts = runs(pc.utf8_lower(words), True)
+        ids, n = self._parts(parts.to_pylist())
+        flat, each = gather(codes, np.cumsum(n) - n, n, ids)
+        return flat, sums(each, counts)
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and how many each has; the last id of a part is one that ends words."""
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(self.mapped) for p in parts]
+        ids = np.array(self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids if mapped else [], np.uint32)
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) == len(parts) and (not len(ids) or last[-1] == len(ids) - 1):
+            return ids, np.diff(last, prepend=-1)
+        each = [[t.id for t in self.model.tokenize(m)] for m in mapped]
+        return np.fromiter((i for x in each for i in x), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words in some order, where each word's begin, and how many it has."""
+        plain = pc.and_(pc.match_substring_regex(words, f"^{LATIN}$"), pc.invert(pc.match_substring(words, "<|")))
+        flat, n = self._latin(words.filter(plain))
+        own = plain.to_numpy(zero_copy_only=False)
+        ids = [self.word(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+        sizes = np.empty(len(words), np.int64)
+        sizes[own], sizes[~own] = n, np.fromiter(map(len, ids), np.int64, len(ids))
+        starts = np.empty(len(words), np.int64)
+        starts[own] = np.cumsum(n) - n
+        rest = sizes[~own]
+        starts[~own] = len(flat) + np.cumsum(rest) - rest
+        return np.concatenate([flat, np.fromiter((i for x in ids for i in x), np.uint32, int(rest.sum()))]), starts, sizes
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has; null counts as empty."""
         codes, distinct, counts = words_of(pc.fill_null(texts, ""))
@@ -71,11 +108,10 @@ class WordEncoder:
             at = np.full(len(distinct), -1)
         if len(new := distinct.filter(pa.array(at < 0))):
             at[at < 0] = len(self.known) + np.arange(len(new))
-            ids = [self.word(w) for w in new.to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            flat, starts, sizes = self._new(new)
+            self.starts = np.concatenate([self.starts, len(self.flat) + starts])
             self.lengths = np.concatenate([self.lengths, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
             self.known = pa.concat_arrays([self.known, new.cast(pa.string())])
         flat, n = gather(at[codes], self.starts, self.lengths, self.flat)
         ends = np.concatenate(([0], np.cumsum(n)))
