@@ -2,8 +2,8 @@
 
 The file format is a folder of Parquet files, one row per block, ordered by ``first`` (the number of ids before the block in
 the whole collection). Parquet carries the bytes, so the files go to any store Spark can write to, and only the
-files of tasks that ended well count. A block holds whole documents, at least ``block_ids`` ids unless it is the last
-of its file:
+files of tasks that ended well count. A block holds whole documents; it is closed once it has ``block_ids`` ids, or at the end of a slice of
+text that a worker encodes at a time:
 
 * ``first`` long, ``n_ids`` long, ``bits`` int
 * ``doc_ids`` long[], ``ends`` long[]: the documents in order, and where each ends in the block
@@ -136,3 +136,38 @@ def read_documents(spark: SparkSession, target: str, with_ids: bool = False) ->
 
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return blocks(spark, target).select("first", "n_ids", "bits", "doc_ids", "ends", "payload").mapInArrow(arrow_map(run, schema), ddl)
+
+
+IDS = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+
+def read_ids(spark: SparkSession, target: str, first: int, n: int) -> DataFrame:
+    """Ids ``first`` to ``first + n - 1`` of the whole collection, one row for each block that holds some: ``start`` and ``ids``.
+
+    Only the blocks of the range are read, and of these only the bytes that hold it; what lies beyond the collection is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = max(first, row["first"]), min(first + n, row["first"] + row["n_ids"])
+                ids = unpack_bits(row["payload"], row["bits"], a - row["first"], b - a)
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([ids.astype(np.int32)], IDS.field("ids").type)], schema=IDS)
+
+    near = blocks(spark, target).where((F.col("first") < first + n) & (F.col("first") + F.col("n_ids") > first))
+    return near.select("first", "n_ids", "bits", "payload").mapInArrow(arrow_map(run, IDS), "start long, ids array<int>")
+
+
+def read_document(spark: SparkSession, target: str, doc_id: int) -> DataFrame:
+    """The ids of the documents with this id, end id included: ``start`` and ``ids``, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for k in (i for i, d in enumerate(row["doc_ids"]) if d == doc_id):
+                    a, b = row["ends"][k - 1] if k else 0, row["ends"][k]
+                    ids = unpack_bits(row["payload"], row["bits"], a, b - a)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["first"] + a]), pa.array([ids.astype(np.int32)], IDS.field("ids").type)], schema=IDS)
+
+    near = blocks(spark, target).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    return near.select("first", "bits", "doc_ids", "ends", "payload").mapInArrow(arrow_map(run, IDS), "start long, ids array<int>")

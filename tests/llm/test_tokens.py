@@ -116,6 +116,12 @@ def test_token_files(spark, odd, none, table):
         target = workdir(spark, "blocks")
         bitpack.write(odd, WORD_BPE, vocabulary, 1, target, block)
         assert sorted(map(tuple, bitpack.read_documents(spark, target).collect()), key=str) == sorted(file_rows(ROWS), key=str)
+        whole = [i for _, _, ids in sorted((r.start, r.doc_id or -1, r.ids) for r in bitpack.read_documents(spark, target, True).collect()) for i in ids]
+        for first, n in ((0, 1), (7, 500), (len(whole) - 3, 10), (len(whole), 5), (0, len(whole))):
+            assert [i for _, ids in sorted(map(tuple, bitpack.read_ids(spark, target, first, n).collect())) for i in ids] == whole[first:first + n]
+        for doc in (3, 5, 999):
+            own = sorted((r.start, r.ids) for r in bitpack.read_documents(spark, target, True).where(f"doc_id = {doc}").collect())
+            assert sorted(map(tuple, bitpack.read_document(spark, target, doc).collect())) == own
     target = workdir(spark, "blocks")
     bitpack.write(none, WORD_BPE, WORD_IDS, 1, target)
     assert bitpack.read_documents(spark, target).count() == 0
