@@ -303,12 +303,16 @@ add("detection_events", SERIES_ST,
     "movement confidence")
 
 # Ticks straight from their meaning: a calendar per device, joined as of.
-TICKS = [
-    f"""cal AS (SELECT device_id, unnest(range(lo, hi + 1)) AS k FROM (
-          SELECT device_id, ceil(min(epoch_us(ts)) / {H * 1e6})::BIGINT AS lo, ceil(max(epoch_us(ts)) / {H * 1e6})::BIGINT AS hi
-          FROM st GROUP BY device_id))""",
-    f"""tick AS MATERIALIZED (SELECT c.device_id, c.k * {H * 1000000} AS us, s.state, s.score, s.confidence
-          FROM cal c ASOF JOIN (SELECT *, epoch_us(ts) AS us FROM st) s ON c.device_id = s.device_id AND c.k * {H * 1000000} >= s.us)"""]
+def ticks(hi: str) -> list[str]:
+    return [f"""cal AS (SELECT device_id, unnest(range(lo, hi + 1)) AS k FROM (
+          SELECT device_id, ceil(min(epoch_us(ts)) / {H * 1e6})::BIGINT AS lo, ({hi})::BIGINT AS hi FROM st GROUP BY device_id))""", TICK]
+
+
+TICK = f"""tick AS MATERIALIZED (SELECT c.device_id, c.k * {H * 1000000} AS us, s.state, s.score, s.confidence
+          FROM cal c ASOF JOIN (SELECT *, epoch_us(ts) AS us FROM st) s ON c.device_id = s.device_id AND c.k * {H * 1000000} >= s.us)"""
+TICKS = ticks(f"ceil(max(epoch_us(ts)) / {H * 1e6})")
+# A stream goes on for silent devices, to the first tick after the table.
+LIVE_TICKS = ticks(f"SELECT floor(max(epoch_us(ts)) / {H * 1e6}) + 1 FROM st")
 add("tick_samples", [*SERIES_ST, *TICKS], "SELECT device_id, us AS ts, state, score, confidence FROM tick", "score confidence")
 GATE_ROW = "STRUCT(us BIGINT, p BOOLEAN)[]"
 GATE = [
@@ -347,17 +351,16 @@ add("state_names", [], """
   SELECT CASE l_linenumber - 1 WHEN 0 THEN 'IDLE' WHEN 1 THEN 'DETECTED' ELSE 'UNKNOWN' END AS state,
     CASE l_linenumber - 1 WHEN 0 THEN 'IDLE' WHEN 1 THEN 'BASELINE' WHEN 2 THEN 'MOVEMENT' WHEN 3 THEN 'ANALYZING' ELSE 'UNKNOWN' END AS phase,
     count(*) AS n FROM lineitem GROUP BY ALL""")
-RESET = [
-    """rs_l AS (SELECT device_id, list({'seq': seq, 'm': state <> 'IDLE', 't': floor(epoch_us(ts) / 1000000)::BIGINT}
-          ORDER BY ts, seq) AS rows FROM st GROUP BY device_id)""",
-    f"""rs_f AS (SELECT device_id, unnest(list_reduce(rows, lambda acc, r: CASE
-          WHEN r.m THEN {{'t': r.t, 'e': acc.e, 'o': list_append(acc.o, {{'seq': r.seq, 'e': acc.e}})}}
-          WHEN acc.t IS NOT NULL AND r.t - acc.t >= {24 * H}
-          THEN {{'t': r.t, 'e': acc.e + 1, 'o': list_append(acc.o, {{'seq': r.seq, 'e': acc.e}})}}
-          ELSE {{'t': acc.t, 'e': acc.e, 'o': list_append(acc.o, {{'seq': r.seq, 'e': acc.e}})}} END,
-          {{'t': NULL::BIGINT, 'e': 0::BIGINT, 'o': []::STRUCT(seq BIGINT, e BIGINT)[]}}).o) AS r FROM rs_l)""",
-    "rs AS (SELECT s.device_id, s.ts, s.seq, s.x, f.r.e AS epoch FROM series s JOIN rs_f f ON f.device_id = s.device_id AND f.r.seq = s.seq)"]
-add("ewma_reset", [*SERIES_ST, *RESET, *ewma("rs", "device_id, epoch", "x")],
+RESET_TICKS = [
+    "rt_l AS (SELECT device_id, list({'us': us, 'm': state <> 'IDLE'} ORDER BY us) AS rows FROM tick GROUP BY device_id)",
+    f"""rt_f AS (SELECT device_id, list_reduce(rows, lambda acc, r: CASE
+          WHEN r.m THEN {{'t': r.us, 'o': acc.o}}
+          WHEN acc.t IS NOT NULL AND r.us - acc.t >= {24 * H * 1000000} THEN {{'t': r.us, 'o': list_append(acc.o, r.us)}}
+          ELSE acc END, {{'t': NULL::BIGINT, 'o': []::BIGINT[]}}).o AS o FROM rt_l)""",
+    "rt AS (SELECT device_id, unnest(o) AS us, unnest(range(1, len(o) + 1)) AS n FROM rt_f)"]
+RESET = [*RESET_TICKS, """rs AS (SELECT s.device_id, s.ts, s.seq, s.x, coalesce(r.n, 0) AS epoch
+          FROM (SELECT *, epoch_us(ts) AS us FROM series) s ASOF LEFT JOIN rt r ON s.device_id = r.device_id AND s.us > r.us)"""]
+add("ewma_reset", [*SERIES_ST, *TICKS, *RESET, *ewma("rs", "device_id, epoch", "x")],
     "SELECT device_id, r.seq AS seq, epoch, r.m AS ewma_mean, r.v AS ewma_variance FROM ew", "ewma_mean ewma_variance")
 
 # --- calibration -------------------------------------------------------------------------
@@ -391,6 +394,43 @@ NUMBERED = "nump AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER B
 PHASED = """phased AS (SELECT device_id, ts, seq, CASE WHEN rn <= 60 THEN 'BASELINE' WHEN rn <= 120 THEN 'MOVEMENT' END AS phase,
     CASE WHEN rn <= 60 THEN rn WHEN rn <= 120 THEN rn - 60 END AS sample_in_phase FROM nump)"""
 add("phase_assignment", [PACKETS, NUMBERED, PHASED], "SELECT device_id, seq, coalesce(phase, '') AS phase, coalesce(sample_in_phase, 0) AS sample_in_phase FROM phased")
+# Sessions: packets and commands of a device gone through one by one.
+CALLS = """calls AS (SELECT * FROM (SELECT device_id, ts, seq, CASE WHEN q IN (1, 3, 15, 16) THEN 'start' WHEN q IN (5, 12, 20) THEN 'status' WHEN q = 14 THEN 'stop' WHEN q = 22 THEN 'pause' END AS action,
+      CASE q WHEN 1 THEN 50 WHEN 3 THEN 60 WHEN 15 THEN 20 WHEN 16 THEN 55 END AS samples, q = 16 AS raw
+    FROM (SELECT *, (seq // 10) % 25 AS q FROM packets WHERE seq % 10 IN (0, 5, 8))) WHERE action IS NOT NULL)"""
+
+
+def session_fold(extra: str = "") -> list[str]:
+    return [f"""line AS (SELECT device_id, ts, 0 AS kind, seq, action, samples, raw FROM calls WHERE action <> 'pause'
+        UNION ALL SELECT device_id, ts, 1, seq, NULL, NULL, NULL FROM packets{extra})""",
+        """ses_l AS (SELECT device_id, list({'seq': seq, 'kind': kind, 'a': action, 'n': samples, 'v': raw} ORDER BY ts, kind, seq) AS rows FROM line GROUP BY device_id)""",
+        """ses AS MATERIALIZED (SELECT device_id, unnest(list_reduce(rows, lambda acc, r: CASE
+          WHEN r.kind = 1 AND acc.ph > 0 THEN {'s': acc.s, 'ph': CASE WHEN acc.c + 1 < acc.n THEN acc.ph WHEN acc.ph = 1 THEN 2 ELSE 0 END, 'c': CASE WHEN acc.c + 1 < acc.n THEN acc.c + 1 ELSE 0 END, 'n': acc.n,
+            'o': list_append(acc.o, {'seq': r.seq, 'kind': 1, 'a': '', 's': acc.s, 'ph': acc.ph, 'c': acc.c + 1, 'n': acc.n, 'ok': true, 'v': false})}
+          WHEN r.kind = 1 THEN acc
+          WHEN r.a = 'start' AND acc.ph = 0 AND r.n BETWEEN 50 AND 10000 THEN {'s': acc.s + 1, 'ph': 1, 'c': 0::BIGINT, 'n': r.n,
+            'o': list_append(acc.o, {'seq': r.seq, 'kind': 0, 'a': r.a, 's': acc.s + 1, 'ph': 1, 'c': 0::BIGINT, 'n': r.n, 'ok': true, 'v': r.v})}
+          WHEN r.a = 'stop' THEN {'s': acc.s, 'ph': 0, 'c': 0::BIGINT, 'n': acc.n,
+            'o': list_append(acc.o, {'seq': r.seq, 'kind': 0, 'a': r.a, 's': acc.s, 'ph': 0, 'c': 0::BIGINT, 'n': acc.n, 'ok': true, 'v': false})}
+          ELSE {'s': acc.s, 'ph': acc.ph, 'c': acc.c, 'n': acc.n,
+            'o': list_append(acc.o, {'seq': r.seq, 'kind': 0, 'a': r.a, 's': acc.s, 'ph': acc.ph, 'c': acc.c, 'n': acc.n, 'ok': r.a = 'status', 'v': false})} END,
+          {'s': 0::BIGINT, 'ph': 0, 'c': 0::BIGINT, 'n': 0, 'o': []::STRUCT(seq BIGINT, kind INTEGER, a VARCHAR, s BIGINT, ph INTEGER, c BIGINT, n INTEGER, ok BOOLEAN, v BOOLEAN)[]}).o) AS r FROM ses_l)"""]
+
+
+PHASE_NAME = "CASE r.ph WHEN 1 THEN 'BASELINE' WHEN 2 THEN 'MOVEMENT' ELSE 'IDLE' END"
+add("calibration_sessions", [PACKETS, CALLS, *session_fold()], f"""
+  SELECT device_id, r.seq AS seq, r.s AS session, {PHASE_NAME} AS phase, r.c AS sample_in_phase FROM ses WHERE r.kind = 1""")
+add("calibration_calls", [PACKETS, CALLS, *session_fold()], f"""
+  SELECT device_id, r.seq AS seq, r.a AS action, r.s AS session, r.ok AS taken, {PHASE_NAME} AS phase, CASE
+      WHEN r.a = 'start' AND r.ok THEN 'Calibration started (' || r.n || ' samples per phase' || CASE WHEN r.v THEN ', CSI raw logging enabled)' ELSE ')' END
+      WHEN r.a = 'start' THEN 'ERROR: Failed to start calibration (already in progress?)' WHEN r.a = 'stop' THEN 'Calibration stopped'
+      WHEN r.ph = 0 THEN '{{"phase":"IDLE","active":false}}'
+      ELSE '{{"phase":"' || {PHASE_NAME} || '","active":true,"samples_collected":' || r.c || ',"samples_target":' || r.n || ',"estimated_time_remaining_sec":' || (r.n - r.c) // 20 || '}}' END AS response
+  FROM ses WHERE r.kind = 0
+  UNION ALL SELECT device_id, seq, action, 0, false, '', 'ERROR: Unknown calibration action ''pause'' (use: start, stop, status)' FROM calls WHERE action = 'pause'""")
+add("calibrate_status", [PACKETS, CALLS, *session_fold(" UNION ALL SELECT device_id, max(ts) + INTERVAL 1 SECOND, 0, -1, 'status', NULL, NULL FROM packets GROUP BY device_id")], f"""
+  SELECT device_id, r.s AS session, {PHASE_NAME} AS phase, r.ph > 0 AS active, CASE WHEN r.ph > 0 THEN r.c END AS samples_collected, CASE WHEN r.ph > 0 THEN r.n::BIGINT END AS samples_target,
+    CASE WHEN r.ph > 0 THEN ((r.n - r.c) // 20)::BIGINT END AS estimated_time_remaining_sec FROM ses WHERE r.seq = -1""")
 add("calibration_progress", [PACKETS], """
   SELECT device_id, phase, samples_collected,
     CASE phase WHEN 'ANALYZING' THEN 1.0 WHEN 'MOVEMENT' THEN 0.5 + 0.5 * samples_collected / 80.0 ELSE 0.5 * samples_collected / 80.0 END AS progress,
@@ -714,8 +754,7 @@ CMD = [COMMANDS, PARSED, VALID]
 add("commands_validated", CMD, """
   SELECT device_id, seq, coalesce(cmd, '') AS cmd, coalesce(kind, '') AS kind, error = '' AS accepted, CASE WHEN error = '' AND cmd <> 'factory_reset'
     THEN CASE WHEN cmd = 'logs' THEN 1.0 ELSE value END END AS setting, error FROM val""", "setting")
-add("command_responses", CMD, """
-  SELECT device_id, seq, CASE WHEN error = '' THEN message ELSE '{"response":"' || error || '"}' END AS response FROM val""")
+
 
 
 def last(cmd: str, value: str, default: float) -> str:
@@ -726,6 +765,21 @@ def last(cmd: str, value: str, default: float) -> str:
 HIST = [*CMD, f"""hist AS MATERIALIZED (SELECT device_id, seq, ts AS vf, lead(ts) OVER ({W}) AS vt, {last('threshold', 'value', 0.5)} AS threshold,
     {last('debounce', 'value', 10)} AS debounce_count, {last('persistence', 'value', 3)} AS persistence_timeout,
     {last('hysteresis', 'value', 0.7)} AS hysteresis_ratio, {last('logs', '1.0', 1)} AS csi_logs_enabled FROM val WHERE error = '')"""]
+
+
+def before(cmd: str, value: str, default: float) -> str:
+    return last(cmd, value, default).replace("AND CURRENT ROW", "AND 1 PRECEDING")
+
+
+add("command_responses", [*CMD, f"""old AS (SELECT *, {before('threshold', 'value', 0.5)} AS o_t, {before('debounce', 'value', 10)} AS o_d,
+    {before('persistence', 'value', 3)} AS o_p, {before('hysteresis', 'value', 0.7)} AS o_h FROM val WHERE error = '')"""], """
+  SELECT device_id, seq, '{"response":"' || CASE cmd
+      WHEN 'threshold' THEN printf('Threshold updated: %.4f -> %.4f', o_t, value)
+      WHEN 'debounce' THEN printf('Debounce count updated: %d -> %d', o_d::BIGINT, value::BIGINT)
+      WHEN 'persistence' THEN printf('Persistence timeout updated: %d -> %d seconds', o_p::BIGINT, value::BIGINT)
+      WHEN 'hysteresis' THEN printf('Hysteresis ratio updated: %.2f -> %.2f', o_h, value)
+      WHEN 'logs' THEN 'CSI logs enabled' WHEN 'factory_reset' THEN '✅ Factory reset complete - all settings restored to defaults' END || '"}' AS response FROM old
+  UNION ALL SELECT device_id, seq, '{"response":"' || error || '"}' FROM val WHERE error <> ''""")
 add("config_history", HIST, """
   SELECT device_id, seq, epoch_us(vf) AS valid_from, coalesce(epoch_us(vt), -1) AS valid_to, threshold, debounce_count, persistence_timeout, hysteresis_ratio,
     csi_logs_enabled, threshold * hysteresis_ratio AS threshold_low, 20.0 AS packet_rate FROM hist""",
@@ -787,3 +841,17 @@ PKT_GATE = [
 add("stream_publish", [*DETECTIONS, *PKT_GATE], "SELECT device_id, r.seq AS seq, r.s AS state, r.p AS published FROM sg_f")
 add("stream_packet_rate", [PACKETS], """
   SELECT device_id, floor(epoch_us(ts) / 1000000)::BIGINT AS second, count(*) AS received FROM packets GROUP BY ALL""")
+add("stream_ticks", [*SERIES_ST, *LIVE_TICKS], "SELECT device_id, us AS ts, state, score, confidence FROM tick", "score confidence")
+add("stream_idle_resets", [*SERIES_ST, *LIVE_TICKS, *RESET_TICKS], "SELECT device_id, us AS reset_ts, n AS resets FROM rt")
+add("stream_inactivity_alerts", SERIES_ST, f"""
+  SELECT device_id, epoch_us(lo) AS idle_since, epoch_us(lo + INTERVAL 4 HOUR) AS alert_ts
+  FROM (SELECT *, lead(ts) OVER ({W}) AS until, ts AS lo FROM (SELECT *, state IS DISTINCT FROM lag(state) OVER ({W}) AS chg FROM st) WHERE chg)
+  WHERE state = 'IDLE' AND hour(lo + INTERVAL 4 HOUR) BETWEEN 8 AND 21 AND (until >= lo + INTERVAL 4 HOUR
+    OR until IS NULL AND epoch_us(lo + INTERVAL 4 HOUR) < (SELECT (floor(max(epoch_us(ts)) / {H * 1e6}) + 2) * {H * 1000000} FROM st))""")
+ORACLES["stream_phases"] = ORACLES["phase_assignment"]
+ORACLES["stream_phase_events"] = ORACLES["phase_events"]
+ORACLES["stream_config_asof"] = ORACLES["config_asof"]
+# One packet in 47 comes after all others: it is late if its second was given, and all seconds of its device up to the watermark were.
+add("stream_late", [PACKETS, "p AS (SELECT device_id, (epoch_us(ts) // 1000000 + 1) * 1000000 AS ends, epoch_us(ts) AS us, seq % 47 = 7 AS delayed FROM packets)",
+                    """given AS (SELECT device_id, max(ends) AS upto FROM p WHERE NOT delayed AND ends <= (SELECT max(us) - 10000000 FROM p WHERE NOT delayed) GROUP BY device_id)"""], """
+  SELECT p.device_id, count(*) AS received, count(*) FILTER (delayed AND ends <= upto) AS late FROM p LEFT JOIN given g ON g.device_id = p.device_id GROUP BY p.device_id""")

@@ -62,6 +62,7 @@ DB4_SYN_HIGH = (
 
 # Calibration rules.
 MIN_CALIBRATION_ROWS = 50
+CALIBRATION_SAMPLES = (50, 10000)
 MIN_SELECTED, MAX_SELECTED = 4, 6
 FISHER_MIN_RATIO = 0.2
 SAFETY_MARGIN = 1.05

@@ -90,3 +90,15 @@ def noise_sigma(coeffs: Column) -> Column:
 def noise_sigma_of(value: Column) -> Column:
     """The same as an aggregate over rows: it holds counts of distinct values, never an array of all rows."""
     return F.coalesce(F.percentile(F.abs(value), 0.5) / 0.6745, F.lit(1.0))
+
+
+def round_exactly(x: Column, digits: int) -> Column:
+    """A number from 0 to 2^40 rounded by its exact binary value, ties to even, as C prints it; the engine's own rounding goes by the shortest decimal."""
+    ten = float(10**digits)
+    low = F.floor(x * ten).cast("double")
+    # Twice the exact distance from the middle: the two halves of x have few bits, so their products are exact.
+    c = x * 134217729.0
+    high = c - (c - x)
+    over = (high * (2.0 * ten) - (low * 2.0 + 1.0)) + (x - high) * (2.0 * ten)
+    up = (over > 0) | (over == 0) & (low % 2 == 1)
+    return (low + F.when(up, 1.0).otherwise(0.0)) / ten

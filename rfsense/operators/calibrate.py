@@ -51,11 +51,14 @@ def phase_events(phased: DataFrame, samples: int, piece_rows: int | None = None)
     from rfsense.operators.publish import state_changes
 
     df = phased.withColumn("phase", F.coalesce(F.col("phase"), F.lit("ANALYZING")))
+    return phase_notices(state_changes(df.select("device_id", "ts", "seq", "phase"), "phase", piece_rows), samples)
+
+
+def phase_notices(begins: DataFrame, samples: int) -> DataFrame:
+    """The status event of each row that begins a phase."""
     target = F.when(F.col("phase") == "ANALYZING", 0).otherwise(samples)
-    return state_changes(df.select("device_id", "ts", "seq", "phase"), "phase", piece_rows).select(
-        "device_id", "seq", "phase", F.to_json(F.struct(
-            F.lit("calibration_status").alias("type"), "phase",
-            target.alias("phase_target_samples"))).alias("value"))
+    return begins.select("device_id", "seq", "phase", F.to_json(F.struct(
+        F.lit("calibration_status").alias("type"), "phase", target.alias("phase_target_samples"))).alias("value"))
 
 
 def feature_stats(feats: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def validate(messages: DataFrame, message: str = "message") -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = messages.withColumn("_m", F.from_json(message, MESSAGE + ", _corrupt STRING", options)).select(
         *messages.columns, "_m._corrupt", F.col("_m.cmd").alias("cmd"), F.col("_m.value").alias("_value"),
-        F.col("_m.enabled").alias("_enabled"), F.col("_m.action").alias("action"))
+        F.col("_m.enabled").alias("_enabled"), F.col("_m.action").alias("action"), F.col("_m.samples").alias("samples"), F.col("_m.verbose").alias("verbose"))
     # A field of the wrong type also counts as corrupt; only those rows are parsed again.
     malformed = F.col("_corrupt").isNotNull() & F.try_parse_json(message).isNull()
     df = parsed.join(spec, "cmd", "left")
@@ -64,7 +64,7 @@ def validate(messages: DataFrame, message: str = "message") -> DataFrame:
     )
     setting = F.when(numeric, number).when(kind == "bool", F.col("_enabled").cast("double"))
     return df.withColumn("error", error).select(
-        *messages.columns, "cmd", "kind", "action", F.col("error").isNull().alias("accepted"),
+        *messages.columns, "cmd", "kind", "action", "samples", "verbose", F.col("error").isNull().alias("accepted"),
         F.when(F.col("error").isNull(), setting).alias("setting"), "error")
 
 

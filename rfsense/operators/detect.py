@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rfsense import constants as K
 from rfsense.functions import scalar as S
 from rfsense.operators.layout import Profile, arrange
-from rfsense.operators.scan import debounce_machine, gate_machine, idle_reset_machine, scan
+from rfsense.operators.scan import debounce_machine, gate_machine, scan
 
 
 def default_scores(feats: DataFrame) -> DataFrame:
@@ -69,9 +69,3 @@ def gate(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int =
     return scan(arrange(df, order=order, piece_rows=piece_rows, profile=profile), gate_machine(delta, heartbeat_ms),
                 ("state", "score", *keep))
 
-
-def idle_resets(states: DataFrame, timeout: int, keep: tuple[str, ...] = (),
-                piece_rows: int | None = None, profile: Profile | None = None) -> DataFrame:
-    """Flag the rows that restart the normaliser, and number the spans between them."""
-    df = states.withColumn("_sec", F.unix_seconds("ts"))
-    return scan(arrange(df, piece_rows=piece_rows, profile=profile), idle_reset_machine(timeout), ("state", *keep))

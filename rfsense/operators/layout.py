@@ -109,6 +109,17 @@ class Layout:
         return joined.withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in values}).drop(
             *[f"_in_{n}" for n in values])
 
+    def sum_before(self, df: DataFrame, value: str, out: str) -> DataFrame:
+        """Sum of ``value`` over all earlier rows of the key; pieces hand on one sum each."""
+        own = F.when(F.col("_core"), F.col(value)).otherwise(0) if self.pieces else F.col(value)
+        df = df.withColumn(out, F.coalesce(F.sum(own).over(self.w(None, -1)), F.lit(0)).cast("long"))
+        if not self.pieces:
+            return df
+        earlier = Window.partitionBy(*self.keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        handed = df.where(self.hot() & F.col("_core")).groupBy(*self.part).agg(F.sum(value).alias("_own")).select(
+            *self.part, F.coalesce(F.sum("_own").over(earlier), F.lit(0)).alias("_in"))
+        return df.join(handed, self.part, "left").withColumn(out, F.col(out) + F.coalesce("_in", F.lit(0))).drop("_in")
+
 
 def _time_bin(df: DataFrame, col: str, width: float) -> Column:
     if dict(df.dtypes)[col] in ("timestamp", "timestamp_ntz"):

@@ -1,6 +1,6 @@
 """Path-dependent operators over the ordered rows of a device.
 
-The debounce machine, the publish gate, the idle reset and the segmenter are all
+The debounce machine, the publish gate and the segmenter are all
 sequential. A device that fits one task is simply walked from the start state. A hot
 device is cut into pieces and walked in three steps:
 
@@ -9,7 +9,7 @@ device is cut into pieces and walked in three steps:
 3. every piece is walked from that state.
 
 Step 1 stays small because an earlier event can influence a piece only through its
-first rows: those within one persistence, heartbeat, timeout or segment length.
+first rows: those within one persistence, heartbeat or segment length.
 """
 
 from __future__ import annotations
@@ -287,79 +287,6 @@ def gate_machine(delta: float = 0.05, heartbeat_ms: int = 5000) -> Machine:
                    "t bigint, s string, v double, end_t bigint, end_s string, end_v double, i int", through)
 
 
-# --- idle auto-reset --------------------------------------------------------------------
-
-def _resets(t: np.ndarray, moving: np.ndarray, timeout: int, clock: int) -> tuple[list[int], int]:
-    """Rows that reset, and the clock after the last row; clock < 0 means no movement seen yet."""
-    rows: list[int] = []
-    starts = np.flatnonzero(np.diff(np.r_[True, moving].astype(np.int8)) < 0)   # idle runs begin
-    ends = np.flatnonzero(np.diff(np.r_[moving, True].astype(np.int8)) > 0) + 1  # and end (exclusive)
-    for b, e in zip(starts, ends, strict=True):
-        if b > 0:
-            clock = int(t[b - 1])
-        if clock < 0:
-            continue
-        i = b + int(np.searchsorted(t[b:e], clock + timeout))
-        while i < e:
-            rows.append(i)
-            clock = int(t[i])
-            i += 1 + int(np.searchsorted(t[i + 1:e], clock + timeout))
-    if len(t) and moving[-1]:
-        clock = int(t[-1])
-    return rows, clock
-
-
-def idle_reset_machine(timeout: int) -> Machine:
-    """Reset after ``timeout`` seconds without a row that is not IDLE, again after each further
-    ``timeout``; 0 disables. ``epoch`` counts the resets on earlier rows. Needs _sec and state."""
-
-    def cols(c: Columns):
-        return np.asarray(c["_sec"], np.int64), np.asarray(c["state"], object) != "IDLE"
-
-    def step(c: Columns, s: State):
-        t, moving = cols(c)
-        rows, clock = _resets(t, moving, timeout, int(s[0])) if timeout else ([], int(s[0]))
-        reset = np.zeros(len(t), dtype=bool)
-        reset[rows] = True
-        epoch = int(s[1]) + np.cumsum(reset) - reset
-        return {"reset": reset, "epoch": epoch.astype(np.int64)}, (clock, int(s[1]) + len(rows))
-
-    def ways(c: Columns) -> pd.DataFrame:
-        t, moving = cols(c)
-        if not timeout:
-            return pd.DataFrame([(-1, -1, 0, True)], columns=["key", "clock", "resets", "never"])
-        rows, clock = _resets(t, moving, timeout, -1)
-        out = [(-1, clock, len(rows), True)]
-        # A clock running into this piece first fires on one of the rows within one timeout.
-        stop = int(moving.argmax()) if moving.any() else len(t)
-        near = min(int(np.searchsorted(t, t[0] + timeout)) + 1, stop)
-        after, base = _resets(t[stop:], moving[stop:], timeout, 0) if stop < len(t) else ([], None)
-        for i in range(near):
-            n, c, j = 0, 0, i
-            while j < stop:
-                n, c = n + 1, int(t[j])
-                j += 1 + int(np.searchsorted(t[j + 1:stop], c + timeout))
-            out.append((int(t[i]), c if base is None else base, n + len(after), False))
-        # No reset before the first movement.
-        out.append((np.iinfo(np.int64).max, -1 if base is None else base, len(after), False))
-        return pd.DataFrame(out, columns=["key", "clock", "resets", "never"])
-
-    def through(s: State, w: pd.DataFrame) -> State:
-        if s[0] < 0:
-            r = w[w.never].iloc[0]
-        else:
-            live = w[~w.never]
-            if live.empty:
-                return s
-            r = live[live.key >= s[0] + timeout].sort_values("key").iloc[0]
-        clock = int(s[0]) if r.clock < 0 and s[0] >= 0 else int(r.clock)
-        return clock, int(s[1]) + int(r.resets)
-
-    return Machine(("_sec", "state"), "_clock bigint, _epoch bigint", (-1, 0), step,
-                   "reset boolean, epoch bigint", ways,
-                   "key bigint, clock bigint, resets bigint, never boolean", through)
-
-
 # --- motion segmentation ----------------------------------------------------------------
 
 class _Segments:

@@ -95,13 +95,14 @@ def published(states: DataFrame, period_seconds: int = 1, delta: float = K.PUBLI
 
 
 def normaliser_with_idle_reset(series: DataFrame, threshold: float, debounce: int, persistence: int,
-                               timeout: int, alpha: float = 0.02, piece_rows: int | None = None) -> DataFrame:
-    """Series with score -> states -> idle resets -> EWMA per span between resets."""
+                               timeout: int, alpha: float = 0.02, piece_rows: int | None = None, period_seconds: int = 1) -> DataFrame:
+    """Series with score -> states -> idle resets at ticks -> EWMA per span between resets."""
     from rfsense.operators.recurrence import ewma_with_resets
+    from rfsense.operators.ticks import idle_resets
 
     prof = measure(series, piece_rows=piece_rows)
     states = D.detect(series, threshold, debounce, persistence, keep=("x",), piece_rows=piece_rows, profile=prof)
-    marked = D.idle_resets(states, timeout, keep=("x",), piece_rows=piece_rows, profile=prof)
+    marked = idle_resets(states, timeout, period_seconds, piece_rows, prof)
     return ewma_with_resets(marked, "x", "epoch", alpha, piece_rows, prof)
 
 

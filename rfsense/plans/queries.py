@@ -23,6 +23,7 @@ from rfsense.operators import evaluate as E
 from rfsense.operators import publish as B
 from rfsense.operators import recurrence as R
 from rfsense.operators import segment as G
+from rfsense.operators import sessions as N
 from rfsense.operators import spectral as X
 from rfsense.operators import wavelet as V
 from rfsense.operators import windows as W
@@ -176,7 +177,7 @@ def ewma(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ewma_reset(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.normaliser_with_idle_reset(tables.series(spark, sf), 0.53, 2, 6 * HOUR, 24 * HOUR).select(
+    return rounded(L.normaliser_with_idle_reset(tables.series(spark, sf), 0.53, 2, 6 * HOUR, 24 * HOUR, period_seconds=HOUR).select(
         "device_id", "seq", "epoch", "ewma_mean", "ewma_variance"))
 
 
@@ -597,10 +598,36 @@ def commands_validated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def command_responses(spark: SparkSession, sf: str) -> DataFrame:
-    v = M.validate(tables.commands(spark, sf))
-    text = F.coalesce(F.col("error"), F.col("message"))
-    r = B.response(text)
-    return v.select("device_id", "seq", r.alias("response"))
+    """Errors, and what each accepted setting changed from which value to which."""
+    a = N.answers(M.validate(tables.commands(spark, sf)))
+    return a.select("device_id", "seq", B.response(F.col("answer")).alias("response"))
+
+
+@query
+def calibration_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ``calibrate`` command with its answer; of a status question the answer is one document."""
+    p, messages = tables.packets(spark, sf), M.validate(tables.calibration_commands(spark, sf))
+    refused = messages.where(~F.col("accepted")).select("device_id", "seq", "action", F.lit(0).cast("long").alias("session"), F.lit(False).alias("taken"), F.lit("").alias("phase"), F.col("error").alias("response"))
+    return N.calls(p, messages).select("device_id", "seq", "action", "session", "taken", "phase", "response").unionByName(refused)
+
+
+@query
+def calibrate_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of every device once all its packets and commands are through."""
+    p = tables.packets(spark, sf)
+    last = p.groupBy("device_id").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    ask = last.select("device_id", "seq", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), F.lit('{"cmd":"calibrate","action":"status"}').alias("message"))
+    asked = N.calls(p, M.validate(tables.calibration_commands(spark, sf).unionByName(ask)))
+    doc = F.from_json("response", "phase STRING, active BOOLEAN, samples_collected LONG, samples_target LONG, estimated_time_remaining_sec LONG").alias("d")
+    ends = asked.join(ask.select("device_id", "ts"), ["device_id", "ts"], "left_semi")
+    return ends.select("device_id", "session", doc).select("device_id", "session", "d.*")
+
+
+@query
+def calibration_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The packets that the sessions between ``calibrate`` commands took."""
+    s = N.sessions(tables.packets(spark, sf), M.validate(tables.calibration_commands(spark, sf)))
+    return s.select("device_id", "seq", "session", "phase", "sample_in_phase")
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -679,63 +706,97 @@ def normaliser_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams ----------------------------------------------------------------------------
 
-def _packet_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.packets_from(J.stream_table(spark, sf, "embeddings"))
+PACKET_LATENESS, SERIES_LATENESS = "10 seconds", "6 hours"
+"""Tolerances of the streams; the tables are replayed in time order, packets by the second, the series by the hour."""
 
 
-def _series_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.series_from(J.stream_table(spark, sf, "events"))
+def _packet_stream(spark: SparkSession, sf: str, name: str, delayed: F.Column | None = None) -> DataFrame:
+    return J.replay(tables.packets(spark, sf), name, PACKET_LATENESS, delayed=delayed)
 
 
-def _packet_span(spark: SparkSession, sf: str) -> str:
-    return J.span(tables.packets(spark, sf))
+def _hourly(rows: DataFrame, name: str) -> DataFrame:
+    return J.replay(rows, name, SERIES_LATENESS, HOUR * 1000)
 
 
 @query
 def stream_detections(spark: SparkSession, sf: str) -> DataFrame:
-    lateness = _packet_span(spark, sf)
-    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, lateness=lateness, end=end), "stream_detections")
+    out = J.run_to_table(spark, J.detections(_packet_stream(spark, sf, "detections"), 0.53, 2, 1, lateness=PACKET_LATENESS), "stream_detections")
     return rounded(out.select("device_id", "seq", us("ts"), "score", "state", "confidence"))
 
 
 @query
 def stream_publish(spark: SparkSession, sf: str) -> DataFrame:
-    lateness = _packet_span(spark, sf)
-    out = J.run_to_end(spark, lambda end: J.detections(_packet_stream(spark, sf), 0.53, 2, 1, heartbeat_ms=500, lateness=lateness, end=end),
-                       "stream_publish")
+    out = J.run_to_table(spark, J.detections(_packet_stream(spark, sf, "publish"), 0.53, 2, 1, heartbeat_ms=500, lateness=PACKET_LATENESS), "stream_publish")
     return out.select("device_id", "seq", "state", "published")
 
 
 @query
 def stream_series_detections(spark: SparkSession, sf: str) -> DataFrame:
-    lateness = J.span(tables.series(spark, sf))
-    out = J.run_to_end(spark, lambda end: J.debounced(_series_stream(spark, sf), 0.53, 2, 6 * HOUR, lateness=lateness, end=end), "stream_series")
-    return out.select("device_id", "seq", "state")
+    states = J.debounced(_hourly(tables.series(spark, sf), "series"), 0.53, 2, 6 * HOUR, lateness=SERIES_LATENESS, bucket_ms=HOUR * 1000)
+    return J.run_to_table(spark, states, "stream_series").select("device_id", "seq", "state")
+
+
+@query
+def stream_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest values every hour, to the first hour after the table; up to a device's last row they are those of ``tick_samples``."""
+    out = J.run_to_table(spark, J.ticks(_hourly(_series_states(spark, sf), "ticks"), HOUR, SERIES_LATENESS, HOUR * 1000), "stream_ticks")
+    return rounded(out.select("device_id", us("ts"), "state", "score", "confidence"))
+
+
+@query
+def stream_idle_resets(spark: SparkSession, sf: str) -> DataFrame:
+    """The resets behind the epochs of ``ewma_reset``, and those after a device's last row."""
+    out = J.run_to_table(spark, J.idle_resets(_hourly(_series_states(spark, sf), "resets"), 24 * HOUR, HOUR, SERIES_LATENESS, HOUR * 1000), "stream_resets")
+    return out.select("device_id", us("reset_ts"), "resets")
+
+
+@query
+def stream_inactivity_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts at the moment they are due, also for devices that fell silent."""
+    out = J.run_to_table(spark, J.inactivity_alerts(_hourly(_series_states(spark, sf), "alerts"), lateness=SERIES_LATENESS, bucket_ms=HOUR * 1000), "stream_alerts")
+    return out.select("device_id", us("idle_since"), us("alert_ts"))
+
+
+def _phases(spark: SparkSession, sf: str) -> DataFrame:
+    return J.run_to_table(spark, J.phases(_packet_stream(spark, sf, "phases"), 60, PACKET_LATENESS), "stream_phases")
+
+
+@query
+def stream_phases(spark: SparkSession, sf: str) -> DataFrame:
+    return _phases(spark, sf).select("device_id", "seq", F.coalesce("phase", F.lit("")).alias("phase"), F.coalesce("sample_in_phase", F.lit(0)).cast("long").alias("sample_in_phase"))
+
+
+@query
+def stream_phase_events(spark: SparkSession, sf: str) -> DataFrame:
+    begins = _phases(spark, sf).where("begins").withColumn("phase", F.coalesce("phase", F.lit("ANALYZING")))
+    return C.phase_notices(begins, 60).select("device_id", "seq", F.from_json("value", "type STRING, phase STRING, phase_target_samples INT").alias("e")
+                                              ).select("device_id", "seq", "e.type", "e.phase", "e.phase_target_samples")
+
+
+@query
+def stream_config_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """The configuration in force for every row, with rows and command messages both as streams."""
+    rows = tables.series(spark, sf).select("device_id", "ts", "seq", "score")
+    out = J.run_to_table(spark, J.config_as_of(_hourly(rows, "rows"), _hourly(tables.commands(spark, sf), "messages"), lateness=SERIES_LATENESS, bucket_ms=HOUR * 1000), "stream_config")
+    return rounded(out.drop("ts").withColumn("above", F.col("score") > F.col("threshold")))
 
 
 @query
 def stream_packet_rate(spark: SparkSession, sf: str) -> DataFrame:
-    rate = J.packet_rate(_packet_stream(spark, sf), _packet_span(spark, sf))
-    out = J.run_to_latest(spark, rate, ("device_id", "second"), "stream_rate")
+    out = J.run_to_table(spark, J.packet_rate(_packet_stream(spark, sf, "rate"), PACKET_LATENESS), "stream_rate")
     return out.select("device_id", F.unix_seconds("second").alias("second"), "received")
 
 
 @query
 def stream_capture(spark: SparkSession, sf: str) -> DataFrame:
-    return J.run_to_table(spark, J.capture(_packet_stream(spark, sf)), "stream_capture", "text")
+    return J.run_to_table(spark, J.capture(tables.packets_from(J.stream_table(spark, sf, "embeddings"))), "stream_capture", "text")
 
 
 @query
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of every device that a stream left out as late, counted against the table."""
-
-    def late(stream: str, table: DataFrame, given: DataFrame, n: F.Column) -> DataFrame:
-        both = table.select("device_id", F.lit(1).alias("received"), F.lit(0).alias("given")).unionByName(
-            given.select("device_id", F.lit(0).alias("received"), n.alias("given")))
-        return both.groupBy("device_id").agg(F.sum("received").alias("received"), (F.sum("received") - F.sum("given")).alias("late")).select(
-            F.lit(stream).alias("stream"), "device_id", "received", "late")
-
+    """Packets of every device with one in 47 held back until all others are through: those of seconds that were given are late and left out."""
     packets = tables.packets(spark, sf)
-    return (late("detections", packets, stream_detections(spark, sf), F.lit(1))
-            .unionByName(late("packet_rate", packets, stream_packet_rate(spark, sf), F.col("received")))
-            .unionByName(late("series_detections", tables.series(spark, sf), stream_series_detections(spark, sf), F.lit(1))))
+    stream = J.detections(_packet_stream(spark, sf, "late", F.col("seq") % 47 == 7), 0.53, 2, 1, lateness=PACKET_LATENESS)
+    both = packets.select("device_id", F.lit(1).alias("received"), F.lit(0).alias("given")).unionByName(
+        J.run_to_table(spark, stream, "stream_late").select("device_id", F.lit(0).alias("received"), F.lit(1).alias("given")))
+    return both.groupBy("device_id").agg(F.sum("received").alias("received"), (F.sum("received") - F.sum("given")).alias("late"))

@@ -55,6 +55,21 @@ def series_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calibration_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON ``calibrate`` messages between the packets: sessions, a refused and an invalid start, stops and status questions."""
+    return calibration_commands_from(packets(spark, sf_dir))
+
+
+def calibration_commands_from(packets: DataFrame) -> DataFrame:
+    texts = {1: '"action":"start","samples":50', 3: '"action":"start","samples":60', 5: '"action":"status"', 12: '"action":"status"', 14: '"action":"stop"',
+             15: '"action":"start","samples":20', 16: '"action":"start","samples":55,"verbose":true', 20: '"action":"status"', 22: '"action":"pause"'}
+    at = F.floor(F.col("seq") / 10) % 25
+    text = F.lit(None).cast("string")
+    for k, what in texts.items():
+        text = F.when(at == k, '{"cmd":"calibrate",' + what + "}").otherwise(text)
+    return packets.where((F.col("seq") % 10).isin(0, 5, 8)).select("device_id", "seq", "ts", text.alias("message")).where("message is not null")
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON command log per user: valid, out-of-range, unknown and malformed messages."""
     k = F.from_json("props", "k DOUBLE")["k"].cast("long")

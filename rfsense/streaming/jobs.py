@@ -1,44 +1,85 @@
-"""Streaming counterparts of the detection and publishing jobs."""
+"""Streaming counterparts of the detection and publishing jobs.
+
+Every job holds rows until the watermark (``lateness``) has passed their bucket of time and works on them in time order; what comes for a
+bucket that was given already is left out and counted. ``bucket_ms`` is the grain in which rows are held and given.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rfsense import constants as K
+from rfsense.operators import control as M
 from rfsense.operators.features import stateless
-from rfsense.operators.scan import debounce_machine, gate_machine, idle_reset_machine
+from rfsense.operators.scan import debounce_machine, gate_machine
+from rfsense.operators.ticks import TickClock
 from rfsense.session import ROCKSDB, workdir
 from rfsense.sources import capture_log
-from rfsense.streaming.processors import IdleTimer, MachineProcessor, MotionDetector
+from rfsense.streaming.processors import ConfigAsOf, IdleResets, InactivityAlerts, MachineProcessor, MotionDetector, PhaseCollector, TickProcessor
 
 END = "+200000-01-01 00:00:00"
 """Time of the row that ends an input, far enough for a tolerance of thousands of years."""
 
+CLOSING = "_closing"
+"""Marks the row that ends a replayed table."""
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 100) -> DataFrame:
     """A table read as a stream, be it one file or a folder of part files."""
     path = f"{sf_dir}/{name}.parquet"
     files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
-    if _is_folder(spark, path):
+    at, fs = _file_system(spark, path)
+    if fs.getFileStatus(at).isDirectory():
         return files.parquet(path)
     # A stream's path is a folder; the filter holds for names of files only.
     return files.option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    """Asks the store that Spark reads ``path`` from."""
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path, and the store that Spark reads it from."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory()
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
 
+def replay(rows: DataFrame, name: str, lateness: str = "10 seconds", grain_ms: int = 1000, files: int = 8, files_per_trigger: int = 2,
+           delayed: Column | None = None) -> DataFrame:
+    """A table as a stream in time order, as it would have come live: written once by ranges of ``ts``, then read a few files at a time.
 
-def span(table: DataFrame) -> str:
-    """The time from the first to the last row of a table that ends: under this tolerance no row is late, whatever the order of its files."""
-    us = F.unix_micros("ts")
-    first, last = table.where(F.col("ts") < F.lit(END).cast("timestamp")).agg(F.min(us), F.max(us)).first()
-    return f"{0 if first is None else (last - first) // 1_000_000 + 1} seconds"
+    A closing row follows that moves the watermark past the first two boundaries of ``grain_ms`` after the last row, so that everything is
+    given, ticks up to the first one after the table included. Rows that ``delayed`` marks come after that row: far too late for most of
+    them. Rows without ``ts`` have no place in the order and are left out.
+    """
+    spark = rows.sparkSession
+    path = workdir(spark, f"{name}-replay")
+    timed = rows.where("ts is not null")
+    late = F.coalesce(delayed, F.lit(False)) if delayed is not None else F.lit(False)
+    last = timed.where(~late).agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+    grain = grain_ms * 1000
+    until = (last // grain + 2) * grain + 1000
+    closing = spark.range(1).select(F.timestamp_micros(F.lit(until)).alias("ts"), F.lit(True).alias(CLOSING))
+    closing = closing.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {lateness}"))
+    timed.where(~late).withColumn(CLOSING, F.lit(None).cast("boolean")).repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    parts = [*_ordered(spark, path)]
+    unmarked = timed.limit(0).withColumn(CLOSING, F.lit(None).cast("boolean"))
+    unmarked.unionByName(closing, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(path)
+    parts += [p for p in _ordered(spark, path) if p not in parts]
+    if delayed is not None:
+        timed.where(late).withColumn(CLOSING, F.lit(None).cast("boolean")).coalesce(1).write.mode("append").parquet(path)
+        parts += [p for p in _ordered(spark, path) if p not in parts]
+    # A stream takes files in the order of their times; the names of the first ones are in the order of their ranges.
+    for k, part in enumerate(parts):
+        at, fs = _file_system(spark, part)
+        fs.setTimes(at, 1_600_000_000_000 + 1000 * k, -1)
+    # The closing row is a trigger of its own: what came before must not wait for it, nor what is late come with it.
+    return spark.readStream.schema(unmarked.schema).option("maxFilesPerTrigger", files_per_trigger if delayed is None else 1).parquet(path)
+
+
+def _ordered(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _file_system(spark, path)
+    return sorted(str(f.getPath().toString()) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
 
 
 def _key(df: DataFrame) -> str:
@@ -46,63 +87,97 @@ def _key(df: DataFrame) -> str:
     return f"device_id {df.schema['device_id'].dataType.simpleString()}"
 
 
-def _within(rows: DataFrame, lateness: str, end: DataFrame | None) -> DataFrame:
-    """Rows under a watermark, with a ``ts`` that Spark does not drop late rows by: the processors count them.
-
-    The row of ``end`` (see ``run_to_end``) moves the watermark and goes no further. Rows without ``ts`` have no place in the order.
-    """
+def _marked(rows: DataFrame, lateness: str, end: DataFrame | None = None) -> DataFrame:
+    """Rows under a watermark, without the one that ends the input: it has moved the watermark and goes no further."""
     if end is not None:
         rows = rows.unionByName(end, allowMissingColumns=True)
-    return rows.withWatermark("ts", lateness).where(F.col("ts") < F.lit(END).cast("timestamp")).withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
+    rows = rows.withWatermark("ts", lateness)
+    # One condition that reads ``ts``: it stays above the watermark, which must see the row.
+    if CLOSING in rows.columns:
+        rows = rows.where(F.when(F.col("ts").isNotNull(), F.col(CLOSING).isNull()).otherwise(False)).drop(CLOSING)
+    return rows.where(F.col("ts") < F.lit(END).cast("timestamp"))
+
+
+def _within(rows: DataFrame, lateness: str, end: DataFrame | None) -> DataFrame:
+    """``_marked``, with a ``ts`` that Spark does not drop late rows by: the processors count them. Rows without ``ts`` have no place in the order."""
+    ends = end is not None or CLOSING in rows.columns
+    rows = _marked(rows, lateness, end)
+    if ends:  # else conditions on other columns, which the row that ends the input does not meet, would go below the watermark
+        rows = rows.withColumns({c: F.when(F.col("ts").isNotNull(), F.col(c)) for c in rows.columns if c != "ts"})
+    return rows.withColumn("ts", F.timestamp_micros(F.unix_micros("ts")))
+
+
+def _stateful(rows: DataFrame, processor, output: str) -> DataFrame:
+    return rows.groupBy("device_id").transformWithStateInPandas(processor, outputStructType=f"{_key(rows)}, {output}", outputMode="append", timeMode="eventTime")
 
 
 def detections(packets: DataFrame, threshold: float = 0.5, debounce: int = 10, persistence: int = 3,
                delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, lateness: str = "10 seconds",
-               end: DataFrame | None = None) -> DataFrame:
-    """State, confidence and publish flag of every packet; the only shuffle is by device.
+               end: DataFrame | None = None, bucket_ms: int = 1000) -> DataFrame:
+    """State, confidence and publish flag of every packet; the only shuffle is by device. ``late`` counts the device's late rows so far."""
+    feats = stateless(_within(packets, lateness, end), ("variance", "iqr", "spatial_gradient"), *K.SUBCARRIER_RANGE)
+    machine = MotionDetector(debounce_machine(debounce, persistence), gate_machine(delta, heartbeat_ms), threshold, bucket_ms)
+    return _stateful(feats, machine, "ts timestamp, seq bigint, score double, state string, confidence double, published boolean, late bigint")
+
+
+def debounced(scored: DataFrame, threshold: float, debounce: int = 10, persistence: int = 3, lateness: str = "10 seconds", end: DataFrame | None = None,
+              bucket_ms: int = 1000) -> DataFrame:
+    """States of a scored stream."""
+    rows = _within(scored, lateness, end).select("device_id", "ts", "seq", "score", (F.col("score") > threshold).alias("above"))
+    machine = MachineProcessor(debounce_machine(debounce, persistence), "score double, above boolean", ("score",), bucket_ms)
+    return _stateful(rows, machine, "ts timestamp, seq bigint, score double, state string, downgraded boolean")
+
+
+def gated(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, lateness: str = "10 seconds", end: DataFrame | None = None,
+          bucket_ms: int = 1000) -> DataFrame:
+    """Publish flags of a state stream."""
+    rows = _within(states, lateness, end).select("device_id", "ts", "seq", "state", "score")
+    machine = MachineProcessor(gate_machine(delta, heartbeat_ms), "state string, score double", ("state", "score"), bucket_ms)
+    return _stateful(rows, machine, "ts timestamp, seq bigint, state string, score double, published boolean")
 
-    A packet is given once the watermark has passed it, whatever the order of files within ``lateness``. Packets older than
-    the newest one given of their device are left out and counted in ``late``.
-    """
-    feats = stateless(packets, ("variance", "iqr", "spatial_gradient"), *K.SUBCARRIER_RANGE)
-    return _within(feats, lateness, end).groupBy("device_id").transformWithStateInPandas(
-        MotionDetector(debounce_machine(debounce, persistence), gate_machine(delta, heartbeat_ms), threshold),
-        outputStructType=f"{_key(packets)}, ts timestamp, seq bigint, score double, state string, "
-                         "confidence double, published boolean, late bigint",
-        outputMode="append", timeMode="eventTime")
 
+def ticks(states: DataFrame, period_seconds: int = 1, lateness: str = "10 seconds", bucket_ms: int = 1000) -> DataFrame:
+    """Latest state, score and confidence at every tick, also at those without a row: a timer per device gives them as the watermark passes."""
+    rows = _within(states, lateness, None).select("device_id", "ts", "seq", "state", "score", "confidence")
+    machine = TickProcessor(period_seconds * 1000, "state string, score double, confidence double", bucket_ms)
+    return _stateful(rows, machine, "ts timestamp, state string, score double, confidence double")
 
-def debounced(scored: DataFrame, threshold: float, debounce: int = 10, persistence: int = 3, lateness: str = "10 seconds", end: DataFrame | None = None) -> DataFrame:
-    """States of a scored stream; order and late rows as in ``detections``."""
-    rows = scored.select("device_id", "ts", "seq", "score", (F.col("score") > threshold).alias("above"))
-    return _within(rows, lateness, end).groupBy("device_id").transformWithStateInPandas(
-        MachineProcessor(debounce_machine(debounce, persistence), "score double, above boolean", ("score",)),
-        outputStructType=f"{_key(scored)}, ts timestamp, seq bigint, score double, state string, downgraded boolean",
-        outputMode="append", timeMode="eventTime")
 
+def idle_resets(states: DataFrame, timeout: int, period_seconds: int = 1, lateness: str = "10 seconds", bucket_ms: int = 1000) -> DataFrame:
+    """The ticks at which an idle device is reset (``operators.ticks``), numbered, also when no row comes."""
+    rows = _within(states, lateness, None).select("device_id", "ts", "seq", "state")
+    return _stateful(rows, IdleResets(TickClock(timeout * 1000, period_seconds * 1000), bucket_ms), "reset_ts timestamp, resets bigint")
 
-def gated(states: DataFrame, delta: float = K.PUBLISH_DELTA, heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, lateness: str = "10 seconds", end: DataFrame | None = None) -> DataFrame:
-    """Publish flags of a state stream; order and late rows as in ``detections``."""
-    return _within(states.select("device_id", "ts", "seq", "state", "score"), lateness, end).groupBy("device_id").transformWithStateInPandas(
-        MachineProcessor(gate_machine(delta, heartbeat_ms), "state string, score double", ("state", "score")),
-        outputStructType=f"{_key(states)}, ts timestamp, seq bigint, state string, score double, published boolean",
-        outputMode="append", timeMode="eventTime")
 
+def inactivity_alerts(states: DataFrame, hours: float = 4.0, from_hour: int = 8, to_hour: int = 22, lateness: str = "10 seconds", bucket_ms: int = 1000) -> DataFrame:
+    """An alert at the moment a device has been idle for ``hours``, if that lies in the given hours of the day (UTC), also when no row comes."""
+    rows = _within(states, lateness, None).select("device_id", "ts", "seq", "state")
+    return _stateful(rows, InactivityAlerts(int(hours * 3_600_000), from_hour, to_hour, bucket_ms), "idle_since timestamp, alert_ts timestamp")
 
-def idle_resets(states: DataFrame, timeout: int, lateness: str = "10 seconds", end: DataFrame | None = None) -> DataFrame:
-    """Reset flags per row of a state stream; order and late rows as in ``detections``."""
-    return _within(states.select("device_id", "ts", "seq", "state"), lateness, end).groupBy("device_id").transformWithStateInPandas(
-        MachineProcessor(idle_reset_machine(timeout), "state string", ("state",)),
-        outputStructType=f"{_key(states)}, ts timestamp, seq bigint, state string, reset boolean, epoch bigint",
-        outputMode="append", timeMode="eventTime")
 
+def phases(packets: DataFrame, samples: int, lateness: str = "10 seconds", bucket_ms: int = 1000) -> DataFrame:
+    """Phase and number of every row, counted in the state; ``begins`` marks the first row of a phase, and the one after the last phase."""
+    if not 50 <= samples <= 10000:
+        raise ValueError("samples must be within 50..10000")
+    rows = _within(packets, lateness, None).select("device_id", "ts", "seq")
+    return _stateful(rows, PhaseCollector(samples, bucket_ms), "ts timestamp, seq bigint, phase string, sample_in_phase bigint, begins boolean")
 
-def idle_timer(states: DataFrame, timeout: int, lateness: str = "10 seconds") -> DataFrame:
-    """Reset events by event-time timer, also for silent devices."""
-    return states.withWatermark("ts", lateness).select("device_id", "ts", "state").groupBy(
-        "device_id").transformWithStateInPandas(
-        IdleTimer(timeout), outputStructType=f"{_key(states)}, reset_ts timestamp",
-        outputMode="append", timeMode="eventTime")
+
+def config_as_of(rows: DataFrame, messages: DataFrame, keep: str = "score double", cols: tuple[str, ...] = ("threshold", "debounce_count", "persistence_timeout"),
+                 lateness: str = "10 seconds", bucket_ms: int = 1000) -> DataFrame:
+    """Rows with the configuration in force, from a live stream of command messages: both inputs meet in one state per device.
+
+    A row sees the commands up to its own time; the defaults hold before a device's first command. ``keep``: DDL of the columns to keep. The watermark is that of
+    the slower input.
+    """
+    own = [f.split()[0] for f in keep.split(", ")]
+    sets = M.validate(_within(messages, lateness, None)).where("accepted")
+    settings = {cmd: (col, default) for cmd, (col, default) in K.CONFIG_DEFAULTS.items() if col in cols}
+    null = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in keep.split(", ")]
+    commands = sets.where(F.col("cmd").isin(*settings, "factory_reset")).select("device_id", "ts", "seq", F.lit(0).alias("kind"), "cmd", "setting", *null)
+    data = _within(rows, lateness, None).select("device_id", "ts", "seq", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("cmd"), F.lit(None).cast("double").alias("setting"), *own)
+    machine = ConfigAsOf(settings, keep, bucket_ms)
+    return _stateful(commands.unionByName(data), machine, f"ts timestamp, seq bigint, {keep}, " + ", ".join(f"{c} double" for c, _ in settings.values()))
 
 
 def packet_rate(packets: DataFrame, lateness: str = "10 seconds") -> DataFrame:
@@ -110,7 +185,7 @@ def packet_rate(packets: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 
     In append mode a second is given once it can get no more rows; in update mode at once, and again as it grows.
     """
-    return (packets.withWatermark("ts", lateness).groupBy("device_id", F.window("ts", "1 second").alias("w"))
+    return (_marked(packets, lateness).groupBy("device_id", F.window("ts", "1 second").alias("w"))
             .agg(F.count(F.lit(1)).alias("received"))
             .select("device_id", F.col("w.start").alias("second"), "received"))
 
@@ -118,7 +193,7 @@ def packet_rate(packets: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 def active_ticks(states: DataFrame, period: str = "1 second", lateness: str = "10 seconds") -> DataFrame:
     """Latest values of every tick that had a packet; modes as in ``packet_rate``."""
     newest = F.struct("ts", "seq")
-    return (states.withWatermark("ts", lateness).groupBy("device_id", F.window("ts", period).alias("w"))
+    return (_marked(states, lateness).groupBy("device_id", F.window("ts", period).alias("w"))
             .agg(F.max_by("state", newest).alias("state"), F.max_by("score", newest).alias("score"))
             .select("device_id", F.col("w.end").alias("tick"), "state", "score"))
 
@@ -128,13 +203,18 @@ def capture(packets: DataFrame, enabled: bool = True) -> DataFrame:
     return capture_log.render(packets, enabled)
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str, fmt: str = "parquet", base: str | None = None) -> DataFrame:
-    """Process what is there now into a table in the shared folder and read it back; a run with the ``base`` of another goes on from it."""
+def run_to_table(spark: SparkSession, stream: DataFrame, name: str, fmt: str = "parquet", base: str | None = None, progress: list | None = None) -> DataFrame:
+    """Process what is there now into a table in the shared folder and read it back; a run with the ``base`` of another goes on from it.
+
+    ``progress`` gets what Spark reports of the micro-batches.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = base or workdir(spark, name)
     q = (stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     return spark.read.schema(stream.schema).format(fmt).load(f"{base}/out")
 
 

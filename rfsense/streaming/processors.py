@@ -1,13 +1,14 @@
 """Stateful processors, one state row per device.
 
 The sequential machines of the batch side take a state and give one back, so the same code
-runs here with the state kept between micro-batches. Rows wait in the state until the watermark has passed them, so
-the order in which files and micro-batches bring them does not matter within the tolerance of the watermark.
+runs here with the state kept between micro-batches. Rows wait on a time line, in buckets of time, until the watermark has passed
+their bucket, so the order in which files and micro-batches bring them does not matter within the tolerance of the watermark.
+One event-time timer per device wakes it for the next bucket, or for whatever is due without a row: ticks, resets, alerts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from rfsense import constants as K
 from rfsense.operators.online import PacketDetector
 from rfsense.operators.scan import Machine
+from rfsense.operators.ticks import TickClock
 
 NEVER = -(2**62)
 
 PUT_ROWS = 1000
-"""Rows handed to the state store in one message."""
+"""Rows of a state entry."""
+FRAME = 5000
+"""Rows that are worked on, or given, together."""
+
+Columns = dict[str, np.ndarray]
+Work = Generator[Columns, None, tuple]
 
 
 def plain(values: pd.Series) -> list:
@@ -28,140 +35,304 @@ def plain(values: pd.Series) -> list:
     return [list(map(int, v)) if isinstance(v, np.ndarray) else None if v is None or v is pd.NA or v != v else v for v in values.tolist()]
 
 
-class OrderedProcessor(StatefulProcessor):
-    """Holds a device's rows until the watermark has passed them, then works on them by (ts, seq).
+def instants(us: np.ndarray) -> pd.Series:
+    return pd.to_datetime(pd.Series(us, dtype="int64"), unit="us", utc=True)
+
+
+class TimelineProcessor(StatefulProcessor):
+    """Holds a device's rows in buckets of ``bucket_ms`` until the watermark has passed the bucket, then works on them by (ts, ``first``, seq).
 
-    A row older than the newest one worked on comes too late: it is left out and counted. The state holds the rows of the
-    tolerance and of one micro-batch, which the source's rows per trigger bound.
+    A row of a bucket that was given already, or of an earlier one, comes too late: it is left out and counted. The state holds the
+    buckets of the tolerance and of one micro-batch; a bucket is read and taken out by itself, and rows are worked on ``FRAME`` at a
+    time.
     """
 
-    def __init__(self, fields: str, state: str, start: tuple):
-        self.fields, self.state, self.start = fields, state, start
-        self.names = ["_us", "seq", *(f.split()[0] for f in fields.split(", "))]
+    def __init__(self, fields: str, state: str, start: tuple, bucket_ms: int = 1000, first: str | None = None):
+        self.bucket, self.start, self.state, self.first = bucket_ms, start, state, first
+        parts = [f.split(" ", 1) for f in fields.split(", ")] if fields else []
+        self.names = ["_us", "seq", *(n for n, _ in parts)]
+        self.held_as = ", ".join(f"{n} array<{t}>" for n, t in [("_us", "bigint"), ("seq", "bigint"), *parts])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"_us bigint, seq bigint, {self.fields}")
-        self.value = handle.getValueState("machine", f"{self.state}, last_us bigint, late bigint")
+        self.held = handle.getMapState("held", "bucket bigint, part bigint", self.held_as)
+        self.value = handle.getValueState("machine", f"{self.state}, given bigint, late bigint, timer bigint, buckets array<bigint>, parts array<bigint>")
+
+    def _load(self) -> tuple[tuple, int, int, int, dict[int, int]]:
+        if not self.value.exists():
+            return self.start, NEVER, 0, NEVER, {}
+        *state, given, late, timer, buckets, parts = self.value.get()
+        return tuple(state), int(given), int(late), int(timer), dict(zip(map(int, buckets), map(int, parts), strict=True))
+
+    def _store(self, state: tuple, given: int, late: int, timer: int, held: dict[int, int], due: int | None) -> None:
+        """Writes the state, and wakes the device at its first bucket's end or at ``due``."""
+        wakes = [(min(held) + 1) * self.bucket] if held else []
+        wake = min(wakes if due is None else [*wakes, due], default=NEVER)
+        if wake != timer:
+            if timer != NEVER:
+                self.handle.deleteTimer(timer)
+            if wake != NEVER:
+                self.handle.registerTimer(wake)
+        self.value.update((*state, given, late, wake, list(held), list(held.values())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        state, given, late, timer, held = self._load()
         for pdf in rows:
-            pdf["_us"] = pdf["ts"].astype("datetime64[us]").astype("int64")
-            seq = [None if v is None else int(v) for v in plain(pdf["seq"])]
-            found = list(zip(plain(pdf["_us"]), seq, *(plain(pdf[c]) for c in self.names[2:]), strict=True))
-            for at in range(0, len(found), PUT_ROWS):
-                self.held.appendList(found[at:at + PUT_ROWS])
-            if len(pdf):
-                newest = max(int(pdf["_us"].max()), newest if newest is not None else NEVER)
-        if newest is not None:
-            self.handle.registerTimer(newest // 1000 + 1)
+            us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            bucket = us // (self.bucket * 1000)
+            fresh = (bucket + 1) * self.bucket > given
+            late += int((~fresh).sum())
+            columns = [us.tolist(), [None if v is None else int(v) for v in plain(pdf["seq"])], *(plain(pdf[c]) for c in self.names[2:])]
+            at = np.flatnonzero(fresh)
+            at = at[np.argsort(bucket[at], kind="stable")]
+            for run in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else ():
+                b = int(bucket[run[0]])
+                for some in (run[i:i + PUT_ROWS].tolist() for i in range(0, len(run), PUT_ROWS)):
+                    self.held.updateValue((b, held.get(b, 0)), tuple([c[i] for i in some] for c in columns))
+                    held[b] = held.get(b, 0) + 1
+        self._store(state, given, late, timer, held, self.due(state, given))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.held.get()) if self.held.exists() else []
-        ready = [r for r in held if r[0] < passed]
-        if not ready:
-            return
-        if len(ready) < len(held):
-            rest = [r for r in held if r[0] >= passed]
-            self.held.put(rest[:PUT_ROWS])
-            for at in range(PUT_ROWS, len(rest), PUT_ROWS):
-                self.held.appendList(rest[at:at + PUT_ROWS])
-        else:
-            self.held.clear()
-        *state, last_us, late = self.value.get() if self.value.exists() else (*self.start, NEVER, 0)
-        late = int(late) + sum(r[0] < last_us for r in ready)
-        ready = sorted((r for r in ready if r[0] >= last_us), key=lambda r: (r[0], r[1] is None, r[1] or 0))
-        if not ready:
-            self.value.update((*state, last_us, late))
-            return
-        cols = {c: pd.Series(v, dtype=object).infer_objects() for c, v in zip(self.names, zip(*ready, strict=True), strict=True)}
-        rows = {c: v.to_numpy() for c, v in cols.items()}
+        state, given, late, _, held = self._load()
+        passed = timerValues.getCurrentWatermarkInMs() // self.bucket * self.bucket
+        self.late = late
+        ready: list[list] = []
+        for b in sorted(b for b in held if (b + 1) * self.bucket <= passed):
+            found = []
+            for part in range(held.pop(b)):
+                found += zip(*self.held.getValue((b, part)), strict=True)
+                self.held.removeKey((b, part))
+            first = self.names.index(self.first) if self.first else 0
+            ready += sorted(found, key=lambda r: (r[0], r[first], r[1] is None, r[1] or 0))
+            given = max(given, (b + 1) * self.bucket)
+            while len(ready) >= FRAME:
+                state = yield from self._given(key, self._worked(ready[:FRAME], state))
+                ready = ready[FRAME:]
+        if ready:
+            state = yield from self._given(key, self._worked(ready, state))
+        if self.silent:
+            given = max(given, passed)
+            state = yield from self._given(key, self.silence(state, passed))
+        self._store(state, given, late, NEVER, held, self.due(state, given))
+
+    def _worked(self, ready: list, state: tuple) -> Work:
+        rows = {c: pd.Series(v, dtype=object).infer_objects().to_numpy() for c, v in zip(self.names, zip(*ready, strict=True), strict=True)}
+        rows["_us"] = rows["_us"].astype(np.int64)
         rows["_ms"], rows["_sec"] = rows["_us"] // 1000, rows["_us"] // 1_000_000
-        out, end = self.work(rows, tuple(state), late)
-        self.value.update((*end, int(rows["_us"][-1]), late))
-        yield pd.DataFrame({"device_id": [key[0]] * len(ready), "ts": pd.to_datetime(rows["_us"], unit="us", utc=True), "seq": cols["seq"], **out})
-
-    def work(self, rows: dict[str, np.ndarray], state: tuple, late: int) -> tuple[dict, tuple]:
-        """Output columns of ordered rows, and the state after them."""
+        return self.work(rows, state)
+
+    def _given(self, key: tuple, work: Work) -> Generator[pd.DataFrame, None, tuple]:
+        """The frames of some work, at most ``FRAME`` rows each; its value is the state after it."""
+        try:
+            while True:
+                out = next(work)
+                n = len(next(iter(out.values())))
+                for at in range(0, n, FRAME):
+                    yield pd.DataFrame({"device_id": [key[0]] * min(FRAME, n - at), **{c: v[at:at + FRAME] for c, v in out.items()}})
+        except StopIteration as end:
+            return end.value
+
+    silent = False
+    """Whether the device does something without rows: ``silence`` and ``due``."""
+
+    def work(self, rows: Columns, state: tuple) -> Work:
+        """Gives output columns for ordered rows; returns the state after them."""
         raise NotImplementedError
 
+    def silence(self, state: tuple, passed: int) -> Work:
+        """Gives what happens before ``passed`` (ms) without a further row."""
+        yield from ()
+        return state
+
+    def due(self, state: tuple, given: int) -> int | None:
+        """When (ms) to wake although no row waits."""
+        return None
+
     def close(self) -> None:
         pass
 
 
-class MachineProcessor(OrderedProcessor):
+def with_order(rows: Columns, out: Columns) -> Columns:
+    return {"ts": instants(rows["_us"]).to_numpy(), "seq": rows["seq"], **out}
+
+
+class MachineProcessor(TimelineProcessor):
     """Runs a batch machine over the stream; the columns ``passthrough`` come along."""
 
-    def __init__(self, machine: Machine, fields: str, passthrough: tuple[str, ...]):
-        super().__init__(fields, machine.state, machine.start)
+    def __init__(self, machine: Machine, fields: str, passthrough: tuple[str, ...], bucket_ms: int = 1000):
+        super().__init__(fields, machine.state, machine.start, bucket_ms)
         self.machine, self.passthrough = machine, passthrough
 
-    def work(self, rows: dict[str, np.ndarray], state: tuple, late: int) -> tuple[dict, tuple]:
+    def work(self, rows: Columns, state: tuple) -> Work:
         out, end = self.machine.walk(rows, state)
-        return {c: rows[c] for c in self.passthrough} | dict(out), end
+        yield with_order(rows, {c: rows[c] for c in self.passthrough} | dict(out))
+        return end
 
 
-class MotionDetector(OrderedProcessor):
+class MotionDetector(TimelineProcessor):
     """Per packet: deltas to the previous packet, moving moments, score, debounced state, publish flag."""
 
     STATE = ("amps array<double>, prev array<int>, first_len int, mode int, consec int, t0 bigint, "
              "sent boolean, last_ms bigint, last_state string, last_score double")
 
-    def __init__(self, detect: Machine, gate: Machine, threshold: float):
+    def __init__(self, detect: Machine, gate: Machine, threshold: float, bucket_ms: int = 1000):
         self.detector, self.gate, self.threshold = PacketDetector(detect, threshold), gate, threshold
         super().__init__("x array<int>, " + ", ".join(f"{c} double" for c in self.detector.INPUTS), self.STATE,
-                         (*self.detector.start, *gate.start))
+                         (*self.detector.start, *gate.start), bucket_ms)
 
-    def work(self, rows: dict[str, np.ndarray], state: tuple, late: int) -> tuple[dict, tuple]:
+    def work(self, rows: Columns, state: tuple) -> Work:
         seen, sent = state[:6], state[6:]
         d, seen = self.detector.step(rows, seen)
         g, sent = self.gate.walk({"_ms": rows["_ms"], "state": d["state"], "score": d["score"]}, sent)
         conf = (np.minimum(1.0, d["score"] / (self.threshold + K.EPS)) if self.threshold > K.EPS
                 else (d["score"] > 0).astype(float))
-        return {"score": d["score"], "state": d["state"], "confidence": np.where(d["downgraded"], 0.0, conf),
-                "published": g["published"], "late": late}, (*seen, *sent)
+        yield with_order(rows, {"score": d["score"], "state": d["state"], "confidence": np.where(d["downgraded"], 0.0, conf),
+                                "published": g["published"], "late": np.full(len(d["score"]), self.late)})
+        return (*seen, *sent)
 
 
-class IdleTimer(StatefulProcessor):
-    """Reset events of devices that stay idle, fired by event time even when no packet comes.
+class TickProcessor(TimelineProcessor):
+    """The latest values at every tick from a device's first row on, also for ticks without a row: a timer that renews itself.
 
-    A device that moves keeps its clock going: its timer renews the clock, and gives an event only once the newest state is IDLE.
+    A tick is given once the watermark has passed it, so that no row before it can come any more.
     """
 
-    def __init__(self, timeout: int):
-        self.timeout_ms = timeout * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.clock = handle.getValueState("clock", "ms bigint, newest bigint, moving boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf["_ms"] = pdf["ts"].astype("datetime64[ms]").astype("int64")
-        clock, newest, moving = self.clock.get() if self.clock.exists() else (None, -(2**62), False)
-        last = pdf.sort_values("_ms", kind="stable").iloc[-1]
-        if last["_ms"] >= newest:
-            newest, moving = int(last["_ms"]), bool(last["state"] != "IDLE")
-        seen = pdf.loc[pdf["state"] != "IDLE", "_ms"]
-        if len(seen) and (clock is None or int(seen.max()) > clock):
-            clock = int(seen.max())
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(clock + self.timeout_ms)
-        if clock is not None:
-            self.clock.update((clock, newest, moving))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        _, newest, moving = self.clock.get()
-        self.clock.update((at, newest, moving))
-        self.handle.registerTimer(at + self.timeout_ms)
-        if not moving:
-            yield pd.DataFrame({"device_id": [key[0]], "reset_ts": pd.to_datetime([at], unit="ms", utc=True)})
-
-    def close(self) -> None:
-        pass
+    silent = True
+
+    def __init__(self, period_ms: int, values: str, bucket_ms: int = 1000):
+        self.period, self.values = period_ms, [f.split()[0] for f in values.split(", ")]
+        super().__init__(values, f"tick bigint, {values}", (None, *([None] * len(self.values))), bucket_ms)
+
+    def _ticks(self, first: np.ndarray, values: list[np.ndarray], upto: int) -> Iterator[Columns]:
+        """Ticks ``first[0]`` to ``upto - 1``; row i holds from tick ``first[i]`` on."""
+        for at in range(int(first[0]), upto, FRAME):
+            ticks = np.arange(at, min(upto, at + FRAME))
+            row = np.searchsorted(first, ticks, side="right") - 1
+            yield {"ts": instants(ticks * self.period * 1000).to_numpy(), **{c: v[row] for c, v in zip(self.values, values, strict=True)}}
+
+    def work(self, rows: Columns, state: tuple) -> Work:
+        first = -(-rows["_us"] // (self.period * 1000))
+        values = [rows[c] for c in self.values]
+        if state[0] is not None:
+            first = np.concatenate(([int(state[0])], np.maximum(first, int(state[0]))))
+            values = [np.concatenate((np.array([s], v.dtype), v)) for s, v in zip(state[1:], values, strict=True)]
+        yield from self._ticks(first, values, int(first[-1]))
+        return (int(first[-1]), *(v[-1].item() if isinstance(v[-1], np.generic) else v[-1] for v in values))
+
+    def silence(self, state: tuple, passed: int) -> Work:
+        if state[0] is None:
+            return state
+        upto = max(int(state[0]), (passed - 1) // self.period + 1)
+        yield from self._ticks(np.array([int(state[0])]), [np.array([v], object) for v in state[1:]], upto)
+        return (upto, *state[1:])
+
+    def due(self, state: tuple, given: int) -> int | None:
+        return None if state[0] is None else (int(state[0]) * self.period // self.bucket + 1) * self.bucket
+
+
+class IdleResets(TimelineProcessor):
+    """The ticks at which a device that stays idle is reset, also without rows: a timer that renews itself while the device is idle."""
+
+    silent = True
+
+    def __init__(self, clock: TickClock, bucket_ms: int = 1000):
+        self.clock = clock
+        super().__init__("state string", "open bigint, moving boolean, moved bigint, resets bigint", (None, False, None, 0), bucket_ms)
+
+    def _out(self, ticks: np.ndarray, before: int) -> Columns:
+        return {"reset_ts": instants(ticks * self.clock.period_ms * 1000).to_numpy(), "resets": before + 1 + np.arange(len(ticks))}
+
+    def work(self, rows: Columns, state: tuple) -> Work:
+        ticks, end = self.clock.walk(rows["_us"], rows["state"] != "IDLE", state)
+        if len(ticks):
+            yield self._out(ticks, int(state[3]))
+        return end
+
+    def silence(self, state: tuple, passed: int) -> Work:
+        ticks, end = self.clock.until((passed - 1) // self.clock.period_ms + 1, state)
+        if len(ticks):
+            yield self._out(ticks, int(state[3]))
+        return end
+
+    def due(self, state: tuple, given: int) -> int | None:
+        tick = self.clock.next(state)
+        return None if tick is None else (tick * self.clock.period_ms // self.bucket + 1) * self.bucket
+
+
+class InactivityAlerts(TimelineProcessor):
+    """An alert when a device has been idle for ``idle_ms``, if that moment lies in the given hours of the day. A change of state cancels it."""
+
+    silent = True
+
+    def __init__(self, idle_ms: int, from_hour: int, to_hour: int, bucket_ms: int = 1000):
+        self.idle_us, self.hours = idle_ms * 1000, (from_hour, to_hour)
+        super().__init__("state string", "last string, since bigint", (None, None), bucket_ms)
+
+    def _out(self, since: np.ndarray) -> Iterator[Columns]:
+        hour = (since + self.idle_us) // 3_600_000_000 % 24
+        since = since[(hour >= self.hours[0]) & (hour < self.hours[1])]
+        if len(since):
+            yield {"idle_since": instants(since).to_numpy(), "alert_ts": instants(since + self.idle_us).to_numpy()}
+
+    def work(self, rows: Columns, state: tuple) -> Work:
+        last, since = state
+        s, us = rows["state"], rows["_us"]
+        change = np.flatnonzero(s != np.concatenate((np.array([last], object), s[:-1])))
+        starts = np.concatenate((np.array([] if since is None else [int(since)], np.int64), us[change]))
+        idle = np.concatenate((np.array([] if since is None else [True], bool), s[change] == "IDLE"))
+        # A spell ends with the next change; the last one stays open. One whose alert was given has no ``since``.
+        if len(starts) and len(change):
+            done = starts[:-1][idle[:-1] & (starts[1:] - starts[:-1] >= self.idle_us)]
+            yield from self._out(done)
+            since = int(starts[-1]) if idle[-1] else None
+        return s[-1], since
+
+    def silence(self, state: tuple, passed: int) -> Work:
+        last, since = state
+        if since is not None and int(since) + self.idle_us < passed * 1000:
+            yield from self._out(np.array([int(since)], np.int64))
+            since = None
+        return last, since
+
+    def due(self, state: tuple, given: int) -> int | None:
+        return None if state[1] is None else ((int(state[1]) + self.idle_us) // 1000 // self.bucket + 1) * self.bucket
+
+
+class PhaseCollector(TimelineProcessor):
+    """The first ``samples`` rows of a device are BASELINE, the next ``samples`` MOVEMENT; a notice goes out with the first row of each phase."""
+
+    def __init__(self, samples: int, bucket_ms: int = 1000):
+        self.samples = samples
+        super().__init__("", "n bigint", (0,), bucket_ms)
+
+    def work(self, rows: Columns, state: tuple) -> Work:
+        n = int(state[0]) + np.arange(len(rows["_us"]))
+        phase = np.where(n < self.samples, "BASELINE", np.where(n < 2 * self.samples, "MOVEMENT", None)).astype(object)
+        begins = (n % self.samples == 0) & (n <= 2 * self.samples)
+        yield with_order(rows, {"phase": phase, "sample_in_phase": pd.arrays.IntegerArray(n % self.samples + 1, n >= 2 * self.samples),
+                                "begins": begins})
+        return (min(int(n[-1]) + 1, 2 * self.samples + 1),)
+
+
+class ConfigAsOf(TimelineProcessor):
+    """Commands (kind 0) and rows (kind 1) of a device on one time line: each row with the settings in force, commands of its own time included."""
+
+    def __init__(self, settings: dict[str, tuple[str, float]], fields: str, bucket_ms: int = 1000):
+        """``settings``: command -> (column, default)."""
+        self.settings, self.kept = settings, [f.split()[0] for f in fields.split(", ")]
+        columns = [c for c, _ in settings.values()]
+        super().__init__("kind int, cmd string, setting double, " + fields, ", ".join(f"{c} double" for c in columns), tuple(d for _, d in settings.values()), bucket_ms, "kind")
+
+    def work(self, rows: Columns, state: tuple) -> Work:
+        cmd, value = rows["cmd"], rows["setting"].astype(float)
+        is_row = rows["kind"].astype(int) == 1
+        out, end = {c: rows[c][is_row] for c in self.kept}, []
+        for (name, (column, default)), now in zip(self.settings.items(), state, strict=True):
+            written = np.concatenate(([now], np.where(cmd == name, value, default)))
+            at = np.maximum.accumulate(np.where(np.concatenate(([True], (cmd == name) | (cmd == "factory_reset"))), np.arange(len(written)), 0))
+            out[column] = written[at][1:][is_row]
+            end.append(float(written[at][-1]))
+        if is_row.any():
+            yield {"ts": instants(rows["_us"][is_row]).to_numpy(), "seq": rows["seq"][is_row], **out}
+        return tuple(end)

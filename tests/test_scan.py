@@ -32,18 +32,6 @@ def fold_gate(t, s, v, delta, heartbeat):
     return out
 
 
-def fold_reset(t, moving, timeout):
-    clock, epoch, out = -1, 0, []
-    for ti, m in zip(t, moving):
-        reset, before = False, epoch
-        if m:
-            clock = ti
-        elif clock >= 0 and ti - clock >= timeout:
-            reset, clock, epoch = True, ti, epoch + 1
-        out.append((reset, before))
-    return out
-
-
 def fold_segments(mv, thr, longest):
     found, start, length = [], 0, 0
     for i, x in enumerate(mv):
@@ -91,10 +79,6 @@ def test_machines_equal_folds(block):
         o = in_pieces({"_ms": t, "state": s, "score": v}, S.gate_machine(0.05, 7), rng)
         assert list(o.published) == fold_gate(t, s, v, 0.05, 7)
 
-        timeout = rng.randint(1, 5)
-        o = in_pieces({"_sec": t, "state": s}, S.idle_reset_machine(timeout), rng)
-        assert [(bool(x), int(y)) for x, y in zip(o.reset, o.epoch)] == fold_reset(t, s != "IDLE", timeout)
-
         # Values equal to the threshold neither open nor close.
         mv = np.array([rng.choice([0, 1, 1, 2, 2, 2, 3]) for _ in range(n)], dtype=float)
         longest = rng.randint(1, 7)
@@ -103,11 +87,6 @@ def test_machines_equal_folds(block):
         assert list(zip(o.start_pos, o.length)) == fold_segments(mv, 1.0, longest)
 
 
-def test_idle_reset_disabled():
-    out, end = S.idle_reset_machine(0).walk({"_sec": np.array([0, 100]), "state": np.array(["DETECTED", "IDLE"])}, (-1, 0))
-    assert not out["reset"].any() and end == (-1, 0)
-
-
 def test_debounce_must_be_positive():
     with pytest.raises(ValueError):
         S.debounce_machine(0)
