@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -117,10 +118,11 @@ class Aligner:
         All others go through the whole pipeline."""
         plain = pc.match_substring_regex(chunks, f"^ {LATIN}$")
         codes, parts, counts = runs(chunks.filter(plain), False)
-        names = parts.to_pylist()
-        mapped = [p.encode().decode("latin-1").translate(self.mapped) for p in names]
+        mapped = pc.replace_substring(parts, " ", self.mapped[32]).to_pylist()
+        for i in np.flatnonzero(~pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)).tolist():
+            mapped[i] = parts[i].as_py().encode().decode("latin-1").translate(self.mapped)
         ids = np.array(self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids if mapped else [], np.int64)
-        n = np.diff(np.searchsorted(np.cumsum(self.length_a[ids]), np.cumsum([len(p.encode()) for p in names], dtype=np.int64)) + 1, prepend=0)
+        n = np.diff(np.searchsorted(np.cumsum(self.length_a[ids]), np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))) + 1, prepend=0)
         flat, each = gather(codes, np.cumsum(n) - n, n, ids)
         others = chunks.filter(pc.invert(plain)).to_pylist()
         rest: list[list[int]] = []
@@ -194,7 +196,8 @@ def _counted(byte_path: str, piece_path: str):
     return arrow_map(run, _COUNTED)
 
 
-_FUNCTION = pa.schema([("shard", pa.int64()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+# Arrays of a shard or slice go as bytes: rows beside them are many, and each null array costs time.
+_FUNCTION = pa.schema([("shard", pa.int64()), ("function", pa.binary()), ("keys", pa.binary())])
 
 
 def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,8 @@ def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, bits = perfect.build(keys)
         by_slot = np.empty(len(keys), np.int64)
         by_slot[perfect.slots(keys, sizes, bits)] = keys
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([last], [sizes], [bits], [by_slot]), _FUNCTION, strict=True)], schema=_FUNCTION)
+        row = [last], [pickle.dumps((sizes, bits, len(keys)))], [by_slot.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _FUNCTION, strict=True)], schema=_FUNCTION)
 
     for key, part, new in groups(batches, ["shard"]):
         if new and held:
@@ -219,24 +223,24 @@ def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-_VECTOR = pa.schema([("shard", pa.int64()), ("counts", pa.list_(pa.int64()))])
+_VECTOR = pa.schema([("shard", pa.int64()), ("counts", pa.binary())])
 
 
 def _vector(shard: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([counts], pa.list_(pa.int64()))], schema=_VECTOR)
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], schema=_VECTOR)
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The dense vector of each shard and leaf: the function comes first, then pairs with numbers of links."""
-    function = counts = last = None
+    sizes = bits = counts = last = None
     for key, part, new in groups(batches, ["shard", "leaf"]):
         if new:
             if counts is not None:
                 yield _vector(last, counts)
-            function, last = part.slice(0, 1).to_pylist()[0], int(key[0])
-            counts, part = np.zeros(function["size"], np.int64), part.slice(1)
+            sizes, bits, n = pickle.loads(part.column("function")[0].as_py())
+            counts, last, part = np.zeros(n, np.int64), int(key[0]), part.slice(1)
         if part.num_rows:
-            np.add.at(counts, perfect.slots(part.column("pair").to_numpy(), function["sizes"], function["bits"]), part.column("n").to_numpy())
+            np.add.at(counts, perfect.slots(part.column("pair").to_numpy(zero_copy_only=False).astype(np.int64), sizes, bits), part.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
     if counts is not None:
         yield _vector(last, counts)
 
@@ -247,36 +251,48 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, part, new in groups(batches, ["shard"]):
         if new and total is not None:
             yield _vector(last, total)
-        own = part.column("counts").flatten().to_numpy().reshape(part.num_rows, -1).sum(axis=0)
-        total, last = own if new else total + own, int(key[0])
+            total = None
+        for raw in part.column("counts").to_pylist():
+            own = np.frombuffer(raw, "<i8")
+            total = own if total is None else total + own
+        last = int(key[0])
     if total is not None:
         yield _vector(last, total)
 
 
+_MOST = pa.schema([("second", pa.int64()), ("most", pa.int64())])
+
+
+def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The highest count of each second id in some shards."""
+    for batch in batches:
+        if batch.num_rows:
+            keys, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8") for c in ("keys", "counts"))
+            second, at = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+            most = np.zeros(len(second), np.int64)
+            np.maximum.at(most, at, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(second), pa.array(most)], schema=_MOST)
+
+
 def pair_counts(docs: DataFrame, byte_path: str, piece_path: str, shard: int = SHARD) -> DataFrame:
-    """The index of all linked id pairs, one row per ``shard`` of ``shards``: its hash function (``sizes``, ``bits``), and by slot ``keys`` (first id << 32 | second
-    id) and ``counts``. Without tokens it has no row."""
+    """The index of all linked id pairs, one row per ``shard`` of ``shards``: its hash ``function``, and by slot ``keys`` (first id << 32 | second
+    id) and ``counts``, as bytes of 64-bit integers. Without tokens it has no row."""
     seen = materialise(texts_of(docs).select("text").mapInArrow(_counted(byte_path, piece_path), "task int, pair long, n long"), "pairs")
     about = seen.agg(F.approx_count_distinct("pair").alias("pairs"), F.countDistinct("task").alias("tasks")).first()
     shards, leaves = max(1, -(-about["pairs"] // shard)), max(1, math.isqrt(about["tasks"]))
     seen = seen.withColumn("shard", F.pmod(F.xxhash64("pair"), F.lit(shards)))
-    functions = dealt(seen.select("shard", "pair").distinct(), ["shard"]).mapInArrow(arrow_map(_functions, _FUNCTION), "shard long, sizes array<int>, bits binary, keys array<long>")
+    functions = dealt(seen.select("shard", "pair").distinct(), ["shard"]).mapInArrow(arrow_map(_functions, _FUNCTION), "shard long, function binary, keys binary")
     functions = materialise(functions, "functions")
     nothing = {"pair": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}
-    heads = functions.select("shard", F.explode(F.sequence(F.lit(0), F.lit(leaves - 1))).alias("leaf"), F.lit(0).alias("kind"), "sizes", "bits", F.size("keys").alias("size")).withColumns(nothing)
-    rows = seen.select("shard", F.pmod("task", F.lit(leaves)).cast("int").alias("leaf"), F.lit(1).alias("kind"), F.lit(None).cast("array<int>").alias("sizes"),
-                       F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("int").alias("size"), "pair", "n")
-    vectors = dealt(heads.unionByName(rows), ["shard", "leaf"], "kind").mapInArrow(arrow_map(_leaves, _VECTOR), "shard long, counts array<long>")
-    sums = dealt(vectors, ["shard"]).mapInArrow(arrow_map(_roots, _VECTOR), "shard long, counts array<long>")
+    heads = functions.select("shard", F.explode(F.sequence(F.lit(0), F.lit(leaves - 1))).alias("leaf"), F.lit(0).alias("kind"), "function").withColumns(nothing)
+    rows = seen.select("shard", F.pmod("task", F.lit(leaves)).cast("int").alias("leaf"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("function"), "pair", "n")
+    vectors = dealt(heads.unionByName(rows), ["shard", "leaf"], "kind").mapInArrow(arrow_map(_leaves, _VECTOR), "shard long, counts binary")
+    sums = dealt(vectors, ["shard"]).mapInArrow(arrow_map(_roots, _VECTOR), "shard long, counts binary")
     return materialise(functions.join(sums, "shard").withColumn("shards", F.lit(shards)), "index")
 
 
-_DOCS = [("doc_ids", pa.list_(pa.int64())), ("n_chunks", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())),
-         ("n_groups", pa.list_(pa.int64())), ("n_links", pa.list_(pa.int64())), ("sha", pa.list_(pa.string())), ("chunks", pa.binary()),
-         ("links", pa.binary()), ("links_of", pa.binary()), ("sizes", pa.list_(pa.int64()))]
-_SLICED = pa.schema([("slice", pa.int64()), ("code", pa.int64()), ("pair", pa.int64()), *_DOCS])
-_SLICED_DDL = ("slice long, code long, pair long, doc_ids array<long>, n_chunks array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-               "n_links array<long>, sha array<string>, chunks binary, links binary, links_of binary, sizes array<long>")
+_SLICED = pa.schema([("slice", pa.int64()), ("code", pa.int64()), ("pair", pa.int64()), ("docs", pa.binary())])
+_SLICED_DDL = "slice long, code long, pair long, docs binary"
 
 
 def _aligned(byte_path: str, piece_path: str):
@@ -298,12 +314,10 @@ def _aligned(byte_path: str, piece_path: str):
             links, links_of = both.table.values(distinct, both.LINKS) if len(distinct) else (np.zeros(0, np.int64),) * 2
             n_links = sums(links_of[codes] if len(codes) else links_of, counts)
             pairs, link = np.unique(links, return_inverse=True)
-            row = [[part.column("doc_id").to_pylist()], [counts], [n_a], [n_b], [n_groups], [n_links], [sha], [pack(codes)], [pack(link)], [pack(links_of)],
-                   [[len(codes), len(link), len(links_of)]]]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1]), pa.nulls(1, pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(row, _DOCS, strict=True))], schema=_SLICED)
+            docs = pickle.dumps((part.column("doc_id").to_pylist(), counts, n_a, n_b, n_groups, n_links, sha, pack(codes), len(codes), pack(link), len(link), pack(links_of), len(links_of)))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([docs], pa.binary())], schema=_SLICED)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), number)), pa.array(np.arange(len(pairs))), pa.array(pairs),
-                                                  *(pa.nulls(len(pairs), t) for _, t in _DOCS)], schema=_SLICED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), number)), pa.array(np.arange(len(pairs))), pa.array(pairs), pa.nulls(len(pairs), pa.binary())], schema=_SLICED)
             number += 1
         both.table.clear()
         give_back()
@@ -316,14 +330,15 @@ _ANSWER = pa.schema([("slice", pa.int64()), ("code", pa.int64()), ("count", pa.i
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts for the pairs that slices ask for; the shard's row comes first."""
-    index = keys = counts = None
+    sizes = bits = keys = counts = None
     for _, part, new in groups(batches, ["shard"]):
         if new:
-            index = part.slice(0, 1).to_pylist()[0]
-            keys, counts, part = np.array(index["keys"]), np.array(index["counts"]), part.slice(1)
+            sizes, bits, _ = pickle.loads(part.column("function")[0].as_py())
+            keys, counts = (np.frombuffer(part.column(c)[0].as_py(), "<i8") for c in ("keys", "counts"))
+            part = part.slice(1)
         if part.num_rows:
-            pairs = part.column("pair").to_numpy()
-            slot = perfect.slots(pairs, index["sizes"], index["bits"])
+            pairs = part.column("pair").to_numpy(zero_copy_only=False).astype(np.int64)
+            slot = perfect.slots(pairs, sizes, bits)
             if (slot < 0).any() or (keys[slot] != pairs).any():
                 raise ValueError("the second pass met a pair that the first did not count")
             yield pa.RecordBatch.from_arrays([part.column("slice"), part.column("code"), pa.array(counts[slot]), pa.array(pairs & 0xFFFFFFFF)], schema=_ANSWER)
@@ -337,14 +352,13 @@ _RESULT_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_b
 def _together(highest: np.ndarray):
     """Documents of a slice from its row, which comes first, and its answers by code."""
 
-    def close(docs: dict, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        count, second = (np.concatenate([p.column(c).to_numpy() for p in held]) if held else np.zeros(0, np.int64) for c in ("count", "second"))
-        n_codes, n_link, n_distinct = docs["sizes"]
-        codes, link, links_of = unpack(docs["chunks"], n_codes), unpack(docs["links"], n_link), unpack(docs["links_of"], n_distinct)
+    def close(docs: bytes, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        count, second = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in held]).astype(np.int64) if held else np.zeros(0, np.int64) for c in ("count", "second"))
+        ids, n_chunks, n_a, n_b, n_groups, n_links, sha, codes, n_codes, link, n_link, links_of, n_of = pickle.loads(docs)
+        codes, link, links_of = unpack(codes, n_codes), unpack(link, n_link), unpack(links_of, n_of)
         best = (count == highest[second]).astype(np.int64)
-        n_chunks = np.array(docs["n_chunks"], np.int64)
         n_best, total = (sums(sums(x[link], links_of)[codes] if n_codes else codes, n_chunks) for x in (best, count))
-        columns = [docs["doc_ids"], docs["n_a"], docs["n_b"], docs["n_groups"], docs["n_links"], n_best, total, docs["sha"]]
+        columns = [ids, n_a, n_b, n_groups, n_links, n_best, total, sha]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], schema=RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +367,7 @@ def _together(highest: np.ndarray):
             if new:
                 if docs is not None:
                     yield close(docs, held)
-                docs, held, part = part.slice(0, 1).to_pylist()[0], [], part.slice(1)
+                docs, held, part = part.column("docs")[0].as_py(), [], part.slice(1)
             if part.num_rows:
                 held.append(part.select(["count", "second"]))
         if docs is not None:
@@ -371,17 +385,17 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, shard: int = SHARD)
     digest. Each row stands for itself: repeated rows count and come back as often, a null id stays null, extra columns are left out. An empty table gives no row.
     """
     index = pair_counts(docs, byte_path, piece_path, shard)
-    keyed = index.select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
-    highest = keyed.groupBy(F.col("x.keys").bitwiseAND(0xFFFFFFFF).alias("second")).agg(F.max("x.counts").alias("most")).collect()  # a row per id of a vocabulary
+    own = index.select("keys", "counts").mapInArrow(arrow_map(_highest, _MOST), "second long, most long")
+    highest = own.groupBy("second").agg(F.max("most").alias("most")).collect()  # a row per id of a vocabulary
     most = np.zeros(1 + max((r["second"] for r in highest), default=0), np.int64)
     for r in highest:
         most[r["second"]] = r["most"]
     shards = index.agg(F.max("shards")).first()[0] or 1
     about = materialise(texts_of(docs).mapInArrow(_aligned(byte_path, piece_path), _SLICED_DDL), "aligned")
     asks = about.where("code >= 0").select(F.pmod(F.xxhash64("pair"), F.lit(shards)).alias("shard"), F.lit(1).alias("kind"), "slice", "code", "pair")
-    empty = {c: F.lit(None).cast(t) for c, t in (("sizes", "array<int>"), ("bits", "binary"), ("keys", "array<long>"), ("counts", "array<long>"))}
-    tables = index.select("shard", F.lit(0).alias("kind"), "sizes", "bits", "keys", "counts").withColumns({c: F.lit(None).cast("long") for c in ("slice", "code", "pair")})
+    empty = {c: F.lit(None).cast("binary") for c in ("function", "keys", "counts")}
+    tables = index.select("shard", F.lit(0).alias("kind"), "function", "keys", "counts").withColumns({c: F.lit(None).cast("long") for c in ("slice", "code", "pair")})
     answers = dealt(tables.unionByName(asks.withColumns(empty)), ["shard"], "kind").mapInArrow(arrow_map(_answers, _ANSWER), "slice long, code long, count long, second long")
     whole = about.where("code < 0").drop("pair").withColumns({c: F.lit(None).cast("long") for c in ("count", "second")})
-    columns = {f.name: F.lit(None).cast(f.dataType) for f in whole.schema if f.name not in ("slice", "code", "count", "second")}
-    return dealt(whole.unionByName(answers.withColumns(columns)), ["slice"], "code").mapInArrow(_together(most), _RESULT_DDL)
+    answers = answers.withColumn("docs", F.lit(None).cast("binary"))
+    return dealt(whole.unionByName(answers), ["slice"], "code").mapInArrow(_together(most), _RESULT_DDL)
