@@ -579,6 +579,9 @@ add("count_rule", SEGS, """
     ((b = 0)::INTEGER + (m > 0)::INTEGER) / 2.0 * 100 AS accuracy
   FROM (SELECT d.device_id, count(*) FILTER (g.phase = 'BASELINE') AS b, count(*) FILTER (g.phase = 'MOVEMENT') AS m
     FROM (SELECT DISTINCT device_id FROM packets) d LEFT JOIN sg g USING (device_id) GROUP BY d.device_id)""", "accuracy")
+add("segment_split", SEGS, """
+  SELECT phase, n, greatest(floor(n * 0.3 + 0.5), CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS n_test, n - greatest(floor(n * 0.3 + 0.5), CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS n_train
+  FROM (SELECT phase, count(*) AS n FROM sg GROUP BY phase)""")
 GRID_W = (10, 15, 20, 25, 30)
 
 

@@ -30,7 +30,12 @@ def scores(feats: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """Calibrated score where the device has a model, default score elsewhere; ``mode`` says which."""
     if model is None:
         return default_scores(feats).withColumn("mode", F.lit("default"))
-    wide = wide_model(model).withColumn("_has", F.lit(True))
+    return scores_by(feats, wide_model(model))
+
+
+def scores_by(feats: DataFrame, wide: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """``scores`` by a model of one row per device; the columns ``more`` of that row come along."""
+    wide = wide.withColumn("_has", F.lit(True))
     terms = F.lit(0.0)
     for i, name in enumerate(K.FEATURES):
         term = F.col(f"_w{i}") * S.normalise(F.col(name), F.col(f"_lo{i}"), F.col(f"_hi{i}"))
@@ -40,7 +45,7 @@ def scores(feats: DataFrame, model: DataFrame | None = None) -> DataFrame:
     return (
         joined.withColumn("score", F.when(has, terms).otherwise(S.default_score()))
         .withColumn("mode", F.when(has, "calibrated").otherwise("default"))
-        .select(*feats.columns, "score", "mode")
+        .select(*feats.columns, *more, "score", "mode")
     )
 
 

@@ -7,10 +7,16 @@ most a hundred buckets, not passes over the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from rfsense.operators.layout import Profile, arrange
+from rfsense.operators.layout import BROADCAST_ROWS, Profile, arrange
+from rfsense.session import materialise
 
 STEPS = 100
 
@@ -45,6 +51,48 @@ def histogram(values: DataFrame, group: tuple[str, ...] = ("device_id", "feature
     )
 
 
+def wide_histogram(feats: DataFrame, names: Sequence[str], key: str = "device_id") -> DataFrame:
+    """``histogram`` of many feature columns at once, without a row per feature and value.
+
+    One aggregate finds the ranges of all features. The rows of a device then go with its ranges, as arrays, through numpy, which counts all
+    features' buckets of a batch together; only filled buckets go on, and their sums over all batches are the histogram.
+    """
+    cells = [f(F.col(n)).alias(f"{a}{i}") for i, n in enumerate(names) for a, f in (("_lo", F.min), ("_hi", F.max))]
+    ranges = feats.groupBy(key).agg(*cells).select(key, *(F.array(*(F.col(f"{a}{i}") for i in range(len(names)))).alias(a) for a in ("_lo", "_hi")))
+    ranges = materialise(ranges, "ranges")  # one row per device
+    small = F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges
+    kind = feats.schema[key].dataType
+    schema = pa.schema([(key, to_arrow_type(kind)), ("feature_idx", pa.int32()), ("bucket", pa.int32()), ("m", pa.int64()), ("b", pa.int64()), ("s", pa.float64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, lo, hi = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("_v", "_lo", "_hi"))
+            step = (hi - lo) / STEPS
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = np.where(step > 0, np.floor((v - lo) / step), 0.0)
+            at = np.clip(np.nan_to_num(at), 0, STEPS - 1)
+            at = np.where(v < lo + at * step, at - 1, at)  # as in ``bucket``
+            at = np.where((at < STEPS - 1) & (v >= lo + (at + 1) * step), at + 1, at).astype(np.int64)
+            devices = batch.column(key).dictionary_encode()
+            cell = ((devices.indices.to_numpy(zero_copy_only=False)[:, None].astype(np.int64) * v.shape[1] + np.arange(v.shape[1])) * (STEPS + 1) + at + 1).reshape(-1)
+            filled, where = np.unique(cell, return_inverse=True)
+            move = np.repeat(batch.column("_move").to_numpy(zero_copy_only=False).astype(bool), v.shape[1])
+            m, n = np.bincount(where, move, len(filled)).astype(np.int64), np.bincount(where, minlength=len(filled))
+            rest, bucket_ = np.divmod(filled, STEPS + 1)
+            device, feature = np.divmod(rest, v.shape[1])
+            out = [devices.dictionary.take(pa.array(device)), feature, bucket_ - 1, m, n - m, np.bincount(where, v.reshape(-1), len(filled))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    rows = feats.select(key, F.coalesce(F.col("phase") == "MOVEMENT", F.lit(False)).alias("_move"), F.array(*names).alias("_v")).join(small, key)
+    parts = rows.mapInArrow(count, f"{key} {kind.simpleString()}, feature_idx int, bucket int, m long, b long, s double")
+    sums = parts.groupBy(key, "feature_idx", "bucket").agg(*(F.sum(c).alias(c) for c in ("m", "b", "s")))
+    at = F.col("feature_idx")
+    edged = sums.join(small, key).withColumns({"lo": F.get("_lo", at), "hi": F.get("_hi", at), "feature": F.get(F.array(*(F.lit(n) for n in names)), at)})
+    return edged.withColumn("step", (F.col("hi") - F.col("lo")) / STEPS).select(key, "feature_idx", "feature", "lo", "hi", "step", "bucket", "m", "b", "s")
+
+
 def splits(hist: DataFrame, group: tuple[str, ...] = ("device_id", "feature_idx", "feature")) -> DataFrame:
     """Every distinct split of a group's values by a candidate: its counts below and its spread.
 

@@ -13,7 +13,7 @@ from rfsense.operators import calibrate as C
 from rfsense.operators import detect as D
 from rfsense.operators import publish as B
 from rfsense.operators.features import features, stateless
-from rfsense.operators.layout import measure
+from rfsense.operators.layout import BROADCAST_ROWS, measure
 from rfsense.operators.online import PacketDetector
 from rfsense.operators.scan import debounce_machine
 from rfsense.operators.walk import walk
@@ -77,6 +77,21 @@ def calibrate(feats: DataFrame, store: bool = True) -> Calibration:
     return Calibration(stats, pairs, model, C.summary(model))
 
 
+def calibrated_detections(packets: DataFrame, threshold: float = 0.5, debounce: int = 10, persistence: int = 3, piece_rows: int | None = None) -> DataFrame:
+    """Labelled packets -> features -> calibration -> states by each device's own model and threshold; ``threshold`` for devices without one.
+
+    The features are computed in one pass and stored, for the calibration and the scoring. Model and threshold, one row per device, come in one join.
+    """
+    prof = measure(packets, piece_rows=piece_rows)  # admission only removes rows
+    feats = materialise(features(packets, piece_rows=piece_rows, profile=prof), "features")
+    cal = calibrate(feats)
+    own = D.wide_model(cal.model).join(cal.summary.select("device_id", "threshold"), "device_id", "left")
+    own = materialise(own, "models")
+    small = F.broadcast(own) if prof.n_keys <= BROADCAST_ROWS else own
+    scored = D.scores_by(feats, small, ("threshold",))
+    return D.detect(scored, F.coalesce(F.col("threshold"), F.lit(float(threshold))), debounce, persistence, piece_rows=piece_rows, profile=prof)
+
+
 def published(states: DataFrame, period_seconds: int = 1, delta: float = K.PUBLISH_DELTA,
               heartbeat_ms: int = K.PUBLISH_HEARTBEAT_MS, enabled: bool = True,
               times: DataFrame | None = None, piece_rows: int | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from rfsense.operators import spectral as X
 from rfsense.operators import wavelet as V
 from rfsense.operators import windows as W
 from rfsense.operators.features import features, long_form, with_previous
-from rfsense.operators.forest import segment_forest
+from rfsense.operators.forest import segment_forest, split
 from rfsense.operators.layout import arrange, measure
 from rfsense.plans import pipelines as L
 from rfsense.plans.pipelines import rounded
@@ -238,7 +238,7 @@ def default_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def calibrated_score(spark: SparkSession, sf: str) -> DataFrame:
-    f = features(tables.packets(spark, sf))
+    f = materialise(features(tables.packets(spark, sf)), "features")  # read by the calibration and by the scoring
     return rounded(D.scores(f, L.calibrate(f).model).select("device_id", "seq", "score", "mode"))
 
 
@@ -250,10 +250,7 @@ def motion_detections(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def calibrated_detections(spark: SparkSession, sf: str) -> DataFrame:
-    f = features(tables.packets(spark, sf))
-    cal = L.calibrate(f)
-    scored = D.scores(f, cal.model).join(cal.summary.select("device_id", "threshold"), "device_id", "left")
-    d = D.detect(scored, F.coalesce(F.col("threshold"), F.lit(0.53)), 2, 1)
+    d = L.calibrated_detections(tables.packets(spark, sf), 0.53, 2, 1)
     return rounded(d.select("device_id", "seq", "score", "threshold", "state", "confidence"))
 
 
@@ -473,11 +470,35 @@ def grid_top(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.top_configs(g).select("device_id", "rank", "combo", "false_positives", "true_positives", "score", "best"))
 
 
+def _forest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame] | None:
+    t, segs = _segments(spark, sf)
+    return segment_forest(G.segment_features(t, segs, longest=SEG["longest"]))
+
+
 @query
 def segment_forest_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The forest on the segments held out; no row where there are too few segments for one (``count_rule`` serves then)."""
+    got = _forest(spark, sf)
+    names = ("accuracy", "precision", "recall", "f1")
+    if got is None:
+        return spark.createDataFrame([], ", ".join(f"{n} double" for n in names) + ", n_train long, n_test long")
+    return rounded(got[0].select(*names, "n_train", "n_test"))
+
+
+@query
+def segment_forest_importances(spark: SparkSession, sf: str) -> DataFrame:
+    got = _forest(spark, sf)
+    if got is None:
+        return spark.createDataFrame([], "feature string, importance double")
+    return rounded(got[1])
+
+
+@query
+def segment_split(spark: SparkSession, sf: str) -> DataFrame:
+    """How many segments of each class are held out."""
     t, segs = _segments(spark, sf)
-    got = segment_forest(G.segment_features(t, segs, longest=SEG["longest"]))
-    return rounded(G.count_rule(t, segs)) if got is None else rounded(got[0])
+    s = split(segs)
+    return s.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"), F.count_if(~F.col("is_test")).alias("n_train"))
 
 
 # --- evaluation -------------------------------------------------------------------------
@@ -486,7 +507,7 @@ def _histogram(spark: SparkSession, sf: str) -> DataFrame:
     p = tables.packets(spark, sf)
     # Used for the ranges and for the counts.
     f = materialise(E.skip_warmup(features(p), profile=measure(p).of_subset()), "features")
-    return E.histogram(long_form(f, ("device_id", "phase")))
+    return E.wide_histogram(f, K.FEATURES)
 
 
 @query
