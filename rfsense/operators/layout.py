@@ -150,6 +150,10 @@ def measure(df: DataFrame, keys: tuple[str, ...] = ("device_id",), order: tuple[
     bin_width = bin_width or BIN_SECONDS
     bins = df.select(*keys, _time_bin(df, order[0], bin_width).alias("_bin"))
     biggest, n_keys = bins.groupBy(*keys).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    # A bin is not cut: where one holds more rows than a piece should, bins are made narrower. Rows of one and the same time stay together.
+    while (biggest or 0) > piece_rows and bin_width > 1e-6 and bins.groupBy(*keys, "_bin").count().agg(F.max("count")).first()[0] > piece_rows:
+        bin_width = max(bin_width / 64, 1e-6)
+        bins = df.select(*keys, _time_bin(df, order[0], bin_width).alias("_bin"))
     return Profile(list(keys), (biggest or 0) > piece_rows, n_keys, bins, bin_width, piece_rows)
 
 

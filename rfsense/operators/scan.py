@@ -5,7 +5,7 @@ sequential. A device that fits one task is simply walked from the start state. A
 device is cut into pieces and walked in three steps:
 
 1. every piece reports, for each state it could be entered in, the state it is left in;
-2. those few rows are folded per device, giving the state each piece really starts in;
+2. those few rows are folded per device, a piece at a time, giving the state each piece really starts in;
 3. every piece is walked from that state.
 
 Step 1 stays small because an earlier event can influence a piece only through its
@@ -69,17 +69,27 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
 
     part_ddl = ", ".join(f"`{c}` {types[c]}" for c in part)
     names = [f.split()[0] for f in m.state.split(",")]
+    ways_names = [f.split()[0] for f in m.ways_schema.split(",")]
 
     def ways(c: Columns, _) -> tuple[Columns, None]:
         w = m.ways_in(c)
         return {**{k: np.repeat(c[k][:1], len(w)) for k in part}, **{k: w[k].to_numpy() for k in w}}, None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, found = m.start, []
-        for piece, w in pdf.groupby("_piece", sort=True):
-            found.append((*(pdf[k].iloc[0] for k in keys), piece, *state))
-            state = m.through(state, w)
-        return pd.DataFrame(found, columns=[*part, *names])
+    def fold(c: Columns, held: tuple[State, int | None, list[Columns]] | None) -> tuple[Columns, tuple]:
+        """The state each piece is entered in. Of the pieces' summaries only one is held at a time."""
+        state, last, rows = held or (m.start, None, [])
+        found: list[tuple] = []
+        piece_of = c["_piece"]
+        for at in np.split(np.arange(len(piece_of)), np.flatnonzero(np.diff(piece_of)) + 1):
+            piece = int(piece_of[at[0]])
+            if piece != last:
+                if rows:
+                    state = m.through(state, pd.DataFrame({k: np.concatenate([r[k] for r in rows]) for k in ways_names}))
+                found.append((*(c[k][at[0]] for k in keys), piece, *state))
+                last, rows = piece, []
+            rows = [*rows, {k: c[k][at] for k in ways_names}]
+        columns = [np.array(v, object) for v in zip(*found, strict=True)] if found else [np.array([], object)] * (len(part) + len(names))
+        return dict(zip([*part, *names], columns, strict=True)), (state, last, rows)
 
     def piece(c: Columns, state: State | None) -> tuple[Columns, State]:
         if state is None:
@@ -89,7 +99,7 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
     # Devices that were not cut start in the start state and skip the first two steps.
     rows = lay.df.where("_core").withColumn("_hot", lay.hot())
     summary = walk(rows.where("_hot"), part, order, cols, ways, f"{part_ddl}, {m.ways_schema}", whole=True)
-    entered = summary.groupBy(*keys).applyInPandas(fold, f"{part_ddl}, {m.state}")
+    entered = walk(summary, keys, ["_piece"], [*part, *ways_names], fold, f"{part_ddl}, {m.state}")
     return walk(rows.join(entered, part, "left"), part, order, [*cols, *names, "_hot"], piece, schema)
 
 

@@ -47,3 +47,23 @@ def test_only_hot_devices_are_cut(spark):
     lay = arrange(skewed(spark), 3, piece_rows=500, bin_width=5.0)
     many = lay.df.groupBy("device_id").agg(F.count_distinct("_piece").alias("n")).where("n > 1").collect()
     assert [r.device_id for r in many] == [0]
+
+
+@pytest.mark.parametrize("bin_seconds", [0.25, 60.0])
+def test_machines_over_long_heartbeats_and_one_bin(spark, monkeypatch, bin_seconds):
+    """A heartbeat of 300 rows over pieces of 40; with wide bins all rows lie in the first one, which is made narrower."""
+    from rfsense.operators import detect as D
+    from rfsense.operators import layout
+
+    monkeypatch.setattr(layout, "BIN_SECONDS", bin_seconds)
+    rows = spark.range(1500).select((F.col("id") % 3 % 2).cast("long").alias("device_id"), F.timestamp_millis(F.col("id") * 3).alias("ts"), F.col("id").alias("seq"),
+                                    F.when(F.col("id") % 431 < 9, "DETECTED").otherwise("IDLE").alias("state"), (F.col("id") % 700 / 700).alias("score"))
+
+    def run(piece_rows):
+        gate = D.gate(rows, 0.2, 3000, piece_rows=piece_rows)
+        found = D.detect(rows, 0.9, 4, 1, piece_rows=piece_rows)
+        return sorted(map(str, gate.select("device_id", "seq", "published").collect())), sorted(map(str, found.select("device_id", "seq", "state").collect()))
+
+    assert arrange(rows, piece_rows=40).pieces and run(40) == run(10**6)
+    pieces = arrange(rows, piece_rows=40).df.where("_core").groupBy("device_id", "_piece").count()
+    assert pieces.agg(F.max("count")).first()[0] <= 80 and pieces.count() > 20
