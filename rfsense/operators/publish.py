@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rfsense.functions import packet as P
+from rfsense.operators import layout
 from rfsense.operators.layout import Profile, arrange
+from rfsense.operators.ticks import tick_of
+
+GAP_TICKS = 4096
+"""Ticks of a gap that are made from one row at a time."""
 
 
 def ticks(states: DataFrame, period_seconds: int = 1, cols: tuple[str, ...] = ("state", "score", "confidence"),
@@ -18,17 +23,24 @@ def ticks(states: DataFrame, period_seconds: int = 1, cols: tuple[str, ...] = ("
     """
     us = period_seconds * 1_000_000
     lay = arrange(states, after=1, piece_rows=piece_rows, profile=profile)
-
-    def tick_of(c: Column) -> Column:
-        return F.ceil(F.unix_micros(c) / F.lit(us).cast("double")).cast("long")
-
     rows = lay.done(lay.df.withColumn("_next", F.lead("ts").over(lay.ordered())))
-    first = tick_of(F.col("ts"))
-    last = F.coalesce(tick_of(F.col("_next")) - 1, first)
-    return (
-        rows.withColumn("_k", F.explode(F.when(last >= first, F.sequence(first, last))))
-        .select("device_id", F.timestamp_micros(F.col("_k") * us).alias("ts"), *cols)
-    )
+    rows = rows.withColumn("_first", tick_of(F.col("ts"), period_seconds))
+    rows = rows.withColumn("_last", F.coalesce(tick_of(F.col("_next"), period_seconds) - 1, F.col("_first")))
+    first, last = F.col("_first"), F.col("_last")
+    # A long gap is spread in two steps: no row holds all its ticks.
+    spread = rows.withColumn("_from", F.explode(F.when(last >= first, F.sequence(first, last, F.lit(GAP_TICKS).cast("long")))))
+    spread = spread.withColumn("_k", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (GAP_TICKS - 1), last))))
+    return spread.select("device_id", F.timestamp_micros(F.col("_k") * us).alias("ts"), *cols)
+
+
+def tick_profile(times: DataFrame, period_seconds: int = 1, piece_rows: int | None = None, profile: Profile | None = None) -> Profile:
+    """How the ticks of ``times`` spread: a device has all those from its first row to its last, so none is built unless there is a hot device."""
+    span = times.groupBy("device_id").agg((tick_of(F.max("ts"), period_seconds) - tick_of(F.min("ts"), period_seconds) + 1).alias("n"))
+    biggest, devices = span.agg(F.max("n"), F.count(F.lit(1))).first()
+    most = max(int(piece_rows or layout.PIECE_ROWS), 1)
+    if (biggest or 0) <= most:
+        return Profile(["device_id"], False, devices, span, layout.BIN_SECONDS, most)
+    return layout.measure(ticks(times.select("device_id", "ts", "seq"), period_seconds, (), piece_rows, profile), order=("ts",), piece_rows=piece_rows)
 
 
 def reduction(published: DataFrame) -> DataFrame:

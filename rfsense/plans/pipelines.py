@@ -103,8 +103,7 @@ def published(states: DataFrame, period_seconds: int = 1, delta: float = K.PUBLI
     times = states if times is None else times
     prof = measure(times, piece_rows=piece_rows)
     t = B.ticks(states, period_seconds, piece_rows=piece_rows, profile=prof)
-    tick_prof = measure(B.ticks(times.select("device_id", "ts", "seq"), period_seconds, (), piece_rows, prof),
-                        order=("ts",), piece_rows=piece_rows)
+    tick_prof = B.tick_profile(times, period_seconds, piece_rows, prof)
     return D.gate(t, delta, heartbeat_ms, enabled, order=("ts",), keep=("confidence",),
                   piece_rows=piece_rows, profile=tick_prof)
 
