@@ -88,8 +88,11 @@ def scan(lay: Layout, m: Machine, passthrough: tuple[str, ...] = (), explode: bo
                 found.append((*(c[k][at[0]] for k in keys), piece, *state))
                 last, rows = piece, []
             rows = [*rows, {k: c[k][at] for k in ways_names}]
-        columns = [np.array(v, object) for v in zip(*found, strict=True)] if found else [np.array([], object)] * (len(part) + len(names))
-        return dict(zip([*part, *names], columns, strict=True)), (state, last, rows)
+        out = {n: np.empty(len(found), object) for n in [*part, *names]}
+        for i, values in enumerate(found):
+            for n, v in zip(out, values, strict=True):
+                out[n][i] = v  # states may hold lists
+        return out, (state, last, rows)
 
     def piece(c: Columns, state: State | None) -> tuple[Columns, State]:
         if state is None:
