@@ -118,9 +118,11 @@ class Aligner:
         All others go through the whole pipeline."""
         plain = pc.match_substring_regex(chunks, f"^ {LATIN}$")
         codes, parts, counts = runs(chunks.filter(plain), False)
+        ascii_ = pc.string_is_ascii(parts)
         mapped = pc.replace_substring(parts, " ", self.mapped[32]).to_pylist()
-        for i in np.flatnonzero(~pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)).tolist():
-            mapped[i] = parts[i].as_py().encode().decode("latin-1").translate(self.mapped)
+        wide = np.flatnonzero(~ascii_.to_numpy(zero_copy_only=False)).tolist()
+        for i, p in zip(wide, parts.filter(pc.invert(ascii_)).to_pylist(), strict=True):
+            mapped[i] = p.encode().decode("latin-1").translate(self.mapped)
         ids = np.array(self.bare.encode_batch_fast([mapped], is_pretokenized=True, add_special_tokens=False)[0].ids if mapped else [], np.int64)
         n = np.diff(np.searchsorted(np.cumsum(self.length_a[ids]), np.cumsum(pc.binary_length(parts).to_numpy(zero_copy_only=False))) + 1, prepend=0)
         flat, each = gather(codes, np.cumsum(n) - n, n, ids)
