@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rfsense import constants as K
 from rfsense.functions import kernels as Q
 from rfsense.functions import packet as P
-from rfsense.operators.layout import Layout, Profile, arrange
+from rfsense.operators.layout import Layout, Profile, arrange, measure
 
 
 def with_previous(df: DataFrame, lay: Layout, x: str = "x", out: str = "prev") -> DataFrame:
@@ -50,6 +50,8 @@ def features(
     ordered = {"skewness", "kurtosis", "temporal_delta_mean", "temporal_delta_variance"} & set(names)
     base = stateless(packets, names, start, end, keep)
     if ordered:
+        if profile is None:  # the packets' keys and times alone; admission reads their values
+            profile = measure(packets, piece_rows=piece_rows).of_subset()
         lay = arrange(base, before=K.MOMENT_ROWS - 1, piece_rows=piece_rows, profile=profile)
         base = lay.df
         derived = []

@@ -29,9 +29,10 @@ def motion_detections(packets: DataFrame, threshold: Column | float = 0.5, debou
     each device's packets, so the job shuffles once. Otherwise features, score and states are
     separate steps, which hot devices can be cut for.
     """
-    prof = measure(packets, piece_rows=piece_rows)  # admission only removes rows
+    prof = measure(packets, piece_rows=piece_rows)
     if model is None and not isinstance(threshold, Column) and not prof.hot:
         return _one_walk(packets, float(threshold), debounce, persistence)
+    prof = prof.of_subset()  # admission removes rows, which pieces of hot devices would count as look-back
     names = K.FEATURES if model is not None else [n for n, w in zip(K.FEATURES, K.DEFAULT_WEIGHTS) if w]
     feats = features(packets, names, keep=(), piece_rows=piece_rows, profile=prof)
     scored = D.scores(feats, model) if model is not None else feats.withColumn("score", S.default_score())
@@ -82,12 +83,13 @@ def calibrated_detections(packets: DataFrame, threshold: float = 0.5, debounce:
 
     The features are computed in one pass and stored, for the calibration and the scoring. Model and threshold, one row per device, come in one join.
     """
-    prof = measure(packets, piece_rows=piece_rows)  # admission only removes rows
+    devices = measure(packets, piece_rows=piece_rows)
+    prof = devices.of_subset()  # admission removes rows
     feats = materialise(features(packets, piece_rows=piece_rows, profile=prof), "features")
     cal = calibrate(feats)
     own = D.wide_model(cal.model).join(cal.summary.select("device_id", "threshold"), "device_id", "left")
     own = materialise(own, "models")
-    small = F.broadcast(own) if prof.n_keys <= BROADCAST_ROWS else own
+    small = F.broadcast(own) if devices.n_keys <= BROADCAST_ROWS else own
     scored = D.scores_by(feats, small, ("threshold",))
     return D.detect(scored, F.coalesce(F.col("threshold"), F.lit(float(threshold))), debounce, persistence, piece_rows=piece_rows, profile=prof)
 

@@ -49,3 +49,15 @@ def test_calibrated_detections_read_the_packets_features_once(spark):
     d = L.calibrated_detections(tables.packets(spark, SF), 0.53, 2, 1)
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "embeddings.parquet" not in plan and d.count() == tables.packets(spark, SF).count()
+
+
+def test_hot_devices_with_packets_that_are_not_admitted(spark, small_pieces):
+    """Look-back counts admitted packets only, also where a device is cut."""
+    n = F.when(F.col("seq") % 3 > 0, 8).otherwise(64)
+    packets = tables.packets(spark, SF).withColumn("iq", F.slice("iq", 1, n))
+
+    def rows(d):
+        return sorted((r.device_id, r.seq, round(r.score, 9), r.state) for r in d.collect())
+
+    assert rows(L.motion_detections(packets, 0.53, 2, 1)) == rows(L.motion_detections(packets, 0.53, 2, 1, piece_rows=10**6))
+    assert rows(L.calibrated_detections(packets, 0.53, 2, 1)) == rows(L.calibrated_detections(packets, 0.53, 2, 1, piece_rows=10**6))
