@@ -736,7 +736,9 @@ def _packet_stream(spark: SparkSession, sf: str, name: str, delayed: F.Column |
 
 
 def _hourly(rows: DataFrame, name: str) -> DataFrame:
-    return J.replay(rows, name, SERIES_LATENESS, HOUR * 1000)
+    # Four triggers, each of as many files as tasks can read side by side.
+    n = max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    return J.replay(rows, name, SERIES_LATENESS, HOUR * 1000, files=4 * n, files_per_trigger=n)
 
 
 @query

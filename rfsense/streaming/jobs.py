@@ -23,6 +23,9 @@ from rfsense.streaming.processors import ConfigAsOf, IdleResets, InactivityAlert
 END = "+200000-01-01 00:00:00"
 """Time of the row that ends an input, far enough for a tolerance of thousands of years."""
 
+SHARES = 1024
+"""States over which devices are dealt. A checkpoint is bound to this number."""
+
 CLOSING = "_closing"
 """Marks the row that ends a replayed table."""
 
@@ -82,11 +85,6 @@ def _ordered(spark: SparkSession, path: str) -> list[str]:
     return sorted(str(f.getPath().toString()) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
 
 
-def _key(df: DataFrame) -> str:
-    """The device column with the type it has in the input."""
-    return f"device_id {df.schema['device_id'].dataType.simpleString()}"
-
-
 def _marked(rows: DataFrame, lateness: str, end: DataFrame | None = None) -> DataFrame:
     """Rows under a watermark, without the one that ends the input: it has moved the watermark and goes no further."""
     if end is not None:
@@ -108,7 +106,10 @@ def _within(rows: DataFrame, lateness: str, end: DataFrame | None) -> DataFrame:
 
 
 def _stateful(rows: DataFrame, processor, output: str) -> DataFrame:
-    return rows.groupBy("device_id").transformWithStateInPandas(processor, outputStructType=f"{_key(rows)}, {output}", outputMode="append", timeMode="eventTime")
+    """Devices are dealt by hash over ``SHARES`` states; ``device_id`` comes back with the type it has in the input."""
+    dealt = rows.withColumns({"device_share": F.pmod(F.xxhash64("device_id"), F.lit(SHARES)), "device_id": F.col("device_id").cast("string")})
+    out = dealt.groupBy("device_share").transformWithStateInPandas(processor, outputStructType=f"device_id string, {output}", outputMode="append", timeMode="eventTime")
+    return out.withColumn("device_id", F.col("device_id").cast(rows.schema["device_id"].dataType))
 
 
 def detections(packets: DataFrame, threshold: float = 0.5, debounce: int = 10, persistence: int = 3,
@@ -140,7 +141,10 @@ def ticks(states: DataFrame, period_seconds: int = 1, lateness: str = "10 second
     """Latest state, score and confidence at every tick, also at those without a row: a timer per device gives them as the watermark passes."""
     rows = _within(states, lateness, None).select("device_id", "ts", "seq", "state", "score", "confidence")
     machine = TickProcessor(period_seconds * 1000, "state string, score double, confidence double", bucket_ms)
-    return _stateful(rows, machine, "ts timestamp, state string, score double, confidence double")
+    runs = _stateful(rows, machine, "first bigint, last bigint, state string, score double, confidence double")
+    at = F.timestamp_micros(F.col("tick") * F.lit(period_seconds * 1_000_000))
+    return (runs.select("device_id", F.explode(F.sequence("first", "last")).alias("tick"), "state", "score", "confidence")
+            .select("device_id", at.alias("ts"), "state", "score", "confidence"))
 
 
 def idle_resets(states: DataFrame, timeout: int, period_seconds: int = 1, lateness: str = "10 seconds", bucket_ms: int = 1000) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Stateful processors, one state row per device.
+"""Stateful processors, one state per share of the devices.
 
 The sequential machines of the batch side take a state and give one back, so the same code
 runs here with the state kept between micro-batches. Rows wait on a time line, in buckets of time, until the watermark has passed
 their bucket, so the order in which files and micro-batches bring them does not matter within the tolerance of the watermark.
-One event-time timer per device wakes it for the next bucket, or for whatever is due without a row: ticks, resets, alerts.
+One event-time timer per share wakes it for its next bucket, or for whatever is due to a device without a row: ticks, resets, alerts.
+
+A call into the state costs the same for one row as for a thousand, and a series has only a few rows a day: with a state per device
+the calls were nearly all of the time. Devices of a share have their buckets and timer in common; each keeps its own machine,
+late rows and moment up to which it was given, so the results do not depend on who shares with whom.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ NEVER = -(2**62)
 
 PUT_ROWS = 1000
 """Rows of a state entry."""
-FRAME = 5000
+FRAME = 20_000
 """Rows that are worked on, or given, together."""
+RUN = 10_000
+"""Ticks of a row of ``TickProcessor``."""
 
 Columns = dict[str, np.ndarray]
 Work = Generator[Columns, None, tuple]
+Outputs = Iterator[tuple[str | None, Columns]]
 
 
 def plain(values: pd.Series) -> list:
@@ -35,106 +42,196 @@ def plain(values: pd.Series) -> list:
     return [list(map(int, v)) if isinstance(v, np.ndarray) else None if v is None or v is pd.NA or v != v else v for v in values.tolist()]
 
 
-def instants(us: np.ndarray) -> pd.Series:
-    return pd.to_datetime(pd.Series(us, dtype="int64"), unit="us", utc=True)
+def instants(us: np.ndarray) -> np.ndarray:
+    return np.asarray(us, np.int64).view("datetime64[us]")
+
+
+def lists(ddl: str) -> str:
+    """The columns of a DDL as arrays."""
+    return ", ".join(f"{n} array<{t}>" for n, t in (f.split(" ", 1) for f in ddl.split(", ")))
+
+
+def joined(parts: list) -> pd.Series:
+    """One column of the parts of several devices; times are UTC."""
+    if not all(isinstance(v, np.ndarray) for v in parts):
+        return pd.concat([pd.Series(v) for v in parts], ignore_index=True)
+    column = pd.Series(np.concatenate(parts))
+    return column.dt.tz_localize("UTC") if column.dtype.kind == "M" else column
 
 
 class TimelineProcessor(StatefulProcessor):
-    """Holds a device's rows in buckets of ``bucket_ms`` until the watermark has passed the bucket, then works on them by (ts, ``first``, seq).
+    """Holds the rows of a share of the devices in buckets of ``bucket_ms`` until the watermark has passed the bucket, then works on each device's by (ts,
+    ``first``, seq).
 
-    A row of a bucket that was given already, or of an earlier one, comes too late: it is left out and counted. The state holds the
-    buckets of the tolerance and of one micro-batch; a bucket is read and taken out by itself, and rows are worked on ``FRAME`` at a
-    time.
+    A row of a bucket that its device was given already, or of an earlier one, comes too late: it is left out and counted. The state holds the
+    buckets of the tolerance and of one micro-batch, and a machine per device. Rows are held in parts of ``PUT_ROWS`` in the order of their buckets; parts are read and taken
+    out one by one, and rows are worked on ``FRAME`` at a time. Devices are told by text.
     """
 
     def __init__(self, fields: str, state: str, start: tuple, bucket_ms: int = 1000, first: str | None = None):
         self.bucket, self.start, self.state, self.first = bucket_ms, start, state, first
         parts = [f.split(" ", 1) for f in fields.split(", ")] if fields else []
-        self.names = ["_us", "seq", *(n for n, _ in parts)]
-        self.held_as = ", ".join(f"{n} array<{t}>" for n, t in [("_us", "bigint"), ("seq", "bigint"), *parts])
+        self.names = ["device_id", "_us", "seq", *(n for n, _ in parts)]
+        # A device's values have the type that they have by themselves, whatever others of its share have.
+        self.own_type = ["seq", *(n for n, t in parts if t != "string" and not t.startswith("array"))]
+        self.held_as = lists("device_id string, _us bigint, seq bigint" + (f", {fields}" if fields else ""))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "bucket bigint, part bigint", self.held_as)
-        self.value = handle.getValueState("machine", f"{self.state}, given bigint, late bigint, timer bigint, buckets array<bigint>, parts array<bigint>")
-
-    def _load(self) -> tuple[tuple, int, int, int, dict[int, int]]:
-        if not self.value.exists():
-            return self.start, NEVER, 0, NEVER, {}
-        *state, given, late, timer, buckets, parts = self.value.get()
-        return tuple(state), int(given), int(late), int(timer), dict(zip(map(int, buckets), map(int, parts), strict=True))
-
-    def _store(self, state: tuple, given: int, late: int, timer: int, held: dict[int, int], due: int | None) -> None:
-        """Writes the state, and wakes the device at its first bucket's end or at ``due``."""
-        wakes = [(min(held) + 1) * self.bucket] if held else []
+        self.held = handle.getMapState("held", "part bigint", self.held_as)
+        self.line = handle.getValueState("line", "timer bigint, due bigint, next bigint, parts array<bigint>, begins array<bigint>")
+        self.machines = handle.getValueState("machines", lists(f"device_id string, {self.state}, given bigint, late bigint"))
+
+    def _load(self) -> tuple[int, int | None, int, dict[int, int]]:
+        """The timer, when something is due without a row, the number of the next part, and the first bucket of each part held."""
+        found = self.line.get()
+        if found is None:
+            return NEVER, None, 0, {}
+        timer, due, number, parts, begins = found
+        return int(timer), None if due is None else int(due), int(number), dict(zip(map(int, parts), map(int, begins), strict=True))
+
+    def _store(self, timer: int, due: int | None, number: int, parts: dict[int, int]) -> None:
+        """Writes the line, and wakes the share at its first bucket's end or at ``due``."""
+        wakes = [(min(parts.values()) + 1) * self.bucket] if parts else []
         wake = min(wakes if due is None else [*wakes, due], default=NEVER)
         if wake != timer:
             if timer != NEVER:
                 self.handle.deleteTimer(timer)
             if wake != NEVER:
                 self.handle.registerTimer(wake)
-        self.value.update((*state, given, late, wake, list(held), list(held.values())))
+        self.line.update((wake, due, number, list(parts), list(parts.values())))
+
+    def _put(self, columns: list[list], bucket: np.ndarray, at: np.ndarray, number: int, parts: dict[int, int]) -> int:
+        """Holds the rows ``at``, in the order of their buckets; the number of the next part."""
+        at = at[np.argsort(bucket[at], kind="stable")]
+        for some in (at[i:i + PUT_ROWS].tolist() for i in range(0, len(at), PUT_ROWS)):
+            self.held.updateValue((number,), tuple([c[i] for i in some] for c in columns))
+            parts[number] = int(bucket[some[0]])
+            number += 1
+        return number
+
+    def _devices(self) -> dict[str | None, list]:
+        """By device: its machine's state, the time up to which it was given, its late rows."""
+        found = self.machines.get()
+        return {} if found is None else {d: own for d, *own in zip(*found, strict=True)}
+
+    def _keep(self, devices: dict[str | None, list]) -> None:
+        if devices:
+            self.machines.update((list(devices), *(list(v) for v in zip(*devices.values(), strict=True))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, given, late, timer, held = self._load()
+        (timer, due, number, parts), devices, counted = self._load(), self._devices(), False
         for pdf in rows:
             us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
             bucket = us // (self.bucket * 1000)
-            fresh = (bucket + 1) * self.bucket > given
-            late += int((~fresh).sum())
-            columns = [us.tolist(), [None if v is None else int(v) for v in plain(pdf["seq"])], *(plain(pdf[c]) for c in self.names[2:])]
-            at = np.flatnonzero(fresh)
-            at = at[np.argsort(bucket[at], kind="stable")]
-            for run in np.split(at, np.flatnonzero(np.diff(bucket[at])) + 1) if len(at) else ():
-                b = int(bucket[run[0]])
-                for some in (run[i:i + PUT_ROWS].tolist() for i in range(0, len(run), PUT_ROWS)):
-                    self.held.updateValue((b, held.get(b, 0)), tuple([c[i] for i in some] for c in columns))
-                    held[b] = held.get(b, 0) + 1
-        self._store(state, given, late, timer, held, self.due(state, given))
+            device = plain(pdf["device_id"])
+            fresh = (bucket + 1) * self.bucket > np.array([devices[d][-2] if d in devices else NEVER for d in device], np.int64)
+            for i in np.flatnonzero(~fresh).tolist():
+                devices[device[i]][-1] += 1
+                counted = True
+            columns = [device, us.tolist(), [None if v is None else int(v) for v in plain(pdf["seq"])], *(plain(pdf[c]) for c in self.names[3:])]
+            number = self._put(columns, bucket, np.flatnonzero(fresh), number, parts)
+        if counted:
+            self._keep(devices)
+        self._store(timer, due, number, parts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, given, late, _, held = self._load()
+        (_, _, number, parts), devices = self._load(), self._devices()
         passed = timerValues.getCurrentWatermarkInMs() // self.bucket * self.bucket
-        self.late = late
-        ready: list[list] = []
-        for b in sorted(b for b in held if (b + 1) * self.bucket <= passed):
-            found = []
-            for part in range(held.pop(b)):
-                found += zip(*self.held.getValue((b, part)), strict=True)
-                self.held.removeKey((b, part))
-            first = self.names.index(self.first) if self.first else 0
-            ready += sorted(found, key=lambda r: (r[0], r[first], r[1] is None, r[1] or 0))
-            given = max(given, (b + 1) * self.bucket)
+        woken = {d for d, own in devices.items() if (due := self.due(own[:-2], own[-2])) is not None and due <= passed} if self.silent else set()
+        ends, first = passed // self.bucket, self.names.index(self.first) if self.first else 1
+        some = sorted((p for p, b in parts.items() if b < ends), key=parts.get)
+        found: list[tuple] = []
+        ready: list[tuple] = []
+        for k, part in enumerate(some):
+            found += zip(*self.held.getValue((part,)), strict=True)
+            self.held.removeKey((part,))
+            # Rows before the first bucket of the next part are all there.
+            upto = min(ends, parts[some[k + 1]] if k + 1 < len(some) else ends) * self.bucket * 1000
+            whole = [r for r in found if r[1] < upto]
+            if not whole:
+                continue
+            found = [r for r in found if r[1] >= upto]
+            ready += sorted(whole, key=lambda r: (r[1], r[first], r[2] is None, r[2] or 0))
+            for d, us in {r[0]: r[1] for r in ready[-len(whole):]}.items():
+                own = devices.setdefault(d, [*self.start, NEVER, 0])
+                own[-2] = max(own[-2], (us // (self.bucket * 1000) + 1) * self.bucket)
+                woken.add(d)
             while len(ready) >= FRAME:
-                state = yield from self._given(key, self._worked(ready[:FRAME], state))
+                yield from self._frames(self._worked(ready[:FRAME], devices))
                 ready = ready[FRAME:]
+        for part in some:
+            del parts[part]
         if ready:
-            state = yield from self._given(key, self._worked(ready, state))
+            yield from self._frames(self._worked(ready, devices))
+        if found:
+            bucket = np.array([r[1] for r in found], np.int64) // (self.bucket * 1000)
+            number = self._put([list(c) for c in zip(*found, strict=True)], bucket, np.arange(len(found)), number, parts)
+        due = None
         if self.silent:
-            given = max(given, passed)
-            state = yield from self._given(key, self.silence(state, passed))
-        self._store(state, given, late, NEVER, held, self.due(state, given))
-
-    def _worked(self, ready: list, state: tuple) -> Work:
-        rows = {c: pd.Series(v, dtype=object).infer_objects().to_numpy() for c, v in zip(self.names, zip(*ready, strict=True), strict=True)}
+            yield from self._frames(self._silenced(woken, devices, passed))
+            due = min((at for own in devices.values() if (at := self.due(own[:-2], own[-2])) is not None), default=None)
+        self._keep(devices)
+        self._store(NEVER, due, number, parts)
+
+    def _worked(self, ready: list[tuple], devices: dict[str | None, list]) -> Outputs:
+        """What the machines give for rows in the order of time, device by device."""
+        number: dict[str | None, int] = {}
+        of = np.fromiter((number.setdefault(r[0], len(number)) for r in ready), np.int64, len(ready))
+        order = np.argsort(of, kind="stable")
+        ends = np.cumsum(np.bincount(of, minlength=len(number))).tolist()
+        _, *columns = zip(*ready, strict=True)
+        rows = {c: pd.Series(v, dtype=object).infer_objects().to_numpy()[order] for c, v in zip(self.names[1:], columns, strict=True)}
         rows["_us"] = rows["_us"].astype(np.int64)
         rows["_ms"], rows["_sec"] = rows["_us"] // 1000, rows["_us"] // 1_000_000
-        return self.work(rows, state)
-
-    def _given(self, key: tuple, work: Work) -> Generator[pd.DataFrame, None, tuple]:
-        """The frames of some work, at most ``FRAME`` rows each; its value is the state after it."""
+        mixed = [c for c in self.own_type if rows[c].dtype == object]
+        for device, lo, hi in zip(number, [0, *ends], ends, strict=False):
+            own = {c: v[lo:hi] for c, v in rows.items()}
+            own |= {c: pd.Series(own[c], dtype=object).infer_objects().to_numpy() for c in mixed}
+            *state, given, self.late = devices[device]
+            state = yield from self._each(device, self.work(own, tuple(state)))
+            devices[device] = [*state, given, self.late]
+
+    def _silenced(self, woken: set[str | None], devices: dict[str | None, list], passed: int) -> Outputs:
+        for device in woken:
+            *state, given, late = devices[device]
+            state = yield from self._each(device, self.silence(tuple(state), passed))
+            devices[device] = [*state, max(given, passed), late]
+
+    @staticmethod
+    def _each(device: str | None, work: Work) -> Generator[tuple[str | None, Columns], None, tuple]:
+        """The work's columns, each with the device; its value is the state after it."""
         try:
             while True:
-                out = next(work)
-                n = len(next(iter(out.values())))
-                for at in range(0, n, FRAME):
-                    yield pd.DataFrame({"device_id": [key[0]] * min(FRAME, n - at), **{c: v[at:at + FRAME] for c, v in out.items()}})
+                yield device, next(work)
         except StopIteration as end:
             return end.value
 
+    @staticmethod
+    def _frames(outputs: Outputs) -> Iterator[pd.DataFrame]:
+        """Outputs of many devices in frames of at most ``FRAME`` rows."""
+        def frame() -> pd.DataFrame:
+            device = np.repeat(np.array([d for d, _, _ in gathered], object), [n for _, n, _ in gathered])
+            return pd.DataFrame({"device_id": device, **{c: joined([out[c] for *_, out in gathered]) for c in gathered[0][2]}})
+
+        gathered: list[tuple] = []
+        room = FRAME
+        for device, out in outputs:
+            n = len(next(iter(out.values())))
+            at = 0
+            while at < n:
+                some = min(room, n - at)
+                gathered.append((device, some, {c: v[at:at + some] for c, v in out.items()}))
+                at, room = at + some, room - some
+                if not room:
+                    yield frame()
+                    gathered, room = [], FRAME
+        if gathered:
+            yield frame()
+
     silent = False
-    """Whether the device does something without rows: ``silence`` and ``due``."""
+    """Whether a device does something without rows: ``silence`` and ``due``."""
 
     def work(self, rows: Columns, state: tuple) -> Work:
         """Gives output columns for ordered rows; returns the state after them."""
@@ -154,7 +251,7 @@ class TimelineProcessor(StatefulProcessor):
 
 
 def with_order(rows: Columns, out: Columns) -> Columns:
-    return {"ts": instants(rows["_us"]).to_numpy(), "seq": rows["seq"], **out}
+    return {"ts": instants(rows["_us"]), "seq": rows["seq"], **out}
 
 
 class MachineProcessor(TimelineProcessor):
@@ -195,7 +292,8 @@ class MotionDetector(TimelineProcessor):
 class TickProcessor(TimelineProcessor):
     """The latest values at every tick from a device's first row on, also for ticks without a row: a timer that renews itself.
 
-    A tick is given once the watermark has passed it, so that no row before it can come any more.
+    A tick is given once the watermark has passed it, so that no row before it can come any more. Ticks with the same values come as one row (``first``
+    to ``last``, at most ``RUN``), to be spread out by Spark.
     """
 
     silent = True
@@ -204,12 +302,14 @@ class TickProcessor(TimelineProcessor):
         self.period, self.values = period_ms, [f.split()[0] for f in values.split(", ")]
         super().__init__(values, f"tick bigint, {values}", (None, *([None] * len(self.values))), bucket_ms)
 
-    def _ticks(self, first: np.ndarray, values: list[np.ndarray], upto: int) -> Iterator[Columns]:
+    def _runs(self, first: np.ndarray, values: list[np.ndarray], upto: int) -> Iterator[Columns]:
         """Ticks ``first[0]`` to ``upto - 1``; row i holds from tick ``first[i]`` on."""
-        for at in range(int(first[0]), upto, FRAME):
-            ticks = np.arange(at, min(upto, at + FRAME))
-            row = np.searchsorted(first, ticks, side="right") - 1
-            yield {"ts": instants(ticks * self.period * 1000).to_numpy(), **{c: v[row] for c, v in zip(self.values, values, strict=True)}}
+        end = np.append(first[1:], upto)
+        n = np.maximum(0, -(-(end - first) // RUN))
+        row = np.repeat(np.arange(len(first)), n)
+        if len(row):
+            begin = first[row] + (np.arange(len(row)) - (np.cumsum(n) - n)[row]) * RUN
+            yield {"first": begin, "last": np.minimum(begin + RUN, end[row]) - 1, **{c: v[row] for c, v in zip(self.values, values, strict=True)}}
 
     def work(self, rows: Columns, state: tuple) -> Work:
         first = -(-rows["_us"] // (self.period * 1000))
@@ -217,14 +317,14 @@ class TickProcessor(TimelineProcessor):
         if state[0] is not None:
             first = np.concatenate(([int(state[0])], np.maximum(first, int(state[0]))))
             values = [np.concatenate((np.array([s], v.dtype), v)) for s, v in zip(state[1:], values, strict=True)]
-        yield from self._ticks(first, values, int(first[-1]))
+        yield from self._runs(first, values, int(first[-1]))
         return (int(first[-1]), *(v[-1].item() if isinstance(v[-1], np.generic) else v[-1] for v in values))
 
     def silence(self, state: tuple, passed: int) -> Work:
         if state[0] is None:
             return state
         upto = max(int(state[0]), (passed - 1) // self.period + 1)
-        yield from self._ticks(np.array([int(state[0])]), [np.array([v], object) for v in state[1:]], upto)
+        yield from self._runs(np.array([int(state[0])]), [np.array([v], object) for v in state[1:]], upto)
         return (upto, *state[1:])
 
     def due(self, state: tuple, given: int) -> int | None:
@@ -241,7 +341,7 @@ class IdleResets(TimelineProcessor):
         super().__init__("state string", "open bigint, moving boolean, moved bigint, resets bigint", (None, False, None, 0), bucket_ms)
 
     def _out(self, ticks: np.ndarray, before: int) -> Columns:
-        return {"reset_ts": instants(ticks * self.clock.period_ms * 1000).to_numpy(), "resets": before + 1 + np.arange(len(ticks))}
+        return {"reset_ts": instants(ticks * self.clock.period_ms * 1000), "resets": before + 1 + np.arange(len(ticks))}
 
     def work(self, rows: Columns, state: tuple) -> Work:
         ticks, end = self.clock.walk(rows["_us"], rows["state"] != "IDLE", state)
@@ -273,7 +373,7 @@ class InactivityAlerts(TimelineProcessor):
         hour = (since + self.idle_us) // 3_600_000_000 % 24
         since = since[(hour >= self.hours[0]) & (hour < self.hours[1])]
         if len(since):
-            yield {"idle_since": instants(since).to_numpy(), "alert_ts": instants(since + self.idle_us).to_numpy()}
+            yield {"idle_since": instants(since), "alert_ts": instants(since + self.idle_us)}
 
     def work(self, rows: Columns, state: tuple) -> Work:
         last, since = state
@@ -334,5 +434,5 @@ class ConfigAsOf(TimelineProcessor):
             out[column] = written[at][1:][is_row]
             end.append(float(written[at][-1]))
         if is_row.any():
-            yield {"ts": instants(rows["_us"][is_row]).to_numpy(), "seq": rows["seq"][is_row], **out}
+            yield {"ts": instants(rows["_us"][is_row]), "seq": rows["seq"][is_row], **out}
         return tuple(end)

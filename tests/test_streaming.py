@@ -195,6 +195,19 @@ def test_the_state_is_bounded_by_the_tolerance(spark):
     assert most["2 seconds"] < 0.4 * most["60 seconds"]
 
 
+def test_many_devices_share_states(spark, monkeypatch):
+    """400 devices of five rows: the state grows by shares, not by devices, and every device has its own machine."""
+    monkeypatch.setattr(J, "SHARES", 4, raising=False)
+    scored = spark.range(2000).select((F.col("id") % 400).alias("device_id"), F.timestamp_seconds(F.col("id") * 7).alias("ts"), F.col("id").alias("seq"),
+                                      (F.col("id") * 37 % 10 / 10).alias("score"))
+    progress = []
+    out = J.run_to_table(spark, J.debounced(J.replay(scored, "shares"), 0.53, 1, 1), "shares", progress=progress)
+    batch = D.detect(scored, 0.53, 1, 1)
+    assert rows(out, "device_id", "seq", "state") == rows(batch, "device_id", "seq", "state")
+    assert len({r[0] for r in rows(out, "state")}) == 2
+    assert 0 < max(o["numRowsTotal"] for p in progress for o in p["stateOperators"]) < 100
+
+
 def test_active_ticks(spark):
     s = _states(spark, [(1, 0, 1, "IDLE", 0.1), (1, 0, 2, "DETECTED", 0.8)], [(1, 60, 3, "IDLE", 0.2)], [(1, 90, 4, "IDLE", 0.2)])
     out = J.run_to_table(spark, J.active_ticks(s), "t7")
