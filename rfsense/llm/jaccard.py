@@ -9,12 +9,18 @@ dealt out by cost: segments whose signatures collide most over all documents are
 one-deletion signatures cost least. A set leaves out its signatures of empty subsets unless they weigh t or more: then a pair that
 meets only in empty subsets still meets, and no other pair meets because of them. What remains of t after that, c, is spent on the largest buckets: two
 sets that link meet in buckets that weigh c together, so each leaves its largest ones out, as far as these weigh less than c. Of the buckets they share, the last in
-the common order of sizes stays in both. So long sets that meet others by chance in a few buckets, or share a passage with very many, meet nobody there.
+the common order of sizes stays in both. So long sets that meet others by chance in a few buckets, or share a passage with very many, meet nobody there. A set's own
+size says how many elements it may differ by from any partner, so c is the larger the smaller a set is within its domain.
 
 Candidates are filtered by size and by a parity sketch (the bits in which two sketches differ never exceed the elements in which
 the sets differ), and verified on the whole texts. Equal sets are one node. In each bucket the nodes are first
-compared with the least one; only buckets whose nodes are not all in one component by then are compared in full, across
-components. So no bucket of near copies is expanded into its pairs, and every link between components is tested.
+compared with the least one; only buckets whose nodes are not all in one component by then go on. So no bucket of near copies is expanded into its pairs, and every
+link between components is tested.
+
+Versions of one text that stay just below the threshold meet in many segments. So for the sets that are left over the universe is parted once more, into single elements, of
+which only those count that sets of several components hold. A set that holds fewer of them than a link takes is out. The others leave out their most frequent elements in the
+same way, each as far as a link with any partner allows; at an element where two sets meet, each must have as many left, from there on in the common order, as a link of just
+these two takes (the first element they share passes), and a sketch of 1024 bits is compared. The elements of the least component in a bucket are not compared among themselves.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ CELLS = 64
 HOT = 32
 """Nodes of one signature in a slice of documents from which on they are joined among themselves first."""
 BROADCAST_ROWS = 1_000_000
+MIDDLE = 16
+"""Words of the sketches that are compared where two sets meet in an element."""
 SLICE = 2 << 20
 """Bytes of text whose sets and signatures a worker holds at a time."""
 
@@ -114,6 +122,22 @@ class Bands:
         shared = max(1 if h < 2 else 2 if h < 8 else 3, 1 + h // 16)
         return h + empty + shared - 1, empty, shared
 
+    def shared(self, domain: Column, n: Column) -> Column:
+        """The weight of the buckets in which a set of ``n`` elements meets any set that it links with in a domain: ``weight`` has the least of a domain.
+
+        Its partner is at most as large as the threshold allows, and lies in the domain's own band if the set lies in the next one.
+        """
+        p, starts = self.percent, self.starts().tolist()
+        own = range(len(starts) - 2)
+        weights = [self.weight(d) for d in own]
+
+        def at(values) -> Column:
+            return F.element_at(F.array(*(F.lit(int(v)) for v in values)), domain + 1)
+
+        next_, last, least = at(starts[1:-1]), at(x - 1 for x in starts[2:]), at(shared for _, _, shared in weights)
+        partner = F.when(n >= next_, next_ - 1).otherwise(F.least(F.floor(n * 100 / p), last))
+        return F.greatest(least, at(total - empty + 1 for total, empty, _ in weights) - F.floor((100 - p) * (n + partner) / (100 + p)))
+
 
 @cache
 def _starts(percent: int) -> np.ndarray:
@@ -316,6 +340,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_HELD = pa.schema([("element", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
 
 
 def _verify(words: int, percent: int):
@@ -336,6 +361,18 @@ def _verify(words: int, percent: int):
     return arrow_map(run, _PAIR)
 
 
+def _elements(words: int):
+    """One row for each element of a node's set, with the node's component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut in slices(batches, size=SLICE):
+            flat, sizes = shingles(cut.column("text"), words)
+            of = [pa.array(np.repeat(cut.column(c).to_numpy(), sizes)) for c in ("node", "root")]
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *of], schema=_HELD)
+
+    return arrow_map(run, _HELD)
+
+
 def may_link(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Column:
     """Sizes and sketches allow a link. The longer of two sketches is folded to the length of the other: sizes allow a link only if it
     is at most twice as long."""
@@ -354,15 +391,42 @@ def may_link(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Co
     return F.when(sized, (F.size(a) != F.size(b)) | (differ <= na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent)))).otherwise(False)
 
 
-def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs of nodes ``a``, ``b`` whose sets link, verified on the texts of their documents."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
-    needed = materialise(needed, "needed")
+def folded(sketch: Column) -> Column:
+    """A sketch of at most ``MIDDLE`` words."""
+    word = F.sequence(F.lit(0), F.lit(MIDDLE - 1))
+    return F.when(F.size(sketch) <= MIDDLE, sketch).otherwise(F.transform(word, lambda i: F.aggregate(
+        F.sequence(i, F.size(sketch) - 1, F.lit(MIDDLE)), F.lit(0).cast("long"), lambda t, k: t.bitwiseXOR(F.get(sketch, k)))))
+
+
+def texts_for(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored rows of nodes led by documents ``rep``, with the ``text`` of those."""
     ids = needed.select(F.col("rep").alias("doc_id"))
     if needed.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = needed.join(texts, needed["rep"] == texts["doc_id"]).select("node", "text")
+    return needed.join(texts, needed["rep"] == texts["doc_id"]).drop("doc_id")
+
+
+def pairs_across(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of stored rows ``node, root, n, rep, sketch`` with different roots that may link: all that do are among them."""
+    held = texts_for(sets.select("node", "root", "rep"), docs).select("node", "root", "text")
+    elements = materialise(held.mapInArrow(_elements(words), "element long, node long, root long"), "elements")
+    frequent = elements.groupBy("element").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("hi")
+    # How many elements a set has from each one on, in the common order from rare to frequent.
+    rest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), F.desc("element")))
+    rare = elements.select("element", "node").join(frequent, "element").withColumn("rest", rest).join(sets.select("node", "root", "n", folded(F.col("sketch")).alias("sketch")), "node")
+    rare = materialise(rare.where(100 * F.col("rest") >= percent * F.col("n")).drop("size"), "rare")
+    a, b = (rare.select("element", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "rest", "sketch", "lo"))) for s in "ab")
+    once = (F.col("roota") != F.col("loa")) & (F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("loa")) | (F.col("nodea") < F.col("nodeb")))
+    left = (100 + percent) * F.least("resta", "restb") >= percent * (F.col("na") + F.col("nb"))
+    met = a.join(b, "element").where(once & left & may_link(F.col("na"), F.col("sketcha"), F.col("nb"), F.col("sketchb"), percent))
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
+
+
+def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs of nodes ``a``, ``b`` whose sets link, verified on the texts of their documents."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
+    texts = texts_for(materialise(needed, "needed"), docs).select("node", "text")
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify(words, percent), "a long, b long")
 
@@ -397,7 +461,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = materialise(links_of(stars, nodes, named, words, percent), "links")
     roots = components(links)
 
-    # Buckets that are not in one component yet: all pairs across components that sizes and sketches allow.
+    # Buckets that are not in one component yet.
     met_in = met.join(roots.withColumnRenamed("node", "first").withColumnRenamed("root", "rf"), "first", "left").join(roots.withColumnRenamed("root", "rn"), "node", "left")
     met_in = met_in.select("sig", "first", "node", F.coalesce("rf", "first").alias("rf"), F.coalesce("rn", "node").alias("rn"))
     open_ = met_in.groupBy("sig").agg(F.min(F.least("rf", "rn")).alias("lo"), F.max(F.greatest("rf", "rn")).alias("hi")).where("lo <> hi").select("sig")
@@ -408,14 +472,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
     domain = F.shiftrightunsigned(F.col("sig").bitwiseAND(511), 1).cast("int")
     largest = Window.partitionBy("node", "domain").orderBy(F.desc("size"), "sig").rowsBetween(Window.unboundedPreceding, 0)
-    shared = F.element_at(F.array(*(F.lit(bands.weight(d)[2]) for d in range(len(bands.starts()) - 1))), F.col("domain") + 1)
-    members = members.join(sizes, "sig").withColumn("domain", domain)
-    members = members.withColumn("upto", F.sum(1 + F.col("sig").bitwiseAND(1)).over(largest)).where(F.col("upto") >= shared)
-    members = materialise(members.select("sig", "node", "root").join(nodes.select("node", "n", "small"), "node"), "members")
-    a, b = (members.select("sig", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "small"))) for s in "ab")
-    rest = a.join(b, "sig").where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & may_link(
-        F.col("na"), F.col("smalla"), F.col("nb"), F.col("smallb"), percent)).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    rest = materialise(rest, "pairs")  # else each bucket that two sets share would be compared with the stars
+    members = members.join(sizes, "sig").withColumn("domain", domain).withColumn("upto", F.sum(1 + F.col("sig").bitwiseAND(1)).over(largest))
+    members = members.join(nodes.select("node", "n"), "node").where(F.col("upto") >= bands.shared(F.col("domain"), F.col("n")))
+    members = materialise(members.select("sig", "node", "root"), "members")
+    still = members.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    sets_left = materialise(members.join(still, "sig").select("node", "root").distinct().join(nodes.select("node", "n", "rep", "sketch"), "node"), "left")
+    # All pairs across components that sizes, elements and sketches allow.
+    rest = materialise(pairs_across(sets_left, named, words, percent), "pairs")  # else each element that two sets share would be compared with the stars
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialise(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):

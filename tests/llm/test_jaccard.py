@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rfsense.llm import jaccard
 from rfsense.llm.queries import QUERIES
@@ -151,3 +152,39 @@ def test_deduplicated_with_names_of_its_own(spark):
             kept = jaccard.deduplicated(some, 5, 80)
             assert kept.columns == some.columns and kept.select(names[0]).distinct().count() == 1
         assert sorted((r.doc_id, r.text or "") for r in jaccard.deduplicated(docs, 5, 80).collect()) == [(1, words), (2, "another text of its own kind"), (3, ""), (4, "")]
+
+
+def test_versions_below_the_threshold(spark, monkeypatch):
+    """Versions of one long text that share most segments and do not link are not compared in pairs; those that do link are found."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(1200)]
+
+    def version(of, edits):
+        out = list(of)
+        for k in rng.sample(range(len(out)), edits):
+            out[k] = f"v{k}-{rng.randrange(4)}"  # others make the same edit
+        return out
+
+    versions = [version(base, rng.choice([45, 60, 80])) for _ in range(150)]
+    rows = [(i, " ".join(v)) for i, v in enumerate([*versions, *(version(v, rng.choice([10, 20, 24])) for v in versions[:60])])]
+    counts, write = {}, jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: counts.update({name: (out := write(df, name)).count()}) or out)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85).collect()
+    want = by_hand(rows, 4, 85)
+    assert sorted(map(tuple, got), key=str) == want
+    assert sum(i != c for i, _, c in want) > 20
+    assert counts["pairs"] <= 2 * len(rows)
+
+
+def test_shared_weight_holds_for_all_links(spark):
+    """A set's own weight is at least its domain's, and at most what it shares with any set it links with beyond empty segments."""
+    for percent in (60, 85, 95):
+        bands = jaccard.Bands(percent)
+        starts = bands.starts()
+        sizes = [(d, n) for n in range(1, 300) for d in {int(bands.of(np.array([n]))[0]) - k for k in (0, 1)} if d >= 0]
+        got = spark.createDataFrame(sizes, "d int, n long").withColumn("shared", bands.shared(F.col("d"), F.col("n"))).collect()
+        for d, n, shared in got:
+            total, empty, least = bands.weight(d)
+            partners = [m for m in range(-(-percent * n // 100), n * 100 // percent + 1) if starts[d] <= min(m, n) < starts[d + 1] and max(m, n) < starts[d + 2]]
+            assert shared >= least
+            assert all(total - empty + 1 - (n + m - 2 * -(-percent * (n + m) // (100 + percent))) >= shared for m in partners)
