@@ -410,11 +410,13 @@ def texts_for(needed: DataFrame, docs: DataFrame) -> DataFrame:
 def pairs_across(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs ``a < b`` of stored rows ``node, root, n, rep, sketch`` with different roots that may link: all that do are among them."""
     held = texts_for(sets.select("node", "root", "rep"), docs).select("node", "root", "text")
-    elements = materialise(held.mapInArrow(_elements(words), "element long, node long, root long"), "elements")
-    frequent = elements.groupBy("element").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("hi")
+    # Windows sort once and spill; a table of all elements to join with would take memory for each that only one set holds.
+    alike = Window.partitionBy("element")
+    frequent = held.mapInArrow(_elements(words), "element long, node long, root long").withColumns(
+        {"size": F.count(F.lit(1)).over(alike), "lo": F.min("root").over(alike), "hi": F.max("root").over(alike)}).where("lo <> hi")
     # How many elements a set has from each one on, in the common order from rare to frequent.
     rest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), F.desc("element")))
-    rare = elements.select("element", "node").join(frequent, "element").withColumn("rest", rest).join(sets.select("node", "root", "n", folded(F.col("sketch")).alias("sketch")), "node")
+    rare = frequent.drop("root", "hi").withColumn("rest", rest).join(sets.select("node", "root", "n", folded(F.col("sketch")).alias("sketch")), "node")
     rare = materialise(rare.where(100 * F.col("rest") >= percent * F.col("n")).drop("size"), "rare")
     a, b = (rare.select("element", *(F.col(c).alias(c + s) for c in ("node", "root", "n", "rest", "sketch", "lo"))) for s in "ab")
     once = (F.col("roota") != F.col("loa")) & (F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("loa")) | (F.col("nodea") < F.col("nodeb")))
