@@ -12,8 +12,9 @@ from rfsense.session import ship, workdir
 
 MASK = "[SECRET]"
 
-BATCH_BYTES = 4 << 20
-"""Bytes of an Arrow batch between executor and Python worker; 10,000 rows of whole texts would be many times that."""
+BATCH_BYTES = 1 << 20
+"""Bytes of an Arrow batch between executor and Python worker; 10,000 rows of whole texts would be many times that. Both hold
+several copies of a batch outside of the heap, and a worker's slices are no larger than its batches."""
 
 
 def _prepare(spark: SparkSession) -> None:

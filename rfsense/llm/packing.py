@@ -23,6 +23,9 @@ from rfsense.llm.common import arrow_map, give_back, slices, texts_of
 from rfsense.llm.wordbpe import encoder
 from rfsense.session import materialise
 
+SLICE = 1 << 20
+"""Bytes of text that a worker encodes at a time; ids and their places take some sixty times that on the way."""
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64())])
 PIECES_WITH_IDS = PIECES.append(pa.field("ids", pa.list_(pa.int32())))
@@ -37,7 +40,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int | None = 0, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             ids, counts = enc.encode(part.column("text"))
             out: list[list] = [[] for _ in schema]
             at = 0

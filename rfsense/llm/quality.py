@@ -43,8 +43,8 @@ for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRST
 _CLASS[[b for b in range(33, 127) if _CLASS[b] == 8]] = 6
 _CLASS[128:] = 7
 STATS = 9 + 6
-SLICE = 1 << 20
-"""Bytes of text whose features are counted at a time; a byte takes some dozen on the way."""
+SLICE = 1 << 19
+"""Bytes of text whose features are counted at a time; a byte takes some hundred on the way."""
 
 
 def text_features(texts: pa.Array) -> np.ndarray:

@@ -9,6 +9,7 @@ tokens) go through the library's whole pipeline.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -18,8 +19,8 @@ import pyarrow.compute as pc
 from rfsense.llm.chunks import LATIN, runs, sums
 from rfsense.llm.common import gather, words_of
 
-CACHE_WORDS = 300_000
-"""Words kept by a Python worker. A full cache starts anew; results do not depend on it."""
+CACHE_WORDS = 100_000
+"""Words kept by a Python worker, beside those of the slice at hand. A full cache starts anew; results do not depend on it."""
 
 _PLAIN = re.compile("[!-~À-ÿ]+")
 # The file's own pattern over these characters, small letters.
@@ -35,6 +36,7 @@ def byte_characters() -> list[str]:
 
 class WordEncoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of the library would take more
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
